@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import stash, table
 
 #: Blocks of a source, whatever its size; the tables of blocks and shards have sources x BLOCKS x repeats rows at most.
 BLOCKS = 256
@@ -139,8 +139,11 @@ def placed(docs: DataFrame, size: Column, key: str, blocks: int = BLOCKS, seed:
 
 
 def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """A row for each block and pass over its source: whether the mix draws it, its shard, how many of its words (null: all)."""
-    held = rows.groupBy("mix_source", "mix_block").agg(F.sum("mix_size").alias("words"))
+    """A row for each block and pass over its source: whether the mix draws it, its shard, how many of its words (null: all).
+
+    From the sums of blocks on, everything is sources x BLOCKS x passes rows, whatever the corpus; one task plans it.
+    """
+    held = rows.groupBy("mix_source", "mix_block").agg(F.sum("mix_size").alias("words")).repartition(1)
     aims = targets(held.groupBy("mix_source").agg(F.sum("words").alias("source_size")), weights, most)
     epochs = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int") - 1, F.lit(0)))
     units = held.join(aims, "mix_source").withColumn("epoch", F.explode(epochs))
@@ -154,7 +157,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
     tree = splitting_tree(units.filter("drawn").groupBy("mix_source").agg(F.count("*").alias("quota")), shards, seed)
     a, b = units.alias("a"), tree.alias("b")
     on = (F.col("a.mix_source") == F.col("b.mix_source")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("blocks"))
-    return a.join(b, on, "left").select("a.mix_source", "mix_block", "epoch", "source_size", "target", "drawn", "most", "shard")
+    return stash(a.join(b, on, "left").select("a.mix_source", "mix_block", "epoch", "source_size", "target", "drawn", "most", "shard"), "mix-plan")
 
 
 def _upto() -> Column:
@@ -190,9 +193,9 @@ def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", weights: tuple[fl
 def taken(docs: DataFrame, size: Column, *, key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The mix by document, with those that it leaves out: docs' columns, size, source_size, target, taken, shards.
 
-    `taken` counts words, repeats included; `shards` lists where its block goes, once per pass. Same rules as mix().
+    `taken` counts words, repeats included; `shards` lists where its block goes, once per pass. Same rules as mix(). docs is written once with its sizes, so give few columns.
     """
-    rows = placed(docs.withColumn("size", size), F.col("size"), key, blocks, seed)
+    rows = stash(placed(docs.withColumn("size", size), F.col("size"), key, blocks, seed), "mix-sizes")
     units = plan(rows.select("mix_source", "mix_block", "mix_size"), weights, most, shards, seed)
     units = units.groupBy("mix_source", "mix_block", "source_size", "target").agg(F.count_if(F.col("drawn") & F.col("most").isNull()).alias("whole"), F.max("most").alias("most"), F.collect_list("shard").alias("shards"))
     out = rows.join(units, ["mix_source", "mix_block"]).withColumn("upto", _upto())

@@ -10,8 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module and function of this subpackage
 _WHERE = {
     "op1_mix": "mixing",
+    "op2_ngram_join": "ngram_join",
+    "op3_fingerprints": "fingerprints",
     "op4_shard": "sharding",
+    "op5_quality": "quality",
+    "op6_knn": "knn",
+    "op7_packing": "packing",
+    "op8_pii": "pii",
     "op9_urls": "urls",
+    "op10_language": "language",
 }
 
 
