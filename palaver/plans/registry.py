@@ -1,11 +1,351 @@
-"""Every query of the package by name, and its DuckDB form where SQL can express it."""
+"""Every query of the engine by name, over whole tables, and its DuckDB form where SQL can express it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palaver.functions import lookups
+from palaver.operators import audio, delivery, intake, lifecycle, providers, segments, serving, transcripts
+from palaver.plans import oracles
+from palaver.sources.views import view
+
+ENABLED = ("jitsi", "google_meet")
+_ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def _query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _ALL[f.__name__] = f
+    return f
+
+
+def _raw(spark, d):
+    return view(spark, d, "segments_raw").withColumnsRenamed({"start_epoch": "start", "end_epoch": "end", "start_time_epoch": "start_time"})
+
+
+def _relative(spark, d):
+    return segments.rebase(segments.dedupe(_raw(spark, d)))
+
+
+@_query
+def segments_deduped(spark, d):
+    return segments.dedupe(_raw(spark, d)).select("meeting_id", F.col("pos").cast("long"), "ord", "segment_id", "speaker", "text")
+
+
+@_query
+def segments_relative(spark, d):
+    return _relative(spark, d).select("meeting_id", F.col("pos").cast("long"), F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+
+
+@_query
+def segments_normalized(spark, d):
+    return transcripts.normalize(_relative(spark, d)).select("meeting_id", "n", "id", "speaker_id", "speaker_name", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
+
+
+@_query
+def speakers(spark, d):
+    return transcripts.speakers(transcripts.normalize(_relative(spark, d)))
+
+
+def _transcripts(spark, d):
+    raw = _raw(spark, d)
+    return transcripts.transcripts(raw.select("meeting_id").distinct(), transcripts.normalize(segments.rebase(segments.dedupe(raw))))
+
+
+_ALL["transcripts"] = _transcripts
+
+
+def _turns(spark, d):
+    return segments.merge_turns(_relative(spark, d))
+
+
+@_query
+def turns(spark, d):
+    return _turns(spark, d).select("meeting_id", "turn_no", "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
+
+
+@_query
+def turns_eligible(spark, d):
+    """Recordings end a second before the last turn does, so that clips are cut."""
+    t = _turns(spark, d)
+    seconds = t.groupBy("meeting_id").agg((F.max("end") - 1.0).alias("seconds"))
+    out = segments.eligible_turns(t.join(seconds, "meeting_id"), F.col("seconds"))
+    return out.select("meeting_id", "turn_no", "clip_from", "clip_to")
+
+
+@_query
+def speaker_overlap(spark, d):
+    """Who speaks in stretches that lie half a second off the turns."""
+    spans = _turns(spark, d).select("meeting_id", "turn_no", (F.col("start") + 0.5).alias("start"), (F.col("end") + 0.5).alias("end"))
+    out = segments.attribute_speakers(spans, _relative(spark, d), "turn_no")
+    return out.select("meeting_id", "turn_no", "speaker", "overlap")
+
+
+@_query
+def chunk_rebase(spark, d):
+    """Replies of one segment a turn, or of none, in chunks of ten minutes."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "n_chars")
+    one = F.array(F.struct((F.col("doc_id") % 30).cast("double").alias("start"), (F.col("doc_id") % 30 + F.col("n_chars") % 700).cast("double").alias("end"), F.lit("a").alias("text")))
+    replies = docs.select(
+        F.col("doc_id").alias("meeting_id"), F.lit(0).alias("chunk_no"), (F.col("doc_id") % 4 * 600.0).cast("double").alias("chunk_from"), (F.col("doc_id") % 4 * 600.0 + 600).cast("double").alias("chunk_to"),
+        F.when(F.col("doc_id") % 5 == 1, F.col("n_chars").cast("double") / 100).alias("duration"), F.when(F.col("doc_id") % 5 == 2, F.lit(7.0)).alias("billed_seconds"), F.lit("b").alias("text"), F.when(F.col("doc_id") % 5 > 2, one).alias("segments"),
+    )
+    return segments.rebase_chunks(replies).select("meeting_id", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text")
+
+
+@_query
+def platforms(spark, d):
+    return intake.classify(view(spark, d, "meeting_urls")).select("page_id", "platform", "native_id", "error_code")
+
+
+@_query
+def platform_gate(spark, d):
+    return intake.gate(intake.classify(view(spark, d, "meeting_urls")), ENABLED).select("page_id", "platform", "accepted", "error_code")
+
+
+@_query
+def request_validation(spark, d):
+    return intake.validate(spark.sql(oracles.REQUESTS.format(pages=f"parquet.`{d}/pages.parquet`"))).select("page_id", "error_code", "meeting_url")
+
+
+@_query
+def idempotency(spark, d):
+    return intake.resolve_creates(view(spark, d, "create_requests")).select("seq", "project_id", "outcome", "created_seq")
+
+
+@_query
+def meeting_inserts(spark, d):
+    """Requests after the first 1000 inserted among those, by project and key."""
+    rows = view(spark, d, "create_requests").select("seq", "project_id", "idempotency_key")
+    old = intake.insert_new(rows.filter("false"), rows.filter("seq < 1000"), ["project_id", "idempotency_key"], "seq")
+    return intake.insert_new(old, rows.filter("seq >= 1000"), ["project_id", "idempotency_key"], "seq")
+
+
+@_query
+def api_key_auth(spark, d):
+    users = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
+    key = F.concat(F.lit("sk_"), (F.col("user_id") % 7).cast("string"))
+    calls = users.select("event_id", F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("Bearer "), key)).alias("authorization"))
+    keys = spark.range(5).select(F.sha2(F.concat(F.lit("sk_"), F.col("id").cast("string")), 256).alias("key_hash"), F.col("id").alias("project_id"))
+    return intake.authenticate(calls, keys).select("event_id", "project_id", "error_code")
+
+
+@_query
+def lifecycle_transitions(spark, d):
+    return lifecycle.transitions(view(spark, d, "lifecycle_events")).drop("ts")
+
+
+@_query
+def lifecycle_final(spark, d):
+    return lifecycle.final(view(spark, d, "lifecycle_events")).select("meeting_id", "status", "n_events", "n_accepted")
+
+
+@_query
+def lifecycle_timestamps(spark, d):
+    return lifecycle.final(view(spark, d, "lifecycle_events")).select("meeting_id", "started_at", "ended_at", "completed_at")
+
+
+@_query
+def lifecycle_reopened(spark, d):
+    """Lifecycles in which every ninth event asks to reopen the meeting."""
+    e = view(spark, d, "lifecycle_events").withColumn("target_status", F.when(F.col("seq") % 9 == 0, F.lit("reopen")).otherwise(F.col("target_status")))
+    return lifecycle.replay(e).select("meeting_id", "seq", "from_status", "to_status", "accepted")
+
+
+@_query
+def join_deadlines(spark, d):
+    return lifecycle.join_deadlines(view(spark, d, "lifecycle_events")).select("meeting_id", "status", "error_code")
+
+
+@_query
+def terminal_events(spark, d):
+    """The one accepted ending of each meeting that has one."""
+    t = lifecycle.transitions(view(spark, d, "lifecycle_events"))
+    return t.filter(F.col("accepted") & F.col("to_status").isin(*lookups.TERMINAL)).select("meeting_id", "seq", F.col("to_status").alias("status"))
+
+
+@_query
+def stop_and_recover(spark, d):
+    f = lifecycle.final(view(spark, d, "lifecycle_events"))
+    r = lifecycle.recovered(F.col("status"), F.col("n_events") % 2 == 0)
+    return f.select("meeting_id", lifecycle.stopped(F.col("status")).alias("stopped"), r["status"].alias("recovered"), r["error_code"].alias("recover_error"))
+
+
+@_query
+def failure_codes(spark, d):
+    e = spark.sql(oracles.REASONS.format(events=f"parquet.`{d}/events.parquet`"))
+    code = lookups.failure_code(F.col("reason"))
+    return e.select("event_id", code.alias("error_code"), lookups.error_type(code).alias("error_type"), lookups.http_status(code).alias("http_status"))
+
+
+@_query
+def status_map(spark, d):
+    e = spark.sql(oracles.CAPTURES.format(events=f"parquet.`{d}/events.parquet`"))
+    p = F.col("platform")
+    return e.select("event_id", lookups.capture_status(F.col("capture_status")).alias("status"), F.coalesce(lookups.lookup(lookups.CAPTURE_PLATFORM, p), p).alias("capture_platform"))
+
+
+@_query
+def call_errors(spark, d):
+    """Codes of failed dispatches and provider calls by HTTP status."""
+    a = view(spark, d, "delivery_attempts")
+    code = lookups.provider_error(F.col("response_code"), F.col("attempt") == 6)
+    sent = lookups.dispatch_error(F.when(F.col("attempt") == 1, F.lit("unsupported_platform")), F.when(F.col("response_code") == 503, 409).otherwise(F.col("response_code")))
+    body = serving.error_body(F.coalesce(code, sent))
+    return a.select("delivery_id", "attempt", code.alias("provider_code"), sent.alias("dispatch_code"), body["type"].alias("error_type"), body["http_status"].alias("http_status"))
+
+
+@_query
+def recording_usable(spark, d):
+    return providers.usable_recordings(view(spark, d, "recordings")).select("meeting_id", "recording_id", "size_bytes")
+
+
+@_query
+def recording_source(spark, d):
+    """Recordings that came with a meeting, or where none did those that are listed for it."""
+    r = view(spark, d, "recordings")
+    return providers.embedded_or_all(r.select("meeting_id").distinct(), r.filter("recording_id % 3 = 0 and meeting_id % 2 = 0"), r).select("meeting_id", "recording_id")
+
+
+@_query
+def provider_outcome(spark, d):
+    return providers.turn_outcomes(view(spark, d, "provider_results"))
+
+
+@_query
+def result_merge(spark, d):
+    return providers.merge_results(_turns(spark, d), view(spark, d, "provider_results")).select("meeting_id", "turn_no", "text", "from_provider")
+
+
+@_query
+def finalize_decisions(spark, d):
+    out = providers.finalize(spark.sql(oracles.ENDED.format(events=f"parquet.`{d}/events.parquet`")))
+    return out.select("event_id", "action", "error_code", "fallback_reason", "retry_s")
+
+
+@_query
+def webhook_schedule(spark, d):
+    return delivery.schedule(view(spark, d, "delivery_attempts")).drop("attempted_at")
+
+
+@_query
+def webhook_state(spark, d):
+    return delivery.latest(delivery.schedule(view(spark, d, "delivery_attempts")))
+
+
+def _meetings(spark, d):
+    """Final lifecycles as meetings of project user_id % 5."""
+    f = lifecycle.final(view(spark, d, "lifecycle_events"))
+    user = F.split("meeting_id", "-")[0].cast("long")
+    return f.select("*", (user % 5).alias("project_id"), F.when(F.col("status") == "failed", F.when(user % 3 > 0, F.lit("capture_failed"))).alias("error_code"))
+
+
+def _stored(spark, d):
+    """A transcript for each completed meeting and some others."""
+    user = F.split("meeting_id", "-")[0].cast("long")
+    m = _meetings(spark, d).filter((F.col("status") == "completed") | (user % 4 == 0))
+    back = user % 3 == 0
+    return m.select("meeting_id", F.lit("en").alias("language"), (F.col("n_events") * 1.5).cast("double").alias("duration_seconds"), F.when(back, F.lit("native")).otherwise(F.lit("batch")).alias("provider"), F.when(back, F.lit("batch")).alias("fallback_from"), F.when(back, F.lit("no_turns")).alias("fallback_reason"))
+
+
+def _endings(spark, d):
+    t = lifecycle.transitions(view(spark, d, "lifecycle_events")).filter(F.col("accepted") & F.col("to_status").isin("completed", "failed"))
+    m = _meetings(spark, d).select("meeting_id", "error_code")
+    s = _stored(spark, d).select("meeting_id", "provider", "fallback_from", "fallback_reason")
+    return t.select("meeting_id", "seq", "ts", F.col("to_status").alias("status")).join(m, "meeting_id").join(s, "meeting_id", "left").withColumn("error_message", F.lit(None).cast("string"))
+
+
+@_query
+def webhook_events(spark, d):
+    return delivery.events(_endings(spark, d)).select("meeting_id", "event_type", "payload")
+
+
+def _with_secrets(spark, d):
+    projects = spark.range(4).select(F.col("id").alias("project_id"), F.concat(F.lit("whsec_"), F.col("id").cast("string")).alias("secret"))
+    return delivery.with_secrets(delivery.events(_endings(spark, d)), _meetings(spark, d), projects)
+
+
+@_query
+def delivery_secret_join(spark, d):
+    return _with_secrets(spark, d).select("meeting_id", "project_id", F.sha2("secret", 256).alias("secret_sha256"))
+
+
+@_query
+def webhook_signatures(spark, d):
+    return delivery.signed(_with_secrets(spark, d)).select("meeting_id", "event_type", "signature")
+
+
+@_query
+def meeting_view(spark, d):
+    return serving.meeting_view(_meetings(spark, d), _stored(spark, d))
+
+
+@_query
+def transcript_view(spark, d):
+    return serving.transcript_view(_meetings(spark, d), _stored(spark, d))
+
+
+@_query
+def tenant_lookup(spark, d):
+    """Every meeting asked for by the project of its user and by the next one."""
+    m = _meetings(spark, d)
+    asked = m.select(F.explode(F.array("project_id", (F.col("project_id") + 1) % 5)).alias("project_id"), "meeting_id")
+    return serving.tenant_lookup(m, asked).select("project_id", "meeting_id", "status", "error_code")
+
+
+@_query
+def transcript_upsert(spark, d):
+    """Every event writes its meeting's transcript; even ones were stored before."""
+    e = view(spark, d, "lifecycle_events").select("meeting_id", "seq", F.col("target_status").alias("provider"), F.col("ts").alias("created_at"))
+    old = e.filter("seq % 2 = 0").groupBy("meeting_id").agg(F.max_by("provider", "seq").alias("provider"), F.max("created_at").alias("created_at"))
+    return serving.upsert_transcripts(old, e.filter("seq % 2 = 1").select("meeting_id", "provider", "created_at", "seq")).select("meeting_id", "provider", "created_at")
+
+
+@_query
+def delete_cascade(spark, d):
+    """Counts of what is left when every third user's meetings are deleted."""
+    m = _meetings(spark, d)
+    gone = m.filter(F.split("meeting_id", "-")[0].cast("long") % 3 == 1)
+    left = serving.delete_meetings(m, _stored(spark, d), delivery.events(_endings(spark, d)), gone)
+    meetings = left[0].groupBy("project_id").agg(F.count("*").alias("n")).select(F.lit("meetings").alias("what"), "project_id", "n")
+    kept = left[1].agg(F.count("*").alias("n")).select(F.lit("transcripts").alias("what"), F.lit(-1).cast("long").alias("project_id"), "n")
+    orphans = left[2].filter("orphan").agg(F.count("*").alias("n")).select(F.lit("orphans").alias("what"), F.lit(-1).cast("long").alias("project_id"), "n")
+    return meetings.union(kept).union(orphans)
+
+
+@_query
+def health_rollup(spark, d):
+    p = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 5 != 0).alias("database_ok"), (F.col("event_id") % 7 != 0).alias("queue_ok"), (F.col("event_id") % 3 != 0).alias("capture_ok"))
+    return serving.health(p).select("event_id", "status", "http_status")
+
+
+@_query
+def due_jobs(spark, d):
+    """Jobs of each event type that are due in the middle of the month."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("queue"), F.col("event_id").alias("job_id"), F.when(F.col("event_id") % 4 > 0, F.col("ts")).alias("run_at"))
+    return serving.due_jobs(e, F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))).select("queue", "job_id", F.col("position").cast("long"))
+
+
+@_query
+def rms_dbfs(spark, d):
+    out = audio.levels(view(spark, d, "signal_windows"))
+    return out.select("recording_id", "n_samples", F.round("rms_dbfs", 6).alias("rms_dbfs"))
+
+
+@_query
+def quiet_chunks(spark, d):
+    """Recordings made of 200 repeats of a signal window at 64 samples a second, cut at 60 seconds."""
+    s = view(spark, d, "signal_windows").select("recording_id", F.flatten(F.array_repeat(F.transform("samples", lambda x: F.round(x * 1000).cast("int")), 200)).alias("samples"))
+    return audio.chunks(s, 64, 60.0)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from palaver.streaming import queries as streams
+
+    return _ALL | streams.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
