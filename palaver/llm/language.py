@@ -26,7 +26,7 @@ FAMILIES = {
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 #: Labelled rows per language that are learnt from, about; the sample is by hash of the id.
-SAMPLE = 1500
+SAMPLE = 1000
 TRIGRAMS = 2048
 WIDTH = 256 + TRIGRAMS
 UNKNOWN = "und"
@@ -73,7 +73,7 @@ def _sample_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for i, j in blocks(at):
             v, ok = vectors(data, at[i : j + 1]), has_letter(data, at[i : j + 1])
             keep = np.flatnonzero(ok)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(keep)), pa.array([v[k].tobytes() for k in keep], pa.binary())], names=["lang", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(keep)), pa.array([v[k].astype(np.float16).tobytes() for k in keep], pa.binary())], names=["lang", "vector"])
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, c: float = 20.0, steps: int = 150) -> tuple[np.ndarray, float]:
@@ -95,7 +95,10 @@ _MODEL_ARROW = pa.schema([("task", pa.string()), ("weights", pa.binary()), ("bia
 
 
 def _train(t: pa.Table) -> pa.Table:
-    x = np.stack([np.frombuffer(v, np.float32) for v in t["vector"].to_pylist()])
+    column = t["vector"]
+    x = np.empty((len(column), WIDTH), np.float32)
+    for i, v in enumerate(column):
+        x[i] = np.frombuffer(v.as_buffer(), np.float16)
     w, b = fit_svm(x, t["side"].to_numpy().astype(np.float32))
     return pa.Table.from_pylist([{"task": t["task"][0].as_py(), "weights": w.tobytes(), "bias": b}], schema=_MODEL_ARROW)
 
