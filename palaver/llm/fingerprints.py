@@ -118,7 +118,11 @@ def in_order(docs: DataFrame, key: str, text: str) -> DataFrame:
     n = int(min(MOST_STRETCHES, max(16, total // STRETCH_BYTES)))
     bounds = sorted(set(rows.filter("id is not null").approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n) if n > 1 else []))
     cuts = [-float("inf"), *bounds, float("inf")]
-    placed = Bucketizer(splits=cuts, inputCol="real", outputCol="bucket", handleInvalid="keep").transform(rows.withColumn("real", F.col("id").cast("double")))
+    placed = rows.withColumn("real", F.col("id").cast("double"))
+    if bounds:
+        placed = Bucketizer(splits=cuts, inputCol="real", outputCol="bucket", handleInvalid="keep").transform(placed)
+    else:
+        placed = placed.withColumn("bucket", F.lit(0.0))
     placed = placed.withColumn("place", F.when(F.col("id").isNull(), F.lit(len(cuts))).otherwise(len(cuts) - 1 - F.col("bucket")).cast("int"))
     placed = placed.select("place", "id", F.xxhash64("text").alias("tie"), "text")
     heads = [(r["place"], r["id"]) for r in placed.groupBy("place").agg(F.max("id").alias("id")).orderBy("place").collect()]

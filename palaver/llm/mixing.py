@@ -47,7 +47,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float
     )
     level = (F.col("total") - F.col("full_before")) / F.col("weight_left")
     fits = level * F.col("weight") <= F.col("limit")
-    ranked = ranked.withColumn("level", F.min(F.when(fits, F.struct(F.col("limit") / F.col("weight"), level.alias("level")))).over(whole)["level"])
+    ranked = ranked.withColumn("level", F.min(F.when(fits, F.struct(F.col("limit") / F.col("weight"), "mix_source", level.alias("level")))).over(whole)["level"])
     return ranked.select("mix_source", "source_size", F.least("limit", F.coalesce(F.col("weight") * F.col("level"), F.col("limit"))).alias("target"))
 
 
