@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
 from palaver.functions.lookups import DELIVERY_DELAYS
 from palaver.functions.text import iso_ms
@@ -29,7 +30,7 @@ def events(endings: DataFrame) -> DataFrame:
     return out.select("meeting_id", "event_id", "event_type", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), iso_ms(F.col("ts")).alias("created_at"), data.alias("data"))).alias("payload"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _hmac(secret: pd.Series, body: pd.Series) -> pd.Series:
     return pd.Series(["sha256=" + hmac.new(s.encode(), b.encode(), hashlib.sha256).hexdigest() if s is not None and b is not None else None for s, b in zip(secret, body, strict=True)])
 

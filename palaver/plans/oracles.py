@@ -306,3 +306,4 @@ union all select 'orphans', -1, count(*) from endings join meetings using (meeti
 SQL["segments_stream"] = SQL["segments_deduped"]
 SQL["delivery_stream"] = SQL["webhook_schedule"]
 SQL["lifecycle_stream"] = _sql("select meeting_id, status, n_accepted from finals where n_accepted > 0")
+SQL["deadline_stream"] = f"""select meeting_id, status as from_status, error_code from ({SQL["join_deadlines"]}) where error_code is not null"""

@@ -37,40 +37,54 @@ def may_move(now: str, to: str) -> bool:
 
 
 class Lifecycle(StatefulProcessor):
-    """Status of a meeting; emits each change, and at the deadline after its first event a failure to join."""
+    """Status of a meeting; emits each change, and at the deadline after its first event a failure to join.
+
+    The deadline falls between events by their time, so it is judged before the first event that comes after it; the
+    timer is for meetings that fall silent.
+    """
 
     def __init__(self, deadline_s: int | None = JOIN_DEADLINE_S):
         self.deadline_s = deadline_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.status = handle.getValueState("status", "status string")
+        self.state = handle.getValueState("state", "status string, deadline_ms long")
+
+    def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            out = pd.DataFrame([(key[0], *r) for r in rows], columns=["meeting_id", "seq", "ts", "from_status", "to_status", "error_code"])
+            yield out.astype({"seq": "Int64"})
 
-    def _rows(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["meeting_id", "seq", "ts", "from_status", "to_status", "error_code"])
+    def _expire(self, now: str, at_ms: int) -> list[tuple]:
+        code = {"joining": "meeting_join_failed", "waiting_for_admission": "waiting_room_timeout"}.get(now)
+        return [(None, pd.Timestamp(at_ms, unit="ms"), now, "failed", code)] if code else []
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        known = self.status.exists()
-        now, out = self.status.get()[0] if known else "queued", []
-        new = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        new, out = pd.concat(list(rows)).sort_values(["ts", "seq"]), []
+        if self.state.exists():
+            now, deadline = self.state.get()
+        else:
+            now, deadline = "queued", None
+            if self.deadline_s is not None:
+                deadline = int(new["ts"].min().timestamp() * 1000) + self.deadline_s * 1000
+                self.handle.registerTimer(deadline)
         for seq, ts, to in zip(new["seq"], new["ts"], new["target_status"], strict=True):
+            if deadline is not None and ts.timestamp() * 1000 > deadline:
+                out += self._expire(now, deadline)
+                now, deadline = "failed" if out and out[-1][4] else now, None
             if may_move(now, to):
                 to = "processing" if to == "reopen" else to
                 out.append((seq, ts, now, to, None))
                 now = to
-        if not known and self.deadline_s is not None:
-            self.handle.registerTimer(int(new["ts"].min().timestamp() * 1000) + self.deadline_s * 1000)
-        self.status.update((now,))
-        yield self._rows(key, out)
+        self.state.update((now, deadline))
+        yield from self._rows(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = self.status.get()[0]
-        code = {"joining": "meeting_join_failed", "waiting_for_admission": "waiting_room_timeout"}.get(now)
-        out = []
-        if code:
-            self.status.update(("failed",))
-            out.append((None, pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"), now, "failed", code))
-        yield self._rows(key, out)
+        now, deadline = self.state.get()
+        if deadline is not None:
+            out = self._expire(now, deadline)
+            self.state.update(("failed" if out else now, None))
+            yield from self._rows(key, out)
 
     def close(self) -> None:
         pass
@@ -124,7 +138,8 @@ class Delivery(StatefulProcessor):
             due = at + timedelta(seconds=DELIVERY_DELAYS[attempt]) if status == "pending" else None
             out.append((key[0], attempt, code, status, due))
         self.state.update((attempt, status))
-        yield pd.DataFrame(out, columns=["delivery_id", "attempt", "response_code", "status", "next_attempt_at"]).astype({"response_code": "Int32", "next_attempt_at": "datetime64[ns]"})
+        if out:
+            yield pd.DataFrame(out, columns=["delivery_id", "attempt", "response_code", "status", "next_attempt_at"]).astype({"response_code": "Int32", "next_attempt_at": "datetime64[ns]"})
 
     def close(self) -> None:
         pass
