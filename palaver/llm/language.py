@@ -26,7 +26,7 @@ FAMILIES = {
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
 #: Labelled rows per language that are learnt from, about; the sample is by hash of the id.
-SAMPLE = 1000
+SAMPLE = 1500
 TRIGRAMS = 2048
 WIDTH = 256 + TRIGRAMS
 UNKNOWN = "und"
