@@ -70,3 +70,23 @@ def provider_error(http: Column, timed_out: Column) -> Column:
         .when(http.isNull() | (http >= 500) | (http == 429), F.lit("provider_unavailable"))
         .when((http < 200) | (http >= 300), F.lit("transcription_failed"))
     )
+
+
+def call_delay_ms(attempt: Column) -> Column:
+    """Wait after the attempt-th failed call; null after the last."""
+    return F.when(attempt < MOST_ATTEMPTS, F.lit(250) * F.pow(F.lit(4), attempt - 1).cast("int"))
+
+
+def start_delay_ms(attempt: Column) -> Column:
+    """Wait after the attempt-th failure to send a bot."""
+    return F.when(attempt < MOST_ATTEMPTS, (1000 * attempt).cast("int"))
+
+
+def finalize_delay_ms(attempt: Column) -> Column:
+    """Wait after the attempt-th failure to finalize a meeting."""
+    return F.when(attempt < MOST_ATTEMPTS, (30_000 * attempt).cast("int"))
+
+
+def retryable_fetch(code: Column, http: Column) -> Column:
+    """Whether fetching a recording may work later."""
+    return F.coalesce(code.isin(*RETRYABLE), F.lit(False)) | F.coalesce((http >= 500) | http.isin(404, 429), F.lit(False))

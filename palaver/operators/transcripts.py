@@ -50,3 +50,19 @@ def transcripts(meetings: DataFrame, normalized: DataFrame, hint: Column | None
         F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
+
+
+def documents(stored: DataFrame, normalized: DataFrame) -> DataFrame:
+    """Transcripts (meeting_id and others) with their speakers and segments as arrays, in order."""
+    who = F.array_sort(F.collect_set(F.struct(F.length("speaker_id").alias("l"), F.col("speaker_id").alias("id"), F.col("speaker_name").alias("name"))))
+    said = F.array_sort(F.collect_list(F.struct("n", "id", "speaker_id", "speaker_name", "start", "end", "text")))
+    by = normalized.groupBy("meeting_id").agg(
+        F.transform(who, lambda x: F.struct(x["id"].alias("id"), x["name"].alias("name"))).alias("speakers"),
+        F.transform(said, lambda x: F.struct(x["id"].alias("id"), x["speaker_id"].alias("speaker_id"), x["speaker_name"].alias("speaker_name"), x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"))).alias("segments"),
+    )
+    return stored.join(by, "meeting_id", "left")
+
+
+def longest(transcript_seconds: Column, recording_seconds: Column) -> Column:
+    """Duration of a transcript made from a recording."""
+    return F.greatest(transcript_seconds, round3(recording_seconds))

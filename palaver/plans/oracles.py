@@ -307,3 +307,12 @@ SQL["segments_stream"] = SQL["segments_deduped"]
 SQL["delivery_stream"] = SQL["webhook_schedule"]
 SQL["lifecycle_stream"] = _sql("select meeting_id, status, n_accepted from finals where n_accepted > 0")
 SQL["deadline_stream"] = f"""select meeting_id, status as from_status, error_code from ({SQL["join_deadlines"]}) where error_code is not null"""
+SQL["transcript_documents"] = _sql(
+    """select n.meeting_id, any_value(s.speakers) as speakers, string_agg(n.id || '/' || n.speaker_id || '/' || n.text, chr(10) order by n.n) as segments
+from normalized n join (select meeting_id, '[' || string_agg('{"id":"' || speaker_id || '","name":"' || speaker_name || '"}', ',' order by first_n) || ']' as speakers
+  from (select meeting_id, speaker_id, speaker_name, min(n) as first_n from normalized group by all) group by 1) s using (meeting_id) group by 1"""
+)
+SQL["retry_delays"] = _sql(
+    """select delivery_id, attempt, case attempt when 1 then 250 when 2 then 1000 end as call_ms, case attempt when 1 then 1000 when 2 then 2000 end as start_ms,
+  case attempt when 1 then 30000 when 2 then 60000 end as finalize_ms from delivery_attempts"""
+)

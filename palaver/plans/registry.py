@@ -57,6 +57,20 @@ def _transcripts(spark, d):
 _ALL["transcripts"] = _transcripts
 
 
+@_query
+def transcript_documents(spark, d):
+    n = transcripts.normalize(_relative(spark, d))
+    out = transcripts.documents(n.select("meeting_id").distinct(), n)
+    return out.select("meeting_id", F.to_json("speakers").alias("speakers"), F.array_join(F.transform("segments", lambda x: F.concat_ws("/", x["id"], x["speaker_id"], x["text"])), "\n").alias("segments"))
+
+
+@_query
+def retry_delays(spark, d):
+    """Seconds to wait after failed attempts at a call, at sending a bot and at finalizing."""
+    a = view(spark, d, "delivery_attempts")
+    return a.select("delivery_id", "attempt", lookups.call_delay_ms(F.col("attempt")).alias("call_ms"), lookups.start_delay_ms(F.col("attempt")).alias("start_ms"), lookups.finalize_delay_ms(F.col("attempt")).alias("finalize_ms"))
+
+
 def _turns(spark, d):
     return segments.merge_turns(_relative(spark, d))
 
