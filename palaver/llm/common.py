@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palaver.sources.shared import fresh_path
+
 U64 = np.uint64
 #: Bytes of text that the vectorised helpers work on at once; their temporary arrays take about 60 times as much.
 BLOCK = 1 << 20
@@ -28,21 +26,10 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in a single-process session that names none."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
-    made = tempfile.mkdtemp(prefix="palaver-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: the lineage ends there, and losing an executor loses nothing."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
