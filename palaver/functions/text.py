@@ -45,3 +45,17 @@ def segment_name(n: Column) -> Column:
 
 def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+
+
+def prefixed_id(prefix: str, *keys: Column) -> Column:
+    """An id of 26 characters after a prefix that depends on the keys alone, so a retried task makes the same one."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("|", *[k.cast("string") for k in keys]), 256), 1, 26))
+
+
+def with_extension(name: Column, extension: str) -> Column:
+    """A file name with its last extension replaced; a name without one stays as it is."""
+    return F.regexp_replace(name, r"\.[^.]+$", "." + extension)
+
+
+def shortened(c: Column, most: int = 300) -> Column:
+    return F.left(c, F.lit(most))

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
 from palaver.functions.lookups import DELIVERY_DELAYS
-from palaver.functions.text import iso_ms
+from palaver.functions.text import iso_ms, prefixed_id
 
 
 def events(endings: DataFrame) -> DataFrame:
@@ -25,8 +25,7 @@ def events(endings: DataFrame) -> DataFrame:
         F.when(done & F.col("fallback_from").isNotNull(), F.col("fallback_reason")).alias("fallback_reason"), error.alias("error"),
     )
     kind = F.concat(F.lit("meeting."), F.col("status"))
-    name = F.concat(F.lit("evt_"), F.sha2(F.concat_ws("|", "meeting_id", F.col("seq").cast("string")), 256))
-    out = endings.filter(done | lost).withColumn("event_id", F.substring(name, 1, 30)).withColumn("event_type", kind)
+    out = endings.filter(done | lost).withColumn("event_id", prefixed_id("evt", F.col("meeting_id"), F.col("seq"))).withColumn("event_type", kind)
     return out.select("meeting_id", "event_id", "event_type", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), iso_ms(F.col("ts")).alias("created_at"), data.alias("data"))).alias("payload"))
 
 
