@@ -28,7 +28,7 @@ WORDS = 5
 #: Linked from 100 * intersection >= PERCENT * union on.
 PERCENT = 75
 #: Sets that one trie holds at most.
-CHUNK = 4096
+CHUNK = 1024
 #: Bytes of text whose shingles one hash range counts, and the number of ranges.
 RANGE_BYTES, LEAST_RANGES, MOST_RANGES = 12 << 20, 48, 1 << 16
 #: Shingles that a task collects before it sends them out.
@@ -74,8 +74,8 @@ def distinct(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 # Rows between the steps. kind 0: documents (ids, sizes, keys); kind 1: shingles of a range.
-_ROW = "kind int, part int, ids binary, sizes binary, keys binary, low binary, high binary, text binary"
-_ROW_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("ids", "sizes", "keys", "low", "high", "text")]])
+_ROW = "kind int, part int, ids binary, sizes binary, keys binary, low binary, high binary, counts binary"
+_ROW_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("ids", "sizes", "keys", "low", "high", "counts")]])
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -83,7 +83,7 @@ def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _explode_texts(parts: int):
-    """Text batches -> packed rows: each document's size and key, and each range's shingles as 6-byte remainders."""
+    """Text batches -> packed rows: each document's size and key, and each range's shingles, text by text, as 5 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
@@ -104,7 +104,7 @@ def _explode_texts(parts: int):
             h, of = h[picked], names[of[picked]]
             key, size = key[keep], size[keep].astype(np.uint32)
             part = ((h >> U64(48)) * U64(parts) >> U64(16)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
+            order = np.lexsort((of, part))
             h, of, part = h[order], of[order], part[order]
             cut = np.searchsorted(part, np.arange(parts + 1))
             out = []
@@ -112,8 +112,9 @@ def _explode_texts(parts: int):
                 i, j = cut[p], cut[p + 1]
                 if i == j:
                     continue
-                used, local = np.unique(of[i:j], return_inverse=True)
-                out.append({"kind": 1, "part": p, "sizes": size[used].tobytes(), "keys": key[used].tobytes(), "low": (h[i:j] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes(), "high": ((h[i:j] >> U64(32)) & U64(0xFFFF)).astype(np.uint16).tobytes(), "text": local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()})
+                used, count = np.unique(of[i:j], return_counts=True)
+                low, high = h[i:j].astype(np.uint32), (h[i:j] >> U64(32)).astype(np.uint8)
+                out.append({"kind": 1, "part": p, "sizes": size[used].tobytes(), "keys": key[used].tobytes(), "low": low.tobytes(), "high": high.tobytes(), "counts": count.astype(np.uint32).tobytes()})
                 if len(out) >= 64:
                     yield _rows(out, _ROW_ARROW)
                     out = []
@@ -149,12 +150,10 @@ def _count_range(groups: int):
             if r["kind"] == 0:
                 out.append({"kind": 0, "ids": r["ids"], "sizes": r["sizes"], "keys": r["keys"]})
                 continue
-            low, high = np.frombuffer(r["low"], np.uint32), np.frombuffer(r["high"], np.uint16)
-            key, size = np.frombuffer(r["keys"], U64), np.frombuffer(r["sizes"], np.uint32)
-            of = np.frombuffer(r["text"], np.uint16 if len(r["text"]) == 2 * len(low) else np.uint32)
-            toks.append(low.astype(U64) | (high.astype(U64) << U64(32)) | (U64(r["part"]) << U64(48)))
-            keys.append(key[of])
-            sizes.append(size[of])
+            low, high, count = np.frombuffer(r["low"], np.uint32), np.frombuffer(r["high"], np.uint8), np.frombuffer(r["counts"], np.uint32)
+            toks.append(low.astype(U64) | (high.astype(U64) << U64(32)) | (U64(r["part"]) << U64(40)))
+            keys.append(np.repeat(np.frombuffer(r["keys"], U64), count))
+            sizes.append(np.repeat(np.frombuffer(r["sizes"], np.uint32), count))
         if toks:
             tok, key, size = np.concatenate(toks), np.concatenate(keys), np.concatenate(sizes)
             order = np.argsort(tok, kind="stable")
@@ -217,7 +216,7 @@ class Trie:
     """Sets in one order of shingles, stored as a tree of runs: what several sets begin with is held, and counted, once."""
 
     def __init__(self, sets: list[np.ndarray], sizes: np.ndarray):
-        order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
+        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u8").tobytes())
         self.runs: list[np.ndarray] = []
         self.below: list[list[int]] = []
         self.ends: list[list[int]] = []  # sets that end at a node
@@ -274,9 +273,9 @@ class Trie:
     def walk(self, tokens: np.ndarray, size: int, percent: int) -> list[int]:
         """All sets whose overlap with `tokens` (sorted by value) makes a link with a set of `size` shingles."""
         found = []
-        stack = [(x, 0, len(tokens)) for x in self.roots]
+        stack = [(x, 0) for x in self.roots]
         while stack:
-            node, overlap, _ = stack.pop()
+            node, overlap = stack.pop()
             if 100 * self.large[node] < percent * size or 100 * size < percent * self.small[node]:
                 continue
             # overlap >= percent / (100 + percent) * (size + other), other >= the larger of the smallest size below and percent % of size
@@ -288,7 +287,7 @@ class Trie:
             if overlap + min(self.rest[node], len(tokens) - overlap) < needed:
                 continue
             found += [i for i in self.ends[node] if (100 + percent) * overlap >= percent * (size + int(self.sizes[i]))]
-            stack += [(x, overlap, 0) for x in self.below[node]]
+            stack += [(x, overlap) for x in self.below[node]]
         return found
 
 
@@ -371,7 +370,7 @@ def _across(placed: DataFrame, links: DataFrame, percent: int, chunk: int, group
     outer = components(both, "block-components").withColumnRenamed("node", "key")
     named = placed.join(outer, "key", "left").withColumn("component", F.coalesce("component", "key"))
     main = named.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    outside = named.join(main, "block").filter("component <> main").select("key", "size", "tokens", "block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).cast("long").alias("chunk"), F.lit(True).alias("probe"))
+    outside = named.join(main, "block").filter("component <> main").select("key", "size", "tokens", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.lit(True).alias("probe"))
     inside = placed.select("key", "size", "tokens", "block", "chunk", F.lit(False).alias("probe"))
     mine = outside.select("key", "chunk").withColumn("again", F.lit(True))
     inside = inside.join(mine, ["key", "chunk"], "left").filter("again is null").drop("again")
