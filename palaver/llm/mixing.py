@@ -96,36 +96,31 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
 
     A node stands for a range of shards and holds the blocks of each source that go there. Its left half gets as many
     blocks as its share of shards (the remainder by rounding down), drawn source by source from what is left: a
-    multivariate hypergeometric draw. A row of the tree has one number per source; there are 2 * shards rows in all.
+    multivariate hypergeometric draw. A node has one number per source; there are 2 * shards - 1 nodes in all.
     """
     zero = F.lit(0).cast("long")
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct("mix_source", "quota"))).alias("s")).select(
-        F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.expr("transform(s, x -> x.mix_source)").alias("names"), F.expr("transform(s, x -> x.quota)").alias("left_")
-    )
-    while_splitting = shards
-    while while_splitting > 1:
-        total = F.aggregate("left_", zero, lambda a, x: a + x)
-        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-        node = node.withColumn("mid", mid).withColumn("all_", total)
-        node = node.withColumn("want", F.floor(F.col("all_") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo"))).cast("long"))
-
-        def draw(s: Column, i: Column) -> Column:
-            good = F.get("left_", i)
-            x = hypergeometric(s["all_"], good, s["want"], _uniform(F.lit(seed), F.col("lo"), F.col("hi"), i))
-            return _let(x, lambda x: F.struct((s["all_"] - good).alias("all_"), (s["want"] - x).alias("want"), F.concat(s["out"], F.array(x)).alias("out")))
-
-        begin = F.struct(F.col("all_"), F.col("want"), F.array().cast("array<bigint>").alias("out"))
-        goes = F.aggregate(F.sequence(F.lit(0), F.size("left_") - 1), begin, draw, lambda s: s["out"])
-        node = node.withColumn("goes", F.when((F.col("hi") - F.col("lo") > 1) & (F.size("left_") > 0), goes))
-        halves = F.when(
-            F.col("goes").isNotNull(),
-            F.array(
-                F.struct("lo", F.col("mid").alias("hi"), F.col("goes").alias("left_")),
-                F.struct(F.col("mid").alias("lo"), "hi", F.zip_with("left_", "goes", lambda a, b: a - b).alias("left_")),
-            ),
-        ).otherwise(F.array(F.struct("lo", "hi", "left_")))
-        node = node.select("names", F.inline(halves)).select("lo", "hi", "names", "left_")
-        while_splitting = -(-while_splitting // 2)
+    named = quotas.agg(F.array_sort(F.collect_list(F.struct("mix_source", "quota"))).alias("s"))
+    node = lambda lo, hi, left: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"), left.alias("left_"))
+
+    def draw(n: Column, want: Column) -> Column:
+        """Blocks of each source that go to the left half, one source after the other."""
+
+        def one(s: Column, good: Column) -> Column:
+            u = _uniform(F.lit(seed), n["lo"], n["hi"], F.size(s["out"]))
+            return _let(hypergeometric(s["all_"], good, s["want"], u), lambda x: F.struct((s["all_"] - good).alias("all_"), (s["want"] - x).alias("want"), F.concat(s["out"], F.array(x)).alias("out")))
+
+        begin = F.struct(F.aggregate(n["left_"], zero, lambda a, x: a + x).alias("all_"), want.alias("want"), F.array().cast("array<bigint>").alias("out"))
+        return F.aggregate(n["left_"], begin, one, lambda s: s["out"])
+
+    def split(nodes: Column, n: Column) -> Column:
+        mid = F.floor((n["lo"] + n["hi"]) / 2)
+        want = F.floor(F.aggregate(n["left_"], zero, lambda a, x: a + x) * (mid - n["lo"]) / (n["hi"] - n["lo"])).cast("long")
+        return _let(draw(n, want), lambda g: F.concat(nodes, F.array(node(n["lo"], mid, g), node(mid, n["hi"], F.zip_with(n["left_"], g, lambda a, b: a - b)))))
+
+    # Nodes in order of their level: each that stands for several shards adds its halves at the end.
+    root = F.array(node(F.lit(0), F.lit(shards), F.transform("s", lambda x: x["quota"])))
+    grown = F.aggregate(F.sequence(F.lit(0), F.lit(2 * shards - 2)), root, lambda nodes, i: _let(F.get(nodes, i), lambda n: F.when(n["hi"] - n["lo"] > 1, split(nodes, n)).otherwise(nodes)))
+    node = named.select(F.expr("transform(s, x -> x.mix_source)").alias("names"), F.inline(F.filter(grown, lambda n: n["hi"] - n["lo"] == 1)))
     cells = node.select(F.col("lo").alias("shard"), F.inline(F.arrays_zip(F.col("names").alias("mix_source"), F.col("left_").alias("blocks"))))
     run = W.partitionBy("mix_source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
     return cells.withColumn("first", F.coalesce(F.sum("blocks").over(run), zero))
@@ -143,7 +138,7 @@ def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MO
 
     From the sums of blocks on, everything is sources x BLOCKS x passes rows, whatever the corpus; one task plans it.
     """
-    held = rows.groupBy("mix_source", "mix_block").agg(F.sum("mix_size").alias("words")).repartition(1)
+    held = stash(rows.groupBy("mix_source", "mix_block").agg(F.sum("mix_size").alias("words")), "mix-blocks").coalesce(1)
     aims = targets(held.groupBy("mix_source").agg(F.sum("words").alias("source_size")), weights, most)
     epochs = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int") - 1, F.lit(0)))
     units = held.join(aims, "mix_source").withColumn("epoch", F.explode(epochs))
