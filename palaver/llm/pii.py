@@ -25,6 +25,10 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The same spans as the pattern of `ip`, from the first digit of a run only, so that long runs are read once.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A document must show one of these for its kind to be looked for at all.
 _HINTS = {"email": re.compile("@"), "ip": re.compile(r"[0-9]\.[0-9]+\.[0-9]"), "card": re.compile(r"[0-9]([\x20-]?[0-9]){11}"), "phone": re.compile(r"\+[0-9]")}
 #: Look-alikes of ASCII letters and digits; full-width forms follow by rule.
@@ -38,12 +42,15 @@ INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 _ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "]")
 _DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
-#: At least three in a row, with digits in between or not; fewer are ordinary prose.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGIT_WORD}|[0-9]+)(?:[\x20.-]?[\x20]?(?:{_DIGIT_WORD}|[0-9]+|dot|plus)(?![A-Za-z])){{2,}}(?![A-Za-z0-9])", re.I)
+#: Digits and digit words in a row. Runs of digits are taken whole: taken apart, their ways grow as powers of two.
+_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGIT_WORD}|[0-9]++)(?:(?:[.-]\x20?|\x20{{1,2}})?(?:{_DIGIT_WORD}|[0-9]++|dot|plus)(?![A-Za-z]))+(?![A-Za-z0-9])", re.I)
+#: A row has at least LEAST_SPELLED of these; fewer are ordinary prose.
+_ELEMENT = re.compile(rf"{_DIGIT_WORD}|[0-9]|dot|plus", re.I)
+LEAST_SPELLED = 3
 _WORD = re.compile(rf"{_DIGIT_WORD}(?![A-Za-z])", re.I)
 _BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?", re.I)
 #: Bare words count only in the whole form `name at host dot ending`.
-_BARE = re.compile(r"[A-Za-z0-9._%+-]+(\x20at\x20|@|\x20@\x20)[A-Za-z0-9-]+((?:\x20dot\x20|\.|\x20\.\x20)[A-Za-z0-9-]+)+", re.I)
+_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\x20at\x20|@|\x20@\x20)[A-Za-z0-9-]+((?:\x20dot\x20|\.|\x20\.\x20)[A-Za-z0-9-]+)+", re.I)
 _BARE_SIGN = re.compile(r"\x20(at|dot|@|\.)\x20", re.I)
 _DISGUISED = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20|\x20@\x20|(?<![a-z])(?:" + "|".join(SPELLED) + r")(?![a-z])", re.I)
 
@@ -58,19 +65,38 @@ def luhn(digits: str) -> bool:
 def holds(kind: str, found: str) -> bool:
     """Whether a match of a kind's pattern is one."""
     if kind == "ip":
-        return all(int(x) <= 255 for x in found.split("."))
+        return all(len(x) < 4 and int(x or 0) <= 255 for x in (y.lstrip("0") for y in found.split(".")))
     if kind == "email":
         return True
     digits = "".join(c for c in found if c.isdigit())
     return 9 <= len(digits) <= 15 if kind == "phone" else 12 <= len(digits) <= 19 and luhn(digits)
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """The spans of the pattern of `email`, each found from its @, so that long words are read once."""
+    at = 0
+    for sign in re.finditer("@", text):
+        j = i = sign.start()
+        while i > at and text[i - 1] in _LOCAL:
+            i -= 1
+        if i < j and (domain := _DOMAIN.match(text, j)):
+            at = domain.end()
+            yield i, at
+
+
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of a kind's pattern that don't overlap."""
+    if kind == "email":
+        return _emails(text)
+    return (m.span() for m in (_IP if kind == "ip" else PATTERNS[kind]).finditer(text))
+
+
 def plain_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of plain identifiers, in code points, leftmost and not overlapping within a kind."""
     out = []
     for kind in KINDS:
         if _HINTS[kind].search(text):
-            out += [(m.start(), m.end(), kind) for m in PATTERNS[kind].finditer(text) if holds(kind, m[0])]
+            out += [(a, b, kind) for a, b in _matches(kind, text) if holds(kind, text[a:b])]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
@@ -112,6 +138,8 @@ def _to_signs(t: Tape) -> None:
 def _to_digits(t: Tape) -> None:
     edits = []
     for run in _SPELLED.finditer(t.text):
+        if len(_ELEMENT.findall(run[0])) < LEAST_SPELLED:
+            continue
         words = list(_WORD.finditer(t.text, run.start(), run.end()))
         for k, m in enumerate(words):
             start = m.start()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -347,6 +348,22 @@ def test_plain_spans_stay_and_redaction_takes_effect(spark, edge, clashing):
     assert out.columns == df.columns and sorted("-" if r["text"] is None else r["text"] for r in out.collect()) == ["", "-", "<email> and <email>", "<email> and <email>"]
 
 
+@pytest.mark.parametrize("letters", ["1.@a", "12. -+a", "a@.-_9", "+1 ()4", "0.2 5"])
+def test_plain_spans_are_those_of_the_patterns(letters):
+    rng = random.Random(letters)
+    for _ in range(4000):
+        text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 30)))
+        want = [(m.start(), m.end(), k) for k, p in pii.PATTERNS.items() for m in p.finditer(text) if pii.holds(k, m[0])]
+        assert pii.plain_spans(text) == sorted(want, key=lambda s: (s[0], pii.KINDS.index(s[2]))), text
+
+
+@pytest.mark.parametrize("text", ["one " + "1" * 60 + "abc", "one dot " + "x" * 200_000, "1.2.3 " + "9" * 200_000, "1.2.3." + "9" * 5000, "a@b.c " + "x" * 200_000, "+1" + " (" * 100_000, "@" * 100_000, "one " * 50_000, "1 " * 100_000 + "a one"])
+def test_long_runs_are_read_once(text):
+    began = time.process_time()
+    pii.find(text)
+    assert time.process_time() - began < 5
+
+
 def test_tapes_map_back():
     t = pii.Tape("abcdef")
     t.rewrite([(1, 3, "X"), (4, 5, "")])
