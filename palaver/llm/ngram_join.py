@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import U64, blocks, buffers, mix, small_batches, stash, table, word_hashes
@@ -297,16 +297,16 @@ def _member(run: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return tokens[at] == run
 
 
-def join_sets(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect whatever sets are connected, at most one fewer than sets; `probe`: only links with one of these."""
+def join_sets(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that connect whatever sets are connected, at most one fewer than sets."""
     n = len(sets)
     trie = Trie(sets, sizes)
     head, members = list(range(n)), {i: [i] for i in range(n)}
     links = []
-    todo = set(np.flatnonzero(probe).tolist()) if probe is not None else set(range(n))
+    todo = set(range(n))
     main = 0
     while todo and len(members) > 1:
-        i = next((x for x in todo if probe is not None or head[x] != main), None)
+        i = next((x for x in todo if head[x] != main), None)
         if i is None:
             break  # what is left is joined with the largest component; its links to others were found from the other end
         todo.discard(i)
@@ -324,6 +324,30 @@ def join_sets(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], perce
     return links
 
 
+def join_pair(keys: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray], component: np.ndarray, probe: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links of the probes with the other sets, which alone are in the trie, as far as they join components."""
+    inner = np.flatnonzero(~probe)
+    trie = Trie([sets[i] for i in inner], sizes[inner])
+    one, of = np.unique(component, return_inverse=True)
+    head = list(range(len(one)))
+
+    def find(x: int) -> int:
+        while head[x] != x:
+            head[x] = x = head[head[x]]
+        return x
+
+    links = []
+    for i in np.flatnonzero(probe):
+        if len(links) == len(one) - 1:
+            break
+        for j in inner[trie.walk(np.sort(sets[i]), int(sizes[i]), percent)]:
+            a, b = find(int(of[i])), find(int(of[j]))
+            if a != b:
+                head[a] = b
+                links.append((int(keys[i]), int(keys[j])))
+    return links
+
+
 _LINK = "u long, v long"
 _LINK_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
@@ -332,49 +356,94 @@ def _join_blocks(percent: int):
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("block", "ascending"), ("chunk", "ascending"), ("key", "ascending")])
         block, chunk, key, size = (t[c].to_numpy() for c in ("block", "chunk", "key", "size"))
-        probe, tokens = t["probe"].to_numpy(zero_copy_only=False).astype(bool), t["tokens"].to_pylist()
+        tokens = t["tokens"].to_pylist()
         cut = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (chunk[1:] != chunk[:-1]), True])
         out: list[tuple[int, int]] = []
         for i, j in zip(cut[:-1], cut[1:], strict=True):
             if j - i > 1:
-                out += join_sets(key[i:j], size[i:j], [np.frombuffer(x, U64) for x in tokens[i:j]], percent, probe[i:j] if not probe[i:j].all() else None)
+                out += join_sets(key[i:j], size[i:j], [np.frombuffer(x, U64) for x in tokens[i:j]], percent)
+        return pa.Table.from_pydict({"u": [a for a, _ in out], "v": [b for _, b in out]}, schema=_LINK_ARROW)
+
+    return run
+
+
+def _join_pairs(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("key", "ascending"), ("probe", "ascending")])
+        key, size, component = (t[c].to_numpy() for c in ("key", "size", "component"))
+        probe = t["probe"].to_numpy(zero_copy_only=False).astype(bool)
+        out = join_pair(key, size, [np.frombuffer(x, U64) for x in t["tokens"].to_pylist()], component, probe, percent)
         return pa.Table.from_pydict({"u": [a for a, _ in out], "v": [b for _, b in out]}, schema=_LINK_ARROW)
 
     return run
 
 
 def _joined(sets: DataFrame, percent: int, groups: int) -> DataFrame:
-    """sets (key, size, tokens, block, chunk, probe) -> links found within each (block, chunk)."""
+    """sets (key, size, tokens, block, chunk) -> links found within each (block, chunk)."""
     packed = sets.withColumn("task", F.pmod(F.xxhash64("block", "chunk"), F.lit(groups)).cast("int"))
     return packed.groupBy("task").applyInArrow(_join_blocks(percent), _LINK)
 
 
-def _across(placed: DataFrame, links: DataFrame, percent: int, chunk: int, groups: int) -> DataFrame:
-    """Links between the chunks of large blocks.
+def _named(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, block, chunk, component) of the sets of large blocks, as far as they are linked."""
+    found = components(links, "block-components").withColumnRenamed("node", "key")
+    named = placed.select("key", "block", "chunk").join(found, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    return stash(named, "block-names")
+
+
+def _largest(named: DataFrame, *by: str) -> DataFrame:
+    return named.groupBy(*by, "component").count().groupBy(*by).agg(F.max_by("component", F.struct("count", "component")).alias("component"))
+
+
+def _pieces(n: str, chunk: int):
+    return F.ceil(F.col(n) / chunk).cast("long")
+
+
+def _pairs(placed: DataFrame, prefixes: DataFrame, named: DataFrame, chunk: int) -> DataFrame:
+    """What may still be linked, as (key, size, tokens, block, component, chunk, other, probe).
+
+    Two linked sets share a shingle of their prefixes, so a missing link has one that several components hold, and only
+    sets with such a shingle are open. One end of the link is outside the main component: the open sets outside it are
+    dealt out to chunks of probes, all open sets to chunks of a trie, and every two of these chunks make a pair.
+    """
+    token = prefixes.join(named.select("key", "component"), "key")
+    spans = token.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("token")
+    open_ = named.join(token.join(spans, "token", "left_semi").select("key").distinct(), "key", "left_semi")
+    main = _largest(named, "block").withColumnRenamed("component", "main")
+    open_ = stash(open_.join(main, "block").select("key", "block", "component", (F.col("component") != F.col("main")).alias("outside")), "open-sets")
+    held = open_.groupBy("block").agg(F.count("*").alias("n"), F.count_if("outside").alias("m")).select("block", _pieces("n", chunk).alias("tries"), _pieces("m", chunk).alias("probes")).filter("probes > 0")
+    sets = open_.join(held, "block").join(placed.select("key", "size", "tokens"), "key")
+
+    def dealt(df: DataFrame, own: str, own_n: str, other: str, other_n: str, probe: bool) -> DataFrame:
+        mine = F.pmod(F.xxhash64("key", F.lit(own)), F.col(own_n)).alias(own)
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col(other_n) - 1)).alias(other)
+        return df.select("key", "size", "tokens", "block", "component", mine, every, F.lit(probe).alias("probe"))
+
+    return dealt(sets.filter("outside"), "other", "probes", "chunk", "tries", True).unionByName(dealt(sets, "chunk", "tries", "other", "probes", False))
+
+
+def _across(placed: DataFrame, prefixes: DataFrame, links: DataFrame, percent: int, chunk: int, groups: int) -> DataFrame:
+    """Links between the chunks of large blocks, besides those given.
 
-    Chunk-wise joins leave one large component in each chunk. A few members of each are joined first, which makes one
-    main component of the block. A link that is still missing has an end outside it, so only those sets are compared
-    with every chunk of their block.
+    Chunk-wise joins leave one large component in each chunk. A few members of each are joined, then a few of the
+    largest component of every `few` chunks, of every `few` times `few`, and so on up to the whole block, so that what
+    is well connected becomes one main component of the block. Links that are still missing are found in pairs of chunks.
     """
-    inner = components(links, "chunk-components").withColumnRenamed("node", "key")
-    named = placed.join(inner, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    sizes = named.groupBy("block", "chunk", "component").count()
-    first = sizes.groupBy("block", "chunk").agg(F.max_by("component", F.struct("count", "component")).alias("component"))
-    few = max(1, chunk // 64)
-    chosen = named.join(first, ["block", "chunk", "component"]).filter(F.pmod(F.xxhash64("key", F.lit("few")), F.lit(64)) == 0)
-    least = named.join(first, ["block", "chunk", "component"]).groupBy("block", "chunk").agg(F.min("key").alias("key"))
-    few_sets = chosen.select("key").union(least.select("key")).distinct().join(placed, "key")
-    few_sets = few_sets.withColumn("chunk", F.floor(F.col("chunk") / few)).withColumn("probe", F.lit(True))
-    between = _joined(few_sets.select("key", "size", "tokens", "block", "chunk", "probe"), percent, groups)
-    both = stash(links.union(between), "links")
-    outer = components(both, "block-components").withColumnRenamed("node", "key")
-    named = placed.join(outer, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    main = named.groupBy("block", "component").count().groupBy("block").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-    outside = named.join(main, "block").filter("component <> main").select("key", "size", "tokens", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("chunk"), F.lit(True).alias("probe"))
-    inside = placed.select("key", "size", "tokens", "block", "chunk", F.lit(False).alias("probe"))
-    mine = outside.select("key", "chunk").withColumn("again", F.lit(True))
-    inside = inside.join(mine, ["key", "chunk"], "left").filter("again is null").drop("again")
-    return both.union(_joined(outside.unionByName(inside), percent, groups))
+    few = max(2, chunk // 64)
+    keep = max(1, chunk // few)
+    links = stash(links.join(placed.select(F.col("key").alias("u")), "u", "left_semi"), "links")
+    named = _named(placed, links)
+    width, most = 1, placed.agg(F.max("chunks")).first()[0]
+    while width < most:
+        parts = named.withColumn("part", F.floor(F.col("chunk") / width))
+        order = Window.partitionBy("block", "part").orderBy(F.xxhash64("key", F.lit("few")), "key")
+        chosen = parts.join(_largest(parts, "block", "part"), ["block", "part", "component"]).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
+        width *= few
+        sample = chosen.select("key").join(placed, "key").select("key", "size", "tokens", "block", F.floor(F.col("chunk") / width).alias("chunk"))
+        links = stash(links.union(_joined(sample, percent, groups)), "links")
+        named = _named(placed, links)
+    last = _pairs(placed, prefixes, named, chunk).groupBy("block", "chunk", "other").applyInArrow(_join_pairs(percent), _LINK)
+    return links.union(last)
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
@@ -401,9 +470,9 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     held = block.groupBy("component").agg(F.count("*").alias("n")).select(F.col("component"), F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     placed = sets.drop("prefix").join(block.withColumnRenamed("node", "key"), "key").join(held, "component").withColumnRenamed("component", "block")
     placed = stash(placed.withColumn("chunk", F.pmod(F.xxhash64("key"), "chunks").cast("long")), "shingle-blocks")
-    links = stash(_joined(placed.select("key", "size", "tokens", "block", "chunk", F.lit(True).alias("probe")), percent, parts), "links")
+    links = stash(_joined(placed.select("key", "size", "tokens", "block", "chunk"), percent, parts), "links")
     if not placed.filter("chunks > 1").isEmpty():
-        links = stash(_across(placed.filter("chunks > 1"), links, percent, chunk, parts).unionByName(links), "links")
+        links = stash(_across(placed.filter("chunks > 1"), one, links, percent, chunk, parts).unionByName(links), "links")
     joined = components(links, "near-duplicates").withColumnRenamed("node", "set_key")
 
     ids = counted.filter("kind = 0").select("ids", "sizes", "keys").mapInArrow(_unpack, "id long, n_shingles long, set_key long")

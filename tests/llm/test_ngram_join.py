@@ -68,6 +68,53 @@ def test_blocks_larger_than_a_chunk(spark, chunk):
     assert result(spark.createDataFrame(rows, KIND), chunk=chunk) == brute(rows)
 
 
+def test_tries_of_a_large_block_stay_small(spark, tmp_path, monkeypatch):
+    """20 chunks: one connected group, a second one and single texts, in one block by a passage that some of each hold."""
+    rng, chunk, rows = random.Random(9), 128, []
+    passage = prose(rng, 6)
+    for first, copies in ((0, 2100), (5000, 300), *((9000 + i, 1) for i in range(30))):
+        base = [f"b{first}w{i}" for i in range(100)]
+        for k in range(copies):
+            w = list(base)
+            w[rng.randrange(100)] = f"k{k}"
+            rows.append((first + k, " ".join([*w, passage] if k < 10 else w), None, None, 0))
+    log = str(tmp_path / "tries")
+
+    def watched(made):
+        def outer(percent):
+            run = made(percent)
+
+            def inner(t):
+                from palaver.llm import ngram_join as W
+
+                held = W.Trie
+
+                class Noted(held):
+                    def __init__(self, sets, sizes):
+                        with open(log, "a") as f:
+                            f.write(f"{len(sets)}\n")
+                        super().__init__(sets, sizes)
+
+                W.Trie = Noted
+                try:
+                    return run(t)
+                finally:
+                    W.Trie = held
+
+            return inner
+
+        return outer
+
+    for name in ("_join_blocks", "_join_pairs"):
+        if hasattr(J, name):
+            monkeypatch.setattr(J, name, watched(getattr(J, name)))
+    got = {r[0]: r[2] for r in result(spark.createDataFrame(rows, KIND), chunk=chunk)}
+    assert got == {r[0]: 0 if r[0] < 5000 else 5000 if r[0] < 9000 else r[0] for r in rows}
+    with open(log) as f:
+        tries = [int(x) for x in f]
+    assert len(tries) > 20 and max(tries) < 1.5 * chunk
+
+
 def test_trie_walk_finds_every_link():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 60, 400).astype(np.uint64)
