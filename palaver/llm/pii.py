@@ -49,10 +49,21 @@ _ELEMENT = re.compile(rf"{_DIGIT_WORD}|[0-9]|dot|plus", re.I)
 LEAST_SPELLED = 3
 _WORD = re.compile(rf"{_DIGIT_WORD}(?![A-Za-z])", re.I)
 _BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?", re.I)
-#: Bare words count only in the whole form `name at host dot ending`.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(\x20at\x20|@|\x20@\x20)[A-Za-z0-9-]+((?:\x20dot\x20|\.|\x20\.\x20)[A-Za-z0-9-]+)+", re.I)
+#: A spelled plus before a digit, spelled or not.
+_PLUS = re.compile(rf"(?<![A-Za-z0-9])plus\x20{{0,2}}(?={_DIGIT_WORD}(?![A-Za-z])|[0-9])", re.I)
+_DOT = r"(?:\x20dot\x20|\.|\x20\.\x20)"
+#: Bare words count only in the whole form `name at host dot ending`; after `at` the ending is a top-level label of letters.
+_BARE = re.compile(
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:"
+    rf"\x20at\x20[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*{_DOT}(?:[A-Za-z]{{2,}}|xn--[A-Za-z0-9-]+)(?![A-Za-z0-9-])"
+    rf"|(?:@|\x20@\x20)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)",
+    re.I,
+)
 _BARE_SIGN = re.compile(r"\x20(at|dot|@|\.)\x20", re.I)
-_DISGUISED = re.compile(r"[\[({<]\x20?(?:at|dot|@|\.)\x20?[\])}>]|\x20dot\x20|\x20@\x20|(?<![a-z])(?:" + "|".join(SPELLED) + r")(?![a-z])", re.I)
+#: What every rewriting of ASCII text needs: a sign in brackets, a bare sign, an `at` before a host, a spelled digit or plus.
+_DISGUISED = re.compile(
+    rf"[\[({{<]\x20?(?:at|dot|@|\.)\x20?[\])}}>]|\x20(?:dot|@|\.)\x20|\x20at\x20[A-Za-z0-9-]++{_DOT}|(?<![a-z]){_DIGIT_WORD}{{1,2}}(?![a-z])|{_PLUS.pattern}", re.I
+)
 
 
 def luhn(digits: str) -> bool:
@@ -136,6 +147,7 @@ def _to_signs(t: Tape) -> None:
 
 
 def _to_digits(t: Tape) -> None:
+    t.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(t.text)])
     edits = []
     for run in _SPELLED.finditer(t.text):
         if len(_ELEMENT.findall(run[0])) < LEAST_SPELLED:

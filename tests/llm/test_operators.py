@@ -338,6 +338,38 @@ def test_spans_in_source_characters(text, spans):
     assert pii.joined(pii.find(text)[1]) == spans
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("jane at example.com", "email:0:19"),
+        ("write to Jane.Doe AT mail dot example.org now", "email:9:41"),
+        ("jane at xn--bcher-kva.xn--p1ai", "email:0:30"),
+        ("jane@example . org", "email:0:18"),
+        ("jane @ example.org", "email:0:18"),
+        ("plus four nine three zero one two three four five six", "phone:0:53"),
+        ("call plus 49 30 123456 today", "phone:5:22"),
+        ("start at 3.30", ""),
+        ("open at 10.30 am and one at 11.15", ""),
+        ("plus 3 more", ""),
+    ],
+)
+def test_each_disguise_alone_and_beside_others(text, spans):
+    assert pii.joined(pii.find(text)[1]) == spans
+    assert pii.joined(pii.find(text + " \u2013 two")[1]) == spans
+
+
+def test_the_gate_drops_nothing(monkeypatch):
+    """Whatever is found with the gate open is found with it."""
+    rng = random.Random(4)
+    parts = ["jane", "example", "com", " at ", " dot ", ".", " . ", "@", " @ ", "[at]", "( dot )", " ", "plus ", "Plus", "four", "Nine", "one", "1", "30", "555", "-", "phone"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(3, 24))) for _ in range(20000)]
+    texts += [rng.choice(["", "plus "]) + rng.choice(["", " ", "-"]).join(rng.choice([*pii.SPELLED, "7", "12"]) for _ in range(12)) for _ in range(2000)]
+    got = [pii.find(t)[1] for t in texts]
+    monkeypatch.setattr(pii, "_DISGUISED", pii.re.compile(""))
+    want = [pii.find(t)[1] for t in texts]
+    assert [x for x in zip(texts, got, want, strict=True) if x[1] != x[2]] == [] and sum(map(bool, want)) > 500
+
+
 def test_plain_spans_stay_and_redaction_takes_effect(spark, edge, clashing):
     rows = [(1, "a@b.co and c [at] d [dot] org", None, None, 0), (2, None, None, None, 0), (3, "", None, None, 0), (1, "a@b.co and c [at] d [dot] org", None, None, 0)]
     df = clashing(spark.createDataFrame(rows, KIND))
