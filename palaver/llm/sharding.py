@@ -1,25 +1,67 @@
 """Uniform sharding with exact shard sizes by a hypergeometric communication matrix.
 
-Rows fall into P parts by a keyed hash. A matrix says how many rows of each part go to each shard; drawn part by part
-from the shards' free places it is multivariate hypergeometric, as in a uniform shuffle of all rows. Each part deals a
-random permutation of its rows out by its line of the matrix, rows are exchanged, and each shard is permuted again.
+Rows fall into parts by a keyed hash. A matrix says how many rows of each part go to each shard; drawn part by part
+from the shards' free places it is multivariate hypergeometric, as in a uniform shuffle of all rows. Parts form areas:
+the driver draws the lines of at most AREAS areas, and each area's line is drawn on for its own parts in a task, which
+is the same law. Each part deals a random permutation of its rows out by its line of the matrix, rows are exchanged,
+and each shard is permuted again.
 """
 
 from __future__ import annotations
 
+from math import sqrt
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import table
+from .common import stash, table
 
 SHARDS = 24
-#: Rows that a part holds on average, and the most parts: the matrix has MOST_PARTS x shards numbers at most.
+#: Rows that a part holds on average, and parts of an area. The driver holds one line of the matrix for each of AREAS areas.
 PART_ROWS = 4096
-MOST_PARTS = 1 << 16
+AREAS = 1024
 SEED = 4_021
+#: numpy draws from populations below this.
+LARGE = 10**9
+
+
+def draw(rng: np.random.Generator, good: int, bad: int, wanted: int) -> int:
+    """How many of `good` are among `wanted` out of good + bad, of any size: an exact hypergeometric draw.
+
+    Large populations are drawn from the mode outwards; the values left out, 16 deviations away, have no weight in doubles.
+    """
+    if not wanted or not good:
+        return 0
+    if not bad:
+        return wanted
+    if good < LARGE and bad < LARGE:
+        return int(rng.hypergeometric(good, bad, wanted))
+    lo, hi, n = max(0, wanted - bad), min(good, wanted), good + bad
+    mode = min(hi, max(lo, (wanted + 1) * (good + 1) // (n + 2)))
+    reach = int(16 * sqrt(wanted * (good / n) * (bad / n) * (n - wanted) / max(1, n - 1))) + 64
+    up = np.arange(mode, min(hi, mode + reach), dtype=float)
+    down = np.arange(mode, max(lo, mode - reach), -1, dtype=float)
+    above = np.cumprod((good - up) * (wanted - up) / ((up + 1) * (bad - wanted + up + 1)))
+    below = np.cumprod(down * (bad - wanted + down) / ((good - down + 1) * (wanted - down + 1)))
+    upto = np.cumsum(np.concatenate([below[::-1], [1.0], above]))
+    return mode - len(below) + min(int(np.searchsorted(upto, rng.random() * upto[-1], "right")), len(upto) - 1)
+
+
+def deal(counts: dict[int, int], free: np.ndarray, seed: list[int]) -> dict[int, list[int]]:
+    """Rows that each part sends to each shard, from the shards' free places, which all the counts fill."""
+    free, out = np.array(free, np.int64), {}
+    for part in sorted(counts):
+        rng, wanted, left, line = np.random.default_rng([*seed, part]), counts[part], int(free.sum()), []
+        for places in free.tolist():
+            left -= places
+            line.append(draw(rng, places, left, wanted))
+            wanted -= line[-1]
+        free -= line
+        out[part] = line
+    return out
 
 
 def communication_matrix(counts: dict[int, int], shards: int, seed: int) -> dict[int, list[int]]:
@@ -27,18 +69,22 @@ def communication_matrix(counts: dict[int, int], shards: int, seed: int) -> dict
     total = sum(counts.values())
     free = np.full(shards, total // shards, np.int64)
     free[: total % shards] += 1
-    out = {}
-    for part in sorted(counts):
-        rng, wanted, left = np.random.default_rng([seed, part]), counts[part], int(free.sum())
-        line = []
-        for j in range(shards):
-            rest = left - int(free[j])
-            x = int(rng.hypergeometric(int(free[j]), rest, wanted)) if wanted and free[j] and rest else min(wanted, int(free[j]))
-            line.append(x)
-            wanted, left = wanted - x, rest
-        free -= line
-        out[part] = line
-    return out
+    return deal(counts, free, [seed])
+
+
+_LINE = "_s_part long, _s_upto array<long>"
+_LINE_ARROW = pa.schema([("_s_part", pa.int64()), ("_s_upto", pa.list_(pa.int64()))])
+
+
+def _lines(matrix: dict[int, list[int]], seed: int):
+    """An area's parts and their counts -> how many rows of each part go to each shard or one before it."""
+
+    def run(t: pa.Table) -> pa.Table:
+        area = t["area"][0].as_py()
+        lines = deal(dict(zip(t["_s_part"].to_pylist(), t["n"].to_pylist(), strict=True)), matrix[area], [seed, area])
+        return pa.Table.from_pydict({"_s_part": list(lines), "_s_upto": [np.cumsum(x).tolist() for x in lines.values()]}, schema=_LINE_ARROW)
+
+    return run
 
 
 def shard_rows(df: DataFrame, keys: list[str], *, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -46,17 +92,19 @@ def shard_rows(df: DataFrame, keys: list[str], *, shards: int = SHARDS, seed: in
 
     The order of rows comes from a hash of `keys` alone, so reruns agree; rows that agree in all keys get neighbouring
     places in any order. Nulls in keys count as a value. Empty input gives no rows. Columns of df named shard or slot
-    are replaced, those beginning with _s_ are reserved.
+    are replaced; those beginning with _s_ are refused, as that is where it keeps its own.
     """
+    if taken := [c for c in df.columns if c.startswith("_s_")]:
+        raise ValueError(f"columns that begin with _s_ are reserved: {taken}")
     df = df.drop("shard", "slot")
     hashed = lambda what: F.xxhash64(F.lit(seed), F.lit(what), *keys)
     n = df.count()
-    parts = min(MOST_PARTS, max(1, -(-n // PART_ROWS)))
-    placed = df.withColumn("_s_part", F.pmod(hashed("part"), F.lit(parts)).cast("int"))
-    counts = {r[0]: r[1] for r in placed.groupBy("_s_part").count().collect()}  # MOST_PARTS rows at most
-    matrix = communication_matrix(counts, shards, seed)
-    kind = T.StructType([T.StructField("_s_part", T.IntegerType()), T.StructField("_s_upto", T.ArrayType(T.LongType()))])
-    lines = df.sparkSession.createDataFrame([(p, np.cumsum(x).tolist()) for p, x in matrix.items()], kind)
+    parts = max(1, -(-n // PART_ROWS))
+    area = F.pmod("_s_part", F.lit(AREAS)).cast("int").alias("area")
+    placed = df.withColumn("_s_part", F.pmod(hashed("part"), F.lit(parts)))
+    counts = stash(placed.groupBy("_s_part").agg(F.count("*").alias("n")).select("_s_part", "n", area), "shard-parts")
+    areas = {r[0]: r[1] for r in counts.groupBy("area").agg(F.sum("n")).collect()}  # AREAS rows at most
+    lines = counts.groupBy("area").applyInArrow(_lines(communication_matrix(areas, shards, seed), seed), _LINE)
     first = W.partitionBy("_s_part").orderBy(hashed("first"), *keys)
     dealt = placed.withColumn("_s_place", F.row_number().over(first)).join(lines, "_s_part")
     dealt = dealt.withColumn("shard", F.size(F.filter("_s_upto", lambda x: x < F.col("_s_place"))).cast("int"))
