@@ -72,13 +72,17 @@ _POWERS: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers 0 to n of an odd base and of its inverse, modulo 2 ** 64."""
-    if len(_POWERS[0]) <= n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            out = np.full(n + 1, base, U64)
-            out[0] = 1
-            _POWERS[k] = np.multiply.accumulate(out)
-    return _POWERS[0], _POWERS[1]
+    """The powers 0 to n of an odd base and of its inverse, modulo 2 ** 64; kept for the next call up to 2 * BLOCK."""
+    if len(_POWERS[0]) > n:
+        return _POWERS[0], _POWERS[1]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        out = np.full(n + 1, base, U64)
+        out[0] = 1
+        made.append(np.multiply.accumulate(out))
+    if n <= 2 * BLOCK:
+        _POWERS[:] = made
+    return made[0], made[1]
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -87,11 +91,43 @@ _BREAK = np.zeros(256, bool)
 _BREAK[[32, 9, 10, 11, 12, 13]] = True
 
 
+def _long_word(data: np.ndarray, lower: bool) -> np.ndarray:
+    """The hash of one word of many bytes, BLOCK of them at a time."""
+    total, ahead, power = 0, 1, powers(BLOCK)[0]
+    for i in range(0, len(data), BLOCK):
+        piece = data[i : i + BLOCK]
+        total += ahead * int((((_LOWER[piece] if lower else piece).astype(U64) + U64(1)) * power[: len(piece)]).sum())
+        ahead = ahead * pow(_BASE, BLOCK, 1 << 64) % (1 << 64)
+    return mix(np.array([(total + len(data) * 0xD6E8FEB86659FD93) % (1 << 64)], U64))
+
+
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words `[^\\x20\\x09-\\x0D]+` of texts that lie end to end in data: a 64-bit hash of each, its text, first byte and end."""
+    """Words `[^\\x20\\x09-\\x0D]+` of texts that lie end to end in data: a 64-bit hash of each, its text, first byte and end.
+
+    A text of more than 2 * BLOCK bytes that stands alone is read about BLOCK at a time, cut between words.
+    """
     data = data[at[0] : at[-1]]
     at = at - at[0]
     n = len(data)
+    if len(at) == 2 and n > 2 * BLOCK:
+        parts, i = [], 0
+        while i < n:
+            j = min(n, i + BLOCK)
+            while j < n and not _BREAK[data[j]]:
+                near = np.flatnonzero(_BREAK[data[j : j + BLOCK]])
+                j = min(n, j + (int(near[0]) if len(near) else BLOCK))
+            piece = data[i:j]
+            if j - i > 2 * BLOCK:
+                inside = np.flatnonzero(_BREAK[piece])
+                k = int(inside[-1]) + 1 if len(inside) else 0  # the piece's last word is the long one
+                if k:
+                    parts.append((i, *word_hashes(piece[:k], np.array([0, k]), lower)))
+                one = np.zeros(1, np.int64)
+                parts.append((i, _long_word(piece[k:], lower), one, one + k, one + (j - i)))
+            else:
+                parts.append((i, *word_hashes(piece, np.array([0, j - i]), lower)))
+            i = j
+        return tuple(np.concatenate([p[k] + (p[0] if k > 2 else 0) for p in parts]) for k in range(1, 5))
     none = np.zeros(0, np.int64)
     if not n:
         return none.astype(U64), none, none, none

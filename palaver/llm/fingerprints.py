@@ -1,9 +1,10 @@
 """Document fingerprints from closed syncmers.
 
 A window of K bytes is a closed syncmer if the smallest of its inner S-byte substrings (by hash) is its first or its
-last. That depends on the window alone, so two texts pick the same anchors wherever they agree. A fingerprint holds
-the KEPT smallest anchor hashes in the order in which they stand in the text. The likeness of two fingerprints is the
-number of anchors they share in the same order over the number of either, among the smallest of both.
+last. That depends on the window alone, so two texts pick the same anchors wherever they agree. A fingerprint is all of
+a text's anchors in the order in which they stand there. The likeness of two fingerprints is the number of anchors that
+both have in one order over the number that either has. The column holds a short form: the SHORT smallest anchors in
+text order, behind a digest of all.
 """
 
 from __future__ import annotations
@@ -18,79 +19,92 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, buffers, mix, powers, small_batches, table
+from .common import BLOCK, U64, blocks, buffers, mix, powers, small_batches, table
 
-K, S, KEPT = 15, 4, 48
+K, S, SHORT = 15, 4, 48
 #: Bytes of text in one stretch of the order by id, and the most stretches.
 STRETCH_BYTES, MOST_STRETCHES = 12 << 20, 1 << 16
 
 
-def anchors(data: np.ndarray, at: np.ndarray, k: int = K, s: int = S, kept: int = KEPT) -> list[np.ndarray]:
-    """The fingerprint of each of n texts that lie end to end: anchor hashes (uint32) in text order.
+def _syncmers(data: np.ndarray, at: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash (32 bits) and text of every closed syncmer of texts that lie end to end, in order."""
+    size = len(data)
+    if size < k:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    power, inverse = powers(size)
+    total = np.zeros(size + 1, U64)
+    np.cumsum((data.astype(U64) + U64(1)) * power[:size], out=total[1:])
+    width = k - s + 1
+    inner = np.zeros(size - s + 1, np.uint32)
+    for j in range(s):
+        inner = inner * np.uint32(0x01000193) ^ data[j : size - s + 1 + j]
+    inner = (inner ^ (inner >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+    inner ^= inner >> np.uint32(13)
+    least, span = inner, 1
+    while span < width:  # sliding minimum by doubling
+        step = min(span, width - span)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        span += step
+    starts = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
+    of = np.searchsorted(at, starts, "right") - 1
+    inside = starts + k <= at[of + 1]
+    starts, of = starts[inside], of[inside]
+    return (mix((total[starts + k] - total[starts]) * inverse[starts]) >> U64(32)).astype(np.uint32), of
+
+
+def anchors(data: np.ndarray, at: np.ndarray, k: int = K, s: int = S) -> list[np.ndarray]:
+    """The fingerprint of each of n texts that lie end to end: anchor hashes (uint32) in text order, each where it comes first.
 
     A text without anchors, such as one of fewer than k bytes, has the hash of the whole text as its only one; an
-    empty text has none.
+    empty text has none. A long text that stands alone is read BLOCK bytes at a time.
     """
     data, at = data[at[0] : at[-1]], at - at[0]
     n, size = len(at) - 1, len(data)
-    power, inverse = powers(size)
-    total = np.zeros(size + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * power[:size], out=total[1:])
-    width = k - s + 1
-    if size >= k:
-        inner = np.zeros(size - s + 1, np.uint32)
-        for j in range(s):
-            inner = inner * np.uint32(0x01000193) ^ data[j : size - s + 1 + j]
-        inner = (inner ^ (inner >> np.uint32(15))) * np.uint32(0x85EBCA6B)
-        inner ^= inner >> np.uint32(13)
-        least, span = inner, 1
-        while span < width:  # sliding minimum by doubling
-            step = min(span, width - span)
-            least = np.minimum(least[: len(least) - step], least[step:])
-            span += step
-        starts = np.flatnonzero((inner[: len(least)] == least) | (inner[width - 1 :] == least))
-        of = np.searchsorted(at, starts, "right") - 1
-        inside = starts + k <= at[of + 1]
-        starts, of = starts[inside], of[inside]
-        h = (mix((total[starts + k] - total[starts]) * inverse[starts]) >> U64(32)).astype(np.int64)
-        order = np.lexsort((starts, h, of))
-        h, of, starts = h[order], of[order], starts[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
-        h, of, starts = h[new], of[new], starts[new]
-        first = np.searchsorted(of, np.arange(n))
-        small = np.arange(len(h)) - first[of] < kept if len(h) else np.zeros(0, bool)
-        h, of, starts = h[small], of[small], starts[small]
-        order = np.lexsort((starts, of))
-        h, cut = h[order].astype(np.uint32), np.searchsorted(of, np.arange(n + 1))
-    else:
-        h, cut = np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+    if n == 1 and size > 2 * BLOCK:
+        pieces = [data[i : i + BLOCK + k - 1] for i in range(0, size - k + 1, BLOCK)]
+        h = np.concatenate([_syncmers(p, np.array([0, len(p)]), k, s)[0] for p in pieces])
+        _, first = np.unique(h, return_index=True)
+        return [h[np.sort(first)] if len(h) else _short(data)]
+    h, of = _syncmers(data, at, k, s)
+    order = np.lexsort((h, of))  # stable: equal anchors of a text stay in order
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
+    first = np.sort(order[new])
+    h, cut = h[first], np.searchsorted(of[first], np.arange(n + 1))
     out = [h[cut[i] : cut[i + 1]] for i in range(n)]
     for i in np.flatnonzero((np.diff(cut) == 0) & (np.diff(at) > 0)):
-        a, b = at[i], at[i + 1]
-        out[i] = (mix((total[b : b + 1] - total[a : a + 1]) * inverse[a : a + 1] + U64(b - a)) >> U64(32)).astype(np.uint32)
+        out[i] = _short(data[at[i] : at[i + 1]])
     return out
 
 
-def written(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u4").tobytes().hex()
+def _short(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(hashlib.blake2b(data.tobytes(), digest_size=4).digest(), np.uint32)
+
+
+def written(fingerprint: np.ndarray, short: int = SHORT) -> str:
+    """The short form in hexadecimal digits; nothing for an empty text."""
+    if not len(fingerprint):
+        return ""
+    kept = fingerprint if len(fingerprint) <= short else fingerprint[np.sort(np.argpartition(fingerprint, short - 1)[:short])]
+    return hashlib.blake2b(fingerprint.astype("<u4").tobytes(), digest_size=8).hexdigest() + kept.astype(">u4").tobytes().hex()
 
 
-def likeness(a: np.ndarray, b: np.ndarray, kept: int = KEPT) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1. Shared anchors count only as far as both have them in one order; two empty fingerprints are alike."""
-    x, place = a.tolist(), {h: i for i, h in enumerate(b.tolist())}
-    either = sorted(place.keys() | set(x))
-    if not either:
-        return 1.0
-    if len(either) > kept and max(len(x), len(place)) >= kept:
-        either = either[:kept]
-    most = either[-1]
-    tails: list[int] = []  # of the longest increasing runs of places in b
-    for h in x:
-        if h <= most and (i := place.get(h)) is not None:
-            k = bisect_left(tails, i)
-            tails[k : k + 1] = [i]
-    return len(tails) / len(either)
+    if not len(a) or not len(b):
+        return float(len(a) == len(b))
+    order = np.argsort(b)
+    at = np.minimum(np.searchsorted(b, a, sorter=order), len(b) - 1)
+    places = order[at]
+    places = places[b[places] == a]  # of the shared anchors in b, in the order of a
+    either = len(a) + len(b) - len(places)
+    tails: list[int] = []  # of the longest increasing runs of places
+    for i in places.tolist():
+        if not tails or i > tails[-1]:
+            tails.append(i)
+        else:
+            tails[bisect_left(tails, i)] = i
+    return len(tails) / either
 
 
 def _fingerprints(texts: list[str]) -> list[np.ndarray]:
