@@ -27,13 +27,13 @@ VOCABULARY = 1 << 16
 #: Remainders in a shard's index, on average; bits of the routing key.
 SHARD = 384
 KEY_BITS = 12
-#: Terms of a seed that are looked up, the weightiest ones.
-QUERY_TERMS = 32
 K1, B = 1.2, 0.75
 SEED = 77
 # Fixed value: the pre-tokenizer of byte_bpe_50k, without the branch that only runs of white space need.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 _RUNS = re.compile(r"\s\s")
+#: Characters of a word beyond which the faster form would take time out of proportion.
+LONG_WORD = 20_000
 _SPECIAL = "<|endoftext|>"
 _LOADED: dict[str, tuple] = {}
 
@@ -68,7 +68,7 @@ def token_ids(texts: list[str], path: str) -> list[np.ndarray]:
     whole, fast = _load(path)
     out = []
     for t in texts:
-        if _RUNS.search(t) or _SPECIAL in t:
+        if _RUNS.search(t) or _SPECIAL in t or len(t) > LONG_WORD and max(map(len, t.split()), default=0) > LONG_WORD:
             ids = np.array(whole.encode(t, add_special_tokens=False).ids, np.uint16)
         else:
             ids = fast.encode_to_numpy(t, disallowed_special=()).astype(np.uint16)
@@ -152,12 +152,21 @@ def fill_windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: i
         terms.append(t)
         tf.append(c)
         owner.append(np.full(len(t), i, np.int32))
-    own = [(t, c) for t, c in zip(terms, tf, strict=True)]
+    own = terms
     size = np.array([len(d) for d in docs], np.float32)
     t, c, o = np.concatenate(terms), np.concatenate(tf).astype(np.float32), np.concatenate(owner)
     weight = idf[t] * c * (K1 + 1) / (c + K1 * (1 - B + B * size[o] / max(mean, 1.0)))
     order = np.argsort(t, kind="stable")
     t, o, weight = t[order], o[order], weight[order]
+    held = np.bincount(t, minlength=VOCABULARY)
+    begin = np.cumsum(held) - held
+
+    def scores_of(i: int) -> np.ndarray:
+        """BM25 of every document for all distinct terms of document i."""
+        a, many = begin[own[i]], held[own[i]]
+        hits = np.repeat(a - np.cumsum(many) + many, many) + np.arange(many.sum())
+        return np.bincount(o[hits], weight[hits], minlength=n)
+
     unused = np.ones(n, bool)
     lead = np.argsort(-size, kind="stable")  # seeds: the longest first
     at_lead = 0
@@ -180,11 +189,7 @@ def fill_windows(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: i
     put(seed)
     left -= 1
     while left:
-        query, count = own[seed]
-        best = query if len(query) <= QUERY_TERMS else query[np.argpartition(-(idf[query] * count), QUERY_TERMS)[:QUERY_TERMS]]
-        a, b = np.searchsorted(t, best), np.searchsorted(t, best, "right")
-        hits = np.concatenate([np.arange(x, y) for x, y in zip(a, b, strict=True)])
-        scores = np.bincount(o[hits], weight[hits], minlength=n)
+        scores = scores_of(seed)
         scores[~unused] = -1
         ranked = iter(np.argsort(-scores, kind="stable"))
         now, i = sequence, seed
@@ -209,7 +214,7 @@ _PIECES_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length"
 
 def _pack(idf: np.ndarray, mean: float, window: int):
     def run(t: pa.Table) -> pa.Table:
-        t = t.sort_by([("doc_id", "ascending"), ("start", "ascending")])
+        t = t.sort_by([(c, "ascending") for c in ("doc_id", "start", "doc_tokens", "ids")])
         docs = [np.frombuffer(x, np.uint16) for x in t["ids"].to_pylist()]
         pieces = fill_windows(docs, idf, mean, window)
         i, start, length, sequence, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
