@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, buffers, held_out, small_batches, stash, table
+from .common import BLOCK, blocks, buffers, held_out, small_batches, stash, table
 
 #: Families of languages by ISO 639-1 code. A language that isn't listed belongs to the family "other".
 FAMILIES = {
@@ -40,28 +40,46 @@ def family(lang: str) -> str:
     return _FAMILY.get(lang.lower()[:2], "other")
 
 
-def vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """n texts that lie end to end -> n unit vectors of WIDTH float32; an empty text is all zeros."""
-    data, at = data[at[0] : at[-1]], at - at[0]
+def _counts(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and trigrams of each text, by value."""
     n = len(at) - 1
     of = np.repeat(np.arange(n, dtype=np.int64), np.diff(at))
     low = _SMALL[data]
     single = np.bincount(of * 256 + low, minlength=n * 256).reshape(n, 256)
-    out = np.zeros((n, WIDTH), np.float32)
-    out[:, :256] = np.sqrt(single)
-    if len(data) > 2:
-        tri = ((low[:-2] << np.uint32(16)) | (low[1:-1] << np.uint32(8)) | low[2:]) * np.uint32(2654435761) >> np.uint32(21)
-        same = of[:-2] == of[2:]
-        many = np.bincount((of[:-2] * TRIGRAMS + tri)[same], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
-        out[:, 256:] = np.sqrt(many)
+    if len(data) < 3:
+        return single, np.zeros((n, TRIGRAMS), np.int64)
+    tri = ((low[:-2] << np.uint32(16)) | (low[1:-1] << np.uint32(8)) | low[2:]) * np.uint32(2654435761) >> np.uint32(21)
+    same = of[:-2] == of[2:]
+    return single, np.bincount((of[:-2] * TRIGRAMS + tri)[same], minlength=n * TRIGRAMS).reshape(n, TRIGRAMS)
+
+
+def vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """n texts that lie end to end -> n unit vectors of WIDTH float32; an empty text is all zeros.
+
+    A text of more than BLOCK bytes that stands alone is counted BLOCK at a time."""
+    data, at = data[at[0] : at[-1]], at - at[0]
+    n, size = len(at) - 1, len(data)
+    if n == 1 and size > BLOCK:
+        single, many = np.zeros((1, 256), np.int64), np.zeros((1, TRIGRAMS), np.int64)
+        for i in range(0, size, BLOCK):
+            piece = data[i : i + BLOCK + 2]
+            more = _counts(piece, np.array([0, len(piece)]))
+            single += more[0]
+            many += more[1]
+            single[0] -= np.bincount(_SMALL[piece[BLOCK:]], minlength=256)
+    else:
+        single, many = _counts(data, at)
+    out = np.sqrt(np.concatenate([single, many], 1)).astype(np.float32)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)
 
 
 def has_letter(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each text holds a letter of any script."""
-    found = np.concatenate([[0], np.cumsum(_LETTER[data[at[0] : at[-1]]])])[at - at[0]]
-    out = np.diff(found) > 0
+    if len(at) == 2:
+        out = np.array([_LETTER[data[at[0] : at[1]]].any()])
+    else:
+        out = np.diff(np.concatenate([[0], np.cumsum(_LETTER[data[at[0] : at[-1]]])])[at - at[0]]) > 0
     for i in np.flatnonzero(~out & (np.diff(at) > 0)):
         out[i] = any(map(str.isalpha, data[at[i] : at[i + 1]].tobytes().decode("utf-8", "replace")))
     return out

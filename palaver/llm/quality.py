@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, buffers, held_out, mix, small_batches, stash, table, word_hashes
+from .common import BLOCK, U64, blocks, buffers, held_out, mix, small_batches, stash, table, word_hashes
 
 #: Labelled rows that are learnt from, about; the sample is by hash of the id.
 SAMPLE = 20_000
@@ -50,15 +50,18 @@ def statistics(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """n texts that lie end to end -> n rows of the statistics in NAMES; zeros for an empty text."""
     data, at = data[at[0] : at[-1]], at - at[0]
     n = len(at) - 1
-    of = np.repeat(np.arange(n, dtype=np.int64), np.diff(at))
-    hist = np.bincount(of * 256 + data, minlength=n * 256).reshape(n, 256).astype(float)
+    if n == 1:
+        hist = sum((np.bincount(data[i : i + BLOCK], minlength=256) for i in range(0, len(data), BLOCK)), np.zeros(256)).reshape(1, 256)
+    else:
+        of = np.repeat(np.arange(n, dtype=np.int64), np.diff(at))
+        hist = np.bincount(of * 256 + data, minlength=n * 256).reshape(n, 256).astype(float)
     size = np.maximum(hist.sum(1), 1)
     share = hist / size[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
         entropy = -np.where(share > 0, share * np.log2(share), 0).sum(1)
     h, text, first, end = word_hashes(data, at, lower=False)
     words, kinds, top = _per_text(h, text, n)
-    caps = np.concatenate([[0], np.cumsum((data >= 65) & (data <= 90))])
+    caps = np.concatenate([np.zeros(1, np.int32), np.cumsum((data >= 65) & (data <= 90), dtype=np.int32)])
     shout = np.bincount(text[(caps[end] - caps[first] >= 2)], minlength=n)
     breaks = np.flatnonzero(data == 10) + 1
     cuts = np.unique(np.r_[at[:-1][np.diff(at) > 0], breaks[breaks < len(data)]])
