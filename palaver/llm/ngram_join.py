@@ -25,6 +25,8 @@ from .common import U64, blocks, buffers, mix, small_batches, stash, table, word
 from .components import components
 
 WORDS = 5
+#: Stand for a null key: before all keys in the exchanged ids, after them where the smallest is chosen.
+NO_KEY, NULL_KEY = -(1 << 63), (1 << 63) - 1
 #: Linked from 100 * intersection >= PERCENT * union on.
 PERCENT = 75
 #: Sets that one trie holds at most.
@@ -74,8 +76,8 @@ def distinct(h: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndar
 
 
 # Rows between the steps. kind 0: documents (ids, sizes, keys); kind 1: shingles of a range.
-_ROW = "kind int, part int, ids binary, sizes binary, keys binary, low binary, high binary, counts binary"
-_ROW_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("ids", "sizes", "keys", "low", "high", "counts")]])
+_ROW = "kind int, part int, ids binary, texts binary, sizes binary, keys binary, hashes binary, counts binary"
+_ROW_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *[(c, pa.binary()) for c in ("ids", "texts", "sizes", "keys", "hashes", "counts")]])
 
 
 def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -83,18 +85,17 @@ def _rows(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def _explode_texts(parts: int):
-    """Text batches -> packed rows: each document's size and key, and each range's shingles, text by text, as 5 bytes each."""
+    """(id, hash of text, text) -> packed rows: each document's size and key, and each range's shingles, text by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []
         held = 0
 
         def send() -> Iterator[pa.RecordBatch]:
-            ids, size, key = (np.concatenate([w[k] for w in waiting]) for k in range(3))
-            h = np.concatenate([w[3] for w in waiting])
+            ids, texts, size, key, h = (np.concatenate([w[k] for w in waiting]) for k in range(5))
             base = np.cumsum([0] + [len(w[0]) for w in waiting[:-1]])
-            of = np.concatenate([w[4] + b for w, b in zip(waiting, base, strict=True)])
-            yield _rows([{"kind": 0, "part": int(mix(ids[:1].astype(U64))[0] % U64(parts)), "ids": ids.tobytes(), "sizes": size.astype(np.int64).tobytes(), "keys": key.tobytes()}], _ROW_ARROW)
+            of = np.concatenate([w[5] + b for w, b in zip(waiting, base, strict=True)])
+            yield _rows([{"kind": 0, "part": int(mix(ids[:1].astype(U64))[0] % U64(parts)), "ids": ids.tobytes(), "texts": texts.tobytes(), "sizes": size.astype(np.int64).tobytes(), "keys": key.tobytes()}], _ROW_ARROW)
             _, one = np.unique(key, return_index=True)
             keep = np.zeros(len(key), bool)
             keep[one] = True
@@ -113,8 +114,7 @@ def _explode_texts(parts: int):
                 if i == j:
                     continue
                 used, count = np.unique(of[i:j], return_counts=True)
-                low, high = h[i:j].astype(np.uint32), (h[i:j] >> U64(32)).astype(np.uint8)
-                out.append({"kind": 1, "part": p, "sizes": size[used].tobytes(), "keys": key[used].tobytes(), "low": low.tobytes(), "high": high.tobytes(), "counts": count.astype(np.uint32).tobytes()})
+                out.append({"kind": 1, "part": p, "sizes": size[used].tobytes(), "keys": key[used].tobytes(), "hashes": h[i:j].tobytes(), "counts": count.astype(np.uint32).tobytes()})
                 if len(out) >= 64:
                     yield _rows(out, _ROW_ARROW)
                     out = []
@@ -122,11 +122,11 @@ def _explode_texts(parts: int):
                 yield _rows(out, _ROW_ARROW)
 
         for batch in batches:
-            data, at = buffers(batch.column(1))
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            data, at = buffers(batch.column(2))
+            ids, texts = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
             for i, j in blocks(at):
                 h, of, size, key = distinct(*shingles(data, at[i : j + 1]), j - i)
-                waiting.append((ids[i:j], size, key, h, of))
+                waiting.append((ids[i:j], texts[i:j], size, key, h, of))
                 held += len(h)
                 if held >= RUN:
                     yield from send()
@@ -137,8 +137,8 @@ def _explode_texts(parts: int):
     return run
 
 
-_SHARED = "kind int, ids binary, sizes binary, keys binary, grp int, counts binary, tokens binary, df binary"
-_SHARED_ARROW = pa.schema([("kind", pa.int32()), ("ids", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("grp", pa.int32()), ("counts", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
+_SHARED = "kind int, ids binary, texts binary, sizes binary, keys binary, grp int, counts binary, tokens binary, df binary"
+_SHARED_ARROW = pa.schema([("kind", pa.int32()), ("ids", pa.binary()), ("texts", pa.binary()), ("sizes", pa.binary()), ("keys", pa.binary()), ("grp", pa.int32()), ("counts", pa.binary()), ("tokens", pa.binary()), ("df", pa.binary())])
 
 
 def _count_range(groups: int):
@@ -148,10 +148,10 @@ def _count_range(groups: int):
         out, toks, keys, sizes = [], [], [], []
         for r in t.to_pylist():
             if r["kind"] == 0:
-                out.append({"kind": 0, "ids": r["ids"], "sizes": r["sizes"], "keys": r["keys"]})
+                out.append({"kind": 0, "ids": r["ids"], "texts": r["texts"], "sizes": r["sizes"], "keys": r["keys"]})
                 continue
-            low, high, count = np.frombuffer(r["low"], np.uint32), np.frombuffer(r["high"], np.uint8), np.frombuffer(r["counts"], np.uint32)
-            toks.append(low.astype(U64) | (high.astype(U64) << U64(32)) | (U64(r["part"]) << U64(40)))
+            count = np.frombuffer(r["counts"], np.uint32)
+            toks.append(np.frombuffer(r["hashes"], U64))
             keys.append(np.repeat(np.frombuffer(r["keys"], U64), count))
             sizes.append(np.repeat(np.frombuffer(r["sizes"], np.uint32), count))
         if toks:
@@ -453,11 +453,23 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     key that links reach. Null and wordless texts have no shingles and stand alone. Equal sets are linked by their
     equality. Repeated rows come back as often as they came, with one component; rows with a null key are left out of
     no step but count as key null: their component is the smallest key of their class, or null if there is none.
-    Keys must be whole numbers. Other columns of docs are ignored. Empty input gives no rows.
+    Keys must be whole numbers. Other columns of docs are ignored. Empty input gives no rows. Two shingles are equal if
+    their 64-bit hashes are.
+    """
+    found = _placed_rows(docs, key, text, words, percent, chunk)
+    own = F.when(F.col("id") > NO_KEY, F.col("id"))
+    first = F.when(F.col("head.id") < NULL_KEY, F.col("head.id"))
+    return found.select(own.alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, first).otherwise(own).alias("component_id"))
+
+
+def _placed_rows(docs: DataFrame, key: str, text: str, words: int, percent: int, chunk: int) -> DataFrame:
+    """(id, text_hash, n_shingles, head) for every row of docs; head is the smallest (id, text_hash) of its component.
+
+    A null key is NO_KEY in id and, so that it comes last, NULL_KEY in head. Rows without shingles have no head.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    thin = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("id"), F.col(text).alias("text"))
+    thin = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY)).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     total = thin.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(min(MOST_RANGES, max(LEAST_RANGES, total // RANGE_BYTES)))
     rows = thin.mapInArrow(_explode_texts(parts), _ROW)
@@ -475,27 +487,33 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         links = stash(_across(placed.filter("chunks > 1"), one, links, percent, chunk, parts).unionByName(links), "links")
     joined = components(links, "near-duplicates").withColumnRenamed("node", "set_key")
 
-    ids = counted.filter("kind = 0").select("ids", "sizes", "keys").mapInArrow(_unpack, "id long, n_shingles long, set_key long")
-    classes = ids.filter("n_shingles > 0").groupBy("set_key").agg(F.min(F.when(F.col("id") > -(1 << 63), F.col("id"))).alias("first"))
+    ids = counted.filter("kind = 0").select("ids", "texts", "sizes", "keys").mapInArrow(_unpack, "id long, text_hash long, n_shingles long, set_key long")
+    row = F.struct(F.when(F.col("id") > NO_KEY, F.col("id")).otherwise(NULL_KEY).alias("id"), "text_hash")
+    classes = ids.filter("n_shingles > 0").groupBy("set_key").agg(F.min(row).alias("first"))
     named = classes.join(joined, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    reach = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(reach, "component").select("set_key", "component_id")
-    out = ids.join(named, "set_key", "left")
-    own = F.when(F.col("id") > -(1 << 63), F.col("id"))
-    return out.select(own.alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component_id", own)).otherwise(own).alias("component_id"))
+    reach = named.groupBy("component").agg(F.min("first").alias("head"))
+    named = named.join(reach, "component").select("set_key", "head")
+    return ids.join(named, "set_key", "left").select("id", "text_hash", "n_shingles", "head")
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i, s, k in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(i, np.int64)), pa.array(np.frombuffer(s, np.int64)), pa.array(np.frombuffer(k, np.int64))], names=["id", "n_shingles", "set_key"])
+        for packed in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in packed], names=["id", "text_hash", "n_shingles", "set_key"])
+
 
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", *, words: int = WORDS, percent: int = PERCENT, chunk: int = CHUNK) -> DataFrame:
+    """One row of each component of near_duplicates(): its smallest key's, null keys last; of several the smallest hash of the text.
 
-def keep_one(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs whose key is the smallest of its component; of rows that repeat a key one stays, null keys stay."""
-    found = near_duplicates(docs, key=key, **how).filter(F.col(key) == F.col("component_id")).select(key).distinct()
-    known = docs.filter(F.col(key).isNotNull()).join(found, key, "left_semi").dropDuplicates([key])
-    return known.unionByName(docs.filter(F.col(key).isNull()))
+    Rows are told apart by key and text, so of rows that share a key those that are copies of nothing stay. Of rows that
+    repeat key and text one stays, the smallest by a hash of all columns. Rows without words are copies of nothing and all stay.
+    """
+    found = _placed_rows(docs, key, text, words, percent, chunk)
+    heads = found.filter("n_shingles > 0").select("head.*").distinct().select(F.col("id").alias("_id"), F.col("text_hash").alias("_text"))
+    has_words = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    named = docs.filter(has_words).select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("_id"), F.xxhash64(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    kept = named.join(heads, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return kept.select("_row.*").unionByName(docs.filter(~has_words))
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:

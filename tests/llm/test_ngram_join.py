@@ -21,7 +21,8 @@ def sets_of(rows):
     return out
 
 
-def brute(rows):
+def linked(rows):
+    """Sets of all rows, and for each row a row that stands for its component."""
     sets, head = sets_of(rows), list(range(len(rows)))
 
     def find(x):
@@ -34,11 +35,26 @@ def brute(rows):
             b = sets[j]
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 head[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def brute(rows):
+    sets, head = linked(rows)
     least = {}
-    for i, r in enumerate(rows):
+    for h, r in zip(head, rows, strict=True):
         if r[0] is not None:
-            least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return sorted(((r[0], len(s), least.get(find(i)) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))), key=str)
+            least[h] = min(least.get(h, r[0]), r[0])
+    return sorted(((r[0], len(s), least.get(h) if s else r[0]) for h, r, s in zip(head, rows, sets, strict=True)), key=str)
+
+
+def brute_kept(rows):
+    """(id, text) of the rows that keep_one leaves, where no two texts of a component share its smallest id."""
+    sets, head = linked(rows)
+    first = {}
+    for h, r, s in zip(head, rows, sets, strict=True):
+        if s and (h not in first or (r[0] is None, r[0]) < (first[h][0] is None, first[h][0])):
+            first[h] = r[:2]
+    return Counter([*first.values(), *(r[:2] for r, s in zip(rows, sets, strict=True) if not s)])
 
 
 def result(df, **how):
@@ -132,9 +148,45 @@ def test_no_rows(empty):
 
 def test_keep_one_leaves_a_row_of_each_group(edge, clashing):
     rows = edge_rows()
-    kept = J.keep_one(clashing(edge)).collect()
-    heads = {c for i, _, c in brute(rows) if i is not None and i == c}
-    assert Counter(r["doc_id"] for r in kept) == Counter([*heads, None])
+    assert Counter((r["doc_id"], r["text"]) for r in J.keep_one(clashing(edge)).collect()) == brute_kept(rows)
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_keep_one_tells_rows_of_one_key_apart(spark, turn):
+    """A key that carries a near copy and a unique text, null keys, repeated rows and rows without words."""
+    words = [f"w{i}" for i in range(60)]
+    a, near, other = " ".join(words), " ".join([*words[:-1], "end"]), " ".join(f"u{i}" for i in range(40))
+    rows = [(1, a, "en", "s", 0), (3, near, "en", "s", 0), (3, other, "en", "s", 0), (None, near, "en", "s", 0), (None, a + " more", "en", "s", 0), (None, "alone in the world", None, None, 0), (4, "twice told", "en", "x", 0), (4, "twice told", "en", "y", 0), (5, "", None, None, 0), (5, "", None, None, 0), (None, None, None, None, 0), (None, None, None, None, 0)]
+    got = Counter((r[0], r[1]) for r in J.keep_one(spark.createDataFrame(rows[::turn], KIND)).collect())
+    assert got == {(1, a): 1, (3, other): 1, (None, "alone in the world"): 1, (4, "twice told"): 1, (5, ""): 2, (None, None): 2}
+
+
+def test_a_group_of_near_copies_makes_few_probes(spark, monkeypatch):
+    """900 near copies of one text in chunks of 16: what is joined by samples needs no pair of chunks."""
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join([*base[: (p := rng.randrange(100))], f"k{k}", *base[p + 1 :]]), None, None, 0) for k in range(900)]
+    probes = []
+    held = J._pairs
+
+    def counted(*args):
+        out = held(*args)
+        probes.append((out.filter("probe").count(), out.filter("not probe").count()))
+        return out
+
+    monkeypatch.setattr(J, "_pairs", counted)
+    got = result(spark.createDataFrame(rows, KIND), chunk=16)
+    assert {r[2] for r in got} == {0} and len(got) == 900
+    assert len(probes) == 1 and sum(probes[0]) <= 2 * 900, probes
+
+
+def test_a_long_text_in_few_bytes_at_a_time(spark):
+    """20 MB in one text, and a near copy of it."""
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 10**6, 2_900_000)
+    long = " ".join(map(str, words.tolist()))
+    got = result(spark.createDataFrame([(1, long, None, None, 0), (2, long + " end", None, None, 0), (3, "x" * 3_000_000, None, None, 0)], KIND).repartition(3))
+    assert len(long) > 19_000_000 and [r[2] for r in got] == [1, 1, 3] and got[1][1] == got[0][1] + 1 and got[2][1] == 1
 
 
 def test_five_words_and_three_quarters_are_the_bounds(spark):

@@ -111,6 +111,56 @@ def test_matrix_has_its_margins():
     assert columns.max() - columns.min() <= 1 and columns.sum() == sum(counts.values())
 
 
+def test_matrix_of_many_rows():
+    """Beyond 10 ** 9 rows, where numpy's own draw ends; by the same law as it."""
+    counts = {i: 5 * 10**9 // 40 + i for i in range(40)}
+    m = sharding.communication_matrix(counts, 24, 1)
+    columns = np.sum(list(m.values()), 0)
+    assert {i: sum(x) for i, x in m.items()} == counts and min(map(min, m.values())) >= 0
+    assert columns.max() - columns.min() <= 1
+
+
+def test_large_draws_follow_the_law(monkeypatch):
+    from math import comb
+
+    monkeypatch.setattr(sharding, "LARGE", 1)
+    rng = np.random.default_rng(3)
+    got = Counter(sharding.draw(rng, 13, 27, 17) for _ in range(20000))
+    for x in range(14):
+        assert got[x] / 20000 == pytest.approx(comb(13, x) * comb(27, 17 - x) / comb(40, 17), abs=0.01)
+
+
+def test_shards_against_a_plain_deal(spark, monkeypatch):
+    """Shard and slot of every row: parts, matrix and both permutations one after the other in plain Python."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 7)
+    monkeypatch.setattr(sharding, "AREAS", 5)
+    df = spark.range(400).withColumnRenamed("id", "doc_id")
+    h = lambda what: F.xxhash64(F.lit(sharding.SEED), F.lit(what), "doc_id").alias(what)
+    rows = [r.asDict() for r in df.select("doc_id", *[h(w) for w in ("part", "first", "range", "second")]).collect()]
+    parts = -(-400 // 7)
+    held, areas = defaultdict(list), Counter()
+    for r in rows:
+        held[r["part"] % parts].append(r)
+        areas[r["part"] % parts % 5] += 1
+    coarse, places = sharding.communication_matrix(areas, 6, sharding.SEED), defaultdict(list)
+    for area, line in coarse.items():
+        own = {p: len(x) for p, x in held.items() if p % 5 == area}
+        for p, to in sharding.deal(own, np.array(line), [sharding.SEED, area]).items():
+            order = iter(sorted(held[p], key=lambda r: r["first"]))
+            for shard, n in enumerate(to):
+                places[shard] += [next(order) for _ in range(n)]
+    want = {}
+    for shard, own in places.items():
+        for slot, r in enumerate(sorted(own, key=lambda r: (r["range"] % (parts // 6), r["second"]))):
+            want[r["doc_id"]] = (shard, slot)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(df, ["doc_id"], shards=6).collect()} == want
+
+
+def test_reserved_names_are_refused(spark):
+    with pytest.raises(ValueError, match="_s_part"):
+        sharding.shard_rows(spark.range(3).withColumn("_s_part", F.lit(1)), ["id"])
+
+
 def test_sharding_nothing_and_less_than_a_row_each(spark, empty):
     assert sharding.shard_rows(empty, ["doc_id"]).count() == 0
     assert sharding.shard_rows(spark.range(3), ["id"]).count() == 3
@@ -150,13 +200,59 @@ def test_one_row_follows_itself_and_none_gives_none(spark, empty):
     assert fingerprints.compare(empty).count() == 0
 
 
-def test_anchors_against_a_plain_loop():
+def plain_anchors(text: str, k: int = fingerprints.K, s: int = fingerprints.S) -> list[bytes]:
+    """The closed syncmers of a text, window by window, each where it comes first."""
+
+    def inner(x: bytes) -> int:
+        h = 0
+        for c in x:
+            h = (h * 0x01000193 ^ c) % (1 << 32)
+        h = (h ^ (h >> 15)) * 0x85EBCA6B % (1 << 32)
+        return h ^ (h >> 13)
+
+    data, out = text.encode(), {}
+    for i in range(len(data) - k + 1):
+        window = data[i : i + k]
+        order = [inner(window[j : j + s]) for j in range(k - s + 1)]
+        if min(order) in (order[0], order[-1]):
+            out.setdefault(window)
+    return list(out)
+
+
+def plain_likeness(a: list, b: list) -> float:
+    """Longest common subsequence over union, by the usual table."""
+    if not a and not b:
+        return 1.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = last[j] + 1 if x == y else max(last[j + 1], row[j])
+    return row[-1] / len(set(a) | set(b))
+
+
+def test_query_against_windows_and_common_subsequences(spark):
+    """fingerprint, edited_fingerprint, near_edited and near_next of op3 from a loop over all windows."""
+    rng = random.Random(2)
+    texts = [prose(rng, n) for n in (40, 2, 300, 41, 5, 120)] + ["", "tiny", "äöü " * 30]
+    texts.append(texts[2] + " and " + texts[0])
+    got = {r["doc_id"]: r for r in fingerprints.compare(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], KIND)).collect()}
+    anchor = lambda t: plain_anchors(t) or ([t] if t else [])
+    for i, t in enumerate(texts):
+        new = fingerprints.edited(t, texts[i - 1])
+        own = fingerprints._fingerprints([t, new])
+        assert [len(x) for x in own] == [len(anchor(t)), len(anchor(new))]
+        assert [got[i]["fingerprint"], got[i]["edited_fingerprint"]] == [fingerprints.written(x) for x in own]
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(anchor(t), anchor(new)))
+        assert got[i]["near_next"] == pytest.approx(plain_likeness(anchor(t), anchor(texts[i - 1])))
+
+
+def test_anchors_do_not_depend_on_neighbours():
     rng = random.Random(2)
     texts = [prose(rng, n) for n in (0, 1, 2, 5, 40, 300)]
     got = fingerprints._fingerprints(texts)
     for t, f in zip(texts, got, strict=True):
-        alone = fingerprints._fingerprints([t])[0]
-        assert np.array_equal(f, alone) and len(f) <= fingerprints.KEPT
+        assert np.array_equal(f, fingerprints._fingerprints([t])[0])
     a, b = fingerprints._fingerprints([texts[5], texts[5] + " and a little more"])
     assert fingerprints.likeness(a, b) > 0.8 and fingerprints.likeness(a, a) == 1
     assert fingerprints.likeness(got[4], got[5]) < 0.3 and fingerprints.likeness(got[0], got[0]) == 1 and fingerprints.likeness(got[0], got[4]) == 0
@@ -166,8 +262,8 @@ def test_anchors_depend_on_their_window_alone():
     """A common passage gives common anchors wherever it stands."""
     rng = random.Random(4)
     passage = prose(rng, 60)
-    a, b = (set(fingerprints.anchors(*_bytes(p + " " + passage + " tail"), kept=10**6)[0].tolist()) for p in ("x y z", prose(rng, 9)))
-    own = set(fingerprints.anchors(*_bytes(passage), kept=10**6)[0].tolist())
+    a, b = (set(fingerprints.anchors(*_bytes(p + " " + passage + " tail"))[0].tolist()) for p in ("x y z", prose(rng, 9)))
+    own = set(fingerprints.anchors(*_bytes(passage))[0].tolist())
     assert own <= a and own <= b
 
 
@@ -211,6 +307,25 @@ def test_isotonic_never_falls():
     assert (np.diff(ky) >= 0).all() and (np.diff(kx) > 0).all()
 
 
+def test_long_texts_are_read_a_block_at_a_time(monkeypatch):
+    """Words, anchors, statistics and vectors of a text are the same whatever the block; words longer than a block as well."""
+    from palaver.llm import common
+
+    rng = np.random.default_rng(1)
+    data = rng.integers(65, 123, 60_000).astype(np.uint8)
+    data[rng.random(60_000) < 0.15] = 32
+    data[20_000:45_000] = 120
+    at = np.array([0, len(data)])
+    read = lambda: (*common.word_hashes(data, at), fingerprints.anchors(data, at)[0], quality.statistics(data, at), language.vectors(data, at))
+    want = read()
+    for block in (1000, 7001):
+        for module in (common, fingerprints, quality, language):
+            monkeypatch.setattr(module, "BLOCK", block)
+        monkeypatch.setattr(common, "_POWERS", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+        for a, b in zip(want, read(), strict=True):
+            assert a == pytest.approx(b)
+
+
 def test_statistics_do_not_depend_on_neighbours():
     texts = [r[1] or "" for r in edge_rows()]
     data = np.frombuffer("".join(texts).encode(), np.uint8)
@@ -287,10 +402,15 @@ def test_packing_holds_every_id_once(spark, edge, clashing, window):
     pieces = packing.pack(clashing(edge), window=window).collect()
     n = check_packing(edge_rows(), pieces, window)
     assert n * window - sum(p["length"] for p in pieces) < 2 * window
-    for p in pieces:
-        if p["doc_id"] == 204 and p["length"] == p["doc_tokens"]:
-            ids = packing.token_ids(["one two"], packing.tokenizer_path())[0]
-            assert p["ids_crc32"] == zlib.crc32(ids.astype("<u4").tobytes())
+    tok, ids = packing._load(packing.tokenizer_path())[0], defaultdict(list)
+    for r in edge_rows():
+        ids[r[0]].append(np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4"))
+    for p in pieces:  # a key may stand for several texts
+        cuts = [zlib.crc32(x[p["start"] : p["start"] + p["length"]].tobytes()) for x in ids[p["doc_id"]] if len(x) == p["doc_tokens"]]
+        assert p["ids_crc32"] in cuts
+    again = packing.pack(clashing(edge).repartition(5), window=window).collect()
+    placed = lambda rows: Counter((*p[:5], p["sequence_id"] if p["sequence_id"] < 1 << 62 else None, p["offset"]) for p in rows)
+    assert placed(pieces) == placed(again)
 
 
 def test_packing_nothing(empty):
@@ -304,6 +424,39 @@ def test_fast_ids_are_the_tokenizers_ids():
         assert got.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_windows_fill_in_the_order_of_bm25():
+    """Each window takes the unused documents by their score for all terms of its seed, from the formula term by term."""
+    from math import log1p
+
+    rng = np.random.default_rng(4)
+    docs = [rng.zipf(1.3, rng.integers(20, 90)).clip(2, 3000).astype(np.uint16) for _ in range(60)]
+    df = Counter(int(t) for d in docs for t in set(d.tolist()))
+    idf = np.zeros(packing.VOCABULARY, np.float32)
+    for t, n in df.items():
+        idf[t] = log1p((len(docs) - n + 0.5) / (n + 0.5))
+    mean, window = sum(map(len, docs)) / len(docs), 400
+
+    def score(seed: int, i: int) -> float:
+        tf = Counter(docs[i].tolist())
+        return sum(float(idf[t]) * tf[t] * 2.2 / (tf[t] + 1.2 * (0.25 + 0.75 * len(docs[i]) / mean)) for t in set(docs[seed].tolist()) if t in tf)
+
+    placed = packing.fill_windows(docs, idf, mean, window)
+    order = list(dict.fromkeys(p[0] for p in placed))
+    used, seed, at = {order[0]}, order[0], len(docs[order[0]])
+    assert len(docs[seed]) == max(map(len, docs)) and len(order) == 60
+    for i in order[1:]:
+        if at % window == 0:
+            assert len(docs[i]) == max(len(docs[x]) for x in range(60) if x not in used)
+            seed = i
+        else:
+            best = max(score(seed, x) for x in range(60) if x not in used)
+            assert score(seed, i) == pytest.approx(best, rel=1e-5)
+        used.add(i)
+        if (at + len(docs[i])) // window > at // window:
+            seed = i
+        at += len(docs[i])
+
+
 def test_neighbours_share_windows():
     """Of two kinds of documents with words of their own, windows hold one kind wherever they can."""
     rng = np.random.default_rng(1)
@@ -428,7 +581,11 @@ def test_language_with_nothing_to_learn(spark, empty):
 # ---- components
 
 
-def test_components_against_union(spark):
+@pytest.mark.parametrize("few", [10, 1 << 18])
+def test_components_against_union(spark, monkeypatch, few):
+    from palaver.llm import components as C
+
+    monkeypatch.setattr(C, "TASK_EDGES", few)
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000, 1000 + i) for i in range(200)] + [(2000 + i, 2001 + i) for i in range(60)] + [(5, 5), (None, 3)]
     head = {}
