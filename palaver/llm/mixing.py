@@ -18,6 +18,8 @@ from .common import stash, table
 #: Blocks of a source, whatever its size; the tables of blocks and shards have sources x BLOCKS x repeats rows at most.
 BLOCKS = 256
 SHARDS = 16
+#: Stretches of the order of a block that a target cuts, each summed up by itself.
+CUT_PARTS = 4096
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = 20_311
@@ -127,37 +129,61 @@ def splitting_tree(quotas: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
 
 
 def placed(docs: DataFrame, size: Column, key: str, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
-    """Adds size, keyed hash and block: the hash orders a source's documents at random, its residue is the block."""
+    """Adds size, keyed hash and block: the hash of key and text orders a source's documents at random, its residue is the block."""
     name = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    hashed = F.xxhash64(F.lit(seed), F.col(key))
+    hashed = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in (key, "text") if c in docs.columns])
     return docs.withColumns({"mix_source": name, "mix_size": size, "mix_hash": hashed, "mix_block": F.pmod(hashed, F.lit(blocks)).cast("int")})
 
 
-def plan(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """A row for each block and pass over its source: whether the mix draws it, its shard, how many of its words (null: all).
+def _part() -> Column:
+    """Which stretch of its block's order a document is in."""
+    return F.pmod(F.shiftrightunsigned("mix_hash", 20), F.lit(CUT_PARTS)).cast("int")
 
-    From the sums of blocks on, everything is sources x BLOCKS x passes rows, whatever the corpus; one task plans it.
+
+def plan(thin: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST, shards: int = SHARDS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Quotas of blocks and their places in the shards, from (mix_source, mix_block, mix_hash, mix_size) of all documents.
+
+    A source's blocks in a permuted order, anew for each pass over the source, are its sequence; its quota is the number
+    of them that its target takes. The tree splits all quotas among the shards, and the sequence, permuted once more up to
+    the quota, is dealt out in the shards' runs. The first result has a row for every block: source_size, target, units
+    (epoch, shard, cut: one for each time that a shard takes the block) and most, the words that are taken of it where
+    the target cuts it. The second gives the words of cut blocks before each of their CUT_PARTS parts.
+
+    From the sums of blocks on, everything is sources x blocks x passes rows, whatever the corpus; one task plans it.
     """
-    held = stash(rows.groupBy("mix_source", "mix_block").agg(F.sum("mix_size").alias("words")), "mix-blocks").coalesce(1)
+    held = stash(thin.groupBy("mix_source", "mix_block").agg(F.sum("mix_size").alias("words")), "mix-blocks").coalesce(1)
     aims = targets(held.groupBy("mix_source").agg(F.sum("words").alias("source_size")), weights, most)
     epochs = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("target") / F.greatest("source_size", F.lit(1))).cast("int") - 1, F.lit(0)))
-    units = held.join(aims, "mix_source").withColumn("epoch", F.explode(epochs))
-    turn = W.partitionBy("mix_source", "epoch").orderBy(F.xxhash64(F.lit(seed), F.lit("turn"), "mix_block", "epoch"), "mix_block")
-    sofar = F.coalesce(F.sum("words").over(turn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    units = units.withColumn("before", F.col("epoch") * F.col("source_size") + sofar)
-    units = units.withColumn("drawn", (F.col("before") < F.col("target")) | (F.col("source_size") == 0))
-    units = units.withColumn("most", F.when(F.col("drawn") & (F.col("before") + F.col("words") > F.col("target")), F.col("target") - F.col("before")))
-    order = W.partitionBy("mix_source", "drawn").orderBy(F.xxhash64(F.lit(seed), F.lit("rank"), "mix_block", "epoch"), "mix_block", "epoch")
-    units = units.withColumn("rank", F.when(F.col("drawn"), F.row_number().over(order) - 1))
-    tree = splitting_tree(units.filter("drawn").groupBy("mix_source").agg(F.count("*").alias("quota")), shards, seed)
+    sized = held.join(aims, "mix_source")
+    units = sized.withColumn("epoch", F.explode(epochs))
+    turn = W.partitionBy("mix_source").orderBy("epoch", F.xxhash64(F.lit(seed), F.lit("turn"), "mix_block", "epoch"), "mix_block")
+    before = F.coalesce(F.sum("words").over(turn.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    units = units.withColumn("before", before).filter((F.col("before") < F.col("target")) | (F.col("source_size") == 0))
+    units = units.withColumn("most", F.when(F.col("before") + F.col("words") > F.col("target"), F.col("target") - F.col("before")))
+    order = W.partitionBy("mix_source").orderBy(F.xxhash64(F.lit(seed), F.lit("rank"), "mix_block", "epoch"), "mix_block", "epoch")
+    units = units.withColumn("rank", F.row_number().over(order) - 1)
+    tree = splitting_tree(units.groupBy("mix_source").agg(F.count("*").alias("quota")), shards, seed)
     a, b = units.alias("a"), tree.alias("b")
     on = (F.col("a.mix_source") == F.col("b.mix_source")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("blocks"))
-    return stash(a.join(b, on, "left").select("a.mix_source", "mix_block", "epoch", "source_size", "target", "drawn", "most", "shard"), "mix-plan")
+    dealt = a.join(b, on).select("a.mix_source", "mix_block", F.struct("epoch", "shard", F.col("most").isNotNull().alias("cut")).alias("unit"), "most")
+    dealt = dealt.groupBy("mix_source", "mix_block").agg(F.sort_array(F.collect_list("unit")).alias("units"), F.max("most").alias("most"))
+    blocks = stash(sized.select("mix_source", "mix_block", "source_size", "target").join(dealt, ["mix_source", "mix_block"], "left"), "mix-plan")
+    cut = thin.join(blocks.filter("most is not null").select("mix_source", "mix_block"), ["mix_source", "mix_block"])
+    sums = cut.groupBy("mix_source", "mix_block", _part().alias("mix_part")).agg(F.sum("mix_size").alias("words"))
+    so_far = W.partitionBy("mix_source", "mix_block").orderBy("mix_part").rowsBetween(W.unboundedPreceding, -1)
+    parts = sums.select("mix_source", "mix_block", "mix_part", F.coalesce(F.sum("words").over(so_far), F.lit(0)).alias("part_before"))
+    return blocks, stash(parts, "mix-cuts")
 
 
-def _upto() -> Column:
-    """Words of a block's documents in hash order up to this one; a block is a 1 / BLOCKS share of its source."""
-    return F.sum("mix_size").over(W.partitionBy("mix_source", "mix_block").orderBy("mix_hash", "mix_size").rowsBetween(W.unboundedPreceding, 0))
+def _with_cuts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """rows with mix_in: whether a document belongs to what is taken of its block where that is cut.
+
+    Only blocks that are cut, at most one of a source, need running sums of their documents, each part of one by itself.
+    """
+    run = W.partitionBy("mix_source", "mix_block", "mix_part").orderBy("mix_hash", "mix_size").rowsBetween(W.unboundedPreceding, 0)
+    cut = rows.filter("most is not null").withColumn("mix_part", _part()).join(parts, ["mix_source", "mix_block", "mix_part"])
+    cut = cut.withColumn("mix_in", F.col("part_before") + F.sum("mix_size").over(run) - F.col("mix_size") / 2 <= F.col("most"))
+    return rows.filter("most is null").withColumn("mix_in", F.lit(False)).unionByName(cut.drop("mix_part", "part_before"))
 
 
 def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
@@ -165,40 +191,42 @@ def mix(docs: DataFrame, size: Column, *, key: str = "doc_id", weights: tuple[fl
     mix_target, mix_epoch (the pass, from 0), mix_block, mix_shard, mix_order (sort a shard by it: its local shuffle).
 
     Whole passes over a source come first; the last pass takes blocks in an order drawn for it, and of the block that
-    crosses the target the documents in hash order up to the one that lands nearest. Nulls: a null source is a source
+    crosses the target the documents in their order up to the one that lands nearest. Nulls: a null source is a source
     of its own, null ids and texts count like any other value. Documents without words ride along with their block.
     Repeated rows are separate documents. Empty input gives no rows. Columns of docs that begin with mix_ are replaced.
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("mix_")])
-    thin = placed(docs.select(key, "source", size.alias("mix_size")), F.col("mix_size"), key, blocks, seed)
-    units = plan(thin, weights, most, shards, seed).filter("drawn")
-    units = units.groupBy("mix_source", "mix_block", "source_size", "target").agg(F.max("most").alias("mix_most"), F.collect_list(F.struct("epoch", "shard", F.col("most").isNotNull().alias("cut"))).alias("mix_units"))
     rows = placed(docs, size, key, blocks, seed)
-    # Only a block that is cut needs its documents' running sums; the others skip the window.
-    joined = rows.join(units, ["mix_source", "mix_block"])
-    cut = joined.filter("mix_most is not null").withColumn("mix_in", _upto() - F.col("mix_size") / 2 <= F.col("mix_most"))
-    out = joined.filter("mix_most is null").withColumn("mix_in", F.lit(True)).unionByName(cut)
-    out = out.withColumn("mix_unit", F.explode("mix_units")).filter(F.col("mix_in") | ~F.col("mix_unit.cut"))
+    held, parts = plan(stash(rows.select("mix_source", "mix_block", "mix_hash", "mix_size"), "mix-sizes"), weights, most, shards, seed)
+    own = ["most", "units", "source_size", "target", "unit"]
+    named = {c: f"mix_own_{c}" for c in own if c in docs.columns}
+    out = _with_cuts(rows.withColumnsRenamed(named).join(held.filter("units is not null"), ["mix_source", "mix_block"]), parts)
+    out = out.withColumn("unit", F.explode("units")).filter(F.col("mix_in") | ~F.col("unit.cut"))
     return out.select(
-        *[F.col(f"`{c}`") for c in docs.columns], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("mix_unit.epoch").alias("mix_epoch"), "mix_block",
-        F.col("mix_unit.shard").alias("mix_shard"), F.xxhash64(F.lit(seed), F.lit("order"), "mix_unit.shard", "mix_unit.epoch", "mix_hash").alias("mix_order"),
+        *[F.col(f"`{named.get(c, c)}`").alias(c) for c in docs.columns], "mix_size", F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("unit.epoch").alias("mix_epoch"), "mix_block",
+        F.col("unit.shard").alias("mix_shard"), F.xxhash64(F.lit(seed), F.lit("order"), "unit.shard", "unit.epoch", "mix_hash").alias("mix_order"),
     )
 
 
 def taken(docs: DataFrame, size: Column, *, key: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, shards: int = SHARDS, blocks: int = BLOCKS, seed: int = SEED) -> DataFrame:
     """The mix by document, with those that it leaves out: docs' columns, size, source_size, target, taken, shards.
 
-    `taken` counts words, repeats included; `shards` lists where its block goes, once per pass. Same rules as mix(). docs is written once with its sizes, so give few columns.
+    `taken` is the sum over the shards' blocks of the document's words there, repeats included; `shards` lists the shards
+    of its block, once per pass. Same rules as mix(); columns of docs with the new names are replaced. docs is written
+    once with its sizes, so give few columns.
     """
-    rows = stash(placed(docs.withColumn("size", size), F.col("size"), key, blocks, seed), "mix-sizes")
-    units = plan(rows.select("mix_source", "mix_block", "mix_size"), weights, most, shards, seed)
-    units = units.groupBy("mix_source", "mix_block", "source_size", "target").agg(F.count_if(F.col("drawn") & F.col("most").isNull()).alias("whole"), F.max("most").alias("most"), F.collect_list("shard").alias("shards"))
-    out = rows.join(units, ["mix_source", "mix_block"]).withColumn("upto", _upto())
-    once = F.when(F.col("upto") - F.col("size") / 2 <= F.col("most"), F.col("size")).otherwise(0)
-    return out.withColumn("taken", F.col("whole") * F.col("size") + once).select(*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target", "taken", "shards")
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "shards") and not c.startswith("mix_")]
+    made = placed(docs.withColumn("size", size).select(*[F.col(f"`{c}`") for c in keep], "size"), F.col("size"), key, blocks, seed)
+    held = {c: f"mix_own_{c}" for c in ("most", "units") if c in keep}
+    rows = stash(made.withColumnsRenamed(held), "mix-sizes")
+    planned, parts = plan(rows.select("mix_source", "mix_block", "mix_hash", "mix_size"), weights, most, shards, seed)
+    out = _with_cuts(rows.join(planned, ["mix_source", "mix_block"]), parts)
+    times = F.coalesce(F.aggregate("units", F.lit(0).cast("long"), lambda n, u: n + F.when(F.col("mix_in") | ~u["cut"], 1).otherwise(0)), F.lit(0).cast("long"))
+    in_shards = F.coalesce(F.transform("units", lambda u: u["shard"]), F.array().cast("array<int>"))
+    return out.select(*[F.col(f"`{held.get(c, c)}`").alias(c) for c in keep], "size", "source_size", "target", (times * F.col("size")).alias("taken"), in_shards.alias("shards"))
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken (and the shards of its block) of every document, for the mix of `documents`."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.xxhash64("text").alias("text"), word_count(F.col("text")).alias("size"))
     return taken(docs, F.col("size")).select("doc_id", "size", "source_size", "target", "taken", "shards")

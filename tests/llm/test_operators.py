@@ -59,7 +59,45 @@ def test_mix_by_document_and_by_row_agree(spark, edge, clashing):
     assert sum(r["mix_size"] for r in rows) == sum(per.values())
     again = mixing.mix(clashing(edge), size).collect()
     assert Counter(map(str, rows)) == Counter(map(str, again))
-    assert set(clashing(edge).columns) - {"mix_size", "mix_block"} <= set(rows[0].asDict())
+    assert set(clashing(edge).columns) - {"mix_size", "mix_block"} <= set(rows[0].asDict()) and rows[0]["size"] == "x"
+
+
+@pytest.mark.parametrize(("blocks", "shards"), [(4, 3), (16, 5), (256, 16)])
+def test_taken_against_a_plain_mix(spark, edge, clashing, blocks, shards):
+    """taken, target and the shards' quotas from the block sums on, one source after the other in plain Python."""
+    size = mixing.word_count(F.col("text"))
+    rows = [r.asDict() for r in mixing.placed(edge, size, "doc_id", blocks).withColumn("part", mixing._part()).collect()]
+    turns = spark.range(blocks).withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(F.col("id").cast("int").alias("b"), "e")
+    turn = {(r["b"], r["e"]): r["t"] for r in turns.select("b", "e", F.xxhash64(F.lit(mixing.SEED), F.lit("turn"), "b", "e").alias("t")).collect()}
+    names = sorted({r["mix_source"] for r in rows}, key=lambda s: (s == "n", s))
+    sizes = [sum(r["mix_size"] for r in rows if r["mix_source"] == s) for s in names]
+    target = dict(zip(names, water_fill(sizes, [1.0, 2.0, 3.0] * 9, 3), strict=False))
+    want, quota = Counter(), {}
+    for s, total in zip(names, sizes, strict=True):
+        own = [r for r in rows if r["mix_source"] == s]
+        used, n = 0, 0
+        for e in range(3):
+            for b in sorted({r["mix_block"] for r in own}, key=lambda b: (turn[b, e], b)):
+                if used >= target[s] and total:
+                    continue
+                held, n = [r for r in own if r["mix_block"] == b], n + (e == 0 or total > 0)
+                words, room, run = sum(r["mix_size"] for r in held), target[s] - used, 0
+                for r in sorted(held, key=lambda r: (r["part"], r["mix_hash"], r["mix_size"])):
+                    run += r["mix_size"]
+                    if words <= room or run - r["mix_size"] / 2 <= room:
+                        want[(r["doc_id"], r["text"], r["source"])] += r["mix_size"]
+                used += words
+        quota[s] = n
+    got, per = Counter(), Counter()
+    df = clashing(edge).withColumns({"target": F.lit("x"), "taken": F.lit("x"), "most": F.lit(1), "units": F.lit(2)})
+    for r in mixing.taken(df, size, blocks=blocks, shards=shards).collect():
+        got[(r["doc_id"], r["text"], r["source"])] += r["taken"]
+        assert r["target"] == pytest.approx(target["n" if r["source"] is None else "s" + r["source"]]) and r["most"] == 1
+    assert +got == +want
+    seen = {(r["mix_shard"], r["mix_source_size"], r["mix_block"], r["mix_epoch"]) for r in mixing.mix(df, size, blocks=blocks, shards=shards).collect()}
+    for shard, *_ in seen:
+        per[shard] += 1
+    assert sum(per.values()) <= sum(quota.values()) and max(per.values()) <= -(-sum(quota.values()) // shards) + 2
 
 
 def test_mix_of_nothing(empty):
