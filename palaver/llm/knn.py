@@ -1,10 +1,14 @@
 """Exact top-k search as a Voronoi join.
 
-Vectors fall into the Voronoi cells of a few pivots. Queries of neighbouring cells form groups of bounded size. For each
-group and data vector the inner product with the group's centre, and the group's radius times the vector's length, bound
-every score between them from both sides. The k-th largest lower bound over all data is a floor that each query of the
-group is sure to reach; a data vector goes to a group only if its upper bound reaches the floor. Groups are solved
-locally, a bounded share of the data at a time, and the shares' best are merged.
+Queries and data fall into the Voronoi cells of pivots. A cell is summed up by its rows, its radius, its longest vector
+and the distances of its nearest rows to the pivot. From two cells' summaries follow bounds of every score between
+their vectors: the k-th largest lower bound over all data cells is a floor that each query of a query cell is sure to
+reach, and a data cell is needed only if its upper bound reaches the floor. Vectors of needed cells then raise the floor
+and are bounded one by one; those that may still reach it are copied to the query cell. Query cells are solved locally,
+a bounded number of queries and of data at a time, and the best of all are merged.
+
+Many rows may hold one vector. Of equal data vectors in a task only the k + 1 smallest ids go on, since no others can
+be among any row's best; equal query vectors are searched once.
 """
 
 from __future__ import annotations
@@ -22,123 +26,213 @@ from .common import mix, stash, table
 TOP = 5
 EVERY = 50
 SCALE = 256
-#: Pivots are drawn from the data by hash; queries in a group, on average at most.
-PIVOTS = 64
-GROUP = 1024
-#: Groups whose centres a pass over the data holds, and data vectors that meet a group in one task, on average.
-GROUPS_AT_ONCE, SHARE = 4096, 8192
+#: Pivots are drawn from the data by hash: the square root of the number of rows, between these.
+LEAST_PIVOTS, MOST_PIVOTS = 16, 1024
+#: Distinct queries, and data vectors on average, that meet in one task.
+GROUP, SHARE = 1024, 8192
+#: Queries that are multiplied with a piece of data at once.
+LINES = 128
 #: Beyond this magnitude sums of products might leave the integers that doubles hold exactly; there Python's are used.
 EXACT = float(1 << 53)
 
-_VECTORS = "id long, dim int, cell int, query boolean, vector binary, length double"
-_VECTORS_ARROW = pa.schema([("id", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("query", pa.bool_()), ("vector", pa.binary()), ("length", pa.float64())])
+_VECTORS = "tag long, id long, dim int, cell int, query boolean, vector binary, length double, distance double"
+_VECTORS_ARROW = pa.schema([("tag", pa.int64()), ("id", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("query", pa.bool_()), ("vector", pa.binary()), ("length", pa.float64()), ("distance", pa.float64())])
 
 
-def whole_numbers(vector) -> np.ndarray | None:
-    """floor(SCALE * x) of each component as doubles; None for a null vector or one with null or non-finite components."""
-    if vector is None:
-        return None
-    x = np.array([np.nan if v is None else v for v in vector], np.float64)
-    return np.floor(x * SCALE) if np.isfinite(x * SCALE).all() else None
+def whole_numbers(column: pa.Array) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """A column of lists of doubles -> by length of list: places, and floor(SCALE * x) of the components as rows.
 
+    Left out: null and empty lists, and those that hold null or non-finite components."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) * SCALE  # null components become nan
+    ends = np.cumsum(sizes)
+    out = {}
+    for dim in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == dim)
+        x = flat[(ends[at] - dim)[:, None] + np.arange(dim)]
+        fine = np.isfinite(x).all(1)
+        if fine.any():
+            out[int(dim)] = at[fine], np.floor(x[fine]) + 0.0  # no negative zeros
+    return sizes, out
 
-def _read(pivots: dict[int, np.ndarray], every: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for key, vector in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = whole_numbers(vector)
-                if x is not None and key is not None:
-                    p = pivots[len(x)] if len(x) in pivots else np.zeros((1, len(x)))
-                    cell = int((((p - x) ** 2).sum(1)).argmin())
-                    rows.append((key, len(x), cell, key % every == 0, x.tobytes(), float(np.sqrt(x @ x))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _VECTORS_ARROW, strict=True)], schema=_VECTORS_ARROW) if rows else pa.RecordBatch.from_pylist([], schema=_VECTORS_ARROW)
 
-    return run
+def _bytes(x: np.ndarray) -> list[bytes]:
+    """Each row as bytes: 4 a component where all of the row are whole numbers of 32 bits, else 8."""
+    narrow = np.abs(x).max(1, initial=0) < 1 << 31
+    return [row.astype(np.int32).tobytes() if n else row.tobytes() for row, n in zip(x, narrow, strict=True)]
 
 
 def _stack(vectors: list[bytes], dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors)).reshape(-1, dim)
+    if all(len(v) == 4 * dim for v in vectors):
+        return np.frombuffer(b"".join(vectors), np.int32).reshape(-1, dim).astype(np.float64)
+    return np.stack([np.frombuffer(v, np.int32 if len(v) == 4 * dim else np.float64).astype(np.float64) for v in vectors])
 
 
-_GROUPS_ARROW = pa.schema([("grp", pa.int64()), ("dim", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary()), ("centre", pa.binary()), ("radius", pa.float64())])
-_GROUPS = "grp long, dim int, ids binary, vectors binary, centre binary, radius double"
+def _lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.einsum("ij,ij->i", x, x))
 
 
-def _group(t: pa.Table) -> pa.Table:
-    """One group's queries -> their matrix, centre and radius."""
-    dim = t["dim"][0].as_py()
-    x = _stack(t["vector"].to_pylist(), dim)
-    centre = x.mean(0)
-    radius = float(np.sqrt(((x - centre) ** 2).sum(1)).max()) * (1 + 1e-9) + 1e-6
-    return pa.Table.from_pylist([{"grp": t["grp"][0].as_py(), "dim": dim, "ids": t["id"].to_numpy().astype(np.int64).tobytes(), "vectors": x.tobytes(), "centre": centre.tobytes(), "radius": radius}], schema=_GROUPS_ARROW)
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest pivot of each row and the distance from it."""
+    cell = ((pivots * pivots).sum(1) / 2 - x @ pivots.T).argmin(1)
+    return cell, _lengths(x - pivots[cell])
 
 
-Heads = dict[int, list[tuple[int, np.ndarray, float, float]]]
+def _read(pivots: dict[int, np.ndarray], every: int, k: int):
+    """(tag, id, vector) -> rows with their cells. Data rows of one vector: the k + 1 smallest ids of a batch, and where a
+    batch has more than that, of the task. Query rows come besides, marked so, all of them."""
 
+    def rows(tag, ids, dim, cell, query, x, length, distance) -> pa.RecordBatch:
+        n = len(tag)
+        return pa.RecordBatch.from_arrays([pa.array(tag), pa.array(ids), pa.array(np.full(n, dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(np.full(n, query)), pa.array(_bytes(x), pa.binary()), pa.array(length), pa.array(distance)], schema=_VECTORS_ARROW)
 
-def _heads(rows, floors: dict[int, float]) -> Heads:
-    """By dimension: (group, centre, radius, floor)."""
-    out: Heads = {}
-    for r in rows:
-        out.setdefault(r["dim"], []).append((r["grp"], np.frombuffer(bytes(r["centre"])), r["radius"], floors.get(r["grp"], -np.inf)))
-    return out
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common: dict[tuple, list] = {}  # vectors that a batch held more than k + 1 times: their smallest (id, tag)
+        for b in batches:
+            tags, keys = (b.column(c).to_numpy(zero_copy_only=False) for c in range(2))
+            for dim, (at, x) in whole_numbers(b.column(2))[1].items():
+                tag, ids = tags[at], keys[at]
+                cell, distance = _nearest(x, pivots[dim] if dim in pivots else np.zeros((1, dim)))
+                length = _lengths(x)
+                q = ids % every == 0
+                if q.any():
+                    yield rows(tag[q], ids[q], dim, cell[q], True, x[q], length[q], distance[q])
+                _, first, of = np.unique(x.view(f"V{8 * dim}").ravel(), return_index=True, return_inverse=True)
+                order = np.lexsort((tag, ids, of))
+                start = np.flatnonzero(np.r_[True, of[order][1:] != of[order][:-1]])
+                rank = np.arange(len(order)) - np.repeat(start, np.diff(np.r_[start, len(order)]))
+                keep = order[rank <= k]
+                many = np.bincount(of) > k + 1
+                hot = {c: (dim, x[first[c]].tobytes()) for c in np.flatnonzero(many)}
+                if common:
+                    hot |= {c: key for c in range(len(first)) if (key := (dim, x[first[c]].tobytes())) in common}
+                for c, key in hot.items():
+                    own = keep[of[keep] == c]
+                    common[key] = sorted([*common.get(key, []), *zip(ids[own].tolist(), tag[own].tolist(), cell[own].tolist(), length[own].tolist(), distance[own].tolist(), strict=True)])[: k + 1]
+                if hot:
+                    keep = keep[~np.isin(of[keep], list(hot))]
+                if len(keep):
+                    yield rows(tag[keep], ids[keep], dim, cell[keep], False, x[keep], length[keep], distance[keep])
+        for (dim, vector), held in common.items():
+            ids, tag, cell, length, distance = (np.array(c) for c in zip(*held, strict=True))
+            yield rows(tag, ids, dim, cell, False, np.tile(np.frombuffer(vector), (len(ids), 1)), length, distance)
 
-def _bounds(x: np.ndarray, lengths: np.ndarray, heads: list) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the scores between data vectors (rows) and all queries of a group (columns)."""
-    middle = x @ np.stack([h[1] for h in heads]).T
-    off = np.outer(lengths, [h[2] for h in heads])
-    slack = (np.abs(middle) + off) * 1e-9 + 1e-3
-    return middle - off - slack, middle + off + slack
+    return run
 
 
-def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    dims = b.column("dim").to_numpy()
-    ids, lengths, vectors = b.column("id").to_numpy(), b.column("length").to_numpy(), b.column("vector").to_pylist()
+def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dim, places, vectors) of a batch."""
+    dims, vectors = b.column("dim").to_numpy(), b.column("vector").to_pylist()
     for dim in np.unique(dims):
         at = np.flatnonzero(dims == dim)
-        yield int(dim), ids[at], lengths[at], _stack([vectors[i] for i in at], int(dim))
+        yield int(dim), at, _stack([vectors[i] for i in at], int(dim))
+
 
+_CELLS = "dim int, cell int, query boolean, n long, radius double, longest double, nearest array<double>"
+_CELLS_ARROW = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("query", pa.bool_()), ("n", pa.int64()), ("radius", pa.float64()), ("longest", pa.float64()), ("nearest", pa.list_(pa.float64()))])
 
-def _floors(heads: Heads, k: int):
-    """Data -> for each group the k largest lower bounds that a task has seen."""
+
+def _summaries(k: int):
+    """A task's part of each cell's summary: rows, largest distance from the pivot, longest vector, k + 1 smallest distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, np.ndarray] = {}
+        held: dict[tuple, list] = {}
         for b in batches:
-            for dim, _, lengths, x in _by_dim(b):
-                own = heads.get(dim, [])
-                if own:
-                    low, _ = _bounds(x, lengths, own)
-                    low = np.partition(low, -k, axis=0)[-k:] if len(low) > k else low
-                    for c, h in enumerate(own):
-                        both = np.concatenate([best.get(h[0], np.zeros(0)), low[:, c]])
-                        best[h[0]] = np.sort(both)[-k:]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(list(best), [len(v) for v in best.values()]).astype(np.int64)), pa.array(np.concatenate([np.zeros(0), *best.values()]))], names=["grp", "low"])
+            t = pa.Table.from_batches([b]).to_pandas()
+            for key, g in t.groupby(["dim", "cell", "query"]):
+                n, radius, longest, near = held.get(key, (0, 0.0, 0.0, []))
+                held[key] = (n + len(g), max(radius, g["distance"].max()), max(longest, g["length"].max()), sorted([*near, *g["distance"].nsmallest(k + 1)])[: k + 1])
+        out = [{"dim": int(d), "cell": int(c), "query": bool(q), "n": n, "radius": r, "longest": m, "nearest": near} for (d, c, q), (n, r, m, near) in held.items()]
+        yield pa.RecordBatch.from_pylist(out, schema=_CELLS_ARROW)
 
     return run
 
 
-_AIMED = "grp long, share int, ids binary, vectors binary"
-_AIMED_ARROW = pa.schema([("grp", pa.int64()), ("share", pa.int32()), ("ids", pa.binary()), ("vectors", pa.binary())])
+class Cells:
+    """The pivots of one dimension, the summaries of their query and data cells, and what follows from them."""
+
+    def __init__(self, pivots: np.ndarray, rows: list, k: int):
+        n = len(pivots)
+        self.pivots = pivots
+        self.queries, self.rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.reach, q_longest, self.radius, longest = (np.zeros(n) for _ in range(4))
+        near = np.full((n, k + 1), np.inf)
+        for r in rows:
+            c = r["cell"]
+            if r["query"]:
+                self.queries[c], self.reach[c], q_longest[c] = r["n"], r["radius"], r["longest"]
+            else:
+                self.rows[c], self.radius[c], longest[c] = r["n"], r["radius"], r["longest"]
+                near[c, : len(r["nearest"])] = r["nearest"]
+        size = _lengths(pivots)
+        middle = pivots @ pivots.T
+        # q = pivot + e, x = pivot + f: their product is middle + pivot * f + e * x, and half of |q|^2 + |x|^2 - |q - x|^2.
+        off = np.outer(size, self.radius) + np.outer(self.reach, longest)
+        apart = np.stack([_lengths(p - pivots) for p in pivots])
+        gap = np.maximum(0, apart - self.reach[:, None] - self.radius)
+        squares = (q_longest**2)[:, None] + longest**2
+        high = np.minimum(middle + off, (squares - gap**2) / 2) + (np.abs(middle) + off + squares) * 1e-9 + 1e-3
+        self.floor = np.full(n, -np.inf)
+        for a in np.flatnonzero(self.queries):
+            with np.errstate(invalid="ignore"):
+                low = middle[a][:, None] - size[a] * near - self.reach[a] * (size[:, None] + near)
+                low = low - (np.abs(middle[a])[:, None] + size[a] * near + self.reach[a] * (size[:, None] + near)) * 1e-9 - 1e-3
+            low = low[np.isfinite(near)]
+            if len(low) > k:
+                self.floor[a] = np.partition(low, -(k + 1))[-(k + 1)]
+        self.needed = (high >= self.floor[:, None]) & (self.queries > 0)[:, None] & (self.rows > 0)
+
+    def bounds(self, a: int, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the scores between data vectors and all queries of a cell."""
+        middle, off = x @ self.pivots[a], lengths * self.reach[a]
+        slack = (np.abs(middle) + off) * 1e-9 + 1e-3
+        return middle - off - slack, middle + off + slack
+
+
+def _pieces(b: pa.RecordBatch, cells: dict[int, Cells]) -> Iterator[tuple[int, Cells, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dim, cells, query cell, places in the batch, vectors, lengths) for each query cell that needs cells of the batch."""
+    of, lengths = b.column("cell").to_numpy(), b.column("length").to_numpy()
+    for dim, at, x in _by_dim(b):
+        own = cells.get(dim)
+        if own is None:
+            continue
+        here = own.needed[:, of[at]]
+        for a in np.flatnonzero(here.any(1)):
+            pick = here[a]
+            yield dim, own, int(a), at[pick], x[pick], lengths[at[pick]]
+
+
+def _floors(cells: dict[int, Cells], k: int):
+    """Data -> for each query cell the k + 1 largest lower bounds that a task has seen."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for dim, own, a, _, x, lengths in _pieces(b, cells):
+                both = np.concatenate([best.get((dim, a), np.zeros(0)), own.bounds(a, x, lengths)[0]])
+                best[dim, a] = both if len(both) <= k else np.partition(both, -(k + 1))[-(k + 1) :]
+        yield pa.RecordBatch.from_pydict({"dim": pa.array([d for (d, _), v in best.items() for _ in v], pa.int32()), "cell": pa.array([a for (_, a), v in best.items() for _ in v], pa.int32()), "low": pa.array(np.concatenate([np.zeros(0), *best.values()]))})
+
+    return run
+
+
+_AIMED = "dim int, cell int, share int, n long, tags binary, ids binary, vectors binary"
+_AIMED_ARROW = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("share", pa.int32()), ("n", pa.int64()), ("tags", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary())])
 
-def _aim(heads: Heads, shares: int):
-    """Data -> a copy for each group whose floor a vector may reach."""
+
+def _aim(cells: dict[int, Cells], shares: dict[tuple[int, int], int]):
+    """Data -> a copy for each query cell whose floor a vector may reach."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for dim, ids, lengths, x in _by_dim(b):
-                own = heads.get(dim, [])
-                if not own:
-                    continue
-                _, high = _bounds(x, lengths, own)
-                share = int(mix(ids[:1].astype(np.uint64))[0] % np.uint64(shares))
-                for c, h in enumerate(own):
-                    need = high[:, c] >= h[3]
-                    if need.any():
-                        yield pa.RecordBatch.from_pylist([{"grp": h[0], "share": share, "ids": ids[need].tobytes(), "vectors": x[need].tobytes()}], schema=_AIMED_ARROW)
+            tags, ids = b.column("tag").to_numpy(), b.column("id").to_numpy()
+            for dim, own, a, at, x, lengths in _pieces(b, cells):
+                need = own.bounds(a, x, lengths)[1] >= own.floor[a]
+                if need.any():
+                    at, x = at[need], x[need]
+                    share = int(mix(tags[at[:1]].astype(np.uint64))[0] % np.uint64(shares[dim, a]))
+                    packed = x.astype(np.int32) if np.abs(x).max() < 1 << 31 else x
+                    yield pa.RecordBatch.from_pylist([{"dim": dim, "cell": a, "share": share, "n": len(at), "tags": tags[at].tobytes(), "ids": ids[at].tobytes(), "vectors": packed.tobytes()}], schema=_AIMED_ARROW)
 
     return run
 
@@ -151,81 +245,91 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (q @ x.T).astype(np.int64)
 
 
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+_FOUND = "query long, tag long, vec_id long, score long"
+_FOUND_ARROW = pa.schema([("query", pa.int64()), ("tag", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def _solve(k: int):
-    """A group's queries and a share of its data -> each query's best k there."""
-
-    def run(groups: pa.Table, data: pa.Table) -> pa.Table:
-        cols: list[list] = [[], [], []]
-        for g in groups.to_pylist():
-            q, keys = _stack([g["vectors"]], g["dim"]), np.frombuffer(g["ids"], np.int64)
-            for ids, vectors in zip(data["ids"].to_pylist(), data["vectors"].to_pylist(), strict=True):
-                ids, x = np.frombuffer(ids, np.int64), _stack([vectors], g["dim"])
-                order = np.argsort(ids, kind="stable")
-                ids, scores = ids[order], products(q, x[order])
-                for key, line in zip(keys, scores, strict=True):
-                    near = np.arange(len(ids)) if len(ids) <= k + 1 else np.flatnonzero(line >= np.partition(line, -(k + 1))[-(k + 1)])
-                    near = near[ids[near] != key]
-                    best = near[np.argsort(-line[near], kind="stable")][:k]
-                    cols[0] += [int(key)] * len(best)
-                    cols[1] += ids[best].tolist()
-                    cols[2] += [int(v) for v in line[best]]
-        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in cols], schema=_FOUND)
+    """Some queries of a cell and a share of its data -> each query's best k + 1 there."""
+
+    def run(queries: pa.Table, data: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        if len(queries) and len(data):
+            dim, names = queries["dim"][0].as_py(), queries["query"].to_numpy()
+            q = _stack(queries["vector"].to_pylist(), dim)
+            for tags, ids, n, vectors in zip(*(data[c].to_pylist() for c in ("tags", "ids", "n", "vectors")), strict=True):
+                ids, tags = np.frombuffer(ids, np.int64), np.frombuffer(tags, np.int64)
+                x = np.frombuffer(vectors, np.int32 if len(vectors) == 4 * dim * n else np.float64).reshape(-1, dim).astype(np.float64)
+                order = np.lexsort((tags, ids))
+                ids, tags, x = ids[order], tags[order], x[order]
+                for first in range(0, len(q), LINES):
+                    for name, line in zip(names[first : first + LINES], products(q[first : first + LINES], x), strict=True):
+                        near = np.arange(len(ids)) if len(ids) <= k + 1 else np.flatnonzero(line >= np.partition(line, -(k + 1))[-(k + 1)])
+                        best = near[np.argsort(-line[near], kind="stable")][: k + 1]
+                        for c, v in zip(out, (np.full(len(best), name), tags[best], ids[best], np.array([int(s) for s in line[best]], np.int64)), strict=True):
+                            c.append(v)
+        return pa.Table.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *c])) for c in out], schema=_FOUND_ARROW)
 
     return run
 
 
-def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = TOP, every: int = EVERY, pivots: int = PIVOTS, group: int = GROUP) -> DataFrame:
-    """(query_id, rank, vec_id, score): for every row whose key `every` divides, the k rows of other keys that score best.
+def _pivots(plain: DataFrame, n: int) -> dict[int, np.ndarray]:
+    """Pivots by dimension: the vectors of n rows drawn by hash, MOST_PIVOTS at most."""
+    many = int(min(MOST_PIVOTS, max(LEAST_PIVOTS, n**0.5)))
+    drawn = plain.orderBy(F.xxhash64("id", "v", F.lit("pivot")), "id").limit(many).select("v").collect()
+    found = whole_numbers(pa.array([r["v"] for r in drawn], pa.list_(pa.float64())))[1]
+    return {d: np.unique(x, axis=0) for d, (_, x) in found.items()}
+
 
-    Components count as floor(256 * x). Ties go to the smaller key. Vectors that are null or hold null or non-finite
-    components take no part, nor do null keys; only vectors of one length are compared. Rows that repeat a key count as
-    one, the first by its bytes. Scores beyond 64 bits are an error. Empty input gives no rows; other columns are ignored.
+def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding", k: int = TOP, every: int = EVERY, group: int = GROUP, share: int = SHARE) -> DataFrame:
+    """(query_id, rank, vec_id, score): for every row whose key `every` divides, the k other rows that score best.
+
+    Components count as floor(256 * x). Ties go to the smaller key. Vectors that are null or empty or hold null or
+    non-finite components take no part, nor do null keys; only vectors of one length are compared. Rows that repeat a
+    key are rows of their own, also as queries: each has ranks of its own, and the others of its key are candidates.
+    Scores beyond 64 bits are an error. Empty input gives no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     plain = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-    drawn = plain.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(pivots).select("v").collect()
-    centres: dict[int, list] = {}
-    for r in drawn:
-        if (x := whole_numbers(r["v"])) is not None:
-            centres.setdefault(len(x), []).append(x)
-    read = plain.mapInArrow(_read({d: np.stack(x) for d, x in centres.items()}, every), _VECTORS)
-    read = read.groupBy("id").agg(F.min(F.struct("vector", "dim", "cell", "query", "length")).alias("r")).select("id", "r.*")
-    data = stash(read.select("id", "dim", "cell", "query", "vector", "length"), "vectors")
-
-    # Groups: queries in the order of their cells, a bounded number to each; a large cell is dealt out by hash.
-    queries = data.filter("query")
-    lines, now, used, last = [], 0, 0, None
-    for r in queries.groupBy("dim", "cell").count().orderBy("dim", "cell").collect():  # a row per pivot and dimension
-        if r["dim"] != last or used + r["count"] > group:
-            now, used, last = now + 1, 0, r["dim"]
-        parts = -(-r["count"] // group)
-        lines.append((r["dim"], r["cell"], now, parts))
-        now, used = now + parts - 1, used + r["count"]
-    if not lines:
+    pivots = _pivots(plain, plain.count())
+    tagged = plain.select(F.monotonically_increasing_id().alias("tag"), "id", "v")  # written below, so a row keeps its tag
+    read = stash(tagged.mapInArrow(_read(pivots, every, k), _VECTORS), "vectors")
+    data = read.filter("not query")
+
+    # A row for each cell of each kind, MOST_PIVOTS cells at most for each dimension.
+    partial = read.select("dim", "cell", "query", "length", "distance").mapInArrow(_summaries(k), _CELLS)
+    summed = partial.groupBy("dim", "cell", "query").agg(F.sum("n").alias("n"), F.max("radius").alias("radius"), F.max("longest").alias("longest"), F.slice(F.array_sort(F.flatten(F.collect_list("nearest"))), 1, k + 1).alias("nearest"))
+    by_dim: dict[int, list] = {}
+    for r in summed.collect():
+        by_dim.setdefault(r["dim"], []).append(r)
+    cells = {d: Cells(pivots[d] if d in pivots else np.zeros((1, d)), rows, k) for d, rows in by_dim.items() if any(r["query"] for r in rows)}
+    if not cells:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    plan = spark.createDataFrame(lines, "dim int, cell int, base long, parts int")
-    placed = queries.join(F.broadcast(plan), ["dim", "cell"]).withColumn("grp", F.col("base") + F.pmod(F.xxhash64("id"), "parts"))
-    groups = stash(placed.select("grp", "id", "dim", "vector").groupBy("grp").applyInArrow(_group, _GROUPS), "query-groups")
-
-    shares = max(1, data.count() // SHARE)
-    aimed = None
-    for first in range(0, now + 1, GROUPS_AT_ONCE):
-        own = groups.filter((F.col("grp") >= first) & (F.col("grp") < first + GROUPS_AT_ONCE)).select("grp", "dim", "centre", "radius").collect()
-        thin = data.select("id", "dim", "vector", "length")
-        # The query's own row may be among the best, so the floor is the (k + 1)th largest lower bound.
-        low = thin.mapInArrow(_floors(_heads(own, {}), k + 1), "grp long, low double")
-        ranked = low.withColumn("r", F.row_number().over(W.partitionBy("grp").orderBy(F.desc("low")))).filter(F.col("r") == k + 1)
-        floors = {r["grp"]: r["low"] for r in ranked.select("grp", "low").collect()}
-        part = thin.mapInArrow(_aim(_heads(own, floors), shares), _AIMED)
-        aimed = part if aimed is None else aimed.unionByName(part)
-    spread = groups.select("grp", "dim", "ids", "vectors", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
-    found = spread.groupBy("grp", "share").cogroup(aimed.groupBy("grp", "share")).applyInArrow(_solve(k), "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    out = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
-    return out.select("query_id", "rank", "vec_id", "score")
+
+    # The query's own row may be among the best, so the floor is the (k + 1)th largest lower bound.
+    low = data.mapInArrow(_floors(cells, k), "dim int, cell int, low double")
+    ranked = low.withColumn("r", F.row_number().over(W.partitionBy("dim", "cell").orderBy(F.desc("low")))).filter(F.col("r") == k + 1)
+    for r in ranked.collect():
+        cells[r["dim"]].floor[r["cell"]] = max(cells[r["dim"]].floor[r["cell"]], r["low"])
+
+    # Equal query vectors are one query; a cell's are dealt out by hash, and so are the data it may need.
+    queries = read.filter("query").select("tag", "id", "dim", "cell", "vector")
+    distinct = stash(queries.select("dim", "cell", "vector").distinct().withColumn("query", F.monotonically_increasing_id()), "query-vectors")
+    parts = {(r["dim"], r["cell"]): -(-r["count"] // group) for r in distinct.groupBy("dim", "cell").count().collect()}
+    shares = {(d, a): int(max(1, -(-c.rows[c.needed[a]].sum() // share))) for d, c in cells.items() for a in np.flatnonzero(c.queries).tolist()}
+    spread = spark.createDataFrame([(d, a, int(parts[d, a]), shares[d, a]) for d, a in parts], "dim int, cell int, parts int, shares int")
+    number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    asked = distinct.join(F.broadcast(spread), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).withColumn("share", F.explode(number("shares")))
+    aimed = data.mapInArrow(_aim(cells, shares), _AIMED).join(F.broadcast(spread), ["dim", "cell"]).withColumn("part", F.explode(number("parts")))
+    by = ["dim", "cell", "part", "share"]
+    found = asked.select(*by, "query", "vector").groupBy(*by).cogroup(aimed.select(*by, "n", "tags", "ids", "vectors").groupBy(*by)).applyInArrow(_solve(k), _FOUND)
+    best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "tag")
+    found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
+    lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "tag", "vec_id", "score"))).alias("best"))
+    own = queries.join(distinct, ["dim", "cell", "vector"]).select("query", F.col("tag").alias("own"), F.col("id").alias("query_id"))
+    others = F.slice(F.filter("best", lambda b: b["tag"] != F.col("own")), 1, k)
+    out = own.join(lists, "query").select("query_id", F.posexplode(others).alias("p", "b"))
+    return out.select("query_id", (F.col("p") + 1).alias("rank"), "b.vec_id", "b.score")
 
 
 def op6_knn(spark, sf_dir: str) -> DataFrame:

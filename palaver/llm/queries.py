@@ -38,10 +38,10 @@ both_ as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b o
 link as (select a, b from both_ join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 75 * (x.n + y.n - k)),
 reach as (select doc_id as a, doc_id as b from w union select r.a, l.b from reach r join link l on l.a = r.b)
 select w.doc_id, coalesce(n.n, 0) as n_shingles, (select min(b) from reach r where r.a = w.doc_id) as component_id from w left join n using (doc_id)"""
-_TOP = """with v as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
-  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from s)
+_TOP = """with v as (select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.row, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score from v q join v c on q.row <> c.row where q.vec_id % 50 = 0),
+r as (select *, cast(row_number() over (partition by row order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 _HOST, _PATH = r"translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", r"regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
 _NODE = _HOST + r" || regexp_extract({0}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"

@@ -377,29 +377,76 @@ def test_statistics_do_not_depend_on_neighbours():
 
 
 def brute_top(rows, k=5, every=50):
-    kept = {}
+    kept = []
     for i, v in rows:
-        if i is None or v is None or any(x is None or not np.isfinite(x) for x in v):
+        if i is None or not v or any(x is None or not np.isfinite(x) for x in v):
             continue
-        x = [int(np.floor(256 * float(np.float32(c)))) for c in v]
-        kept.setdefault(i, x)
+        kept.append((i, [int(np.floor(256 * float(np.float32(c)))) for c in v]))
     out = []
-    for i, x in kept.items():
+    for a, (i, x) in enumerate(kept):
         if i % every == 0:
-            s = sorted(((-sum(a * b for a, b in zip(x, y, strict=True)), j) for j, y in kept.items() if j != i and len(y) == len(x)))
+            s = sorted((-sum(p * q for p, q in zip(x, y, strict=True)), j) for b, (j, y) in enumerate(kept) if a != b and len(y) == len(x))
             out += [(i, r + 1, j, -v) for r, (v, j) in enumerate(s[:k])]
     return sorted(out)
 
 
-@pytest.mark.parametrize("group", [3, 1000])
-def test_top_k_is_exact(spark, group, monkeypatch):
-    monkeypatch.setattr(knn, "SHARE", 100)
+@pytest.mark.parametrize(("group", "share"), [(3, 100), (1000, 8192)])
+def test_top_k_is_exact(spark, group, share):
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(9, 8))
     rows = [(i, [float(np.float32(c)) for c in centres[i % 9] + 0.3 * rng.normal(size=8)]) for i in range(700)]
-    rows += [(1000, rows[5][1]), (1050, rows[5][1]), (1051, None), (1100, [None] * 8), (1101, [float("nan")] * 8), (1150, [float("inf")] * 8), (1200, [0.0] * 8), (1250, [1.0, 2.0]), (1251, [2.0, 1.0]), (None, [0.1] * 8)]
+    rows += [(1000, rows[5][1]), (1050, rows[5][1]), (1051, None), (1100, [None] * 8), (1101, [float("nan")] * 8), (1150, [float("inf")] * 8), (1200, [0.0] * 8), (1250, [1.0, 2.0]), (1251, [2.0, 1.0]), (None, [0.1] * 8), (1300, [])]
+    rows += [(50, rows[7][1]), (50, rows[7][1]), (50, rows[50][1]), (51, rows[3][1]), (51, rows[4][1]), (1350, [1e7] + [0.0] * 7), (1351, [-1e6] * 8)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, label int")
-    assert sorted(tuple(r) for r in knn.top_k(df, group=group).collect()) == brute_top(rows)
+    assert sorted(tuple(r) for r in knn.top_k(df, group=group, share=share).collect()) == brute_top(rows)
+
+
+def test_top_k_takes_every_row_of_a_repeated_key(spark):
+    rows = [(0, [1.0]), (1, [1.0]), (1, [2.0]), (1, [3.0])]
+    got = sorted(tuple(r) for r in knn.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(0, 1, 1, 196608), (0, 2, 1, 131072), (0, 3, 1, 65536)] == brute_top(rows)
+
+
+def test_top_k_with_a_vector_of_a_third_of_all_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [1.0, 1.0, 0.5] if i % 3 == 0 else rng.normal(size=3).astype(np.float32).tolist()) for i in range(1200)]
+    rows += rows[:4]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    held = []
+    read = knn.stash
+
+    def noted(df, name):
+        out = read(df, name)
+        held.append((name, out.filter("not query").count() if name == "vectors" else out.count()))
+        return out
+
+    knn.stash = noted
+    try:
+        assert sorted(tuple(r) for r in knn.top_k(df).collect()) == brute_top(rows)
+    finally:
+        knn.stash = read
+    assert dict(held)["vectors"] <= 810 + 6 * df.rdd.getNumPartitions()
+
+
+def test_clustered_vectors_go_where_they_are_needed(spark):
+    """60 clusters far apart: a query cell needs few cells, and few vectors are copied."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 16)) * 4
+    rows = [(i, [float(np.float32(c)) for c in centres[i % 60] + 0.1 * rng.normal(size=16)]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    shipped, asked, held = [], [], knn._aim
+
+    def noted(cells, shares):
+        shipped.append(sum(int(c.rows[c.needed[a]].sum()) for c in cells.values() for a in np.flatnonzero(c.queries)))
+        asked.append(sum(int((c.queries > 0).sum()) for c in cells.values()))
+        return held(cells, shares)
+
+    knn._aim = noted
+    try:
+        assert sorted(tuple(r) for r in knn.top_k(df, share=500).collect()) == brute_top(rows)
+    finally:
+        knn._aim = held
+    assert shipped[0] < 0.25 * asked[0] * len(rows), (shipped, asked)
 
 
 def test_top_k_of_few_or_none(spark):
