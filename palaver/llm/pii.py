@@ -3,14 +3,19 @@
 Plain identifiers are found in the text as it stands. Disguised ones are found in a normalised text: transducers
 rewrite look-alike letters and digits, drop invisible characters, turn spelled digits into digits and at/dot words
 into signs. Each keeps, for every character it writes, the span of the source it was read from, so what is detected
-in the normalised text maps back to source characters.
+in the normalised text maps back to source characters. Plain spans always stay. A disguised span that goes beyond a plain
+one it meets comes besides, as a whole: of an address with look-alikes in front the plain one is only the tail.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,39 +36,66 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A document must show one of these for its kind to be looked for at all.
 _HINTS = {"email": re.compile("@"), "ip": re.compile(r"[0-9]\.[0-9]+\.[0-9]"), "card": re.compile(r"[0-9]([\x20-]?[0-9]){11}"), "phone": re.compile(r"\+[0-9]")}
-#: Look-alikes of ASCII letters and digits; full-width forms follow by rule.
+#: Look-alikes of ASCII letters and signs. What stands for one by its decimal value or compatibility form follows by rule.
 LOOKALIKES = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X",
-    "ο": "o", "α": "a", "ν": "v", "ρ": "p", "ι": "i", "Α": "A", "Β": "B", "Ε": "E", "Ο": "O", "Ρ": "P", "Τ": "T",
-    "\u2024": ".", "\u3002": ".", "\uff61": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u00a0": " ", "\u2007": " ", "\u2009": " ", "\u202f": " ",
-} | {chr(0xFEE0 + c): chr(c) for c in range(0x21, 0x7F)}
+    "\u0430": "a", "\u0435": "e", "\u043e": "o", "\u0440": "p", "\u0441": "c", "\u0443": "y", "\u0445": "x", "\u0456": "i", "\u0458": "j", "\u0455": "s", "\u0501": "d", "\u04bb": "h", "\u043a": "k", "\u043c": "m", "\u0442": "t", "\u04cf": "l", "\u051b": "q", "\u051d": "w",
+    "\u0410": "A", "\u0412": "B", "\u0415": "E", "\u041a": "K", "\u041c": "M", "\u041d": "H", "\u041e": "O", "\u0420": "P", "\u0421": "C", "\u0422": "T", "\u0425": "X", "\u0406": "I", "\u0405": "S", "\u0408": "J", "\u04c0": "I",
+    "\u03bf": "o", "\u03b1": "a", "\u03bd": "v", "\u03c1": "p", "\u03b9": "i", "\u03c5": "u", "\u03ba": "k", "\u03c4": "t", "\u03c7": "x", "\u03b3": "y", "\u03b7": "n",
+    "\u0391": "A", "\u0392": "B", "\u0395": "E", "\u0396": "Z", "\u0397": "H", "\u0399": "I", "\u039a": "K", "\u039c": "M", "\u039d": "N", "\u039f": "O", "\u03a1": "P", "\u03a4": "T", "\u03a5": "Y", "\u03a7": "X",
+    "\u1d00": "a", "\u0299": "b", "\u1d04": "c", "\u1d05": "d", "\u1d07": "e", "\ua730": "f", "\u0262": "g", "\u029c": "h", "\u026a": "i", "\u1d0a": "j", "\u1d0b": "k", "\u029f": "l", "\u1d0d": "m", "\u0274": "n", "\u1d0f": "o", "\u1d18": "p", "\u0280": "r", "\ua731": "s", "\u1d1b": "t", "\u1d1c": "u", "\u1d20": "v", "\u1d21": "w", "\u028f": "y", "\u1d22": "z",
+    "\u0130": "I", "\u0131": "i", "\u0251": "a", "\u0261": "g", "\u3002": ".", "\uff61": ".", "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2212": "-",
+}
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
-SPELLED = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_ODD = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + "]")
-_DIGIT_WORD = "(?:" + "|".join(SPELLED) + ")"
+#: Digits, signs and the plus by name in the four languages of the corpus.
+SPELLED = {
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "f\u00fcnf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "z\u00e9ro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "\u00e4t", "arobase", "arroba"), ("dot", "punkt", "point", "punto"), ("plus", "m\u00e1s")
+
+
+def _tree(words) -> str:
+    """A pattern of any of the words, the longest first, that reads what they begin with once."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[:1], []).append(w[1:])
+    end = "" in by
+    inner = "|".join(c + _tree(rest) for c, rest in by.items() if c)
+    return "" if not inner else f"(?:{inner})" + ("?" if end else "")
+
+
+_DIGIT_WORD, _AT_WORD, _DOT_WORD, _PLUS_WORD = map(_tree, (SPELLED, AT_WORDS, DOT_WORDS, PLUS_WORDS))
+_LETTER = r"[^\W\d_]"
 #: Digits and digit words in a row. Runs of digits are taken whole: taken apart, their ways grow as powers of two.
-_SPELLED = re.compile(rf"(?<![A-Za-z0-9])(?:{_DIGIT_WORD}|[0-9]++)(?:(?:[.-]\x20?|\x20{{1,2}})?(?:{_DIGIT_WORD}|[0-9]++|dot|plus)(?![A-Za-z]))+(?![A-Za-z0-9])", re.I)
-#: A row has at least LEAST_SPELLED of these; fewer are ordinary prose.
-_ELEMENT = re.compile(rf"{_DIGIT_WORD}|[0-9]|dot|plus", re.I)
-LEAST_SPELLED = 3
-_WORD = re.compile(rf"{_DIGIT_WORD}(?![A-Za-z])", re.I)
-_BRACKETED = re.compile(r"\x20?[\[({<]\x20?(at|dot|@|\.)\x20?[\])}>]\x20?", re.I)
+_GAP = r"(?:[.-]\x20?|\x20{1,2})?"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:{_DIGIT_WORD}|[0-9]++)(?:{_GAP}(?:{_DIGIT_WORD}|[0-9]++|{_DOT_WORD}|{_PLUS_WORD})(?!{_LETTER}))+(?![^\W_])", re.I)
+#: A row has at least LEAST_SPELLED of these, LEAST_WORDS of them words; fewer are ordinary prose.
+_ELEMENT = re.compile(rf"{_DIGIT_WORD}|[0-9]|{_DOT_WORD}|{_PLUS_WORD}", re.I)
+LEAST_SPELLED, LEAST_WORDS = 3, 2
+_WORD = re.compile(rf"{_DIGIT_WORD}(?!{_LETTER})", re.I)
+_SPELLED_DOT = re.compile(rf"\x20{_DOT_WORD}\x20", re.I)
+_BRACKETED = re.compile(rf"\x20?[\[({{<]\x20?({_AT_WORD}|{_DOT_WORD}|@|\.)\x20?[\])}}>]\x20?", re.I)
 #: A spelled plus before a digit, spelled or not.
-_PLUS = re.compile(rf"(?<![A-Za-z0-9])plus\x20{{0,2}}(?={_DIGIT_WORD}(?![A-Za-z])|[0-9])", re.I)
-_DOT = r"(?:\x20dot\x20|\.|\x20\.\x20)"
-#: Bare words count only in the whole form `name at host dot ending`; after `at` the ending is a top-level label of letters.
+_PLUS = re.compile(rf"(?<![^\W_]){_PLUS_WORD}\x20{{0,2}}(?={_DIGIT_WORD}(?!{_LETTER})|[0-9])", re.I)
+_DOT = rf"(?:\x20{_DOT_WORD}\x20|\.|\x20\.\x20)"
+_LABEL = r"[A-Za-z0-9-]+"
+#: Bare words count only in the whole form `name at host dot ending`; with a word for the @ a dot must be spelled as well,
+#: since `arrived at home.Then` and `look at example.com` are prose, and the ending is a top-level label of letters.
 _BARE = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:"
-    rf"\x20at\x20[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)*{_DOT}(?:[A-Za-z]{{2,}}|xn--[A-Za-z0-9-]+)(?![A-Za-z0-9-])"
-    rf"|(?:@|\x20@\x20)[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+)",
+    rf"\x20{_AT_WORD}\x20(?:{_LABEL}\.)*{_LABEL}\x20{_DOT_WORD}\x20(?:{_LABEL}{_DOT})*(?:[A-Za-z]{{2,}}|xn--{_LABEL})(?![A-Za-z0-9-])"
+    rf"|(?:@|\x20@\x20){_LABEL}(?:{_DOT}{_LABEL})+)",
     re.I,
 )
-_BARE_SIGN = re.compile(r"\x20(at|dot|@|\.)\x20", re.I)
-#: What every rewriting of ASCII text needs: a sign in brackets, a bare sign, an `at` before a host, a spelled digit or plus.
-_DISGUISED = re.compile(
-    rf"[\[({{<]\x20?(?:at|dot|@|\.)\x20?[\])}}>]|\x20(?:dot|@|\.)\x20|\x20at\x20[A-Za-z0-9-]++{_DOT}|(?<![a-z]){_DIGIT_WORD}{{1,2}}(?![a-z])|{_PLUS.pattern}", re.I
-)
+_BARE_SIGN = re.compile(rf"\x20({_AT_WORD}|{_DOT_WORD}|@|\.)\x20", re.I)
+# What the rewritings of spelled text need, looked for in lower case: a row of words for digits begins with one and goes on,
+# or has one behind a digit.
+_BEGUN = re.compile(rf"(?<![^\W_]){_tree([*SPELLED, *PLUS_WORDS])}{_GAP}(?:{_DIGIT_WORD}|[0-9]|{_DOT_WORD}|{_PLUS_WORD})")
+_GOES_ON = re.compile(rf"[0-9]{_GAP}{_tree([*SPELLED, *DOT_WORDS, *PLUS_WORDS])}")
+_ENCLOSED = re.compile(rf"[\[({{<]\x20?(?:{_AT_WORD}|{_DOT_WORD}|@|\.)\x20?[\])}}>]")
+_NOT_ASCII = re.compile(r"[^\x00-\x7f]")
 
 
 def luhn(digits: str) -> bool:
@@ -112,33 +144,69 @@ def plain_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 class Tape:
-    """A text being rewritten, and for each character the source span it came from."""
+    """A text being rewritten. What each rewriting put where is kept, so that a span can be traced back to the source."""
 
     def __init__(self, text: str):
-        self.text, self.spans = text, None
-
-    def span(self, start: int, end: int) -> tuple[int, int]:
-        return (start, end) if self.spans is None else (self.spans[start][0], self.spans[end - 1][1])
+        self.text, self.edits = text, []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Put new text for (start, end); each new character comes from the whole of the old ones."""
         if not edits:
             return
-        old = self.spans or [(i, i + 1) for i in range(len(self.text))]
-        text, spans, at = [], [], 0
+        text, places, at, grown = [], ([], [], [], []), 0, 0
         for i, j, new in edits:
             text += [self.text[at:i], new]
-            spans += old[at:i] + [(old[i][0], old[j - 1][1])] * len(new)
-            at = j
-        self.text, self.spans = "".join([*text, self.text[at:]]), spans + old[at:]
+            for column, value in zip(places, (i + grown, i + grown + len(new), i, j), strict=True):
+                column.append(value)
+            at, grown = j, grown + len(new) - (j - i)
+        self.text = "".join([*text, self.text[at:]])
+        self.edits.append(places)
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """The source span of characters start to end of the text as it is now; they are one at least."""
+        for new_start, new_end, old_start, old_end in reversed(self.edits):
+            k, m = bisect_right(new_start, start) - 1, bisect_right(new_start, end - 1) - 1
+            if k >= 0:
+                start = old_start[k] if start < new_end[k] else start - new_end[k] + old_end[k]
+            if m >= 0:
+                end = old_end[m] if end <= new_end[m] else end - new_end[m] + old_end[m]
+        return start, end
+
+
+@lru_cache(1 << 16)
+def plain_form(c: str) -> str | None:
+    """The ASCII character that another one stands for, nothing for an invisible one, None if it stands for itself."""
+    if c in INVISIBLE:
+        return ""
+    if c in LOOKALIKES:
+        return LOOKALIKES[c]
+    if (d := unicodedata.decimal(c, None)) is not None:
+        return str(d)
+    same = unicodedata.normalize("NFKC", c)
+    return same if len(same) == 1 and same.isascii() else LOOKALIKES.get(same)
 
 
 def _to_ascii(t: Tape) -> None:
-    t.rewrite([(m.start(), m.end(), LOOKALIKES.get(m[0], "")) for m in _ODD.finditer(t.text)])
+    odd = {c: p for c in set(_NOT_ASCII.findall(t.text)) if (p := plain_form(c)) is not None}
+    if odd:
+        t.rewrite([(m.start(), m.end(), odd[m[0]]) for m in re.finditer("[" + "".join(map(re.escape, sorted(odd))) + "]", t.text)])
+
+
+def may_hold_signs(low: str) -> bool:
+    """Whether a text in lower case has a sign in brackets, a spaced @ or dot beside an @, or words for both."""
+    dot = any(f" {w} " in low for w in DOT_WORDS)
+    bare = ("@" in low and (dot or " @ " in low or " . " in low)) or (dot and any(f" {w} " in low for w in AT_WORDS))
+    return bare or bool(_ENCLOSED.search(low))
+
+
+def may_hold_digits(low: str) -> bool:
+    return bool(_GOES_ON.search(low) or _BEGUN.search(low))
 
 
 def _to_signs(t: Tape) -> None:
-    sign = lambda w: "@" if w.lower() in ("at", "@") else "."
+    if not may_hold_signs(t.text.lower()):
+        return
+    sign = lambda w: "@" if w == "@" or w.lower() in AT_WORDS else "."
     t.rewrite([(m.start(), m.end(), sign(m[1])) for m in _BRACKETED.finditer(t.text)])
     edits = []
     for whole in _BARE.finditer(t.text):
@@ -147,10 +215,13 @@ def _to_signs(t: Tape) -> None:
 
 
 def _to_digits(t: Tape) -> None:
+    if not may_hold_digits(t.text.lower()):
+        return
     t.rewrite([(m.start(), m.end(), "+") for m in _PLUS.finditer(t.text)])
     edits = []
     for run in _SPELLED.finditer(t.text):
-        if len(_ELEMENT.findall(run[0])) < LEAST_SPELLED:
+        found = _ELEMENT.findall(run[0])
+        if len(found) < LEAST_SPELLED or sum(not x.isdigit() for x in found) < LEAST_WORDS:
             continue
         words = list(_WORD.finditer(t.text, run.start(), run.end()))
         for k, m in enumerate(words):
@@ -158,7 +229,7 @@ def _to_digits(t: Tape) -> None:
             if k and t.text[words[k - 1].end() : start].strip(" ") == "":
                 start = words[k - 1].end()  # blanks between spelled digits go
             edits.append((start, m.end(), SPELLED[m[0].lower()]))
-        edits += [(m.start(), m.end(), ".") for m in re.compile(r"\x20dot\x20", re.I).finditer(t.text, run.start(), run.end())]
+        edits += [(m.start(), m.end(), ".") for m in _SPELLED_DOT.finditer(t.text, run.start(), run.end())]
     edits.sort()
     clean: list[tuple[int, int, str]] = []
     for e in edits:
@@ -170,24 +241,26 @@ def _to_digits(t: Tape) -> None:
 
 
 def disguised_spans(text: str, plain: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans that show only after normalising, apart from those that touch a plain one."""
-    odd = not text.isascii() and bool(_ODD.search(text))
-    if not odd and not _DISGUISED.search(text):
-        return []
+    """Spans that show only after normalising. What lies within a plain one is known; what reaches beyond plain ones is
+    added whole, from the first character to the last of them all."""
     tape = Tape(text)
-    if odd:
+    if not text.isascii():
         _to_ascii(tape)
     _to_digits(tape)
     _to_signs(tape)
-    if tape.spans is None:
+    if not tape.edits:
         return []
-    taken, out = [(a, b) for a, b, _ in plain], []
+    out = []
+    known = sorted((a, b) for a, b, _ in plain)
+    furthest = list(accumulate((b for _, b in known), max))
     for a, b, kind in plain_spans(tape.text):
         i, j = tape.span(a, b)
-        if all(j <= x or y <= i for x, y in taken):
-            out.append((i, j, kind))
-            taken.append((i, j))
-    return out
+        at, upto = bisect_right(furthest, i), bisect_left(known, (j,))
+        near = [s for s in known[at:upto] if i < s[1]]
+        if any(x <= i and j <= y for x, y in near):
+            continue
+        out.append((min([i, *(x for x, _ in near)]), max([j, *(y for _, y in near)]), kind))
+    return sorted(set(out) - set(plain))
 
 
 def find(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
