@@ -4,8 +4,9 @@ Queries and data fall into the Voronoi cells of pivots. A cell is summed up by i
 and the distances of its nearest rows to the pivot. From two cells' summaries follow bounds of every score between
 their vectors: the k-th largest lower bound over all data cells is a floor that each query of a query cell is sure to
 reach, and a data cell is needed only if its upper bound reaches the floor. Vectors of needed cells then raise the floor
-and are bounded one by one; those that may still reach it are copied to the query cell. Query cells are solved locally,
-a bounded number of queries and of data at a time, and the best of all are merged.
+and are bounded one by one; those that may still reach it are copied to the query cell. Neighbouring query cells that
+need much the same data form groups. Groups are solved locally, a bounded number of queries and of data at a time, and
+the best of all are merged.
 
 Many rows may hold one vector. Of equal data vectors in a task only the k + 1 smallest ids go on, since no others can
 be among any row's best; equal query vectors are searched once.
@@ -30,8 +31,10 @@ SCALE = 256
 LEAST_PIVOTS, MOST_PIVOTS = 16, 1024
 #: Distinct queries, and data vectors on average, that meet in one task.
 GROUP, SHARE = 1024, 8192
-#: Queries that are multiplied with a piece of data at once.
-LINES = 128
+#: Queries that are multiplied with a piece of data at once, and data vectors that are bounded at once.
+LINES, ROWS = 128, 2048
+#: Products of pairs that cost as much as a copy of a vector.
+COPY = 256
 #: Beyond this magnitude sums of products might leave the integers that doubles hold exactly; there Python's are used.
 EXACT = float(1 << 53)
 
@@ -180,59 +183,89 @@ class Cells:
             low = low[np.isfinite(near)]
             if len(low) > k:
                 self.floor[a] = np.partition(low, -(k + 1))[-(k + 1)]
+        self.high = high
         self.needed = (high >= self.floor[:, None]) & (self.queries > 0)[:, None] & (self.rows > 0)
 
-    def bounds(self, a: int, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of the scores between data vectors and all queries of a cell."""
-        middle, off = x @ self.pivots[a], lengths * self.reach[a]
+    def scores(self, cell: np.ndarray, x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper bounds of the scores between data vectors (rows) and all queries of each cell (columns); minus
+        infinity where the cell does not need the vector's cell."""
+        middle, off = x @ self.pivots.T, np.outer(lengths, self.reach)
         slack = (np.abs(middle) + off) * 1e-9 + 1e-3
-        return middle - off - slack, middle + off + slack
+        needed = self.needed[:, cell].T
+        return np.where(needed, middle - off - slack, -np.inf), np.where(needed, middle + off + slack, -np.inf)
+
+    def group(self, most: int) -> list[list[int]]:
+        """Query cells, neighbours by neighbours, in groups of `most` queries at most or of one cell.
+
+        A cell joins its neighbour's group if the data rows that need not be copied twice outweigh the pairs that are
+        multiplied in vain; a copied row is worth COPY pairs.
+        """
+        left = np.flatnonzero(self.queries).tolist()
+        out: list[list[int]] = []
+        held, union = 0, np.zeros(len(self.rows), bool)
+        now = left.pop(0)
+        while True:
+            n, need = int(self.queries[now]), self.needed[now]
+            both = int(self.rows[union | need].sum())
+            a, b = int(self.rows[union].sum()), int(self.rows[need].sum())
+            if out and held + n <= most and (a + b - both) * COPY >= held * (both - a) + n * (both - b):
+                out[-1].append(now)
+                held, union = held + n, union | need
+            else:
+                out.append([now])
+                held, union = n, need.copy()
+            if not left:
+                return out
+            now = left.pop(int(_lengths(self.pivots[left] - self.pivots[now]).argmin()))
 
 
-def _pieces(b: pa.RecordBatch, cells: dict[int, Cells]) -> Iterator[tuple[int, Cells, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(dim, cells, query cell, places in the batch, vectors, lengths) for each query cell that needs cells of the batch."""
+def _pieces(b: pa.RecordBatch, cells: dict[int, Cells]) -> Iterator[tuple[int, Cells, np.ndarray, np.ndarray, tuple]]:
+    """(dim, cells, places in the batch, vectors, their bounds), some rows at a time."""
     of, lengths = b.column("cell").to_numpy(), b.column("length").to_numpy()
     for dim, at, x in _by_dim(b):
-        own = cells.get(dim)
-        if own is None:
-            continue
-        here = own.needed[:, of[at]]
-        for a in np.flatnonzero(here.any(1)):
-            pick = here[a]
-            yield dim, own, int(a), at[pick], x[pick], lengths[at[pick]]
+        if own := cells.get(dim):
+            for i in range(0, len(at), ROWS):
+                some = at[i : i + ROWS]
+                yield dim, own, some, x[i : i + ROWS], own.scores(of[some], x[i : i + ROWS], lengths[some])
 
 
 def _floors(cells: dict[int, Cells], k: int):
     """Data -> for each query cell the k + 1 largest lower bounds that a task has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple[int, int], np.ndarray] = {}
+        best = {d: np.full((k + 1, len(c.pivots)), -np.inf) for d, c in cells.items()}
         for b in batches:
-            for dim, own, a, _, x, lengths in _pieces(b, cells):
-                both = np.concatenate([best.get((dim, a), np.zeros(0)), own.bounds(a, x, lengths)[0]])
-                best[dim, a] = both if len(both) <= k else np.partition(both, -(k + 1))[-(k + 1) :]
-        yield pa.RecordBatch.from_pydict({"dim": pa.array([d for (d, _), v in best.items() for _ in v], pa.int32()), "cell": pa.array([a for (_, a), v in best.items() for _ in v], pa.int32()), "low": pa.array(np.concatenate([np.zeros(0), *best.values()]))})
+            for dim, _, _, _, (low, _) in _pieces(b, cells):
+                best[dim] = np.partition(np.concatenate([best[dim], low]), -(k + 1), axis=0)[-(k + 1) :]
+        for dim, low in best.items():
+            _, a = np.nonzero(np.isfinite(low))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), dim, np.int32)), pa.array(a.astype(np.int32)), pa.array(low[np.isfinite(low)])], names=["dim", "cell", "low"])
 
     return run
 
 
-_AIMED = "dim int, cell int, share int, n long, tags binary, ids binary, vectors binary"
-_AIMED_ARROW = pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("share", pa.int32()), ("n", pa.int64()), ("tags", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary())])
+_AIMED = "grp int, share int, n long, tags binary, ids binary, vectors binary"
+_AIMED_ARROW = pa.schema([("grp", pa.int32()), ("share", pa.int32()), ("n", pa.int64()), ("tags", pa.binary()), ("ids", pa.binary()), ("vectors", pa.binary())])
+Groups = dict[int, list[tuple[int, list[int], int]]]
 
 
-def _aim(cells: dict[int, Cells], shares: dict[tuple[int, int], int]):
-    """Data -> a copy for each query cell whose floor a vector may reach."""
+def _aim(cells: dict[int, Cells], groups: Groups):
+    """Data -> a copy for each group with a cell whose floor a vector may reach; groups are (name, cells, shares) by dimension."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tags, ids = b.column("tag").to_numpy(), b.column("id").to_numpy()
-            for dim, own, a, at, x, lengths in _pieces(b, cells):
-                need = own.bounds(a, x, lengths)[1] >= own.floor[a]
-                if need.any():
-                    at, x = at[need], x[need]
-                    share = int(mix(tags[at[:1]].astype(np.uint64))[0] % np.uint64(shares[dim, a]))
-                    packed = x.astype(np.int32) if np.abs(x).max() < 1 << 31 else x
-                    yield pa.RecordBatch.from_pylist([{"dim": dim, "cell": a, "share": share, "n": len(at), "tags": tags[at].tobytes(), "ids": ids[at].tobytes(), "vectors": packed.tobytes()}], schema=_AIMED_ARROW)
+            for dim, own, at, x, (_, high) in _pieces(b, cells):
+                reached = high >= np.maximum(own.floor, np.finfo(float).min)
+                share = int(mix(tags[at[:1]].astype(np.uint64))[0] >> np.uint64(1))
+                packed = x.astype(np.int32) if np.abs(x).max() < 1 << 31 else x
+                out = []
+                for name, members, shares in groups[dim]:
+                    need = reached[:, members].any(1)
+                    if need.any():
+                        out.append({"grp": name, "share": share % shares, "n": int(need.sum()), "tags": tags[at[need]].tobytes(), "ids": ids[at[need]].tobytes(), "vectors": packed[need].tobytes()})
+                if out:
+                    yield pa.RecordBatch.from_pylist(out, schema=_AIMED_ARROW)
 
     return run
 
@@ -312,17 +345,30 @@ def top_k(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     for r in ranked.collect():
         cells[r["dim"]].floor[r["cell"]] = max(cells[r["dim"]].floor[r["cell"]], r["low"])
 
-    # Equal query vectors are one query; a cell's are dealt out by hash, and so are the data it may need.
+    for c in cells.values():
+        c.needed &= c.high >= c.floor[:, None]
+
+    # Equal query vectors are one query. A group of several cells is one part; a large cell's queries are dealt out by hash.
     queries = read.filter("query").select("tag", "id", "dim", "cell", "vector")
     distinct = stash(queries.select("dim", "cell", "vector").distinct().withColumn("query", F.monotonically_increasing_id()), "query-vectors")
-    parts = {(r["dim"], r["cell"]): -(-r["count"] // group) for r in distinct.groupBy("dim", "cell").count().collect()}
-    shares = {(d, a): int(max(1, -(-c.rows[c.needed[a]].sum() // share))) for d, c in cells.items() for a in np.flatnonzero(c.queries).tolist()}
-    spread = spark.createDataFrame([(d, a, int(parts[d, a]), shares[d, a]) for d, a in parts], "dim int, cell int, parts int, shares int")
-    number = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    asked = distinct.join(F.broadcast(spread), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).withColumn("share", F.explode(number("shares")))
-    aimed = data.mapInArrow(_aim(cells, shares), _AIMED).join(F.broadcast(spread), ["dim", "cell"]).withColumn("part", F.explode(number("parts")))
-    by = ["dim", "cell", "part", "share"]
-    found = asked.select(*by, "query", "vector").groupBy(*by).cogroup(aimed.select(*by, "n", "tags", "ids", "vectors").groupBy(*by)).applyInArrow(_solve(k), _FOUND)
+    for c in cells.values():
+        c.queries[:] = 0
+    for r in distinct.groupBy("dim", "cell").count().collect():
+        cells[r["dim"]].queries[r["cell"]] = r["count"]
+    groups: Groups = {}
+    lines, name = [], 0
+    for d, c in cells.items():
+        for members in c.group(group):
+            shares = int(max(1, -(-c.rows[c.needed[members].any(0)].sum() // share)))
+            groups.setdefault(d, []).append((name, members, shares))
+            lines += [(d, a, name, int(-(-c.queries[members].sum() // group)), shares) for a in members]
+            name += 1
+    spread = spark.createDataFrame(lines, "dim int, cell int, grp int, parts int, shares int")
+    number = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asked = distinct.join(F.broadcast(spread), ["dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("query"), F.col("parts")).cast("int")).withColumn("share", number("shares"))
+    aimed = data.mapInArrow(_aim(cells, groups), _AIMED).join(F.broadcast(spread.select("grp", "parts").distinct()), "grp").withColumn("part", number("parts"))
+    by = ["grp", "part", "share"]
+    found = asked.select(*by, "dim", "query", "vector").groupBy(*by).cogroup(aimed.select(*by, "n", "tags", "ids", "vectors").groupBy(*by)).applyInArrow(_solve(k), _FOUND)
     best = W.partitionBy("query").orderBy(F.desc("score"), "vec_id", "tag")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)
     lists = found.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("r", "tag", "vec_id", "score"))).alias("best"))
