@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import io
+import time
 import wave
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palaver.functions.lookups import MOST_ATTEMPTS
+
 FULL_SCALE = 32768.0
 SILENCE_DBFS, LEAST_S = -60.0, 0.5
 CHUNK_S, SEARCH_S, WINDOW_S = 600.0, 2.0, 0.1
@@ -105,27 +109,71 @@ def read_wavs(spark, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, rate int, samples array<smallint>")
 
 
-def transcribe_clips(audio: DataFrame, turns: DataFrame, call: Callable[[bytes], str | None], at_once: int = 3) -> DataFrame:
-    """Ask a provider for each eligible turn: meeting_id, turn_idx (from 1), outcome, result_text.
+Call = Callable[[bytes], str | None]
+
+
+def asked(call: Call, wav: bytes, wait: Callable[[float], None] = time.sleep) -> tuple[str, str | None, int]:
+    """(outcome, text, attempts) of a provider's call: ConnectionError and TimeoutError are outages, tried again after
+    call_delay's milliseconds up to MOST_ATTEMPTS times; any other error is a refusal."""
+    for attempt in range(1, MOST_ATTEMPTS + 1):
+        try:
+            return "ok", call(wav) or "", attempt
+        except (ConnectionError, TimeoutError):
+            if attempt < MOST_ATTEMPTS:
+                wait(0.25 * 4 ** (attempt - 1))
+        except Exception:  # whatever a provider's client raises, one clip's failure is no failure of the job
+            return "http_4xx", None, attempt
+    return "unavailable", None, MOST_ATTEMPTS
+
+
+def transcribe_clips(audio: DataFrame, turns: DataFrame, call: Call, at_once: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Ask a provider for each eligible turn: meeting_id, turn_idx (from 1, among the meeting's eligible turns), outcome,
+    result_text, attempts.
 
     audio (meeting_id, rate, samples) is decoded once and meets all turns of its meeting in one row. `call` takes WAV
-    bytes and returns text, or raises ConnectionError for an outage and ValueError for a refusal; at most `at_once`
-    tasks call at a time. A retried task calls again, so a provider should recognise repeated clips.
+    bytes and returns text; at most `at_once` calls of a meeting run at a time, see asked() for failures. A retried task
+    calls again, so a provider should recognise repeated clips.
     """
     clips = turns.groupBy("meeting_id").agg(F.sort_array(F.collect_list(F.struct("turn_no", "clip_from", "clip_to"))).alias("clips"))
 
+    def run(batches):
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                for m, r, s, cs in zip(b["meeting_id"], b["rate"], b["samples"], b["clips"], strict=True):
+                    pcm = np.asarray(s, np.int16)
+                    said = list(pool.map(lambda c: asked(call, to_wav(clip(pcm, r, c["clip_from"], c["clip_to"]), r), wait), cs))  # noqa: B023
+                    yield pd.DataFrame([(m, k + 1, *x) for k, x in enumerate(said)], columns=["meeting_id", "turn_idx", "outcome", "result_text", "attempts"])
+
+    return audio.join(clips, "meeting_id").select("meeting_id", "rate", "samples", "clips").mapInPandas(run, "meeting_id long, turn_idx long, outcome string, result_text string, attempts int")
+
+
+def transcribe_whole(audio: DataFrame, call: Call, longest: float = CHUNK_S, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Ask a provider for whole recordings, a chunk between quiet places at a time: meeting_id, chunk_no, chunk_from,
+    chunk_to, outcome, text, attempts.
+
+    After the first failure of a recording no later chunk is asked for. Null samples give one row `undecodable`, a
+    recording that is too short or too quiet one row `silent_recording`, both without a call.
+    """
+    columns = ["meeting_id", "chunk_no", "chunk_from", "chunk_to", "outcome", "text", "attempts"]
+
+    def gate(samples, rate: int) -> str | None:
+        if samples is None:
+            return "undecodable"
+        level = np.mean((np.asarray(samples, float) / FULL_SCALE) ** 2) if len(samples) else 0.0
+        quiet = level <= 10 ** (SILENCE_DBFS / 10) and not np.isclose(level, 10 ** (SILENCE_DBFS / 10))
+        return "silent_recording" if len(samples) / rate < LEAST_S or quiet else None
+
     def run(batches):
         for b in batches:
-            rows = []
-            for m, r, s, cs in zip(b["meeting_id"], b["rate"], b["samples"], b["clips"], strict=True):
-                pcm = np.asarray(s, np.int16)
-                for c in cs:
-                    try:
-                        rows.append((m, c["turn_no"] + 1, "ok", call(to_wav(clip(pcm, r, c["clip_from"], c["clip_to"]), r))))
-                    except ConnectionError:
-                        rows.append((m, c["turn_no"] + 1, "unavailable", None))
-                    except ValueError:
-                        rows.append((m, c["turn_no"] + 1, "http_4xx", None))
-            yield pd.DataFrame(rows, columns=["meeting_id", "turn_idx", "outcome", "result_text"])
-
-    return audio.join(clips, "meeting_id").select("meeting_id", "rate", "samples", "clips").repartition(at_once).mapInPandas(run, "meeting_id long, turn_idx long, outcome string, result_text string")
+            for m, r, s in zip(b["meeting_id"], b["rate"], b["samples"], strict=True):
+                if why := gate(s, r):
+                    yield pd.DataFrame([(m, 0, 0.0, 0.0, why, None, 0)], columns=columns)
+                    continue
+                pcm, rows = np.asarray(s, np.int16), []
+                for k, (a, z) in enumerate(quiet_cuts(pcm, r, longest)):
+                    rows.append((m, k, a, z, *asked(call, to_wav(clip(pcm, r, a, z), r), wait)))
+                    if rows[-1][4] != "ok":
+                        break
+                yield pd.DataFrame(rows, columns=columns)
+
+    return audio.select("meeting_id", "rate", "samples").mapInPandas(run, "meeting_id long, chunk_no long, chunk_from double, chunk_to double, outcome string, text string, attempts int")

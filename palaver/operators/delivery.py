@@ -17,16 +17,27 @@ from palaver.functions.text import iso_ms, prefixed_id
 
 def events(endings: DataFrame) -> DataFrame:
     """Accepted endings (meeting_id, seq, ts, status, metadata, provider, fallback_from, fallback_reason, error_code,
-    error_message) -> one event each, completed or failed, with its JSON payload. Null fields are left out."""
+    error_message) -> one event each, completed or failed, with its JSON payload. Null fields are left out; metadata is
+    JSON, an object without fields if there is none."""
     done, lost = F.col("status") == "completed", F.col("status") == "failed"
     error = F.when(lost & F.col("error_code").isNotNull(), F.struct(F.col("error_code").alias("code"), F.coalesce("error_message", F.lit("")).alias("message")))
     data = F.struct(
-        F.col("meeting_id"), F.col("status"), F.when(done, F.col("provider")).alias("transcript_provider"), F.when(done, F.col("fallback_from")).alias("fallback_from"),
+        F.col("meeting_id"), F.col("status"), F.parse_json(F.coalesce("metadata", F.lit("{}"))).alias("metadata"), F.when(done, F.col("provider")).alias("transcript_provider"), F.when(done, F.col("fallback_from")).alias("fallback_from"),
         F.when(done & F.col("fallback_from").isNotNull(), F.col("fallback_reason")).alias("fallback_reason"), error.alias("error"),
     )
     kind = F.concat(F.lit("meeting."), F.col("status"))
     out = endings.filter(done | lost).withColumn("event_id", prefixed_id("evt", F.col("meeting_id"), F.col("seq"))).withColumn("event_type", kind)
-    return out.select("meeting_id", "event_id", "event_type", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), iso_ms(F.col("ts")).alias("created_at"), data.alias("data"))).alias("payload"))
+    return out.select("meeting_id", "event_id", "event_type", "ts", F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"), iso_ms(F.col("ts")).alias("created_at"), data.alias("data"))).alias("payload"))
+
+
+def outbox(events: DataFrame, meetings: DataFrame) -> DataFrame:
+    """A pending delivery for each event whose meeting names a webhook_url: the payload as it will be signed, no attempt
+    yet, due at once. Meetings without an address get none."""
+    to = meetings.filter(F.col("webhook_url").isNotNull() & (F.col("webhook_url") != "")).select("meeting_id", F.col("webhook_url").alias("endpoint"))
+    return events.join(to, "meeting_id").select(
+        prefixed_id("dlv", F.col("event_id")).alias("delivery_id"), "meeting_id", "event_id", "event_type", "endpoint", "payload",
+        F.lit(0).alias("attempt"), F.lit("pending").alias("status"), F.lit(None).cast("int").alias("response_code"), F.col("ts").alias("next_attempt_at"),
+    )
 
 
 @F.pandas_udf(StringType())

@@ -110,8 +110,11 @@ def insert_new(existing: DataFrame, rows: DataFrame, keys: list[str], order: str
     return existing.unionByName(first.filter(~null).join(existing.select(*keys), keys, "left_anti").select(*existing.columns)).unionByName(first.filter(null).select(*existing.columns))
 
 
-def authenticate(calls: DataFrame, keys: DataFrame) -> DataFrame:
-    """calls (authorization header) joined with keys (key_hash, project_id); error_code unauthorized if none matches."""
-    token = F.when(F.col("authorization").startswith("Bearer "), F.trim(F.substring("authorization", 8, 1 << 30)))
+def authenticate(calls: DataFrame, keys: DataFrame, prefix: str = "sk_") -> DataFrame:
+    """calls (authorization header) joined with keys (key_hash, project_id); error_code unauthorized if none matches.
+
+    The header is split at single blanks: a scheme, `bearer` in any case, then the key, which begins with `prefix`."""
+    said = F.split("authorization", " ")
+    token = F.when((F.lower(F.get(said, F.lit(0))) == "bearer") & F.get(said, F.lit(1)).startswith(prefix), F.get(said, F.lit(1)))
     out = calls.withColumn("key_hash", F.sha2(token, 256)).join(keys, "key_hash", "left").drop("key_hash")
     return out.withColumn("error_code", F.when(F.col("project_id").isNull(), F.lit("unauthorized")))

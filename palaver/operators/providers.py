@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palaver.functions.lookups import MOST_ATTEMPTS, RETRYABLE, failure_code
+from palaver.functions.lookups import MOST_ATTEMPTS, RETRYABLE, failure_code, retryable_fetch
 from palaver.functions.text import non_blank
 
 LEAST_BYTES_PER_S = 1000
@@ -18,9 +18,9 @@ def silent(size_bytes: Column, seconds: Column) -> Column:
 
 
 def usable_recordings(recordings: DataFrame) -> DataFrame:
-    """The first usable recording (by id) of each meeting: audio, not empty, not silent."""
-    ok = (F.col("media_type") == "audio") & (F.col("size_bytes") > 0) & ~silent(F.col("size_bytes"), F.col("meeting_duration_s"))
-    first = F.row_number().over(W.partitionBy("meeting_id").orderBy("recording_id")) == 1
+    """The first usable recording of each meeting in the order of its list (pos): audio with an address, not empty, not silent."""
+    ok = (F.col("media_type") == "audio") & F.col("raw_url").isNotNull() & (F.col("size_bytes") > 0) & ~silent(F.col("size_bytes"), F.col("meeting_duration_s"))
+    first = F.row_number().over(W.partitionBy("meeting_id").orderBy("pos", "recording_id")) == 1
     return recordings.filter(ok).withColumn("_f", first).filter("_f").drop("_f")
 
 
@@ -51,18 +51,29 @@ def turns_verdict(eligible: Column, failed: Column, unavailable: Column) -> Colu
     return F.when(eligible == 0, F.lit("no_turns")).when(unavailable == eligible, F.lit("provider_unavailable")).when(failed * 2 > eligible, F.lit("turns_failed")).otherwise(F.lit("ok"))
 
 
-def merge_results(turns: DataFrame, results: DataFrame) -> DataFrame:
-    """turns (meeting_id, turn_no) with the provider's text where it answered, even with nothing, else their own words."""
-    said = results.filter(F.col("outcome") == "ok").select("meeting_id", (F.col("turn_idx") - 1).alias("turn_no"), F.col("result_text"), F.lit(True).alias("_ok"))
-    out = turns.join(said, ["meeting_id", "turn_no"], "left")
-    return out.withColumn("text", F.when(F.col("_ok"), F.coalesce("result_text", F.lit(""))).otherwise(F.col("text"))).withColumn("from_provider", F.coalesce("_ok", F.lit(False))).drop("_ok", "result_text")
+def turn_stats(turns: DataFrame, eligible: DataFrame, results: DataFrame) -> DataFrame:
+    """Per meeting: turns, skipped_short (not eligible), transcribed, failed, and calls with all their attempts."""
+    asked = eligible.groupBy("meeting_id").agg(F.count("*").alias("_e"))
+    done = results.groupBy("meeting_id").agg(F.count_if(F.col("outcome") == "ok").alias("_ok"), F.count_if(F.col("outcome") != "ok").alias("_bad"), F.sum("attempts").alias("_calls"))
+    out = turns.groupBy("meeting_id").agg(F.count("*").alias("turns")).join(asked, "meeting_id", "left").join(done, "meeting_id", "left")
+    zero = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
+    return out.select("meeting_id", "turns", (F.col("turns") - zero("_e", "_")).alias("skipped_short"), zero("_ok", "transcribed"), zero("_bad", "failed"), zero("_calls", "calls"))
+
+
+def merge_results(eligible: DataFrame, results: DataFrame) -> DataFrame:
+    """Eligible turns (meeting_id, turn_no) with the provider's text where it answered, even with nothing, else their own
+    words. Results count eligible turns from 1 (turn_idx), so turns that were not asked for don't count and don't stay."""
+    said = results.filter(F.col("outcome") == "ok").select("meeting_id", F.col("turn_idx").cast("long"), F.col("result_text"), F.lit(True).alias("_ok"))
+    asked = eligible.withColumn("turn_idx", F.row_number().over(W.partitionBy("meeting_id").orderBy("turn_no")).cast("long"))
+    out = asked.join(said, ["meeting_id", "turn_idx"], "left")
+    return out.withColumn("text", F.when(F.col("_ok"), F.coalesce("result_text", F.lit(""))).otherwise(F.col("text"))).withColumn("from_provider", F.coalesce("_ok", F.lit(False))).drop("_ok", "result_text", "turn_idx")
 
 
 def finalize(meetings: DataFrame, native: str = "native") -> DataFrame:
     """What becomes of meetings whose capture has ended: action, error_code, fallback_reason, retry_s.
 
-    Columns: provider, live_words, attempts (so far), reason (why capture ended, or null), audio (usable, none, or an
-    error code of its fetch), result (ok, or the error code or fallback reason of the provider), result_text.
+    Columns: provider, live_words, attempts (so far), reason (why capture ended, or null), audio (usable, none, an error
+    code of its fetch, or http_ and the status that the fetch got), result (ok, or the error code or fallback reason of the provider), result_text.
     The first case that applies decides.
     """
     batch = F.col("provider") != native
@@ -70,6 +81,7 @@ def finalize(meetings: DataFrame, native: str = "native") -> DataFrame:
     fetch_error = ~F.col("audio").isin("usable", "none")
     again = F.col("attempts") + 1 < MOST_ATTEMPTS
     retryable = F.col("result").isin(*RETRYABLE)
+    later = retryable_fetch(F.col("audio"), F.regexp_extract("audio", r"^http_(\d{3})$", 1).try_cast("int"))
     reasons = ("undecodable", "silent_recording", "turns_failed", "no_turns")
     can = batch & F.col("live_words")
     delay = (30 * (F.col("attempts") + 1)).cast("int")
@@ -80,7 +92,7 @@ def finalize(meetings: DataFrame, native: str = "native") -> DataFrame:
         (F.lit(None).cast("int") if wait is None else wait).alias("retry_s"),
     )
     out = (
-        F.when(no_words & batch & fetch_error & F.col("audio").isin(*RETRYABLE) & again, row("retry", wait=delay))
+        F.when(no_words & batch & fetch_error & later & again, row("retry", wait=delay))
         .when(no_words & batch & fetch_error, row("fail", "transcription_failed"))
         .when(no_words & (~batch | (F.col("audio") == "none")), row("fail", failure_code(F.col("reason"))))
         .when((F.col("result") == "ok") & non_blank(F.col("result_text")).isNotNull(), row("complete"))

@@ -96,9 +96,19 @@ def attribute_speakers(spans: DataFrame, segments: DataFrame, key: str) -> DataF
 
 def rebase_chunks(replies: DataFrame) -> DataFrame:
     """Provider replies by chunk (meeting_id, chunk_no, chunk_from, chunk_to, duration, billed_seconds, text, segments)
-    -> segments on the recording's time. A reply without segments is one as long as it says, or was billed, or the chunk."""
+    -> segments on the recording's time. A reply without segments is one as long as it says, or was billed, or the chunk.
+    `end` stops at the chunk's; said_until doesn't, and is what speakers are told by. A reply's language stays, if it has one."""
     whole = F.coalesce("duration", "billed_seconds", F.col("chunk_to") - F.col("chunk_from"))
     one = F.array(F.struct(F.lit(0.0).alias("start"), whole.cast("double").alias("end"), F.col("text").alias("text")))
     parts = F.when(F.size(F.coalesce("segments", F.array().cast("array<struct<start:double,end:double,text:string>>"))) > 0, F.col("segments")).otherwise(one)
-    rows = replies.select("meeting_id", "chunk_no", "chunk_from", "chunk_to", F.posexplode(parts).alias("pos", "_s"))
-    return rows.select("meeting_id", "chunk_no", "pos", (F.col("chunk_from") + F.col("_s.start")).alias("start"), F.least("chunk_to", F.col("chunk_from") + F.col("_s.end")).alias("end"), F.col("_s.text").alias("text"))
+    spoken = F.col("language") if "language" in replies.columns else F.lit(None).cast("string")
+    rows = replies.select("meeting_id", "chunk_no", "chunk_from", "chunk_to", spoken.alias("language"), F.posexplode(parts).alias("pos", "_s"))
+    said = F.col("chunk_from") + F.col("_s.end")
+    return rows.select("meeting_id", "chunk_no", "pos", (F.col("chunk_from") + F.col("_s.start")).alias("start"), F.least("chunk_to", said).alias("end"), said.alias("said_until"), F.col("_s.text").alias("text"), "language")
+
+
+def chunk_speakers(replies: DataFrame, segments: DataFrame) -> DataFrame:
+    """Segments of rebase_chunks() with the speaker who overlaps each most, told before its end is cut."""
+    rows = rebase_chunks(replies).withColumn("span", F.struct("chunk_no", "pos"))
+    told = attribute_speakers(rows.select("meeting_id", "span", "start", F.col("said_until").alias("end")), segments, "span")
+    return rows.join(told.select("meeting_id", "span", "speaker"), ["meeting_id", "span"]).drop("span", "said_until")

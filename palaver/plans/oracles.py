@@ -43,7 +43,8 @@ from {events}"""
 ENDED = """
 select event_id, case when event_id % 7 = 0 then 'native' else 'batch' end as provider, event_id % 2 = 0 as live_words, user_id % 3 as attempts,
   case when event_id % 5 = 0 then null when event_id % 5 = 1 then 'evicted' when event_id % 5 = 2 then 'left_alone' else 'stopped' end as reason,
-  case event_type when 'view' then 'usable' when 'click' then 'usable' when 'signup' then 'none' when 'error' then 'provider_unavailable' else 'capture_failed' end as audio,
+  case event_type when 'view' then 'usable' when 'click' then 'usable' when 'signup' then 'none' when 'error' then 'provider_unavailable'
+    else case event_id % 5 when 0 then 'http_404' when 1 then 'http_403' when 2 then 'http_503' when 3 then 'http_429' else 'capture_failed' end end as audio,
   case user_id % 8 when 0 then 'ok' when 1 then 'ok' when 2 then 'provider_timeout' when 3 then 'provider_unavailable' when 4 then 'undecodable'
     when 5 then 'turns_failed' when 6 then 'capture_failed' else 'transcription_failed' end as result,
   case when event_id % 3 = 0 then '  ' else 'words' end as result_text
@@ -161,8 +162,9 @@ _FAIL = """case {0} when 'awaiting_admission_timeout' then 'waiting_room_timeout
   when 'startup_alone' then 'meeting_ended' when 'max_bot_time_exceeded' then 'meeting_ended' else 'capture_failed' end"""
 _ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 _PAYLOAD = f"""
-select meeting_id, 'meeting.' || status as event_type, project_id,
-  '{{"id":"' || 'evt_' || left(sha256(meeting_id || '|' || cast(seq as varchar)), 26) || '","type":"meeting.' || status || '","created_at":"' || {_ISO.format("ts")} || '","data":{{"meeting_id":"' || meeting_id || '","status":"' || status || '"'
+select meeting_id, 'meeting.' || status as event_type, project_id, ts,
+  '{{"id":"' || 'evt_' || left(sha256(meeting_id || '|' || cast(seq as varchar)), 26) || '","type":"meeting.' || status || '","created_at":"' || {_ISO.format("ts")} || '","data":{{"meeting_id":"' || meeting_id || '","status":"' || status || '","metadata":'
+  || case when cast(split_part(meeting_id, '-', 1) as bigint) % 2 = 0 then '{{"n":' || split_part(meeting_id, '-', 1) || ',"team":{{"id":"t"}}}}' else '{{}}' end
   || case when status = 'completed' then coalesce(',"transcript_provider":"' || provider || '"', '') || coalesce(',"fallback_from":"' || fallback_from || '","fallback_reason":"' || fallback_reason || '"', '') else '' end
   || case when status = 'failed' and error_code is not null then ',"error":{{"code":"' || error_code || '","message":""}}' else '' end || '}}}}' as payload
 from endings"""
@@ -219,7 +221,7 @@ from create_requests r left join (select project_id, idempotency_key, min(seq) a
 on f.project_id = r.project_id and f.idempotency_key = r.idempotency_key"""
     ),
     "meeting_inserts": _sql("select seq, project_id, idempotency_key from create_requests qualify idempotency_key is null or row_number() over (partition by project_id, idempotency_key order by seq) = 1"),
-    "api_key_auth": """select event_id, case when event_id % 11 <> 0 and user_id % 7 < 5 then user_id % 7 end as project_id, case when not (event_id % 11 <> 0 and user_id % 7 < 5) then 'unauthorized' end as error_code from events""",
+    "api_key_auth": """select event_id, case when event_id % 11 not in (0, 2, 3, 5) and user_id % 7 < 5 then user_id % 7 end as project_id, case when event_id % 11 in (0, 2, 3, 5) or user_id % 7 >= 5 then 'unauthorized' end as error_code from events""",
     "lifecycle_transitions": _sql("select meeting_id, seq, from_status, to_status, accepted from moves"),
     "lifecycle_final": _sql("select meeting_id, status, n_events, n_accepted from finals"),
     "lifecycle_timestamps": _sql("select meeting_id, started_at, ended_at, completed_at from finals"),
@@ -245,8 +247,8 @@ on f.project_id = r.project_id and f.idempotency_key = r.idempotency_key"""
     case when attempt = 1 then 'unsupported_platform' when response_code = 503 then 'meeting_join_failed' else 'provider_unavailable' end as dispatch_code from delivery_attempts)"""
     ),
     "recording_usable": _sql(
-        """select meeting_id, recording_id, size_bytes from recordings where media_type = 'audio' and size_bytes > 0 and not coalesce(meeting_duration_s > 5 and size_bytes / meeting_duration_s < 1000, false)
-qualify row_number() over (partition by meeting_id order by recording_id) = 1"""
+        """select meeting_id, recording_id, size_bytes from recordings where media_type = 'audio' and raw_url is not null and size_bytes > 0 and not coalesce(meeting_duration_s > 5 and size_bytes / meeting_duration_s < 1000, false)
+qualify row_number() over (partition by meeting_id order by pos) = 1"""
     ),
     "recording_source": _sql(
         """select meeting_id, recording_id from recordings r where (recording_id % 3 = 0 and meeting_id % 2 = 0) or not exists (select 1 from recordings e where e.meeting_id = r.meeting_id and e.recording_id % 3 = 0 and e.meeting_id % 2 = 0)"""
@@ -257,11 +259,16 @@ qualify row_number() over (partition by meeting_id order by recording_id) = 1"""
     ),
     "result_merge": _sql(
         """select t.meeting_id, t.turn_no, case when p.turn_idx is null then t.text else coalesce(p.result_text, '') end as text, p.turn_idx is not null as from_provider
-from turn_rows t left join provider_results p on p.meeting_id = t.meeting_id and p.turn_idx = t.turn_no + 1 and p.outcome = 'ok'"""
+from (select *, row_number() over (partition by meeting_id order by turn_no) as k from turn_rows join (select meeting_id, max(end_s) - 1 as seconds from turn_rows group by 1) using (meeting_id) where end_s - start_s >= 0.4 and least(seconds, end_s + 0.25) > greatest(0.0, start_s - 0.25)) t left join provider_results p on p.meeting_id = t.meeting_id and p.turn_idx = t.k and p.outcome = 'ok'"""
+    ),
+    "turn_stats": _sql(
+        """select meeting_id, turns, turns - coalesce(asked, 0) as skipped_short, coalesce(ok, 0) as transcribed, coalesce(bad, 0) as failed, coalesce(n, 0) as calls from (select meeting_id, count(*) as turns from turn_rows group by 1)
+left join (select meeting_id, count(*) as asked from (select *, row_number() over (partition by meeting_id order by turn_no) as k from turn_rows join (select meeting_id, max(end_s) - 1 as seconds from turn_rows group by 1) using (meeting_id) where end_s - start_s >= 0.4 and least(seconds, end_s + 0.25) > greatest(0.0, start_s - 0.25)) group by 1) using (meeting_id)
+left join (select meeting_id, count(*) filter (where outcome = 'ok') as ok, count(*) filter (where outcome <> 'ok') as bad, cast(sum(attempts) as bigint) as n from provider_results group by 1) using (meeting_id)"""
     ),
     "finalize_decisions": f"""select event_id, split_part(d, '|', 1) as action, nullif(split_part(d, '|', 2), '') as error_code, nullif(split_part(d, '|', 3), '') as fallback_reason,
   case when d like 'retry%' then cast(30 * (attempts + 1) as integer) end as retry_s from (select *, case
-  when not live_words and provider = 'batch' and audio not in ('usable', 'none') then case when audio like 'provider%' and attempts < 2 then 'retry||' else 'fail|transcription_failed|' end
+  when not live_words and provider = 'batch' and audio not in ('usable', 'none') then case when (audio like 'provider%' or audio in ('http_404', 'http_429', 'http_503')) and attempts < 2 then 'retry||' else 'fail|transcription_failed|' end
   when not live_words and (provider = 'native' or audio = 'none') then 'fail|' || {_FAIL.format("reason")} || '|'
   when result = 'ok' then case when trim(result_text) = '' then 'fail|transcription_failed|' else 'complete||' end
   when result like 'provider%' and attempts < 2 then 'retry||'
@@ -272,6 +279,10 @@ from turn_rows t left join provider_results p on p.meeting_id = t.meeting_id and
     "webhook_schedule": _sql("select * from scheduled"),
     "webhook_state": _sql("select * from scheduled qualify row_number() over (partition by delivery_id order by attempt desc) = 1"),
     "webhook_events": _sql(f"select meeting_id, event_type, payload from ({_PAYLOAD})"),
+    "webhook_outbox": _sql(
+        f"""select meeting_id, event_type, 'https://hooks.example.org/' || case u % 3 when 1 then meeting_id else 'all' end as endpoint, payload, 0 as attempt, 'pending' as status, ts as next_attempt_at
+from (select *, cast(split_part(meeting_id, '-', 1) as bigint) as u from ({_PAYLOAD})) where u % 3 <> 2"""
+    ),
     "delivery_secret_join": _sql("select meeting_id, project_id, sha256('whsec_' || cast(project_id as varchar)) as secret_sha256 from endings where project_id < 4"),
     "meeting_view": _sql(
         f"""select m.meeting_id as id, project_id, status, case when status = 'completed' and provider is not null then 'completed' when status = 'processing' then status when status in ('failed', 'cancelled') then 'unavailable' else 'pending' end as transcript_status,

@@ -80,13 +80,15 @@ def turns(spark, d):
     return _turns(spark, d).select("meeting_id", "turn_no", "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
 
 
+def _eligible(t):
+    seconds = t.groupBy("meeting_id").agg((F.max("end") - 1.0).alias("seconds"))
+    return segments.eligible_turns(t.join(seconds, "meeting_id"), F.col("seconds"))
+
+
 @_query
 def turns_eligible(spark, d):
     """Recordings end a second before the last turn does, so that clips are cut."""
-    t = _turns(spark, d)
-    seconds = t.groupBy("meeting_id").agg((F.max("end") - 1.0).alias("seconds"))
-    out = segments.eligible_turns(t.join(seconds, "meeting_id"), F.col("seconds"))
-    return out.select("meeting_id", "turn_no", "clip_from", "clip_to")
+    return _eligible(_turns(spark, d)).select("meeting_id", "turn_no", "clip_from", "clip_to")
 
 
 @_query
@@ -141,7 +143,10 @@ def meeting_inserts(spark, d):
 def api_key_auth(spark, d):
     users = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id")
     key = F.concat(F.lit("sk_"), (F.col("user_id") % 7).cast("string"))
-    calls = users.select("event_id", F.when(F.col("event_id") % 11 != 0, F.concat(F.lit("Bearer "), key)).alias("authorization"))
+    kind, bare = F.col("event_id") % 11, (F.col("user_id") % 7).cast("string")
+    said = F.when(kind == 1, F.concat(F.lit("bearer "), key)).when(kind == 2, F.concat(F.lit("Basic "), key)).when(kind == 3, F.concat(F.lit("Bearer "), bare))
+    said = said.when(kind == 4, F.concat(F.lit("BEARER "), key, F.lit(" more"))).when(kind == 5, F.concat(F.lit("Bearer  "), key)).when(kind > 5, F.concat(F.lit("Bearer "), key))
+    calls = users.select("event_id", said.alias("authorization"))
     keys = spark.range(5).select(F.sha2(F.concat(F.lit("sk_"), F.col("id").cast("string")), 256).alias("key_hash"), F.col("id").alias("project_id"))
     return intake.authenticate(calls, keys).select("event_id", "project_id", "error_code")
 
@@ -230,7 +235,13 @@ def provider_outcome(spark, d):
 
 @_query
 def result_merge(spark, d):
-    return providers.merge_results(_turns(spark, d), view(spark, d, "provider_results")).select("meeting_id", "turn_no", "text", "from_provider")
+    return providers.merge_results(_eligible(_turns(spark, d)), view(spark, d, "provider_results")).select("meeting_id", "turn_no", "text", "from_provider")
+
+
+@_query
+def turn_stats(spark, d):
+    t = _turns(spark, d)
+    return providers.turn_stats(t, _eligible(t), view(spark, d, "provider_results"))
 
 
 @_query
@@ -268,7 +279,12 @@ def _endings(spark, d):
     t = lifecycle.transitions(view(spark, d, "lifecycle_events")).filter(F.col("accepted") & F.col("to_status").isin("completed", "failed"))
     m = _meetings(spark, d).select("meeting_id", "error_code")
     s = _stored(spark, d).select("meeting_id", "provider", "fallback_from", "fallback_reason")
-    return t.select("meeting_id", "seq", "ts", F.col("to_status").alias("status")).join(m, "meeting_id").join(s, "meeting_id", "left").withColumn("error_message", F.lit(None).cast("string"))
+    return t.select("meeting_id", "seq", "ts", F.col("to_status").alias("status")).join(m, "meeting_id").join(s, "meeting_id", "left").withColumns({"error_message": F.lit(None).cast("string"), "metadata": _metadata()})
+
+
+def _metadata():
+    user = F.split("meeting_id", "-")[0].cast("long")
+    return F.when(user % 2 == 0, F.concat(F.lit('{"n": '), user.cast("string"), F.lit(', "team": {"id": "t"}}')))
 
 
 @_query
@@ -276,6 +292,14 @@ def webhook_events(spark, d):
     return delivery.events(_endings(spark, d)).select("meeting_id", "event_type", "payload")
 
 
+@_query
+def webhook_outbox(spark, d):
+    """Two meetings of three name an address."""
+    user = F.split("meeting_id", "-")[0].cast("long")
+    to = _meetings(spark, d).withColumn("webhook_url", F.when(user % 3 == 1, F.concat(F.lit("https://hooks.example.org/"), "meeting_id")).when(user % 3 == 2, F.lit("")).otherwise(F.lit("https://hooks.example.org/all")))
+    return delivery.outbox(delivery.events(_endings(spark, d)), to).select("meeting_id", "event_type", "endpoint", "payload", "attempt", "status", "next_attempt_at")
+
+
 def _with_secrets(spark, d):
     projects = spark.range(4).select(F.col("id").alias("project_id"), F.concat(F.lit("whsec_"), F.col("id").cast("string")).alias("secret"))
     return delivery.with_secrets(delivery.events(_endings(spark, d)), _meetings(spark, d), projects)

@@ -41,11 +41,12 @@ def status_changes(snapshots: DataFrame) -> DataFrame:
 
 
 def recordings_of(snapshots: DataFrame) -> DataFrame:
-    """Recordings that belong to their snapshot's meeting: recording_id, meeting_id, media_type, size_bytes, meeting_duration_s."""
+    """Recordings that belong to their snapshot's meeting: recording_id, meeting_id, pos (place in its list), media_type,
+    raw_url (of its first sound file), size_bytes, meeting_duration_s."""
     from palaver.functions.text import epoch_seconds
 
     took = epoch_seconds(F.col("end_time")) - epoch_seconds(F.col("start_time"))
-    rows = snapshots.select(F.col("id").alias("meeting_id"), took.alias("meeting_duration_s"), F.explode("recordings").alias("r")).filter(F.col("r.meeting_id") == F.col("meeting_id"))
+    rows = snapshots.select(F.col("id").alias("meeting_id"), took.alias("meeting_duration_s"), F.posexplode("recordings").alias("pos", "r")).filter(F.col("r.meeting_id") == F.col("meeting_id"))
     sound = F.filter("r.media_files", lambda f: f["type"] == "audio")
     kind = F.when(F.size(F.coalesce(sound, F.array().cast(_MEDIA))) > 0, F.lit("audio")).otherwise(F.lit("video"))
-    return rows.select(F.col("r.id").alias("recording_id"), "meeting_id", kind.alias("media_type"), F.aggregate(F.coalesce(sound, F.array().cast(_MEDIA)), F.lit(0).cast("long"), lambda a, f: a + F.coalesce(f["file_size_bytes"], F.lit(0))).alias("size_bytes"), "meeting_duration_s")
+    return rows.select(F.col("r.id").alias("recording_id"), "meeting_id", "pos", kind.alias("media_type"), F.get(sound, F.lit(0))["storage_path"].alias("raw_url"), F.aggregate(F.coalesce(sound, F.array().cast(_MEDIA)), F.lit(0).cast("long"), lambda a, f: a + F.coalesce(f["file_size_bytes"], F.lit(0))).alias("size_bytes"), "meeting_duration_s")

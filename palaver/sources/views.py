@@ -69,13 +69,13 @@ select cast(floor(event_id/6.0) as bigint) as delivery_id, event_id%6 + 1 as att
 from {events}
 """,
     "recordings": """
-select doc_id as recording_id, doc_id%100 as meeting_id, case when doc_id%7=0 then 'video' else 'audio' end as media_type,
+select doc_id as recording_id, doc_id%100 as meeting_id, doc_id*37%1000003 as pos, case when doc_id%13=0 then null else concat('file:', cast(doc_id as varchar(20))) end as raw_url, case when doc_id%7=0 then 'video' else 'audio' end as media_type,
   n_chars as size_bytes, case when doc_id%9=0 then null else cast(doc_id%40 as double) end as meeting_duration_s
 from {documents}
 """,
     "provider_results": """
 select conv_id as meeting_id, turn + 1 as turn_idx, case when (conv_id*7+turn*3)%10 < 6 then 'ok' when (conv_id*7+turn*3)%10 < 8 then 'http_4xx' else 'unavailable' end as outcome,
-  case when (conv_id*7+turn*3)%10 < 6 then upper(role) else null end as result_text
+  case when (conv_id*7+turn*3)%10 < 6 then upper(role) else null end as result_text, case when (conv_id*7+turn*3)%10 < 8 then 1 + turn%2 else 3 end as attempts
 from {conversations}
 """,
     "signal_windows": """
