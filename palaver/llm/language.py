@@ -69,7 +69,9 @@ def vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
             single[0] -= np.bincount(_SMALL[piece[BLOCK:]], minlength=256)
     else:
         single, many = _counts(data, at)
-    out = np.sqrt(np.concatenate([single, many], 1)).astype(np.float32)
+    out = np.empty((n, WIDTH), np.float32)
+    out[:, :256] = np.sqrt(single)
+    out[:, 256:] = np.sqrt(many)
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(norm > 0, norm, 1)
 
