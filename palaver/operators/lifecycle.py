@@ -43,27 +43,31 @@ def _may(rank: Column, to: Column) -> Column:
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """transitions() for events with `reopen`, which takes a failed meeting back to processing. That breaks the rise of
-    ranks, so a meeting's events are gathered and folded in order, still by built-in functions."""
+    """transitions() for events with `reopen`, which takes a failed meeting back to processing, and `stop`, which takes a
+    meeting in progress to processing, cancels one before and is nothing to others. Reopening breaks the rise of ranks,
+    so a meeting's events are gathered and folded in order, still by built-in functions. error_cleared tells the events
+    that drop a meeting's error and its attempts so far."""
     event = F.sort_array(F.collect_list(F.struct("ts", "seq", "target_status")))
     ended = lambda s: s["status"].isin(*TERMINAL)
 
     def step(s: Column, e: Column) -> Column:
         reopens = (e["target_status"] == "reopen") & (s["status"] == "failed")
-        ok = reopens | (~ended(s) & (e["target_status"] != "reopen") & _may(_rank(s["status"]), e["target_status"]))
-        to = F.when(reopens, F.lit("processing")).when(ok, e["target_status"]).otherwise(s["status"])
-        row = F.struct(e["seq"].alias("seq"), e["ts"].alias("ts"), s["status"].alias("from_status"), e["target_status"].alias("to_status"), ok.alias("accepted"))
+        stops = (e["target_status"] == "stop") & ~ended(s) & (s["status"] != "processing")
+        ok = reopens | stops | (~ended(s) & ~e["target_status"].isin("reopen", "stop") & _may(_rank(s["status"]), e["target_status"]))
+        to = F.when(reopens, F.lit("processing")).when(stops, stopped(s["status"])).when(ok, e["target_status"]).otherwise(s["status"])
+        row = F.struct(e["seq"].alias("seq"), e["ts"].alias("ts"), s["status"].alias("from_status"), e["target_status"].alias("to_status"), ok.alias("accepted"), reopens.alias("error_cleared"))
         return F.struct(to.alias("status"), F.concat(s["rows"], F.array(row)).alias("rows"))
 
     kind = events.select("seq", "ts").schema
-    none = F.expr(f"cast(array() as array<struct<seq:{kind['seq'].dataType.simpleString()},ts:{kind['ts'].dataType.simpleString()},from_status:string,to_status:string,accepted:boolean>>)")
+    none = F.expr(f"cast(array() as array<struct<seq:{kind['seq'].dataType.simpleString()},ts:{kind['ts'].dataType.simpleString()},from_status:string,to_status:string,accepted:boolean,error_cleared:boolean>>)")
     begin = F.struct(F.lit("queued").alias("status"), none.alias("rows"))
     rows = events.groupBy("meeting_id").agg(event.alias("e")).select("meeting_id", F.aggregate("e", begin, step, lambda s: s["rows"]).alias("rows"))
     return rows.select("meeting_id", F.inline("rows"))
 
 
 def final(events: DataFrame) -> DataFrame:
-    """meeting_id, status after all events, n_events, n_accepted, started_at, ended_at, completed_at (first entries)."""
+    """meeting_id, status after all events, n_events, n_accepted, created_at (the first event), started_at, ended_at,
+    completed_at (first entries)."""
     t = transitions(events)  # a reopening would keep ended_at, as the first entry counts
     when = lambda *s: F.min(F.when(F.col("accepted") & F.col("to_status").isin(*s), F.col("ts")))
     last = F.max(F.when(F.col("accepted"), F.struct("ts", "seq", "to_status")))["to_status"]
@@ -71,6 +75,7 @@ def final(events: DataFrame) -> DataFrame:
         F.coalesce(last, F.lit("queued")).alias("status"),
         F.count("*").alias("n_events"),
         F.count_if(F.col("accepted")).alias("n_accepted"),
+        F.min("ts").alias("created_at"),
         when("in_progress").alias("started_at"),
         when("processing", *TERMINAL).alias("ended_at"),
         when("completed").alias("completed_at"),

@@ -13,27 +13,39 @@ def transcript_status(status: Column, stored: Column) -> Column:
     return F.when(stored, F.lit("completed")).when(status == "processing", status).when(status.isin("failed", "cancelled"), F.lit("unavailable")).otherwise(F.lit("pending"))
 
 
+def _object(metadata: Column) -> Column:
+    return F.coalesce(metadata, F.lit("{}"))
+
+
 def meeting_view(meetings: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """Meetings as their owners see them; null stands for an absent field. The transcript counts only once completed."""
+    """Meetings as their owners see them; null stands for an absent field. The transcript counts only once completed.
+
+    Of bot, transcript and error the last is null unless the meeting failed with a code; a message that was not kept is
+    empty. metadata is JSON, an object without fields if there is none."""
     t = transcripts.select("meeting_id", F.col("provider").alias("_provider"), F.col("fallback_from").alias("_from"), F.col("fallback_reason").alias("_why"))
     m, has = meetings, F.col("_provider").isNotNull()
     out = m.alias("m").join(t.alias("t"), (F.col("m.meeting_id") == F.col("t.meeting_id")) & (F.col("m.status") == "completed"), "left")
-    error = F.when(F.col("status") == "failed", F.col("error_code"))
+    code = F.col("error_code")
+    error = F.when((F.col("status") == "failed") & code.isNotNull(), F.struct(error_type(code).alias("type"), code.alias("code"), F.coalesce("error_message", F.lit("")).alias("message")))
     return out.select(
-        F.col("m.meeting_id").alias("id"), "project_id", "status", transcript_status(F.col("status"), has).alias("transcript_status"), iso_ms(F.col("started_at")).alias("started_at"), iso_ms(F.col("ended_at")).alias("ended_at"),
-        iso_ms(F.col("completed_at")).alias("completed_at"), F.col("_provider").alias("transcript_provider"), F.col("_from").alias("fallback_from"), F.when(F.col("_from").isNotNull(), F.col("_why")).alias("fallback_reason"),
-        error_type(error).alias("error_type"), error.alias("error_code"),
+        F.col("m.meeting_id").alias("id"), F.lit("meeting").alias("object"), "project_id", "status", "platform", "meeting_url",
+        F.struct(F.col("bot_name").alias("name"), iso_ms(F.col("started_at")).alias("joined_at")).alias("bot"),
+        F.struct(transcript_status(F.col("status"), has).alias("status")).alias("transcript"),
+        *[iso_ms(F.col(c)).alias(c) for c in ("created_at", "started_at", "ended_at", "completed_at")], _object(F.col("metadata")).alias("metadata"),
+        F.col("_provider").alias("transcript_provider"), F.col("_from").alias("fallback_from"), F.when(F.col("_from").isNotNull(), F.col("_why")).alias("fallback_reason"), error.alias("error"),
     )
 
 
 def transcript_view(meetings: DataFrame, transcripts: DataFrame) -> DataFrame:
-    """The answer to a request for each meeting's transcript: http_status 200 with it, 200 with the status alone if the
-    meeting failed or was cancelled, else 202."""
-    t = transcripts.select("meeting_id", "language", "duration_seconds", "provider")
+    """The answer to a request for each meeting's transcript: http_status 200 with it (also its speakers, segments and
+    text), 200 with the status alone if the meeting failed or was cancelled, else 202."""
+    fields = ("language", "duration_seconds", "provider", "fallback_from", "speakers", "segments", "text")
+    t = transcripts.select("meeting_id", *fields, "fallback_reason", iso_ms(F.col("created_at")).alias("created_at"))
     out = meetings.select("meeting_id", "project_id", "status").join(t, "meeting_id", "left")
     ready = (F.col("status") == "completed") & F.col("provider").isNotNull()
-    shown = lambda c: F.when(ready, F.col(c)).alias(c)
-    return out.select("meeting_id", "project_id", "status", F.when(ready | F.col("status").isin("failed", "cancelled"), F.lit(200)).otherwise(F.lit(202)).alias("http_status"), shown("language"), shown("duration_seconds"), shown("provider"))
+    shown = [F.when(ready, F.col(c)).alias(c) for c in (*fields, "created_at")]
+    why = F.when(ready & F.col("fallback_from").isNotNull(), F.col("fallback_reason")).alias("fallback_reason")
+    return out.select("meeting_id", "project_id", "status", F.when(ready | F.col("status").isin("failed", "cancelled"), F.lit(200)).otherwise(F.lit(202)).alias("http_status"), *shown, why)
 
 
 def tenant_lookup(meetings: DataFrame, asked: DataFrame) -> DataFrame:
@@ -76,3 +88,8 @@ def due_jobs(jobs: DataFrame, now: Column) -> DataFrame:
 
     due = jobs.filter(F.col("run_at").isNull() | (F.col("run_at") <= now))
     return due.withColumn("position", F.row_number().over(W.partitionBy("queue").orderBy(F.col("run_at").asc_nulls_first(), "job_id")))
+
+
+def queue_sizes(jobs: DataFrame) -> DataFrame:
+    """Jobs of each queue that wait at once (`ready`, no run_at) or until their time (`delayed`)."""
+    return jobs.groupBy("queue").agg(F.count_if(F.col("run_at").isNull()).alias("ready"), F.count_if(F.col("run_at").isNotNull()).alias("delayed"))

@@ -99,7 +99,7 @@ select j.meeting_id, j.seq, j.ts, j.target_status as to_status, j.ok and (e.at i
   case when e.at < j.i then e.how else case j.held when 0 then 'queued' when 1 then 'joining' when 2 then 'waiting_for_admission' when 3 then 'in_progress' else 'processing' end end as from_status, j.i
 from judged j left join (select meeting_id, min(i) as at, arg_min(target_status, i) as how from judged where ok and target_status in {_ENDS} group by 1) e using (meeting_id)"""
 _CTE["finals"] = f"""
-select meeting_id, coalesce(arg_max(to_status, i) filter (where accepted), 'queued') as status, count(*) as n_events, count(*) filter (where accepted) as n_accepted,
+select meeting_id, coalesce(arg_max(to_status, i) filter (where accepted), 'queued') as status, count(*) as n_events, count(*) filter (where accepted) as n_accepted, min(ts) as created_at,
   min(ts) filter (where accepted and to_status = 'in_progress') as started_at, min(ts) filter (where accepted and to_status in ('processing', 'completed', 'failed', 'cancelled')) as ended_at,
   min(ts) filter (where accepted and to_status = 'completed') as completed_at
 from moves group by 1"""
@@ -285,7 +285,9 @@ from (select *, cast(split_part(meeting_id, '-', 1) as bigint) as u from ({_PAYL
     ),
     "delivery_secret_join": _sql("select meeting_id, project_id, sha256('whsec_' || cast(project_id as varchar)) as secret_sha256 from endings where project_id < 4"),
     "meeting_view": _sql(
-        f"""select m.meeting_id as id, project_id, status, case when status = 'completed' and provider is not null then 'completed' when status = 'processing' then status when status in ('failed', 'cancelled') then 'unavailable' else 'pending' end as transcript_status,
+        f"""select m.meeting_id as id, 'meeting' as object, project_id, status, case when u % 2 = 0 then 'jitsi' else 'zoom' end as platform, 'https://meet.example.org/' || m.meeting_id as meeting_url,
+  case when u % 3 > 0 then 'Scribe' end as bot_name, {_ISO.format("started_at")} as bot_joined_at, {_ISO.format("created_at")} as created_at, case when u % 2 = 0 then '{{"n": ' || u || ', "team": {{"id": "t"}}}}' else '{{}}' end as metadata,
+  case when status = 'failed' and error_code is not null then case when u % 4 = 0 then 'left the call' else '' end end as error_message, case when status = 'completed' and provider is not null then 'completed' when status = 'processing' then status when status in ('failed', 'cancelled') then 'unavailable' else 'pending' end as transcript_status,
   {_ISO.format("started_at")} as started_at, {_ISO.format("ended_at")} as ended_at, {_ISO.format("completed_at")} as completed_at, case when status = 'completed' then provider end as transcript_provider,
   case when status = 'completed' then fallback_from end as fallback_from, case when status = 'completed' and fallback_from is not null then fallback_reason end as fallback_reason,
   case when status = 'failed' and error_code is not null then 'capture_error' end as error_type, case when status = 'failed' then error_code end as error_code
@@ -293,7 +295,10 @@ from meetings m left join stored s using (meeting_id)"""
     ),
     "transcript_view": _sql(
         """select m.meeting_id, project_id, status, case when status in ('failed', 'cancelled') or (status = 'completed' and provider is not null) then 200 else 202 end as http_status,
-  case when status = 'completed' then language end as language, case when status = 'completed' then duration_seconds end as duration_seconds, case when status = 'completed' then provider end as provider
+  case when status = 'completed' then language end as language, case when status = 'completed' then duration_seconds end as duration_seconds, case when status = 'completed' then provider end as provider,
+  case when status = 'completed' then fallback_from end as fallback_from, case when status = 'completed' and fallback_from is not null then fallback_reason end as fallback_reason,
+  case when status = 'completed' and provider is not null then m.meeting_id || ': yes' end as text, case when status = 'completed' and provider is not null then '2024-02-01T10:00:00.000Z' end as created_at,
+  case when status = 'completed' and provider is not null then m.meeting_id end as speaker, case when status = 'completed' and provider is not null then 'seg_001' end as segment_id, case when status = 'completed' then duration_seconds end as segment_end
 from meetings m left join stored s using (meeting_id)"""
     ),
     "tenant_lookup": _sql(
@@ -327,3 +332,18 @@ SQL["retry_delays"] = _sql(
     """select delivery_id, attempt, case attempt when 1 then 250 when 2 then 1000 end as call_ms, case attempt when 1 then 1000 when 2 then 2000 end as start_ms,
   case attempt when 1 then 30000 when 2 then 60000 end as finalize_ms from delivery_attempts"""
 )
+SQL["queue_sizes"] = """select event_type as queue, count(*) filter (where event_id % 4 = 0 or ts is null) as ready, count(*) filter (where event_id % 4 > 0 and ts is not null) as delayed from events group by 1"""
+# One step of the recursion is one event of every meeting.
+_STEP = f"""case when {{0}} in {_ENDS} then {{0}} = 'failed' and {{1}} = 'reopen' when {{1}} = 'reopen' then false when {{1}} = 'stop' then {{0}} <> 'processing' when {{1}} = 'failed' then true
+  when {{1}} = 'cancelled' then {_RANK.format("{0}")} < 3 when {{1}} = 'completed' then {{0}} = 'processing' else coalesce({_RANK.format("{1}")} > {_RANK.format("{0}")}, false) end"""
+SQL["lifecycle_reopened"] = f"""with recursive e as (select meeting_id, seq, case seq % 9 when 0 then 'reopen' when 4 then 'stop' else target_status end as t, row_number() over (partition by meeting_id order by ts, seq) as i from ({text("lifecycle_events")})),
+w as (select meeting_id, i, seq, 'queued' as s, t, {_STEP.format("'queued'", "t")} as ok from e where i = 1
+  union all select e.meeting_id, e.i, e.seq, n.s, e.t, {_STEP.format("n.s", "e.t")} from e join (
+    select meeting_id, i, case when not ok then s when t = 'reopen' then 'processing' when t = 'stop' then case s when 'in_progress' then 'processing' else 'cancelled' end else t end as s from w) n on e.meeting_id = n.meeting_id and e.i = n.i + 1)
+select meeting_id, seq, s as from_status, t as to_status, ok as accepted, ok and t = 'reopen' as error_cleared from w"""
+# HMAC by its definition: the key, padded to 64 bytes with zeros, xor 0x36 (54) before the body and xor 0x5c (92) before that hash.
+_PAD = "(list_aggregate(list_transform(string_split(secret, ''), lambda c: chr(xor(ascii(c), {0}))), 'string_agg', '') || repeat(chr({0}), 64 - length(secret)))"
+SQL["webhook_signatures"] = _sql(
+    f"""select meeting_id, event_type, 'sha256=' || sha256(encode({_PAD.format(92)}) || unhex(sha256({_PAD.format(54)} || payload))) as signature
+from (select *, 'whsec_' || cast(project_id as varchar) as secret from ({_PAYLOAD})) where project_id < 4"""
+)

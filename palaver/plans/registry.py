@@ -168,9 +168,10 @@ def lifecycle_timestamps(spark, d):
 
 @_query
 def lifecycle_reopened(spark, d):
-    """Lifecycles in which every ninth event asks to reopen the meeting."""
-    e = view(spark, d, "lifecycle_events").withColumn("target_status", F.when(F.col("seq") % 9 == 0, F.lit("reopen")).otherwise(F.col("target_status")))
-    return lifecycle.replay(e).select("meeting_id", "seq", "from_status", "to_status", "accepted")
+    """Lifecycles in which of every nine events one asks to reopen and one to stop the meeting."""
+    kind = F.when(F.col("seq") % 9 == 0, F.lit("reopen")).when(F.col("seq") % 9 == 4, F.lit("stop")).otherwise(F.col("target_status"))
+    e = view(spark, d, "lifecycle_events").withColumn("target_status", kind)
+    return lifecycle.replay(e).select("meeting_id", "seq", "from_status", "to_status", "accepted", "error_cleared")
 
 
 @_query
@@ -317,12 +318,25 @@ def webhook_signatures(spark, d):
 
 @_query
 def meeting_view(spark, d):
-    return serving.meeting_view(_meetings(spark, d), _stored(spark, d))
+    user = F.split("meeting_id", "-")[0].cast("long")
+    m = _meetings(spark, d).withColumns({
+        "platform": F.when(user % 2 == 0, F.lit("jitsi")).otherwise(F.lit("zoom")), "meeting_url": F.concat(F.lit("https://meet.example.org/"), "meeting_id"),
+        "bot_name": F.when(user % 3 > 0, F.lit("Scribe")), "error_message": F.when(user % 4 == 0, F.lit("left the call")), "metadata": _metadata(),
+    })
+    v = serving.meeting_view(m, _stored(spark, d))
+    flat = {"bot_name": "bot.name", "bot_joined_at": "bot.joined_at", "transcript_status": "transcript.status", "error_type": "error.type", "error_code": "error.code", "error_message": "error.message"}
+    return v.select("*", *[F.col(b).alias(a) for a, b in flat.items()]).drop("bot", "transcript", "error")
 
 
 @_query
 def transcript_view(spark, d):
-    return serving.transcript_view(_meetings(spark, d), _stored(spark, d))
+    """Stored transcripts with a speaker, a segment and a text each."""
+    who = F.array(F.struct(F.lit("speaker_0").alias("id"), F.col("meeting_id").alias("name")))
+    said = F.array(F.struct(F.lit("seg_001").alias("id"), F.lit("speaker_0").alias("speaker_id"), F.col("duration_seconds").alias("end")))
+    stored = _stored(spark, d).withColumns({"speakers": who, "segments": said, "text": F.concat("meeting_id", F.lit(": yes")), "created_at": F.lit("2024-02-01 10:00:00").cast("timestamp")})
+    v = serving.transcript_view(_meetings(spark, d), stored)
+    one = {"speaker": F.col("speakers")[0]["name"], "segment_id": F.col("segments")[0]["id"], "segment_end": F.col("segments")[0]["end"]}
+    return v.withColumns(one).drop("speakers", "segments")
 
 
 @_query
@@ -366,6 +380,12 @@ def due_jobs(spark, d):
     return serving.due_jobs(e, F.to_timestamp_ntz(F.lit("2024-01-15 00:00:00"))).select("queue", "job_id", F.col("position").cast("long"))
 
 
+@_query
+def queue_sizes(spark, d):
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_type").alias("queue"), F.when(F.col("event_id") % 4 > 0, F.col("ts")).alias("run_at"))
+    return serving.queue_sizes(e)
+
+
 @_query
 def rms_dbfs(spark, d):
     out = audio.levels(view(spark, d, "signal_windows"))

@@ -36,6 +36,15 @@ def may_move(now: str, to: str) -> bool:
     return STATUS_RANK.get(to, -1) > STATUS_RANK[now]
 
 
+def moved(now: str, event: str) -> str | None:
+    """The status after an event, which may also be `reopen` or `stop`; None if the event changes nothing."""
+    if event == "stop":
+        return None if now == "processing" or now in TERMINAL else "processing" if now == "in_progress" else "cancelled"
+    if not may_move(now, event):
+        return None
+    return "processing" if event == "reopen" else event
+
+
 class Lifecycle(StatefulProcessor):
     """Status of a meeting; emits each change, and at the deadline after its first event a failure to join.
 
@@ -72,10 +81,10 @@ class Lifecycle(StatefulProcessor):
             if deadline is not None and ts.timestamp() * 1000 > deadline:
                 out += self._expire(now, deadline)
                 now, deadline = "failed" if out and out[-1][4] else now, None
-            if may_move(now, to):
-                to = "processing" if to == "reopen" else to
-                out.append((seq, ts, now, to, None))
-                now = to
+            after = moved(now, to)
+            if after is not None:
+                out.append((seq, ts, now, after, None))
+                now = after
         self.state.update((now, deadline))
         yield from self._rows(key, out)
 
@@ -110,12 +119,13 @@ def lifecycles(events: DataFrame, *, deadline_s: int | None = None, delay: str =
 def latest_segments(segments: DataFrame) -> DataFrame:
     """Streaming upsert of segments: per meeting and id the last row and the place of the first; unnamed rows by order.
 
-    A running aggregate of structs, all in the JVM. Reading it through operators.segments.dedupe drops stale drafts.
+    A running aggregate of structs, all in the JVM; `_key` names a row within its meeting, so update mode can be merged
+    by (meeting_id, _key). Reading it through operators.segments.dedupe drops stale drafts.
     """
     key = F.coalesce(non_empty(F.col("segment_id")), F.concat(F.lit("#"), F.col("ord").cast("string")))
     value = [c for c in segments.columns if c not in ("meeting_id", "ord")]
     by = segments.filter(F.coalesce("completed", F.lit(True))).groupBy("meeting_id", key.alias("_key")).agg(F.max(F.struct("ord", *value)).alias("v"), F.min("ord").alias("first_ord"))
-    return by.select("meeting_id", "first_ord", "v.*")
+    return by.select("meeting_id", "_key", "first_ord", "v.*")
 
 
 class Delivery(StatefulProcessor):

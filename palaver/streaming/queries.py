@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from palaver.functions.lookups import STATUS_RANK
 from palaver.operators import segments
@@ -24,16 +25,17 @@ def _over(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
     return spark.sql(text(name, **{t: f"stream_{table}" for t in TABLES if t == table}))
 
 
-def finish(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and return what it wrote; complete mode keeps the last batch."""
+def finish(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote; with keys each batch writes the rows that it
+    changed, to a folder of its own so that it may be repeated, and the last of each key counts."""
     spark, path = stream.sparkSession, fresh_path(stream.sparkSession, name)
     q = stream.writeStream.option("checkpointLocation", fresh_path(spark, f"{name}-state")).trigger(availableNow=True)
-    if mode == "append":
-        run = q.outputMode("append").format("parquet").start(path)
-    else:
-        run = q.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(path)).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    if not keys:
+        q.outputMode("append").format("parquet").start(path).awaitTermination()
+        return spark.read.schema(stream.schema).parquet(path)
+    q.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).start().awaitTermination()
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in stream.columns if c not in keys]), "batch").alias("v")).select(*keys, "v.*")
 
 
 def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +56,7 @@ def segments_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     landed = fresh_path(spark, "segments-landed")
     raw = view(spark, sf_dir, "segments_raw").withColumnsRenamed({"start_epoch": "start", "end_epoch": "end", "start_time_epoch": "start_time"})
     raw.withColumn("late", F.col("ord") >= 1000).repartitionByRange(2, "late").drop("late").write.parquet(landed)
-    kept = finish(folds.latest_segments(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(landed)), "segments-kept", "complete")
+    kept = finish(folds.latest_segments(spark.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(landed)), "segments-kept", ("meeting_id", "_key")).drop("_key")
     out = segments.dedupe(kept.withColumn("last_ord", F.col("ord")).withColumn("ord", F.col("first_ord")))
     return out.select("meeting_id", F.col("pos").cast("long"), F.col("last_ord").alias("ord"), "segment_id", "speaker", "text")
 

@@ -19,9 +19,9 @@ def events(spark, rows):
 def fold(targets):
     now, out = "queued", []
     for to in targets:
-        ok = folds.may_move(now, to)
-        out.append((now, to, ok))
-        now = ("processing" if to == "reopen" else to) if ok else now
+        after = folds.moved(now, to)
+        out.append((now, to, after is not None))
+        now = after or now
     return out
 
 
@@ -32,7 +32,7 @@ def sequences(n, names, seed):
 
 @pytest.mark.parametrize("reopen", [False, True])
 def test_windows_and_replay_equal_the_fold(spark, reopen):
-    seqs = sequences(150, [*STATUS_RANK, *(["reopen", "failed"] if reopen else [])], 11)
+    seqs = sequences(150, [*STATUS_RANK, *(["reopen", "failed", "stop"] if reopen else [])], 11)
     rows = [(f"m{i}", k, 10 * k, to) for i, s in enumerate(seqs) for k, to in enumerate(s)]
     f = lifecycle.replay if reopen else lifecycle.transitions
     got = {(r["meeting_id"], r["seq"]): (r["from_status"], r["to_status"], r["accepted"]) for r in f(events(spark, rows)).collect()}
@@ -47,14 +47,14 @@ def test_matrix():
 
 
 def test_streams_in_small_batches_equal_the_fold(spark, tmp_path):
-    seqs = sequences(40, [*STATUS_RANK, "reopen", "failed"], 5)
+    seqs = sequences(40, [*STATUS_RANK, "reopen", "failed", "stop"], 5)
     for k in range(12):
         part = [(f"m{i}", k, 10 * k, s[k]) for i, s in enumerate(seqs) if k < len(s)]
         if part:
             events(spark, part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("meeting_id string, seq long, target_status string, ts timestamp").option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
     got = {(r["meeting_id"], r["seq"]): (r["from_status"], r["to_status"]) for r in finish(folds.lifecycles(stream), "t").collect()}
-    want = {(f"m{i}", k): (a, "processing" if b == "reopen" else b) for i, s in enumerate(seqs) for k, (a, b, ok) in enumerate(fold(s)) if ok}
+    want = {(f"m{i}", k): (a, folds.moved(a, b)) for i, s in enumerate(seqs) for k, (a, b, ok) in enumerate(fold(s)) if ok}
     assert got == want
 
 
@@ -77,3 +77,8 @@ def test_outbox_posts_each_row(spark, tmp_path):
     stream = spark.readStream.schema(spark.read.parquet(src).schema).parquet(src)
     folds.deliver(stream, lambda e, p, h: 204 if h["X-Webhook-Delivery"] != "3" else None, out, str(tmp_path / "ck")).start().awaitTermination()
     assert {(r["delivery_id"], r["response_code"]) for r in spark.read.parquet(out).collect()} == {(i, None if i == 3 else 204) for i in range(5)}
+
+
+def test_stop_and_reopen_in_the_fold():
+    assert [folds.moved(s, "stop") for s in ("queued", "joining", "waiting_for_admission", "in_progress", "processing", "completed", "failed", "cancelled")] == ["cancelled"] * 3 + ["processing"] + [None] * 4
+    assert folds.moved("failed", "reopen") == "processing" and folds.moved("cancelled", "reopen") is None
