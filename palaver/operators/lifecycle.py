@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palaver.functions.lookups import JOIN_DEADLINE_S, STATUS_RANK, TERMINAL, lookup
+from palaver.functions.lookups import JOIN_DEADLINE_S, MOST_ATTEMPTS, RETRYABLE, STATUS_RANK, TERMINAL, dispatch_error, lookup, start_delay_ms
 
 _NAME = {str(r): s for s, r in STATUS_RANK.items() if s not in TERMINAL}
 
@@ -91,6 +91,24 @@ def join_deadlines(events: DataFrame, seconds: int = JOIN_DEADLINE_S) -> DataFra
     return out.withColumn("error_code", F.when(F.col("status") == "joining", F.lit("meeting_join_failed")).when(F.col("status") == "waiting_for_admission", F.lit("waiting_room_timeout")))
 
 
+def starts(tries: DataFrame) -> DataFrame:
+    """Tries to send a bot (meeting_id, seq, error_code, http) as far as they are made, each with attempt (from 1), action
+    (sent, retry or fail), the wait_ms before a retry and the failure's error_code.
+
+    An outage (a typed one, a 5xx, no status at all) is tried again, three times in all; other errors and a success end it.
+    """
+    order = W.partitionBy("meeting_id").orderBy("seq")
+    code, http = F.col("error_code"), F.col("http")
+    sent = code.isNull() & F.coalesce(http.between(200, 299), F.lit(False))
+    outage = F.when(code.isNotNull(), code.isin(*RETRYABLE)).otherwise(http.isNull() | (http >= 500))
+    rows = tries.withColumns({"attempt": F.row_number().over(order), "_sent": sent, "_again": ~sent & outage})
+    over = F.coalesce(F.max(~F.col("_again")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    rows = rows.withColumn("_over", over).filter(~F.col("_over") & (F.col("attempt") <= MOST_ATTEMPTS))
+    retry = F.col("_again") & (F.col("attempt") < MOST_ATTEMPTS)
+    action = F.when(F.col("_sent"), F.lit("sent")).when(retry, F.lit("retry")).otherwise(F.lit("fail"))
+    return rows.select("meeting_id", "seq", "attempt", action.alias("action"), F.when(retry, start_delay_ms(F.col("attempt"))).alias("wait_ms"), F.when(action == "fail", dispatch_error(code, http)).alias("error_code"))
+
+
 def stopped(status: Column) -> Column:
     """The status after a stop request."""
     return F.when(status.isin("processing", *TERMINAL), status).when(status == "in_progress", F.lit("processing")).otherwise(F.lit("cancelled"))

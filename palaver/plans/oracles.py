@@ -347,3 +347,11 @@ SQL["webhook_signatures"] = _sql(
     f"""select meeting_id, event_type, 'sha256=' || sha256(encode({_PAD.format(92)}) || unhex(sha256({_PAD.format(54)} || payload))) as signature
 from (select *, 'whsec_' || cast(project_id as varchar) as secret from ({_PAYLOAD})) where project_id < 4"""
 )
+SQL["start_retries"] = _sql(
+    """select meeting_id, seq, cast(n as integer) as attempt, case when kind = 'again' and n < 3 then 'retry' when kind = 'sent' then kind else 'fail' end as action, case when kind = 'again' and n < 3 then cast(n * 1000 as integer) end as wait_ms,
+  case when kind = 'sent' or (kind = 'again' and n < 3) then null when code is not null then code when http = 409 then 'meeting_join_failed' else 'provider_unavailable' end as error_code
+from (select *, row_number() over (partition by meeting_id order by seq) as n, min(case when kind <> 'again' then seq end) over (partition by meeting_id) as last from (
+  select *, case when code = 'provider_timeout' or (code is null and (http is null or http >= 500)) then 'again' when code is null and http between 200 and 299 then 'sent' else 'no' end as kind from (
+    select delivery_id as meeting_id, attempt as seq, response_code as http, case when delivery_id % 7 = 0 then 'unsupported_platform' when delivery_id % 5 = 0 and attempt = 1 then 'provider_timeout' end as code from delivery_attempts)))
+where n <= 3 and (last is null or seq <= last)"""
+)

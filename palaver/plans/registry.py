@@ -193,6 +193,15 @@ def stop_and_recover(spark, d):
     return f.select("meeting_id", lifecycle.stopped(F.col("status")).alias("stopped"), r["status"].alias("recovered"), r["error_code"].alias("recover_error"))
 
 
+@_query
+def start_retries(spark, d):
+    """Tries to send bots, by delivery attempts; some fail by a typed error."""
+    n = F.col("meeting_id")
+    code = F.when(n % 7 == 0, F.lit("unsupported_platform")).when((n % 5 == 0) & (F.col("seq") == 1), F.lit("provider_timeout"))
+    tries = view(spark, d, "delivery_attempts").select(F.col("delivery_id").alias("meeting_id"), F.col("attempt").alias("seq"), F.col("response_code").alias("http")).withColumn("error_code", code)
+    return lifecycle.starts(tries)
+
+
 @_query
 def failure_codes(spark, d):
     e = spark.sql(oracles.REASONS.format(events=f"parquet.`{d}/events.parquet`"))

@@ -82,3 +82,11 @@ def test_outbox_posts_each_row(spark, tmp_path):
 def test_stop_and_reopen_in_the_fold():
     assert [folds.moved(s, "stop") for s in ("queued", "joining", "waiting_for_admission", "in_progress", "processing", "completed", "failed", "cancelled")] == ["cancelled"] * 3 + ["processing"] + [None] * 4
     assert folds.moved("failed", "reopen") == "processing" and folds.moved("cancelled", "reopen") is None
+
+
+def test_starts_end_at_success_at_an_error_or_after_three_outages(spark):
+    tries = {"a": [(None, 503), (None, None), (None, 201), (None, 201)], "b": [(None, 500), ("provider_timeout", None), ("provider_unavailable", None), (None, 200)], "c": [(None, 409), (None, 200)], "d": [("invalid_request", 503)]}
+    df = spark.createDataFrame([(m, k, c, h) for m, t in tries.items() for k, (c, h) in enumerate(t)], "meeting_id string, seq int, error_code string, http int")
+    got = {(r["meeting_id"], r["attempt"]): (r["action"], r["wait_ms"], r["error_code"]) for r in lifecycle.starts(df).collect()}
+    again = {(m, k): ("retry", 1000 * k, None) for m in "ab" for k in (1, 2)}
+    assert got == again | {("a", 3): ("sent", None, None), ("b", 3): ("fail", None, "provider_unavailable"), ("c", 1): ("fail", None, "meeting_join_failed"), ("d", 1): ("fail", None, "invalid_request")}
