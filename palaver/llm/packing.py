@@ -1,8 +1,8 @@
 """Lexical retrieval packing: sequences of related documents with almost no padding.
 
 Texts become token ids. A document's full windows are sequences of their own; what remains of it is packed. Remainders
-are routed to shards so that lexically close ones tend to meet (sign patterns of random projections of their weighted
-terms, evened out to SHARD documents each). A shard holds an inverted index of its remainders with BM25 weights from
+are routed to shards so that lexically close ones tend to meet (by the sides on which they lie of the medians of their
+weighted terms' principal components, evened out to SHARD documents each). A shard holds an inverted index of its remainders with BM25 weights from
 the whole corpus. A seed document opens a window; the index returns its unused neighbours, which fill the window up;
 the one that crosses its end is cut and opens the next. Only a shard's last sequence has room left.
 """
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, stash, table
@@ -26,7 +26,10 @@ END = 1
 VOCABULARY = 1 << 16
 #: Remainders in a shard's index, on average; bits of the routing key.
 SHARD = 384
-KEY_BITS = 12
+KEY_BITS = 16
+#: Remainders that the components are learnt from, about, by hash of id and ids; terms that they are learnt for. Every
+#: remainder is routed and indexed.
+SAMPLE, SAMPLE_TERMS = 1024, 4096
 K1, B = 1.2, 0.75
 SEED = 77
 # Fixed value: the pre-tokenizer of byte_bpe_50k, without the branch that only runs of white space need.
@@ -128,16 +131,65 @@ def corpus_statistics(tokens: DataFrame) -> tuple[np.ndarray, float]:
     return np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32), (total or 0) / max(1, n)
 
 
-def _routed(idf: np.ndarray):
-    """Adds the routing key of a remainder: signs of KEY_BITS random projections of its idf-weighted distinct terms."""
+def _weighted(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms and their saturated weights, as a vector of length 1."""
+    t, c = np.unique(ids, return_counts=True)
+    v = idf[t] * (c / (c + K1))
+    return t, v / max(float(np.sqrt(v @ v)), 1e-9)
+
+
+def components(docs: list[np.ndarray], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The KEY_BITS first principal components of the documents' weighted terms: terms, a row of components for each, and
+    the components' medians. Components that there are not, are zero."""
+    vectors = [_weighted(d, idf) for d in docs]
+    seen = np.zeros(VOCABULARY)
+    for t, v in vectors:
+        seen[t] += v * v
+    terms = np.sort(np.argsort(-seen, kind="stable")[: min(SAMPLE_TERMS, int((seen > 0).sum()))])
+    x = np.zeros((len(docs), len(terms)), np.float32)
+    for row, (t, v) in zip(x, vectors, strict=True):
+        known = np.isin(t, terms, assume_unique=True)
+        row[np.searchsorted(terms, t[known])] = v[known]
+    middle = x.mean(0)
+    y = (x - middle) @ np.random.default_rng(SEED).standard_normal((len(terms), 2 * KEY_BITS)).astype(np.float32)
+    for _ in range(4):  # subspace iteration
+        q = np.linalg.qr(y)[0]
+        y = (x - middle) @ ((x - middle).T @ q)
+    axes = np.linalg.svd(np.linalg.qr(y)[0].T @ (x - middle), full_matrices=False)[2][:KEY_BITS].T
+    axes = np.pad(axes, ((0, 0), (0, KEY_BITS - axes.shape[1])))
+    return terms, axes, np.median(x @ axes, axis=0)
+
+
+_AXES = pa.schema([("terms", pa.binary()), ("axes", pa.binary()), ("medians", pa.binary())])
+
+
+def routing(rest: DataFrame, mark: Column, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row of KEY_BITS weights for each id of the vocabulary, and the medians, learnt in one task from about SAMPLE
+    different remainders."""
+
+    def learn(t: pa.Table) -> pa.Table:
+        ids = sorted(t["ids"].to_pylist())
+        out = components([np.frombuffer(x, np.uint16) for x in ids], idf)
+        return pa.Table.from_arrays([pa.array([x.tobytes()]) for x in (out[0].astype(np.uint16), out[1].astype(np.float32), out[2].astype(np.float32))], schema=_AXES)
+
+    u = F.pmod(mark, F.lit(1 << 30)) / float(1 << 30)
+    chosen = rest.filter(u < SAMPLE / max(1, rest.count())).groupBy(mark.alias("mark")).agg(F.min("ids").alias("ids"))
+    weights, medians = np.zeros((VOCABULARY, KEY_BITS), np.float32), np.zeros(KEY_BITS, np.float32)
+    for r in chosen.groupBy(F.lit(0).alias("all")).applyInArrow(learn, "terms binary, axes binary, medians binary").collect():  # one row at most
+        weights[np.frombuffer(r["terms"], np.uint16)] = np.frombuffer(r["axes"], np.float32).reshape(-1, KEY_BITS)
+        medians = np.frombuffer(r["medians"], np.float32)
+    return weights, medians
+
+
+def _routed(idf: np.ndarray, weights: np.ndarray, medians: np.ndarray):
+    """Adds the routing key of a remainder: a bit for each component that is above its median, the first one leading."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs = np.where(np.random.default_rng(SEED).random((VOCABULARY, KEY_BITS)) < 0.5, -1, 1).astype(np.float32) * idf[:, None]
         for b in batches:
             keys = []
             for ids in b.column("ids").to_pylist():
-                sums = signs[np.unique(np.frombuffer(ids, np.uint16))].sum(0)
-                keys.append(int((sums > 0) @ (1 << np.arange(KEY_BITS))))
+                t, v = _weighted(np.frombuffer(ids, np.uint16), idf)
+                keys.append(int((v.astype(np.float32) @ weights[t] > medians) @ (1 << np.arange(KEY_BITS)[::-1])))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.int32())], names=[*b.schema.names, "key"])
 
     return run
@@ -235,17 +287,23 @@ def pack(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: in
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    tokens = stash(rows.mapInArrow(_tokenize(tokenizer or tokenizer_path(), window), _TOKENS), "tokens")
+    tokens = stash(rows.mapInArrow(_tokenize(tokenizer or tokenizer_path(), window), _TOKENS).withColumn("row", F.monotonically_increasing_id()), "tokens")
     idf, mean = corpus_statistics(tokens)
-    rest = tokens.filter("kind = 1").select("doc_id", "start", "length", "doc_tokens", "ids")
-    keyed = rest.mapInArrow(_routed(idf), "doc_id long, start long, length long, doc_tokens long, ids binary, key int")
+    rest = tokens.filter("kind = 1").select("doc_id", "start", "length", "doc_tokens", "ids", "row")
+    mark = F.xxhash64("doc_id", "start", "doc_tokens", "ids")
+    weights, medians = routing(rest, mark, idf)
+    keyed = rest.withColumn("mark", mark).mapInArrow(_routed(idf, weights, medians), "doc_id long, start long, length long, doc_tokens long, ids binary, row long, mark long, key int")
+    keyed = stash(keyed, "keyed")
     counts = sorted((r["key"], r["count"]) for r in keyed.groupBy("key").count().collect())  # 2 ** KEY_BITS rows at most
     before = np.concatenate([[0], np.cumsum([c for _, c in counts])])
-    # A key's documents are spread evenly over its stretch of the count, so no shard grows with a key.
+    # A key's documents are spread evenly over its stretch of the count, so no shard grows with a key; rows that repeat
+    # id and text as well.
     lines = docs.sparkSession.createDataFrame([(k, int(a), int(c)) for (k, c), a in zip(counts, before, strict=False)], "key int, before long, n long")
-    u = F.pmod(F.xxhash64("doc_id", "start", "doc_tokens", F.crc32("ids")), F.lit(1 << 30)) / float(1 << 30)
+    twins = keyed.groupBy("mark").count().filter("count > 1")
+    spread = F.xxhash64("mark", F.when(F.col("count").isNotNull(), F.col("row")))
+    u = F.pmod(spread, F.lit(1 << 30)) / float(1 << 30)
     shard = F.floor((F.col("before") + u * F.col("n")) / SHARD).cast("long")
-    sharded = keyed.join(F.broadcast(lines), "key").select("doc_id", "start", "doc_tokens", "ids", shard.alias("shard"))
+    sharded = keyed.join(F.broadcast(lines), "key").join(twins, "mark", "left").select("doc_id", "start", "doc_tokens", "ids", shard.alias("shard"))
     packed = sharded.groupBy("shard").applyInArrow(_pack(idf, mean, window), _PIECES)
     own = F.lit(1 << 62) + F.monotonically_increasing_id()
     full = tokens.filter("kind = 0").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", own.alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

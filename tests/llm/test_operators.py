@@ -542,6 +542,38 @@ def test_windows_fill_in_the_order_of_bm25():
         at += len(docs[i])
 
 
+def test_components_against_a_full_decomposition():
+    """Routing learns the leading principal components of the weighted terms, and their medians."""
+    rng = np.random.default_rng(8)
+    docs = [(rng.integers(0, 60, 50) + 100 * (i % 3) + 7).astype(np.uint16) for i in range(90)]
+    idf = np.linspace(0.5, 2.0, packing.VOCABULARY).astype(np.float32)
+    terms, axes, medians = packing.components(docs, idf)
+    x = np.zeros((90, 400))
+    for row, d in zip(x, docs, strict=True):
+        t, c = np.unique(d, return_counts=True)
+        row[t] = idf[t] * c / (c + 1.2)
+        row /= np.sqrt((row**2).sum())
+    exact = np.linalg.svd(x - x.mean(0))[2][:2]
+    assert np.linalg.svd(exact[:, terms] @ axes[:, :2])[1] == pytest.approx([1, 1], abs=1e-3)
+    assert medians == pytest.approx(np.median(x[:, terms] @ axes, axis=0), abs=1e-4)
+    for few in ([docs[0]], docs[:2], [np.array([1], np.uint16)] * 3):
+        assert packing.components(few, idf)[1].shape[1] == packing.KEY_BITS
+
+
+def test_shards_hold_what_is_alike_and_spread_what_repeats(spark, monkeypatch):
+    """Of four vocabularies, and of rows that repeat id and text, a shard of about 50 gets its share."""
+    monkeypatch.setattr(packing, "SHARD", 50)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{'abcd'[i % 4]}{rng.randrange(40)}{'wxyz'[i % 4]}" for _ in range(60))) for i in range(400)]
+    held = defaultdict(Counter)
+    for p in packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        held[p["sequence_id"] >> 32][p["doc_id"] % 4] += 1
+    assert len(held) == 8 and sum(max(c.values()) for c in held.values()) > 0.9 * sum(sum(c.values()) for c in held.values())
+    same = packing.pack(spark.createDataFrame([(None, "one and the same")] * 600, "doc_id long, text string")).collect()
+    shards = Counter(p["sequence_id"] >> 32 for p in same)
+    assert sum(p["length"] for p in same) == 600 * same[0]["doc_tokens"] and len(shards) == 12 and max(shards.values()) < 100
+
+
 def test_neighbours_share_windows():
     """Of two kinds of documents with words of their own, windows hold one kind wherever they can."""
     rng = np.random.default_rng(1)
