@@ -19,6 +19,9 @@ _WHERE = {
     "op8_pii": "pii",
     "op9_urls": "urls",
     "op10_language": "language",
+    "op11_licenses": "licenses",
+    "op12_merkle": "merkle",
+    "op13_runs": "runs",
 }
 
 
@@ -56,7 +59,50 @@ felt as (select r.a as node, bool_or(s.rule in ('org/', 'com/fr/')) as allowed,
 select page_id, host, path, rule, case when rule in ('org/', 'com/fr/') then 'allow' when rule is not null then 'block' when blocked and not coalesce(allowed, false) then 'block' else 'allow' end as verdict
 from (select *, {_RULE.format(h="host", p="path")} as rule from p) left join felt using (node)"""
 
+#: DuckDB has no crc32: a byte at a time, its eight shifts.
+_CRC = "xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(doc_id::varchar, ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0])))::bigint[], lambda a, e: case when xor(a, e) & 1 = 1 then xor(xor(a, e) >> 1, 3988292384) else xor(a, e) >> 1 end), 4294967295)"
+
+
+def _tree(name: str, nodes: str, by: str) -> str:
+    """All levels of the trees of `nodes` (by, idx, h, m), and every node's siblings in its run."""
+    return f"""{name} as (select 0 as lvl, * from ({nodes})
+ union all select lvl + 1, {by}, idx // 3, sha256(string_agg(h, '' order by idx)), (m + 2) // 3 from {name} where m > 1 group by lvl, {by}, idx // 3, m),
+{name}_run as (select lvl, {by}, idx // 3 as run, list(h order by idx) as hs from {name} where m > 1 group by 1, 2, 3),
+{name}_side as (select t.lvl, t.{by}, t.idx, array_to_string(hs[1:(t.idx % 3)::int], '') as l, array_to_string(hs[(t.idx % 3)::int + 2:], '') as r from {name} t join {name}_run n on n.lvl = t.lvl and n.{by} is not distinct from t.{by} and n.run = t.idx // 3 where t.m > 1)"""
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("doc_id::varchar", "source", "lang", "n_chars::varchar", text)) + ")"
+
+
+_MERKLE = f"""with recursive d as (select doc_id, source, row_number() over (partition by source order by doc_id) - 1 as idx, count(*) over (partition by source) as m, {_leaf("text")} as h,
+  case when {_CRC} % 2 = 0 then {_leaf("replace(text, chr(10), '')")} else {_leaf("text")} end as other from documents),
+{_tree("t", "select source, idx, h, m from d", "source")},
+s as (select source, h, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as m, 0 as one from t where m = 1),
+{_tree("u", "select one, idx, h, m from s", "one")},
+step as (select d.doc_id, 0 as tier, lvl, l, r from d join t_side x on x.source is not distinct from d.source and x.idx = d.idx // (3 ** lvl)::bigint
+ union all select d.doc_id, 1, lvl, l, r from d join s on s.source is not distinct from d.source join u_side x on x.idx = s.idx // (3 ** lvl)::bigint),
+path as (select doc_id, list({{'l': l, 'r': r}} order by tier, lvl) as p from step group by 1),
+f as (select d.doc_id, d.h as leaf, s.h as subroot, (select h from u where m = 1) as root, sha256(coalesce(array_to_string(list_transform(p, lambda x: x.l || x.r), ''), '')) as proof_sha256,
+  list_reduce(list_prepend({{'l': d.other, 'r': ''}}, coalesce(p, [])), lambda a, x: {{'l': sha256(x.l || a.l || x.r), 'r': ''}}).l as folded_root
+ from d join s on s.source is not distinct from d.source left join path using (doc_id))
+select *, folded_root = root as verified from f"""
+_RUNS = rf"""with c as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w, {_CRC} as h from documents),
+g as (select doc_id, w, len(w) as n, h % 10 = 0 and len(w) > 0 as here, h // 10 % greatest(len(w), 1) as a, h // 10 % 8 as k from c),
+d as materialized (select doc_id, n, case when here then list_transform(range(n), lambda i: w[case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + k)) end + 1]) else w end as w from g),
+x as materialized (select doc_id, n, i, hash(w[i + 1:i + 16]) as x, w[i + 1:i + 16] as v from (select *, unnest(range(n - 15)) as i from d where n >= 24)),
+e as (select a.doc_id, a.i, b.i - a.i as q from x a join x b on a.doc_id = b.doc_id and a.x = b.x and b.i > a.i and 3 * (b.i - a.i) <= a.n where a.v = b.v),
+l as (select doc_id, q, min(i) as start, count(*) + 15 + q as length from (select *, i - row_number() over (partition by doc_id, q order by i) as isle from e) group by doc_id, q, isle having count(*) + 15 + q >= greatest(24, 3 * q)),
+r as (select doc_id, start, length, min(q) as period from l group by all),
+gone as (select distinct doc_id, unnest(range(start + period, start + length)) as i from r),
+o as (select doc_id, unnest(range(n)) as i, unnest(w) as word from d),
+k as (select doc_id, string_agg(word, ' ' order by i) as t from o anti join gone using (doc_id, i) group by 1),
+b as (select doc_id, count(*) as n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' order by start, period) as t,
+  arg_min({{'s': start, 'l': length, 'p': period}}, {{'e': -(length::double / period), 's': start, 'p': period}}) as top from r group by 1)
+select doc_id, coalesce(n_runs, 0) as n_runs, top.s as start, top.l as length, top.p as period, 1000 * top.l // top.p as exponent_milli, sha256(coalesce(b.t, '')) as runs_sha256, sha256(coalesce(k.t, '')) as collapsed_sha256
+from d left join b using (doc_id) left join k using (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """The other operators draw, learn, pack or map spans back, which SQL cannot express; tests hold them to brute force."""
-    return {"op2_ngram_join": _NEAR, "op6_knn": _TOP, "op9_urls": _URLS}
+    return {"op2_ngram_join": _NEAR, "op6_knn": _TOP, "op9_urls": _URLS, "op12_merkle": _MERKLE, "op13_runs": _RUNS}
