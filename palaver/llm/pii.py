@@ -2,7 +2,7 @@
 
 Plain identifiers are found in the text as it stands. Disguised ones are found in a normalised text: transducers
 rewrite look-alike letters and digits, drop invisible characters, turn spelled digits into digits and at/dot words
-into signs. Each keeps, for every character it writes, the span of the source it was read from, so what is detected
+into signs, and character references into what they name. Each keeps, for every character it writes, the span of the source it was read from, so what is detected
 in the normalised text maps back to source characters. Plain spans always stay. A disguised span that goes beyond a plain
 one it meets comes besides, as a whole: of an address with look-alikes in front the plain one is only the tail.
 """
@@ -48,12 +48,31 @@ LOOKALIKES = {
 INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 #: Digits, signs and the plus by name in the four languages of the corpus.
 SPELLED = {
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
     "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "f\u00fcnf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "z\u00e9ro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 AT_WORDS, DOT_WORDS, PLUS_WORDS = ("at", "\u00e4t", "arobase", "arroba"), ("dot", "punkt", "point", "punto"), ("plus", "m\u00e1s")
+#: The words for an @ that each word for a dot goes with: `at this point in time` is prose, `arobase exemple point fr` is not.
+AT_WITH = {"dot": ("at",), "punkt": ("at", "\u00e4t"), "point": ("arobase",), "punto": ("arroba",)}
+#: Words that stand for an @ and are no words of prose.
+SURE_AT = frozenset(("\u00e4t", "arobase", "arroba"))
+#: Endings of hosts that count after a word for a dot or for an @. The second row are words of the four languages as well,
+#: and count where no word follows, or where the word for the @ is sure.
+ENDINGS = frozenset(
+    "com net org edu gov mil int info biz name pro app dev io ai xyz online shop site tech cloud web blog news email eu uk fr ch nl pl pt ru ua cz sk hu ro bg gr tr dk fi ie ca au nz jp cn kr tw hk sg br mx ar cl za il ae ke ng example invalid test local".split()
+)
+WORD_ENDINGS = frozenset("at be co de es in is it me my no se so to tv us am as do la li lu si".split())
+#: What stands before `at` in prose, and after it: neither begins an address spelled with a bare word.
+NO_LOCAL = frozenset(
+    "a about again all am an and are arrive arrived arrives at available away back be been begin begins both but by call come comes down each end ends find for found from gather go good had has have he held her here him his hosted i if in is it its join just later laughing live lives look looked looking looks me meet meeting meets more now of off on once one online only open or our out page pages paused point pointed published read rest says see she shop shout shows sit site so speak stand start started starts stay stop stopped stops store take talk than that the them there these they this those to try up us visit was we website welcome went were while with work worked working works you your".split()
+)
+NO_HOST = frozenset(
+    "a all an another any both certain each either every final first first-class half her his ich its last least le la les le el los las un una une ein eine der die das diese dieser dem den den dieser my next no one only our same second some that the their these third this those three two what whatever which your".split()
+)
+#: A word near an address that says that one follows; with it, or with a sign or digit inside the name, a dot may be plain.
+_CUE = re.compile(r"(?:\b(?:e-?mails?|mail(?:to|en)?|contact|reach|write|kontakt|schreib\w*|adresse|address|courriel|\u00e9cri\w*|contacter?|correo|escrib\w*|contacto)\b[^\n]{0,24})\Z", re.I)
 
 
 def _tree(words) -> str:
@@ -81,14 +100,15 @@ _BRACKETED = re.compile(rf"\x20?[\[({{<]\x20?({_AT_WORD}|{_DOT_WORD}|@|\.)\x20?[
 _PLUS = re.compile(rf"(?<![^\W_]){_PLUS_WORD}\x20{{0,2}}(?={_DIGIT_WORD}(?!{_LETTER})|[0-9])", re.I)
 _DOT = rf"(?:\x20{_DOT_WORD}\x20|\.|\x20\.\x20)"
 _LABEL = r"[A-Za-z0-9-]+"
-#: Bare words count only in the whole form `name at host dot ending`; with a word for the @ a dot must be spelled as well,
-#: since `arrived at home.Then` and `look at example.com` are prose, and the ending is a top-level label of letters.
-_BARE = re.compile(
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:"
-    rf"\x20{_AT_WORD}\x20(?:{_LABEL}\.)*{_LABEL}\x20{_DOT_WORD}\x20(?:{_LABEL}{_DOT})*(?:[A-Za-z]{{2,}}|xn--{_LABEL})(?![A-Za-z0-9-])"
-    rf"|(?:@|\x20@\x20){_LABEL}(?:{_DOT}{_LABEL})+)",
-    re.I,
-)
+#: A name, a bare word or a blank-padded sign for the @, a host whose dots may be words. What it says is checked by `_address`.
+_BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++)(?:\x20(?P<at>{_AT_WORD}|@)\x20|(?P<sign>@))(?P<host>{_LABEL}(?:{_DOT}{_LABEL})+)(?![A-Za-z0-9-])", re.I)
+#: The same with words between underscores or hyphens.
+_GLUED = re.compile(rf"(?<![A-Za-z0-9])(?P<local>[A-Za-z0-9.%+]++)(?P<by>[_-])(?:{_AT_WORD})(?P=by)(?P<host>[A-Za-z0-9.]+(?:(?P=by)(?:{_DOT_WORD})(?P=by)[A-Za-z0-9.]+)+)(?![A-Za-z0-9])", re.I)
+_GLUED_SIGN = re.compile(rf"[_-]({_AT_WORD}|{_DOT_WORD})[_-]", re.I)
+#: Character references of ASCII letters, digits and signs.
+_REFERENCE = re.compile(r"&(?:#0*(?P<ten>[0-9]{2,3})|#[xX]0*(?P<hex>[0-9A-Fa-f]{2})|(?P<name>commat|period|plus|lowbar|hyphen));")
+_GOES_ON_IN_WORDS = re.compile(r"\x20?[^\W_]")
+_NAMED = {"commat": "@", "period": ".", "plus": "+", "lowbar": "_", "hyphen": "-"}
 _BARE_SIGN = re.compile(rf"\x20({_AT_WORD}|{_DOT_WORD}|@|\.)\x20", re.I)
 # What the rewritings of spelled text need, looked for in lower case: a row of words for digits begins with one and goes on,
 # or has one behind a digit.
@@ -192,11 +212,47 @@ def _to_ascii(t: Tape) -> None:
         t.rewrite([(m.start(), m.end(), odd[m[0]]) for m in re.finditer("[" + "".join(map(re.escape, sorted(odd))) + "]", t.text)])
 
 
+def _to_characters(t: Tape) -> None:
+    if "&" not in t.text:
+        return
+    found = [(m, chr(int(m["ten"])) if m["ten"] else chr(int(m["hex"], 16)) if m["hex"] else _NAMED[m["name"]]) for m in _REFERENCE.finditer(t.text)]
+    t.rewrite([(m.start(), m.end(), c) for m, c in found if "\x20" < c < "\x7f"])
+
+
 def may_hold_signs(low: str) -> bool:
-    """Whether a text in lower case has a sign in brackets, a spaced @ or dot beside an @, or words for both."""
+    """Whether a text in lower case has a sign in brackets, a spaced @ or dot beside an @, or a word for an @ with dots."""
     dot = any(f" {w} " in low for w in DOT_WORDS)
-    bare = ("@" in low and (dot or " @ " in low or " . " in low)) or (dot and any(f" {w} " in low for w in AT_WORDS))
-    return bare or bool(_ENCLOSED.search(low))
+    bare = ("@" in low and (dot or " @ " in low or " . " in low)) or any(f" {w} " in low for w in AT_WORDS)
+    return bare or any(f"{by}{w}{by}" in low for by in "_-" for w in AT_WORDS) or bool(_ENCLOSED.search(low))
+
+
+def _ends_well(text: str, end: int, last: str, sure: bool = False) -> bool:
+    """Whether a last label is an ending of hosts here; one that is a word as well only if sure, or if no word follows."""
+    return last in ENDINGS or last.startswith("xn--") or (last in WORD_ENDINGS and (sure or not _GOES_ON_IN_WORDS.match(text, end)))
+
+
+def _address(text: str, m: re.Match) -> bool:
+    """Whether a match of _BARE is an address and not prose. A plain @ and plain dots are left as they are."""
+    host = m["host"].lower()
+    dots = {w for w in DOT_WORDS if f" {w} " in host}
+    if m["sign"] and not dots and " . " not in host:
+        return False
+    labels = re.split(rf"\x20?\.\x20?|\x20{_DOT_WORD}\x20", host)
+    if m["sign"]:
+        return _ends_well(text, m.end(), labels[-1])
+    at, local = m["at"].lower(), m["local"].lower()
+    sure = at in SURE_AT
+    if labels[0] in NO_HOST or local.rstrip(".") != local or not _ends_well(text, m.end(), labels[-1], sure):
+        return False
+    if sure:
+        return not any(at not in AT_WITH[w] for w in dots)
+    if local in NO_LOCAL:
+        return False
+    if at == "@":
+        return True
+    if dots:
+        return all(at in AT_WITH[w] for w in dots)
+    return " . " not in host and (bool(re.search(r"[._%+0-9-]", local)) or bool(_CUE.search(text, max(0, m.start() - 40), m.start())))
 
 
 def may_hold_digits(low: str) -> bool:
@@ -208,9 +264,18 @@ def _to_signs(t: Tape) -> None:
         return
     sign = lambda w: "@" if w == "@" or w.lower() in AT_WORDS else "."
     t.rewrite([(m.start(), m.end(), sign(m[1])) for m in _BRACKETED.finditer(t.text)])
+    edits, at = [], 0
+    while whole := _BARE.search(t.text, at):
+        if _address(t.text, whole):
+            edits += [(m.start(), m.end(), sign(m[1])) for m in _BARE_SIGN.finditer(t.text, whole.start(), whole.end())]
+            at = whole.end()
+        else:
+            at = whole.end("local")  # the next name may begin inside of what this one took for its host
+    t.rewrite(edits)
     edits = []
-    for whole in _BARE.finditer(t.text):
-        edits += [(m.start(), m.end(), sign(m[1])) for m in _BARE_SIGN.finditer(t.text, whole.start(), whole.end())]
+    for whole in _GLUED.finditer(t.text):
+        if _ends_well(t.text, whole.end(), re.split("[_.-]", whole["host"].lower())[-1]) and not whole["local"].endswith("."):
+            edits += [(m.start(), m.end(), sign(m[1])) for m in _GLUED_SIGN.finditer(t.text, whole.end("local"), whole.end())]
     t.rewrite(edits)
 
 
@@ -246,6 +311,7 @@ def disguised_spans(text: str, plain: list[tuple[int, int, str]]) -> list[tuple[
     tape = Tape(text)
     if not text.isascii():
         _to_ascii(tape)
+    _to_characters(tape)
     _to_digits(tape)
     _to_signs(tape)
     if not tape.edits:
