@@ -47,6 +47,7 @@ s as (select q.row, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c
 r as (select *, cast(row_number() over (partition by row order by score desc, vec_id) as integer) as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5"""
 _HOST, _PATH = r"translate(regexp_extract({0}, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')", r"regexp_extract({0}, '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+#: Links of plain absolute addresses; a resolver in the tests covers references, bases and ports as well.
 _NODE = _HOST + r" || regexp_extract({0}, '(?s)^.*?://[^/?#]*([^#]*)', 1)"
 _RULE = "case when ({h} = 'example.org' or {h} like '%.example.org') and starts_with({p}, '/en/1') then 'example.org/en/1' when ({h} = 'example.org' or {h} like '%.example.org') and starts_with({p}, '/es/') then 'example.org/es/' when ({h} = 'com' or {h} like '%.com') and starts_with({p}, '/fr/') then 'com/fr/' when ({h} = 'com' or {h} like '%.com') and starts_with({p}, '/de/') then 'com/de/' when ({h} = 'org' or {h} like '%.org') and starts_with({p}, '/') then 'org/' end"
 _URLS = f"""with recursive p as (select page_id, url, html, coalesce({_HOST.format("url")}, '') as host, coalesce({_PATH.format("url")}, '') as path, {_NODE.format("url")} as node from pages),

@@ -1,6 +1,12 @@
 from __future__ import annotations
 
+import random
+from html.parser import HTMLParser
+from urllib.parse import urljoin, urlsplit
+
+import pytest
 from palaver.llm import urls
+from pyspark.sql import functions as F
 
 PAGES = "page_id long, url string, html string"
 
@@ -56,3 +62,85 @@ def test_query_against_rules_by_hand(spark):
     for r in urls.op9_urls(spark, d).collect():
         fits = [(len(h + p), h + p, v) for v, h, p in urls.RULES if (r["host"] == h or r["host"].endswith("." + h)) and r["path"].startswith(p)]
         assert (r["rule"], r["verdict"]) == (max(fits)[1:] if fits else (None, "allow"))
+
+
+class Links(HTMLParser):
+    """An independent reader of what a page declares to be itself."""
+
+    def __init__(self, url):
+        super().__init__()
+        self.base, self.based, self.found = url, False, []
+
+    def handle_starttag(self, tag, attributes):
+        a = {k: v or "" for k, v in reversed(attributes)}
+        if tag == "base" and a.get("href", "").strip() and not self.based:
+            self.base, self.based = urljoin(self.base, a["href"].strip()), True
+        if tag == "link" and "canonical" in a.get("rel", "").lower().split():
+            self.found.append(a.get("href", "").strip())
+        if tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and "url=" in a.get("content", "").lower():
+            self.found.append(a["content"].split("=", 1)[1].strip())
+
+
+def node(url):
+    p = urlsplit(url)
+    host = p.netloc.lower().removesuffix({"http": ":80", "https": ":443"}[p.scheme.lower()]) if p.scheme.lower() in ("http", "https") else p.netloc.lower()
+    return host + (p.path or "/") + (f"?{p.query}" if p.query else "")
+
+
+def brute(rows):
+    """Verdicts by union-find over links that HTMLParser and urljoin give."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    def rule(url):
+        host, path = urlsplit(url).netloc.lower(), urlsplit(url).path
+        fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    said = []
+    for _, url, html in rows:
+        reader = Links(url)
+        reader.feed(html)
+        for t in reader.found:
+            to = urljoin(reader.base, t)
+            if t and "://" in to:
+                up[top(node(url))] = top(node(to))
+                said += [(node(url), rule(url)), (node(to), rule(to))]
+    verdict = {}
+    for i, url, _ in rows:
+        told = {v for n, v in said if top(n) == top(node(url))}
+        verdict[i] = rule(url) or ("block" if "block" in told and "allow" not in told else "allow")
+    return verdict
+
+
+HEADS = [
+    '<link rel="canonical" href="{}">', '<link rel="alternate canonical" href="{}">', "<LINK href='{}' REL=Canonical>", '<meta http-equiv="refresh" content="0; url={}">', '<link rel="stylesheet" href="{}">', '<base href="/de/sub/"><link rel="canonical" href="{}">',
+    '<base href="http://b.com/de/"><link rel=canonical href="{}">', '<!-- <link rel="canonical" href="{}"> -->', '<link rel="canonical" title="a > b" href="{}">',
+]
+TARGETS = ["https://a.net/x?p=1&amp;q=2", "https://a.net/x?p=1&#38;q=2", "http://b.com/de/z", "https:&#x2F;&#47;b.com/de/z", "other", "../up", "./here", "?x=1", "/root", "//c.com/fr/y", "http://h.net", "http://h.net/", "https://h.net:443/", "http://h.net:80", "", "mailto:a@b.co", "#top", "../../../far", "a/../b", "."]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_verdicts_against_an_independent_resolver(spark, seed):
+    rng = random.Random(seed)
+    own = ["https://a.net/x?p=1&q=2", "http://a.net/de/sub/page", "http://h.net", "https://h.net/#f", "http://b.com/de/z", "http://b.com/x/", "https://e.net/a/b/c", "http://c.com/fr/y", "http://g.net/de/", "http://g.net/other", "http://g.net/up", "http://a.net/root", "http://h.net:8080/"]
+    rows = [(i, rng.choice(own), "<html><head>" + rng.choice([*HEADS, ""]).format(rng.choice(TARGETS)) + "</head>") for i in range(60)]
+    want = brute(rows)
+    assert {i: r["verdict"] for i, r in verdicts(spark, rows).items()} == want and set(want.values()) == {"allow", "block"}
+
+
+def test_references_are_resolved_as_elsewhere(spark):
+    base = ["http://a.b/c/d/e?q", "http://a.b", "http://a.b/c/", "https://a.b/c?x#y"]
+    pairs = [(b, t) for b in base for t in ["g", "./g", "g/", "/g", "//g", "?y", "g?y", "#s", "g#s", ".", "./", "..", "../", "../g", "../..", "../../g", "../../../g", "/./g", "/../g", "g.", "..g", "./../g", "g/./h", "g/../h", "http://z/y"]]
+    got = spark.createDataFrame(pairs, "b string, t string").select("b", "t", urls.address(urls.resolved(F.col("b"), F.col("t"))).alias("r")).collect()
+    assert [r for r in got if r["r"] != node(urljoin(r["b"], r["t"]))] == []
+
+
+def test_character_references(spark):
+    cases = {"a&amp;b": "a&b", "&#38;#38;": "&#38;", "&#x1F600;é": "\U0001f600é", "&#0;&#xD800;&#99999999;": "&#0;&#xD800;&#99999999;", "&amp;lt;": "&lt;", "&": "&", "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["u"] for r in df.select("t", urls.unescaped(F.col("t")).alias("u")).collect()} == cases
