@@ -57,7 +57,7 @@ def unescaped(text: Column) -> Column:
 
     def one(piece: Column, i: Column) -> Column:
         digits = F.regexp_extract(piece, "(?s)^([0-9]{1,7}|[xX][0-9A-Fa-f]{1,6});", 1)
-        code = F.when(lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 9), 16, 10)).otherwise(digits).cast("int")
+        code = F.when(lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 9), 16, 10)).otherwise(digits).try_cast("int")
         real = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
         letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
         return F.when(i == 0, piece).when(real, F.concat(letter, F.regexp_replace(piece, "(?s)^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), piece))
