@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from palaver.functions.canonical import canonical_request
 from palaver.functions.lookups import PLATFORMS
 from palaver.functions.text import non_empty
 
@@ -85,8 +86,9 @@ def validate(requests: DataFrame, body: str = "body") -> DataFrame:
 
 
 def canonical_hash(body: Column) -> Column:
-    """SHA-256 of the JSON text with object keys sorted at every level; equal requests have equal hashes."""
-    return F.sha2(F.to_json(F.try_parse_json(body)), 256)
+    """SHA-256 of a request's accepted fields in canonical form, so that equal requests have equal hashes however they are
+    written; of the text itself if it is no request, and null for null."""
+    return F.sha2(F.coalesce(canonical_request(body), body), 256)
 
 
 def resolve_creates(requests: DataFrame) -> DataFrame:
@@ -97,7 +99,7 @@ def resolve_creates(requests: DataFrame) -> DataFrame:
     keyed = rows.filter(F.col("idempotency_key").isNotNull())
     first = keyed.groupBy("project_id", "idempotency_key").agg(F.min(F.struct("seq", "_hash")).alias("_f"))
     out = rows.join(first, ["project_id", "idempotency_key"], "left")
-    what = F.when(F.col("_f").isNull() | (F.col("_f.seq") == F.col("seq")), F.lit("created")).when(F.col("_f._hash") == F.col("_hash"), F.lit("replayed")).otherwise(F.lit("conflict"))
+    what = F.when(F.col("_f").isNull() | (F.col("_f.seq") == F.col("seq")), F.lit("created")).when(F.col("_f._hash").eqNullSafe(F.col("_hash")), F.lit("replayed")).otherwise(F.lit("conflict"))
     return out.select("seq", "project_id", "idempotency_key", what.alias("outcome"), F.when(what != "conflict", F.coalesce("_f.seq", "seq")).alias("created_seq"))
 
 

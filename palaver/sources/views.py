@@ -59,8 +59,17 @@ from {pages}
 """,
     "create_requests": """
 select event_id as seq, ts, user_id%5 as project_id,
-  case when event_id%4=0 then null else concat(cast(user_id as varchar(20)), ':', cast(event_id%3 as varchar(20))) end as idempotency_key,
-  case when event_id%2=0 then '{{"k": 1}}' else props end as body
+  case when event_id%5=0 then null else concat(cast(user_id%100 as varchar(20)), ':', cast(event_id%3 as varchar(20))) end as idempotency_key,
+  case event_id%9
+    when 0 then '{{"meeting_url": "https://a.example/r", "metadata": {{"n": 100, "b": {{"y": 1, "x": [1, 0.5]}}}}}}'
+    when 1 then '{{"metadata":{{"b":{{"x":[1.0,5e-1],"y":1}},"n":1e2}},"meeting_url":"https://a.example/r"}}'
+    when 2 then '{{"meeting_url": "https://b.example", "meeting_url": "https://a.example/r", "metadata": {{"n": 1, "n": 100, "b": {{"y": 1, "x": [1, 0.5]}}}}}}'
+    when 3 then '{{"meeting_url": "https://a.example/r", "bot_name": null, "other": 5, "metadata": {{"n": 100, "b": {{"y": 1, "x": [1, 0.5]}}}}}}'
+    when 4 then '{{"meeting_url": "https://a.example/r", "metadata": {{"n": 100, "b": {{"y": 1, "x": [0.5, 1]}}}}}}'
+    when 5 then '{{"meeting_url": "https://a.example/r", "bot_name": ""}}'
+    when 6 then 'no json'
+    when 7 then null
+    else concat('{{"meeting_url": "https://a.example/', cast(user_id%3 as varchar(20)), '"}}') end as body
 from {events}
 """,
     "delivery_attempts": """
