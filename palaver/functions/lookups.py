@@ -34,6 +34,8 @@ DELIVERY_DELAYS = (0, 60, 300, 1800, 7200)
 RETRYABLE = ("provider_unavailable", "provider_timeout")
 MOST_ATTEMPTS = 3
 JOIN_DEADLINE_S = 600
+#: Seconds to wait before a meeting is finalized again, times the attempts so far.
+FINALIZE_RETRY_S = 30
 
 
 def lookup(table: dict, key: Column, otherwise=None) -> Column:
@@ -84,7 +86,7 @@ def start_delay_ms(attempt: Column) -> Column:
 
 def finalize_delay_ms(attempt: Column) -> Column:
     """Wait after the attempt-th failure to finalize a meeting."""
-    return F.when(attempt < MOST_ATTEMPTS, (30_000 * attempt).cast("int"))
+    return F.when(attempt < MOST_ATTEMPTS, (1000 * FINALIZE_RETRY_S * attempt).cast("int"))
 
 
 def retryable_fetch(code: Column, http: Column) -> Column:

@@ -42,12 +42,9 @@ def _may(rank: Column, to: Column) -> Column:
     )
 
 
-def replay(events: DataFrame) -> DataFrame:
-    """transitions() for events with `reopen`, which takes a failed meeting back to processing, and `stop`, which takes a
-    meeting in progress to processing, cancels one before and is nothing to others. Reopening breaks the rise of ranks,
-    so a meeting's events are gathered and folded in order, still by built-in functions. error_cleared tells the events
-    that drop a meeting's error and its attempts so far."""
-    event = F.sort_array(F.collect_list(F.struct("ts", "seq", "target_status")))
+def folded(gathered: str, events: DataFrame) -> Column:
+    """The rows of replay(), each with the status after it, from a column of a meeting's events (ts, seq, target_status) in
+    order; `events` tells their types."""
     ended = lambda s: s["status"].isin(*TERMINAL)
 
     def step(s: Column, e: Column) -> Column:
@@ -55,14 +52,21 @@ def replay(events: DataFrame) -> DataFrame:
         stops = (e["target_status"] == "stop") & ~ended(s) & (s["status"] != "processing")
         ok = reopens | stops | (~ended(s) & ~e["target_status"].isin("reopen", "stop") & _may(_rank(s["status"]), e["target_status"]))
         to = F.when(reopens, F.lit("processing")).when(stops, stopped(s["status"])).when(ok, e["target_status"]).otherwise(s["status"])
-        row = F.struct(e["seq"].alias("seq"), e["ts"].alias("ts"), s["status"].alias("from_status"), e["target_status"].alias("to_status"), ok.alias("accepted"), reopens.alias("error_cleared"))
+        row = F.struct(e["seq"].alias("seq"), e["ts"].alias("ts"), s["status"].alias("from_status"), e["target_status"].alias("to_status"), ok.alias("accepted"), reopens.alias("error_cleared"), to.alias("status"))
         return F.struct(to.alias("status"), F.concat(s["rows"], F.array(row)).alias("rows"))
 
     kind = events.select("seq", "ts").schema
-    none = F.expr(f"cast(array() as array<struct<seq:{kind['seq'].dataType.simpleString()},ts:{kind['ts'].dataType.simpleString()},from_status:string,to_status:string,accepted:boolean,error_cleared:boolean>>)")
-    begin = F.struct(F.lit("queued").alias("status"), none.alias("rows"))
-    rows = events.groupBy("meeting_id").agg(event.alias("e")).select("meeting_id", F.aggregate("e", begin, step, lambda s: s["rows"]).alias("rows"))
-    return rows.select("meeting_id", F.inline("rows"))
+    none = F.expr(f"cast(array() as array<struct<seq:{kind['seq'].dataType.simpleString()},ts:{kind['ts'].dataType.simpleString()},from_status:string,to_status:string,accepted:boolean,error_cleared:boolean,status:string>>)")
+    return F.aggregate(gathered, F.struct(F.lit("queued").alias("status"), none.alias("rows")), step, lambda s: s["rows"])
+
+
+def replay(events: DataFrame) -> DataFrame:
+    """transitions() for events with `reopen`, which takes a failed meeting back to processing, and `stop`, which takes a
+    meeting in progress to processing, cancels one before and is nothing to others. Reopening breaks the rise of ranks,
+    so a meeting's events are gathered and folded in order, still by built-in functions. error_cleared tells the events
+    that drop a meeting's error and its attempts so far."""
+    gathered = events.groupBy("meeting_id").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "target_status"))).alias("e"))
+    return gathered.select("meeting_id", F.inline(folded("e", events))).drop("status")
 
 
 def final(events: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from palaver.functions.lookups import MOST_ATTEMPTS, RETRYABLE, failure_code, retryable_fetch
+from palaver.functions.lookups import FINALIZE_RETRY_S, MOST_ATTEMPTS, RETRYABLE, failure_code, retryable_fetch
 from palaver.functions.text import non_blank
 
 LEAST_BYTES_PER_S = 1000
@@ -69,29 +69,25 @@ def merge_results(eligible: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("text", F.when(F.col("_ok"), F.coalesce("result_text", F.lit(""))).otherwise(F.col("text"))).withColumn("from_provider", F.coalesce("_ok", F.lit(False))).drop("_ok", "result_text", "turn_idx")
 
 
-def finalize(meetings: DataFrame, native: str = "native") -> DataFrame:
-    """What becomes of meetings whose capture has ended: action, error_code, fallback_reason, retry_s.
-
-    Columns: provider, live_words, attempts (so far), reason (why capture ended, or null), audio (usable, none, an error
-    code of its fetch, or http_ and the status that the fetch got), result (ok, or the error code or fallback reason of the provider), result_text.
-    The first case that applies decides.
-    """
+def decision(attempts: Column, native: str = "native") -> Column:
+    """What becomes of a meeting whose capture has ended and whose transcription was tried before `attempts` times:
+    struct(action, error_code, fallback_reason, retry_s). See finalize() for the columns that it reads."""
     batch = F.col("provider") != native
     no_words = ~F.col("live_words")
     fetch_error = ~F.col("audio").isin("usable", "none")
-    again = F.col("attempts") + 1 < MOST_ATTEMPTS
+    again = attempts + 1 < MOST_ATTEMPTS
     retryable = F.col("result").isin(*RETRYABLE)
     later = retryable_fetch(F.col("audio"), F.regexp_extract("audio", r"^http_(\d{3})$", 1).try_cast("int"))
     reasons = ("undecodable", "silent_recording", "turns_failed", "no_turns")
     can = batch & F.col("live_words")
-    delay = (30 * (F.col("attempts") + 1)).cast("int")
+    delay = (FINALIZE_RETRY_S * (attempts + 1)).cast("int")
     row = lambda action, error=None, why=None, wait=None: F.struct(
         F.lit(action).alias("action"),
         (F.lit(None).cast("string") if error is None else F.lit(error) if isinstance(error, str) else error).alias("error_code"),
         (F.lit(None).cast("string") if why is None else F.lit(why) if isinstance(why, str) else why).alias("fallback_reason"),
         (F.lit(None).cast("int") if wait is None else wait).alias("retry_s"),
     )
-    out = (
+    return (
         F.when(no_words & batch & fetch_error & later & again, row("retry", wait=delay))
         .when(no_words & batch & fetch_error, row("fail", "transcription_failed"))
         .when(no_words & (~batch | (F.col("audio") == "none")), row("fail", failure_code(F.col("reason"))))
@@ -104,7 +100,27 @@ def finalize(meetings: DataFrame, native: str = "native") -> DataFrame:
         .when(retryable | F.col("result").isin(*reasons), row("fail", "transcription_failed"))
         .otherwise(row("fail", F.col("result")))
     )
-    return meetings.withColumn("_d", out).select(*meetings.columns, "_d.action", "_d.error_code", "_d.fallback_reason", "_d.retry_s")
+
+
+def finalize(meetings: DataFrame, native: str = "native") -> DataFrame:
+    """What becomes of meetings whose capture has ended: action, error_code, fallback_reason, retry_s.
+
+    Columns: provider, live_words, attempts (so far), reason (why capture ended, or null), audio (usable, none, an error
+    code of its fetch, or http_ and the status that the fetch got), result (ok, or the error code or fallback reason of the provider), result_text.
+    The first case that applies decides.
+    """
+    return meetings.withColumn("_d", decision(F.col("attempts"), native)).select(*meetings.columns, "_d.action", "_d.error_code", "_d.fallback_reason", "_d.retry_s")
+
+
+def finalize_tries(tries: DataFrame, native: str = "native") -> DataFrame:
+    """Results of trying to finalize (meeting_id, seq and what finalize() reads, without attempts) as far as they are waited
+    for: meeting_id, seq, attempt (from 1), action, error_code, fallback_reason, retry_s. An attempt follows a retry alone,
+    so the attempts so far are the row's place among its meeting's tries. The third failure is no retry: it falls back or fails."""
+    order = W.partitionBy("meeting_id").orderBy("seq")
+    rows = tries.withColumn("attempt", F.row_number().over(order)).filter(F.col("attempt") <= MOST_ATTEMPTS)
+    rows = rows.withColumn("_d", decision(F.col("attempt") - 1, native)).select("meeting_id", "seq", "attempt", "_d.*")
+    over = F.coalesce(F.max(F.col("action") != "retry").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    return rows.withColumn("_over", over).filter(~F.col("_over")).drop("_over")
 
 
 def reply_language(hint: Column, *replies: Column) -> Column:

@@ -181,6 +181,23 @@ def _not_text(k: str) -> str:
     return f"coalesce({_JT.format(k)} not in ('VARCHAR', 'NULL'), false)"
 
 
+_D_PARTS = """split_part(d, '|', 1) as action, nullif(split_part(d, '|', 2), '') as error_code, nullif(split_part(d, '|', 3), '') as fallback_reason,
+  case when d like 'retry%' then cast(30 * (attempts + 1) as integer) end as retry_s"""
+
+
+def _decided(ended: str) -> str:
+    """Endings with what becomes of them, as text of three parts."""
+    return f"""select *, case
+  when not live_words and provider = 'batch' and audio not in ('usable', 'none') then case when (audio like 'provider%' or audio in ('http_404', 'http_429', 'http_503')) and attempts < 2 then 'retry||' else 'fail|transcription_failed|' end
+  when not live_words and (provider = 'native' or audio = 'none') then 'fail|' || {_FAIL.format("reason")} || '|'
+  when result = 'ok' then case when trim(result_text) = '' then 'fail|transcription_failed|' else 'complete||' end
+  when result like 'provider%' and attempts < 2 then 'retry||'
+  when live_words and provider = 'batch' and audio = 'none' then 'fall_back||no_usable_recording'
+  when live_words and provider = 'batch' and result in ('undecodable', 'turns_failed') then 'fall_back||' || result
+  when live_words and provider = 'batch' and result like 'provider%' then 'fall_back||provider_unavailable_after_retries'
+  when result in ('undecodable', 'turns_failed') or result like 'provider%' then 'fail|transcription_failed|' else 'fail|' || result || '|' end as d from ({ended})"""
+
+
 SQL = {
     "segments_deduped": _sql("select meeting_id, pos, ord, segment_id, speaker, text from deduped"),
     "segments_relative": _sql("select meeting_id, pos, start_s, end_s from relative"),
@@ -269,16 +286,9 @@ from (select *, row_number() over (partition by meeting_id order by turn_no) as
 left join (select meeting_id, count(*) as asked from (select *, row_number() over (partition by meeting_id order by turn_no) as k from turn_rows join (select meeting_id, max(end_s) - 1 as seconds from turn_rows group by 1) using (meeting_id) where end_s - start_s >= 0.4 and least(seconds, end_s + 0.25) > greatest(0.0, start_s - 0.25)) group by 1) using (meeting_id)
 left join (select meeting_id, count(*) filter (where outcome = 'ok') as ok, count(*) filter (where outcome <> 'ok') as bad, cast(sum(attempts) as bigint) as n from provider_results group by 1) using (meeting_id)"""
     ),
-    "finalize_decisions": f"""select event_id, split_part(d, '|', 1) as action, nullif(split_part(d, '|', 2), '') as error_code, nullif(split_part(d, '|', 3), '') as fallback_reason,
-  case when d like 'retry%' then cast(30 * (attempts + 1) as integer) end as retry_s from (select *, case
-  when not live_words and provider = 'batch' and audio not in ('usable', 'none') then case when (audio like 'provider%' or audio in ('http_404', 'http_429', 'http_503')) and attempts < 2 then 'retry||' else 'fail|transcription_failed|' end
-  when not live_words and (provider = 'native' or audio = 'none') then 'fail|' || {_FAIL.format("reason")} || '|'
-  when result = 'ok' then case when trim(result_text) = '' then 'fail|transcription_failed|' else 'complete||' end
-  when result like 'provider%' and attempts < 2 then 'retry||'
-  when live_words and provider = 'batch' and audio = 'none' then 'fall_back||no_usable_recording'
-  when live_words and provider = 'batch' and result in ('undecodable', 'turns_failed') then 'fall_back||' || result
-  when live_words and provider = 'batch' and result like 'provider%' then 'fall_back||provider_unavailable_after_retries'
-  when result in ('undecodable', 'turns_failed') or result like 'provider%' then 'fail|transcription_failed|' else 'fail|' || result || '|' end as d from ({ENDED.format(events="events")}))""",
+    "finalize_decisions": f"select event_id, {_D_PARTS} from ({_decided(ENDED.format(events='events'))})",
+    "finalize_tries": f"""select meeting_id, event_id as seq, cast(k as integer) as attempt, {_D_PARTS} from (select *, coalesce(bool_and(d like 'retry%') over (partition by meeting_id order by event_id rows between unbounded preceding and 1 preceding), true) as waited
+  from ({_decided(f"select * exclude (attempts), k - 1 as attempts from (select *, event_id // 4 as meeting_id, row_number() over (partition by event_id // 4 order by event_id) as k from ({ENDED.format(events='events')})) where k <= 3")})) where waited""",
     "webhook_schedule": _sql("select * from scheduled"),
     "webhook_state": _sql("select * from scheduled qualify row_number() over (partition by delivery_id order by attempt desc) = 1"),
     "webhook_events": _sql(f"select meeting_id, event_type, payload from ({_PAYLOAD})"),
@@ -322,6 +332,10 @@ union all select 'orphans', -1, count(*) from endings join meetings using (meeti
         """select recording_id, cast(len(samples) as bigint) as n_samples, round(20 * log10(sqrt(list_sum(list_transform(samples, lambda x: x::double * x::double)) / len(samples))), 6) as rms_dbfs from signal_windows"""
     ),
 }
+SQL["finalize_stream"] = SQL["finalize_tries"]
+SQL["snapshot_stream"] = _sql("select cast(split_part(meeting_id, '-', 1)::bigint * 100 + split_part(meeting_id, '-', 2)::bigint as varchar) as meeting_id, status, n_accepted from finals where n_accepted > 0").replace(
+    _CTE["lifecycle_events"], f"select * replace (case target_status when 'completed' then 'processing' when 'cancelled' then 'joining' else target_status end as target_status) from ({_CTE['lifecycle_events']})"
+)
 SQL["segments_stream"] = SQL["segments_deduped"]
 SQL["delivery_stream"] = SQL["webhook_schedule"]
 SQL["lifecycle_stream"] = _sql("select meeting_id, status, n_accepted from finals where n_accepted > 0")

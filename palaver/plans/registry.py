@@ -260,6 +260,14 @@ def finalize_decisions(spark, d):
     return out.select("event_id", "action", "error_code", "fallback_reason", "retry_s")
 
 
+@_query
+def finalize_tries(spark, d):
+    """Four tries to finalize a meeting, as far as they are made."""
+    from palaver.streaming.queries import tries
+
+    return providers.finalize_tries(tries(spark.sql(oracles.ENDED.format(events=f"parquet.`{d}/events.parquet`"))))
+
+
 @_query
 def webhook_schedule(spark, d):
     return delivery.schedule(view(spark, d, "delivery_attempts")).drop("attempted_at")

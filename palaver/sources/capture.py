@@ -14,9 +14,10 @@ segments array<struct<start:double,`end`:double,text:string,language:string,spea
 
 
 def read_snapshots(spark: SparkSession, path: str, *, stream: bool = False, most_files: int = 1000) -> DataFrame:
-    """Snapshots under a path, one document per line; a line that isn't one has only `_corrupt`."""
+    """Snapshots under a path, one document per line; a line that isn't one has only `_corrupt`. polled_at is when its file
+    was landed."""
     reader = spark.readStream.option("maxFilesPerTrigger", most_files) if stream else spark.read
-    return reader.schema(SNAPSHOT_DDL + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return reader.schema(SNAPSHOT_DDL + ", _corrupt string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path).select("*", F.col("_metadata.file_modification_time").alias("polled_at"))
 
 
 def segments_of(snapshots: DataFrame) -> DataFrame:
@@ -33,11 +34,13 @@ def completion_reason(nested: Column, top: Column) -> Column:
 
 
 def status_changes(snapshots: DataFrame) -> DataFrame:
-    """Statuses that the provider reports, mapped: meeting_id, seq, ts, target_status."""
+    """Statuses that the provider reports, mapped: meeting_id, seq, ts, target_status, and polled_at if snapshots have it.
+    Each snapshot repeats its meeting's whole list."""
     from palaver.functions.lookups import capture_status
 
-    rows = snapshots.select(F.col("id").alias("meeting_id"), F.posexplode("data.status_transition").alias("seq", "t"))
-    return rows.select("meeting_id", F.col("seq").cast("long"), F.try_to_timestamp("t.timestamp").alias("ts"), capture_status(F.col("t.to")).alias("target_status"))
+    polled = [c for c in ("polled_at",) if c in snapshots.columns]
+    rows = snapshots.select(F.col("id").alias("meeting_id"), *polled, F.posexplode("data.status_transition").alias("seq", "t"))
+    return rows.select("meeting_id", F.col("seq").cast("long"), F.try_to_timestamp("t.timestamp").alias("ts"), capture_status(F.col("t.to")).alias("target_status"), *polled)
 
 
 def recordings_of(snapshots: DataFrame) -> DataFrame:

@@ -1,20 +1,23 @@
-"""Stateful streams: lifecycles with join deadlines, segment upserts, webhook deliveries.
+"""Stateful streams: lifecycles with join deadlines, landed snapshots, finalizing with retries, segment upserts, deliveries.
 
-State lives in the RocksDB store, so it may outgrow memory. Keys are meetings or deliveries.
+State lives in the RocksDB store, so it may outgrow memory. Keys are meetings or deliveries. What can be told from the rows
+of a key alone is a running aggregate in the JVM; timers and counters are processors, whose state expires when they are
+given a time to live.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from palaver.functions.lookups import DELIVERY_DELAYS, JOIN_DEADLINE_S, STATUS_RANK, TERMINAL
+from palaver.functions.lookups import DELIVERY_DELAYS, FINALIZE_RETRY_S, JOIN_DEADLINE_S, MOST_ATTEMPTS, STATUS_RANK, TERMINAL
 from palaver.functions.text import non_empty
+from palaver.operators import lifecycle, providers
+from palaver.sources import capture
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -52,12 +55,12 @@ class Lifecycle(StatefulProcessor):
     timer is for meetings that fall silent.
     """
 
-    def __init__(self, deadline_s: int | None = JOIN_DEADLINE_S):
-        self.deadline_s = deadline_s
+    def __init__(self, deadline_s: int | None = JOIN_DEADLINE_S, ttl_s: int | None = None):
+        self.deadline_s, self.ttl_ms = deadline_s, None if ttl_s is None else ttl_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("state", "status string, deadline_ms long")
+        self.state = handle.getValueState("state", "status string, deadline_ms long", self.ttl_ms)
 
     def _rows(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
         if rows:
@@ -102,64 +105,134 @@ class Lifecycle(StatefulProcessor):
 _CHANGES = "meeting_id string, seq long, ts timestamp, from_status string, to_status string, error_code string"
 
 
-def lifecycles(events: DataFrame, *, deadline_s: int | None = None, delay: str = "0 seconds") -> DataFrame:
+def lifecycles(events: DataFrame, *, deadline_s: int | None = None, delay: str = "0 seconds", ttl_s: int | None = None) -> DataFrame:
     """Streaming events (meeting_id, seq, ts, target_status) -> accepted changes.
 
     Late and regressive statuses are turned down by their rank, so no watermark is needed; with a deadline, event time
-    drives its timer and `delay` is how late events may come before it fires.
+    drives its timer and `delay` is how late events may come before it fires. Without one, `ttl_s` is how long a meeting
+    that hears nothing keeps its state; an event that comes later would begin it anew.
     """
     use_rocks(events.sparkSession)
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    mode = "None"
+    mode = "None" if ttl_s is None else "ProcessingTime"
     if deadline_s is not None:
+        if ttl_s is not None:
+            raise ValueError("state that event time drives has no time to live")
         rows, mode = rows.withWatermark("ts", delay), "EventTime"
-    return rows.groupBy("meeting_id").transformWithStateInPandas(Lifecycle(deadline_s), _CHANGES, "Append", mode)
+    return rows.groupBy("meeting_id").transformWithStateInPandas(Lifecycle(deadline_s, ttl_s), _CHANGES, "Append", mode)
 
 
-def latest_segments(segments: DataFrame) -> DataFrame:
-    """Streaming upsert of segments: per meeting and id the last row and the place of the first; unnamed rows by order.
+def lifecycle_states(events: DataFrame) -> DataFrame:
+    """Streaming events (meeting_id, seq, ts, target_status; also `reopen` and `stop`) -> meeting_id, status, n_events,
+    n_accepted of each meeting that a batch changed, in update mode: the last row of a meeting counts.
 
-    A running aggregate of structs, all in the JVM; `_key` names a row within its meeting, so update mode can be merged
-    by (meeting_id, _key). Reading it through operators.segments.dedupe drops stale drafts.
+    The state of a meeting is the set of its events, some ten of them, so what a source repeats changes nothing; the fold
+    is that of lifecycle.replay, in the JVM.
     """
-    key = F.coalesce(non_empty(F.col("segment_id")), F.concat(F.lit("#"), F.col("ord").cast("string")))
-    value = [c for c in segments.columns if c not in ("meeting_id", "ord")]
-    by = segments.filter(F.coalesce("completed", F.lit(True))).groupBy("meeting_id", key.alias("_key")).agg(F.max(F.struct("ord", *value)).alias("v"), F.min("ord").alias("first_ord"))
-    return by.select("meeting_id", "_key", "first_ord", "v.*")
+    use_rocks(events.sparkSession)
+    by = events.groupBy("meeting_id").agg(F.sort_array(F.collect_set(F.struct("ts", "seq", "target_status"))).alias("e"))
+    rows = by.select("meeting_id", F.size("e").cast("long").alias("n_events"), lifecycle.folded("e", events).alias("rows"))
+    taken = F.filter("rows", lambda r: r["accepted"])
+    last = F.element_at(F.filter("rows", lambda r: r["accepted"]), -1)["status"]
+    return rows.select("meeting_id", F.when(F.size(taken) > 0, last).otherwise(F.lit("queued")).alias("status"), "n_events", F.size(taken).cast("long").alias("n_accepted"))
+
 
+def snapshot_lifecycles(snapshots: DataFrame, *, repeats_for: str = "1 day", ttl_s: int = 7 * 86_400) -> DataFrame:
+    """Streaming snapshots, as capture.read_snapshots gives them -> accepted changes of their meetings.
 
-class Delivery(StatefulProcessor):
-    """Attempts of a delivery as their results come in: status and the next attempt, until delivered or out of attempts."""
+    Each poll repeats a meeting's whole list of statuses. What was landed before is dropped for as long as polls go on
+    after it came (`repeats_for`, by landing time); what is repeated later than that is turned down by the lifecycle, as
+    its rank is reached. Both states are bounded: one by the watermark, one by its time to live.
+    """
+    rows = capture.status_changes(snapshots).withWatermark("polled_at", repeats_for).dropDuplicatesWithinWatermark(["meeting_id", "seq", "ts", "target_status"])
+    return lifecycles(rows.select(F.col("meeting_id").cast("string").alias("meeting_id"), "seq", "ts", "target_status"), ttl_s=ttl_s)
+
+
+_FINAL = "meeting_id long, seq long, attempt int, action string, error_code string, fallback_reason string, retry_s int"
+
+
+class Finalizing(StatefulProcessor):
+    """Attempts to finalize a meeting: a counter, and after each retry a timer in processing time that asks for the next.
+
+    A row holds the decision for each number of attempts so far. What comes after the last decision is passed over.
+    """
+
+    def __init__(self, wait_ms: int, ttl_s: int):
+        self.wait_ms, self.ttl_ms = wait_ms, ttl_s * 1000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "attempt int, status string")
+        self.handle = handle
+        self.state = handle.getValueState("state", "attempts int, over boolean", self.ttl_ms)
+
+    def _rows(self, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame(rows, columns=["meeting_id", "seq", "attempt", "action", "error_code", "fallback_reason", "retry_s"]).astype({"seq": "Int64", "retry_s": "Int32"})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        attempt, status = self.state.get() if self.state.exists() else (0, "pending")
-        out = []
-        new = pd.concat(list(rows)).sort_values("attempt")
-        for at, code in zip(new["attempted_at"], new["response_code"], strict=True):
-            if status != "pending":
+        attempts, over = self.state.get() if self.state.exists() else (0, False)
+        out, new = [], pd.concat(list(rows)).sort_values("seq")
+        for seq, decisions in zip(new["seq"], new["decisions"], strict=True):
+            if over:
                 break
-            attempt += 1
-            code = None if pd.isna(code) else int(code)
-            good = code is not None and 200 <= code < 300
-            status = "delivered" if good else "pending" if attempt < len(DELIVERY_DELAYS) else "failed"
-            due = at + timedelta(seconds=DELIVERY_DELAYS[attempt]) if status == "pending" else None
-            out.append((key[0], attempt, code, status, due))
-        self.state.update((attempt, status))
-        if out:
-            yield pd.DataFrame(out, columns=["delivery_id", "attempt", "response_code", "status", "next_attempt_at"]).astype({"response_code": "Int32", "next_attempt_at": "datetime64[ns]"})
+            d = decisions[attempts]
+            out.append((key[0], seq, attempts + 1, d["action"], d["error_code"], d["fallback_reason"], d["retry_s"]))
+            attempts, over = attempts + 1, d["action"] != "retry"
+            if not over:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms * attempts)
+        self.state.update((attempts, over))
+        yield from self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.state.exists():
+            attempts, over = self.state.get()
+            if not over:
+                yield from self._rows([(key[0], None, attempts + 1, "poll", None, None, None)])
 
     def close(self) -> None:
         pass
 
 
+def finalizing(results: DataFrame, *, native: str = "native", wait_ms: int = 1000 * FINALIZE_RETRY_S, ttl_s: int = 86_400) -> DataFrame:
+    """Streaming results of trying to finalize (as providers.finalize_tries takes them) -> its rows, and one with action
+    `poll` and no seq when a retry is due: wait_ms after the first failure, twice that after the second. The counter of a
+    meeting that is over is kept for ttl_s seconds, so that late results find it."""
+    use_rocks(results.sparkSession)
+    decisions = F.array(*[providers.decision(F.lit(k), native) for k in range(MOST_ATTEMPTS)])
+    rows = results.select(F.col("meeting_id").cast("long").alias("meeting_id"), F.col("seq").cast("long").alias("seq"), decisions.alias("decisions"))
+    return rows.groupBy("meeting_id").transformWithStateInPandas(Finalizing(wait_ms, ttl_s), _FINAL, "Append", "ProcessingTime")
+
+
+def latest_segments(segments: DataFrame) -> DataFrame:
+    """Streaming upsert of segments: per meeting and id the last row and the place of the first; unnamed rows by order.
+
+    A running aggregate of structs, all in the JVM; `_key` names a row within its meeting, so update mode can be merged
+    by (meeting_id, _key). Reading it through operators.segments.dedupe drops stale drafts.
+    """
+    key = F.coalesce(non_empty(F.col("segment_id")), F.concat(F.lit("#"), F.col("ord").cast("string")))
+    value = [c for c in segments.columns if c not in ("meeting_id", "ord")]
+    by = segments.filter(F.coalesce("completed", F.lit(True))).groupBy("meeting_id", key.alias("_key")).agg(F.max(F.struct("ord", *value)).alias("v"), F.min("ord").alias("first_ord"))
+    return by.select("meeting_id", "_key", "first_ord", "v.*")
+
+
 def deliveries(attempts: DataFrame) -> DataFrame:
-    """Streaming attempts (delivery_id, attempt, attempted_at, response_code) -> the delivery's status after each."""
+    """Streaming attempts (delivery_id, attempt, attempted_at, response_code) -> the delivery's status after each, in update
+    mode: rows of a delivery that a batch changed, by (delivery_id, attempt).
+
+    A running aggregate in the JVM whose state is the set of a delivery's attempts, a handful. Attempts count in their
+    order until one succeeds or none is left."""
     use_rocks(attempts.sparkSession)
-    rows = attempts.withColumn("attempted_at", F.col("attempted_at").cast("timestamp"))
-    return rows.groupBy("delivery_id").transformWithStateInPandas(Delivery(), "delivery_id long, attempt int, response_code int, status string, next_attempt_at timestamp", "Append", "None")
+    by = attempts.groupBy("delivery_id").agg(F.sort_array(F.collect_set(F.struct("attempt", F.col("attempted_at").cast("timestamp").alias("at"), "response_code"))).alias("a"))
+    good = lambda x: F.coalesce(x["response_code"].between(200, 299), F.lit(False))
+    first = F.array_position(F.transform("a", good), True)
+    made = F.slice("a", 1, F.least(F.when(first > 0, first).otherwise(F.size("a")).cast("int"), F.lit(len(DELIVERY_DELAYS))))
+    waits = F.array(*[F.lit(x) for x in DELIVERY_DELAYS])
+
+    def row(x, i):
+        status = F.when(good(x), F.lit("delivered")).when(i + 1 < len(DELIVERY_DELAYS), F.lit("pending")).otherwise(F.lit("failed"))
+        due = F.timestamp_micros(F.unix_micros(x["at"]) + F.get(waits, i + 1).cast("long") * 1_000_000)
+        return F.struct((i + 1).cast("int").alias("attempt"), x["response_code"].cast("int").alias("response_code"), status.alias("status"), F.when(status == "pending", due).alias("next_attempt_at"))
+
+    return by.select("delivery_id", F.inline(F.transform(made, row)))
 
 
 def deliver(outbox: DataFrame, post: Callable[[str, str, dict], int | None], path: str, checkpoint: str):

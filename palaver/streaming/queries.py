@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from palaver.functions.lookups import STATUS_RANK
 from palaver.operators import segments
+from palaver.plans import oracles
+from palaver.sources import capture
 from palaver.sources.shared import fresh_path
 from palaver.sources.views import TABLES, text, view
 from palaver.streaming import folds
@@ -25,13 +30,34 @@ def _over(spark: SparkSession, sf_dir: str, name: str, table: str) -> DataFrame:
     return spark.sql(text(name, **{t: f"stream_{table}" for t in TABLES if t == table}))
 
 
-def finish(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+def tries(ended: DataFrame) -> DataFrame:
+    """Endings as tries to finalize, four of a meeting."""
+    return ended.drop("attempts").withColumns({"meeting_id": F.floor(F.col("event_id") / 4), "seq": F.col("event_id")})
+
+
+@contextmanager
+def no_idle_batches(spark: SparkSession) -> Iterator[None]:
+    """A query started here ends with its data, though timers in processing time would have it go on; it has a session of
+    its own from its start, so the setting is put back at once."""
+    key = "spark.sql.streaming.noDataMicroBatches.enabled"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def finish(stream: DataFrame, name: str, keys: tuple[str, ...] = (), timed: bool = False) -> DataFrame:
     """Run a stream over all that is there and return what it wrote; with keys each batch writes the rows that it
-    changed, to a folder of its own so that it may be repeated, and the last of each key counts."""
+    changed, to a folder of its own so that it may be repeated, and the last of each key counts. `timed` streams have timers in
+    processing time, which would not let them end."""
     spark, path = stream.sparkSession, fresh_path(stream.sparkSession, name)
     q = stream.writeStream.option("checkpointLocation", fresh_path(spark, f"{name}-state")).trigger(availableNow=True)
     if not keys:
-        q.outputMode("append").format("parquet").start(path).awaitTermination()
+        with no_idle_batches(spark) if timed else nullcontext():
+            run = q.outputMode("append").format("parquet").start(path)
+        run.awaitTermination()
         return spark.read.schema(stream.schema).parquet(path)
     q.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{path}/batch={n}")).start().awaitTermination()
     rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch", LongType())])).parquet(path)
@@ -40,11 +66,38 @@ def finish(stream: DataFrame, name: str, keys: tuple[str, ...] = ()) -> DataFram
 
 def lifecycle_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status of every meeting that changed, after the stream of events."""
-    changes = finish(folds.lifecycles(_over(spark, sf_dir, "lifecycle_events", "events")), "lifecycles")
+    last = finish(folds.lifecycle_states(_over(spark, sf_dir, "lifecycle_events", "events")), "lifecycles", ("meeting_id",))
+    return last.filter("n_accepted > 0").select("meeting_id", "status", "n_accepted")
+
+
+def landed_snapshots(spark: SparkSession, sf_dir: str, polls: int = 3) -> str:
+    """Land the lifecycle events as a capture provider's snapshots; every poll repeats a meeting's list and adds to it."""
+    named = {"joining": "joining", "waiting_for_admission": "awaiting_admission", "in_progress": "active", "processing": "stopping", "completed": "completed", "failed": "failed", "cancelled": "requested"}
+    key = F.split("meeting_id", "-")
+    e = view(spark, sf_dir, "lifecycle_events").withColumn("to", F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), F.col("target_status")))
+    by = e.groupBy((key[0].cast("long") * 100 + key[1].cast("long")).alias("id")).agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "to"))).alias("all"))
+    rows = by.select("id", "all", F.explode(F.sequence(F.lit(1), F.lit(polls))).alias("poll"))
+    said = F.transform(F.slice("all", 1, F.ceil(F.size("all") * F.col("poll") / polls).cast("int")), lambda x: F.struct(x["to"].alias("to"), F.date_format(x["ts"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp")))
+    path = fresh_path(spark, "snapshots")
+    rows.select("poll", F.to_json(F.struct("id", F.struct(said.alias("status_transition")).alias("data"))).alias("value")).repartition(polls, "poll").select("value").write.text(path)
+    return path
+
+
+def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status of every meeting after landed snapshots of several polls, a file at a time."""
+    snapshots = capture.read_snapshots(spark, landed_snapshots(spark, sf_dir), stream=True, most_files=1)
+    changes = finish(folds.snapshot_lifecycles(snapshots), "snapshots", timed=True)
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in STATUS_RANK.items() for x in kv]), F.col("to_status"))
     return changes.groupBy("meeting_id").agg(F.max_by("to_status", rank).alias("status"), F.count("*").alias("n_accepted"))
 
 
+def finalize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """finalize_tries from a stream of results, four of a meeting."""
+    _stream(spark, sf_dir, "events").createOrReplaceTempView("stream_events")
+    results = tries(spark.sql(oracles.ENDED.format(events="stream_events")))
+    return finish(folds.finalizing(results), "finalizing", timed=True)
+
+
 def deadline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meetings that a join deadline ended, with its error code."""
     changes = finish(folds.lifecycles(_over(spark, sf_dir, "lifecycle_events", "events"), deadline_s=600), "deadlines")
@@ -63,7 +116,8 @@ def segments_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def delivery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """webhook_schedule from a stream of attempts."""
-    return finish(folds.deliveries(_over(spark, sf_dir, "delivery_attempts", "events")), "deliveries").select("delivery_id", F.col("attempt").cast("long"), "response_code", "status", F.col("next_attempt_at").cast("timestamp_ntz"))
+    last = finish(folds.deliveries(_over(spark, sf_dir, "delivery_attempts", "events")), "deliveries", ("delivery_id", "attempt"))
+    return last.select("delivery_id", F.col("attempt").cast("long"), "response_code", "status", F.col("next_attempt_at").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (lifecycle_stream, deadline_stream, segments_stream, delivery_stream)}
+QUERIES = {f.__name__: f for f in (lifecycle_stream, snapshot_stream, finalize_stream, deadline_stream, segments_stream, delivery_stream)}
