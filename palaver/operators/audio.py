@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import io
+import math
 import time
 import wave
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from palaver.functions.lookups import MOST_ATTEMPTS
+from palaver.operators.providers import merge_results, reply_language, turn_outcomes
+from palaver.operators.segments import eligible_turns
+from palaver.operators.transcripts import longest, normalize, transcripts
+from palaver.sources.shared import written
 
 FULL_SCALE = 32768.0
 SILENCE_DBFS, LEAST_S = -60.0, 0.5
@@ -37,36 +45,91 @@ def too_quiet(seconds: Column, dbfs: Column) -> Column:
     return (seconds < LEAST_S) | (dbfs < SILENCE_DBFS)
 
 
+class Cuts:
+    """Where recordings of a rate are cut: stretches of at most `longest` seconds, in whole samples.
+
+    Each cut is the middle of the quietest window, hops of half a window apart, in the last seconds before the limit; the
+    first of equals. Windows begin at multiples of `cell` samples wherever earlier cuts fell, so energies by cell are all
+    that cutting needs: at 16 kHz and 10 minutes a cell is a hop of 50 ms, 800 samples.
+    """
+
+    def __init__(self, rate: int, longest: float = CHUNK_S):
+        self.rate, self.longest = rate, max(1, math.floor(longest * rate))
+        self.width = max(1, math.floor(rate * WINDOW_S + 0.5))
+        self.hop, self.least, self.search = max(1, self.width // 2), math.floor(0.5 * rate), math.floor(SEARCH_S * rate)
+        self.cell = math.gcd(self.hop, self.width, self.width // 2, self.longest, abs(self.longest - self.search), self.least)
+
+    def energies(self, samples: np.ndarray, offset: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Cells that samples from `offset` on fall into, and their sums of squares there."""
+        if not len(samples):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        first = offset // self.cell
+        starts = np.maximum(np.arange(first, (offset + len(samples) - 1) // self.cell + 1) * self.cell - offset, 0)
+        return first + np.arange(len(starts)), np.add.reduceat(samples.astype(np.int64) ** 2, starts)
+
+    def fold(self, energy: np.ndarray, n: int) -> list[tuple[int, int]]:
+        """Stretches of a recording of n samples from the energies of its cells."""
+        total, out, begin = np.concatenate([[0], np.cumsum(energy)]), [], 0
+        while n - begin > self.longest:
+            limit = begin + self.longest
+            first, last = max(begin + self.least, limit - self.search), min(n, limit) - self.width
+            at = np.arange(first, last + 1, self.hop)
+            best = int(at[np.argmin(total[(at + self.width) // self.cell] - total[at // self.cell])]) if len(at) else last
+            end = max(begin + max(1, self.least), min(limit, best + self.width // 2))
+            out.append((begin, end))
+            begin = end
+        return [*out, (begin, n)]
+
+
 def quiet_cuts(samples: np.ndarray, rate: int, longest: float) -> list[tuple[float, float]]:
-    """Stretches of at most `longest` seconds. Each cut is the middle of the quietest window, hops of half a window
-    apart, in the last seconds before the limit; the first of equals. Window energies are differences of one running
-    sum of squares, so a recording is read once whatever the overlap."""
-    energy = np.concatenate([[0], np.cumsum(samples.astype(np.int64) ** 2)])
-    total, width = len(samples) / rate, max(1, int(np.floor(rate * WINDOW_S + 0.5)))
-    hop, out, begin = max(1, width // 2), [], 0.0
-    while total - begin > longest:
-        limit = begin + longest
-        first = max(0, int(np.floor(max(begin + 0.5, limit - SEARCH_S) * rate)))
-        last = min(len(samples), int(np.floor(limit * rate))) - width
-        at = np.arange(first, last + 1, hop)
-        best = int(at[np.argmin(energy[at + width] - energy[at])]) if len(at) else last
-        end = max(begin + 0.5, min(limit, (best + width // 2) / rate))
-        out.append((begin, end))
-        begin = end
-    return [*out, (begin, total)]
+    """Cuts of one recording, in seconds."""
+    c = Cuts(rate, longest)
+    return [(a / rate, b / rate) for a, b in c.fold(c.energies(samples)[1], len(samples))]
+
+
+def placed_blocks(blocks: DataFrame) -> DataFrame:
+    """Blocks of recordings (recording_id, part, samples) with offset, the samples before each. Only sizes meet in a window;
+    samples stay where they are until a join by recording and part."""
+    sizes = blocks.select("recording_id", "part", F.greatest(F.size("samples"), F.lit(0)).cast("long").alias("n"))
+    before = F.sum("n").over(W.partitionBy("recording_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    return blocks.join(sizes.select("recording_id", "part", F.coalesce(before, F.lit(0)).alias("offset")), ["recording_id", "part"])
 
 
 def chunks(recordings: DataFrame, rate: int, longest: float = CHUNK_S) -> DataFrame:
-    """recordings (recording_id, samples array<int or smallint>) -> recording_id, chunk_no, chunk_from, chunk_to.
+    """recordings (recording_id, samples array<int or smallint>, and part if a recording is many rows) -> recording_id,
+    chunk_no, chunk_from, chunk_to in seconds.
 
-    Each cut depends on the one before it, so a recording is one unit of work; batches of recordings are not gathered."""
+    Samples are reduced to energies by cell where they lie, a block at a time; cells that two blocks share are added up.
+    Each cut depends on the one before it, so a recording's cells meet in one row: at 16 kHz an hour is 72,000 numbers.
+    A null among a recording's blocks counts as no samples; a recording of nulls alone has no chunks."""
+    cuts = Cuts(rate, longest)
+    blocks = recordings if "part" in recordings.columns else recordings.withColumn("part", F.lit(0))
+    blocks = placed_blocks(blocks.filter("samples is not null").select(F.col("recording_id").cast("long").alias("recording_id"), "part", "samples"))
 
-    def run(batches):
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(k, *cuts.energies(np.asarray(x.values.to_numpy(zero_copy_only=False)), at), len(x.values)) for k, (x, at) in enumerate(zip(b.column(2), b.column(1).to_pylist(), strict=True))]
+            rows = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
+            first = np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)
+            n = np.where(first, np.repeat([f[3] for f in found], [len(f[1]) for f in found]), 0).astype(np.int64)
+            whole = lambda i: pa.array(np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]))  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), whole(1), whole(2), pa.array(n)], ["recording_id", "cell", "energy", "n"])
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, k, a, z) for i, s in zip(b["recording_id"], b["samples"], strict=True) if s is not None for k, (a, z) in enumerate(quiet_cuts(np.asarray(s), rate, longest))]
-            yield pd.DataFrame(rows, columns=["recording_id", "chunk_no", "chunk_from", "chunk_to"])
+            rows = []
+            for i, n, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                cell, square = (c.to_numpy() for c in cells.values.flatten())
+                energy = np.zeros(-(-n // cuts.cell), np.int64)
+                energy[cell] = square
+                rows += [(i, k, a / rate, z / rate) for k, (a, z) in enumerate(cuts.fold(energy, n))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["recording_id", "chunk_no", "chunk_from", "chunk_to"])
 
-    return recordings.select(F.col("recording_id").cast("long"), "samples").mapInPandas(run, "recording_id long, chunk_no long, chunk_from double, chunk_to double")
+    table = blocks.filter(F.size("samples") > 0).select("recording_id", "offset", "samples").mapInArrow(squares, "recording_id long, cell long, energy long, n long")
+    empty = blocks.groupBy("recording_id").agg(F.max(F.size("samples")).alias("m")).filter("m = 0").select("recording_id", F.lit(0).cast("long").alias("chunk_no"), F.lit(0.0).alias("chunk_from"), F.lit(0.0).alias("chunk_to"))
+    table = table.groupBy("recording_id", "cell").agg(F.sum("energy").alias("energy"), F.sum("n").alias("n"))
+    whole = table.groupBy("recording_id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("cell", "energy")).alias("cells"))
+    return whole.mapInArrow(folded, "recording_id long, chunk_no long, chunk_from double, chunk_to double").unionByName(empty)
 
 
 def to_wav(samples: np.ndarray, rate: int) -> bytes:
@@ -109,30 +172,90 @@ def read_wavs(spark, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, rate int, samples array<smallint>")
 
 
-Call = Callable[[bytes], str | None]
+@dataclass
+class Reply:
+    """What a provider answers: an HTTP status (None: no connection), and if it went well the words, the language that it
+    heard, segments (start, end, text) and how many seconds it heard or billed."""
+
+    text: str | None = None
+    status: int | None = 200
+    language: str | None = None
+    segments: list[tuple[float, float, str]] | None = None
+    duration: float | None = None
+    billed_seconds: float | None = None
+    timed_out: bool = False
+
+
+#: A provider takes WAV bytes and gives a Reply, or the words alone; it may raise instead.
+Call = Callable[[bytes], "Reply | str | None"]
+
+
+def reply_error(r: Reply) -> str | None:
+    """lookups.provider_error for a reply in Python."""
+    if r.timed_out:
+        return "provider_timeout"
+    if r.status is None or r.status >= 500 or r.status == 429:
+        return "provider_unavailable"
+    return None if 200 <= r.status < 300 else "transcription_failed"
+
+
+def replied(call: Call, wav: bytes) -> Reply:
+    """The reply of one call. TimeoutError and ConnectionError are outages; an error with a `status`, `status_code` or `code`
+    counts as a reply of that status; any other is a refusal, as one clip's failure is no failure of the job."""
+    try:
+        said = call(wav)
+    except TimeoutError:
+        return Reply(timed_out=True)
+    except ConnectionError:
+        return Reply(status=None)
+    except Exception as e:
+        status = next((x for x in (getattr(e, k, None) for k in ("status", "status_code", "code")) if isinstance(x, int)), 400)
+        return Reply(status=status if not 200 <= status < 300 else 400)
+    return said if isinstance(said, Reply) else Reply(said)
+
+
+def asked_reply(call: Call, wav: bytes, wait: Callable[[float], None] = time.sleep, most: int = MOST_ATTEMPTS) -> tuple[str, Reply, int]:
+    """(outcome, reply, attempts): ok, http_4xx for a refusal, or unavailable for an outage, which is tried `most` times with
+    call_delay's milliseconds between."""
+    for attempt in range(1, most + 1):
+        r = replied(call, wav)
+        error = reply_error(r)
+        if error is None:
+            return "ok", r, attempt
+        if error == "transcription_failed":
+            return "http_4xx", r, attempt
+        if attempt < most:
+            wait(0.25 * 4 ** (attempt - 1))
+    return "unavailable", r, most
 
 
 def asked(call: Call, wav: bytes, wait: Callable[[float], None] = time.sleep) -> tuple[str, str | None, int]:
-    """(outcome, text, attempts) of a provider's call: ConnectionError and TimeoutError are outages, tried again after
-    call_delay's milliseconds up to MOST_ATTEMPTS times; any other error is a refusal."""
-    for attempt in range(1, MOST_ATTEMPTS + 1):
-        try:
-            return "ok", call(wav) or "", attempt
-        except (ConnectionError, TimeoutError):
-            if attempt < MOST_ATTEMPTS:
-                wait(0.25 * 4 ** (attempt - 1))
-        except Exception:  # whatever a provider's client raises, one clip's failure is no failure of the job
-            return "http_4xx", None, attempt
-    return "unavailable", None, MOST_ATTEMPTS
+    """(outcome, text, attempts) of a provider's call, see asked_reply()."""
+    outcome, r, attempts = asked_reply(call, wav, wait)
+    return outcome, (r.text or "") if outcome == "ok" else None, attempts
+
+
+def gate(samples, rate: int) -> str | None:
+    """Why a recording is not worth a call: undecodable (null, or none of its samples known), silent_recording, or None."""
+    if samples is None or rate is None:
+        return "undecodable"
+    x = np.asarray(samples, float)
+    level = float(np.mean((x / FULL_SCALE) ** 2)) if len(x) else 0.0
+    dbfs = 20 * math.log10(math.sqrt(level)) if level > 0 else -math.inf
+    return "silent_recording" if len(x) / rate < LEAST_S or dbfs < SILENCE_DBFS else None
+
+
+_CLIP = {"meeting_id": "long", "turn_idx": "long", "outcome": "string", "result_text": "string", "language": "string", "attempts": "int"}
 
 
 def transcribe_clips(audio: DataFrame, turns: DataFrame, call: Call, at_once: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """Ask a provider for each eligible turn: meeting_id, turn_idx (from 1, among the meeting's eligible turns), outcome,
-    result_text, attempts.
+    result_text, language (the reply's), attempts.
 
-    audio (meeting_id, rate, samples) is decoded once and meets all turns of its meeting in one row. `call` takes WAV
-    bytes and returns text; at most `at_once` calls of a meeting run at a time, see asked() for failures. A retried task
-    calls again, so a provider should recognise repeated clips.
+    audio (meeting_id, rate, samples) is decoded once and meets all turns of its meeting in one row. A recording that can't
+    be decoded or is silent is not sent: it gives one row with turn_idx 0, that outcome and no attempts. At most `at_once`
+    calls of a meeting run at a time, see asked_reply() for failures. A retried task calls again, so a provider should
+    recognise repeated clips.
     """
     clips = turns.groupBy("meeting_id").agg(F.sort_array(F.collect_list(F.struct("turn_no", "clip_from", "clip_to"))).alias("clips"))
 
@@ -140,11 +263,48 @@ def transcribe_clips(audio: DataFrame, turns: DataFrame, call: Call, at_once: in
         with ThreadPoolExecutor(at_once) as pool:
             for b in batches:
                 for m, r, s, cs in zip(b["meeting_id"], b["rate"], b["samples"], b["clips"], strict=True):
-                    pcm = np.asarray(s, np.int16)
-                    said = list(pool.map(lambda c: asked(call, to_wav(clip(pcm, r, c["clip_from"], c["clip_to"]), r), wait), cs))  # noqa: B023
-                    yield pd.DataFrame([(m, k + 1, *x) for k, x in enumerate(said)], columns=["meeting_id", "turn_idx", "outcome", "result_text", "attempts"])
-
-    return audio.join(clips, "meeting_id").select("meeting_id", "rate", "samples", "clips").mapInPandas(run, "meeting_id long, turn_idx long, outcome string, result_text string, attempts int")
+                    if why := gate(s, None if pd.isna(r) else r):
+                        rows = [(m, 0, why, None, None, 0)]
+                    else:
+                        pcm = np.asarray(s, np.int16)
+                        said = pool.map(lambda c: asked_reply(call, to_wav(clip(pcm, int(r), c["clip_from"], c["clip_to"]), int(r)), wait), cs)  # noqa: B023
+                        rows = [(m, k + 1, o, (x.text or "") if o == "ok" else None, x.language if o == "ok" else None, n) for k, (o, x, n) in enumerate(said)]
+                    yield pd.DataFrame(rows, columns=list(_CLIP))
+
+    return audio.join(clips, "meeting_id").select("meeting_id", "rate", "samples", "clips").mapInPandas(run, ", ".join(f"{k} {v}" for k, v in _CLIP.items()))
+
+
+def transcribe_turns(audio: DataFrame, turns: DataFrame, call: Call, *, hint: Column | None = None, at_once: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Transcripts by turn from call to text: for each meeting of audio (meeting_id, rate, samples) with turns (as
+    segments.merge_turns gives them) outcome, turns, eligible, failed, calls, language, duration_seconds, n_segments, text.
+
+    The outcome is ok, or why there is no transcript: undecodable, silent_recording, no_turns (none long enough), turns_failed
+    (more than half), provider_unavailable (all of them outages, to be tried again). A turn that failed keeps its own words;
+    one that is answered has the reply's, even none. Its language is the reply's, else its own; the meeting's is the hint, else
+    the first that a segment names. The transcript is as long as the recording at least. Replies are written before they are
+    used, so that each clip is asked about once.
+    """
+    length = audio.select("meeting_id", (F.size("samples") / F.col("rate")).alias("_seconds"), F.col("samples").isNull().alias("_null"))
+    turns = written(turns, "turns")
+    fit = eligible_turns(turns.join(length.filter("not _null"), "meeting_id"), F.col("_seconds"))
+    results = written(transcribe_clips(audio, fit, call, at_once, wait), "replies")
+    # A recording that no turn fits is not asked about, but judged all the same.
+    loud = levels(audio.filter("samples is not null").select(F.col("meeting_id").alias("recording_id"), F.transform("samples", lambda x: x / FULL_SCALE).alias("samples")))
+    judged = length.join(loud.select(F.col("recording_id").alias("meeting_id"), "rms_dbfs"), "meeting_id", "left")
+    why = F.when(F.col("_null"), F.lit("undecodable")).when(too_quiet(F.col("_seconds"), F.col("rms_dbfs")), F.lit("silent_recording"))
+    by = turn_outcomes(results.filter("turn_idx > 0")).join(results.groupBy("meeting_id").agg(F.sum("attempts").alias("calls")), "meeting_id")
+    n = turns.groupBy("meeting_id").agg(F.count("*").alias("turns"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    told = judged.join(n, "meeting_id", "left").join(by, "meeting_id", "left")
+    told = told.select("meeting_id", "_seconds", F.coalesce(why, F.col("outcome"), F.lit("no_turns")).alias("outcome"), zero("turns"), zero("eligible"), zero("failed"), zero("calls"))
+    said = merge_results(fit, results.filter("turn_idx > 0")).withColumn("pos", F.col("turn_no"))
+    heard = results.filter("turn_idx > 0 and outcome = 'ok'").select("meeting_id", "turn_idx", F.col("language").alias("_heard"))
+    order = F.row_number().over(W.partitionBy("meeting_id").orderBy("turn_no")).cast("long")
+    said = said.withColumn("turn_idx", order).join(heard, ["meeting_id", "turn_idx"], "left").withColumn("language", reply_language(F.col("_heard"), F.col("language")))
+    good = told.filter("outcome = 'ok'")
+    done = transcripts(good.select("meeting_id"), normalize(said.join(good.select("meeting_id"), "meeting_id", "left_semi")), hint)
+    out = told.join(done, "meeting_id", "left")
+    return out.select("meeting_id", "outcome", "turns", "eligible", "failed", "calls", "language", F.when(F.col("outcome") == "ok", longest(F.col("duration_seconds"), F.col("_seconds"))).alias("duration_seconds"), zero("n_segments"), "text")
 
 
 def transcribe_whole(audio: DataFrame, call: Call, longest: float = CHUNK_S, wait: Callable[[float], None] = time.sleep) -> DataFrame:
@@ -156,17 +316,10 @@ def transcribe_whole(audio: DataFrame, call: Call, longest: float = CHUNK_S, wai
     """
     columns = ["meeting_id", "chunk_no", "chunk_from", "chunk_to", "outcome", "text", "attempts"]
 
-    def gate(samples, rate: int) -> str | None:
-        if samples is None:
-            return "undecodable"
-        level = np.mean((np.asarray(samples, float) / FULL_SCALE) ** 2) if len(samples) else 0.0
-        quiet = level <= 10 ** (SILENCE_DBFS / 10) and not np.isclose(level, 10 ** (SILENCE_DBFS / 10))
-        return "silent_recording" if len(samples) / rate < LEAST_S or quiet else None
-
     def run(batches):
         for b in batches:
             for m, r, s in zip(b["meeting_id"], b["rate"], b["samples"], strict=True):
-                if why := gate(s, r):
+                if why := gate(s, None if pd.isna(r) else r):
                     yield pd.DataFrame([(m, 0, 0.0, 0.0, why, None, 0)], columns=columns)
                     continue
                 pcm, rows = np.asarray(s, np.int16), []

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palaver.functions.text import finite, non_blank, non_empty, round3
+from palaver.operators.intervals import overlapping
 
 TURN_ID = r"^turn:(\d+):(p?)(\d+)$"
 GAP_S, LEAST_TURN_S, PAD_S = 0.75, 0.4, 0.25
@@ -84,13 +85,12 @@ def attribute_speakers(spans: DataFrame, segments: DataFrame, key: str) -> DataF
     """spans with speaker and overlap: that of the segment in the meeting which overlaps a span most, the first in
     order if several do; null if none overlaps or names a speaker.
 
-    An equi-join on the meeting with a range condition; the largest is a partial aggregate, so nothing is sorted.
+    Pairs come from bins of the meeting's time, see intervals.overlapping; the largest is a partial aggregate, so nothing is sorted.
     """
-    named = segments.filter(non_empty(F.col("speaker")).isNotNull()).select("meeting_id", F.col("speaker").alias("_s"), F.col("start").alias("_from"), F.col("end").alias("_to"), "pos")
+    named = segments.filter(non_empty(F.col("speaker")).isNotNull()).select("meeting_id", "speaker", "start", "end", "pos")
     spans = spans.drop("speaker", "overlap")
-    on = (F.col("a.meeting_id") == F.col("b.meeting_id")) & (F.col("_from") < F.col("end")) & (F.col("_to") > F.col("start"))
-    overlap = F.least("end", "_to") - F.greatest("start", "_from")
-    best = spans.select("meeting_id", key, "start", "end").alias("a").join(named.alias("b"), on).groupBy("a.meeting_id", key).agg(F.max(F.struct(overlap.alias("overlap"), (-F.col("pos")).alias("pos"), F.col("_s").alias("speaker"))).alias("_b"))
+    pairs = overlapping(spans.select("meeting_id", key, "start", "end"), named, "meeting_id")
+    best = pairs.groupBy("meeting_id", F.col(f"l.{key}").alias(key)).agg(F.max(F.struct("overlap", (-F.col("r.pos")).alias("pos"), F.col("r.speaker").alias("speaker"))).alias("_b"))
     return spans.join(best, ["meeting_id", key], "left").withColumns({"speaker": F.col("_b.speaker"), "overlap": F.col("_b.overlap")}).drop("_b")
 
 

@@ -140,6 +140,21 @@ select delivery_id, attempt, response_code, case when response_code between 200
 # What a request means: the first four kinds of body are one request, differently written.
 _CTE["meant"] = """
 select *, case when seq % 9 < 4 then '0' when seq % 9 < 8 then cast(seq % 9 as varchar) else body end as meant from create_requests"""
+_CTE["clip_lengths"] = """
+select meeting_id, count(*) as turns, cast(greatest(1, floor((max(end_s) - 1.0) * 40)) as bigint) as n from turn_rows group by 1"""
+_CTE["clip_rows"] = """
+select *, z - a as len, (select sum((i * 37 + meeting_id * 11) % 2001 - 1000) from unnest(range(a, z)) u(i)) as total from (
+  select t.*, greatest(0, cast(floor(greatest(0.0, start_s - 0.25) * 40) as bigint)) as a, least(n, cast(ceil(least(n / 40.0::double, end_s + 0.25) * 40) as bigint)) as z
+  from turn_rows t join clip_lengths using (meeting_id) where end_s - start_s >= 0.4 and least(n / 40.0::double, end_s + 0.25) > greatest(0.0, start_s - 0.25))"""
+_CTE["clip_told"] = f"""
+select *, case when len % 7 = 2 then '' when len % 7 > 2 then 'heard ' || len || ' ' || cast(total as bigint) else text end as words, case when len % 7 > 1 and len % 3 = 0 then 'de' else language end as told,
+  case len % 7 when 0 then 3 else 1 end as tries, row_number() over (partition by meeting_id order by start_s, end_s, turn_no) as i from clip_rows"""
+_CTE["clip_sums"] = f"""
+select meeting_id, count(*) as eligible, count(*) filter (where len % 7 < 2) as failed, cast(sum(tries) as bigint) as calls,
+  case when count(*) filter (where len % 7 = 0) = count(*) then 'provider_unavailable' when count(*) filter (where len % 7 < 2) * 2 > count(*) then 'turns_failed' else 'ok' end as verdict,
+  arg_min(told, i) filter (where nullif(told, '') is not null and {_trim("words")} <> '') as language, max(end_s) filter (where {_trim("words")} <> '') as until, count(*) filter (where {_trim("words")} <> '') as n_segments,
+  string_agg(coalesce(speaker, 'Unknown') || ': ' || {_trim("words")}, chr(10) order by i) filter (where {_trim("words")} <> '') as text
+from clip_told group by 1"""
 _ORDER = list(_CTE)
 _NEEDS = {n: [m for m in _ORDER if m != n and re.search(rf"\b(from|join) {m}\b", q)] for n, q in _CTE.items()}
 
@@ -198,6 +213,12 @@ def _decided(ended: str) -> str:
   when result in ('undecodable', 'turns_failed') or result like 'provider%' then 'fail|transcription_failed|' else 'fail|' || result || '|' end as d from ({ended})"""
 
 
+#: The sum of squares of the first x samples of a signal of m samples that repeats, and the next cut after sample a.
+_UPTO = "(({x}) // m * whole + c[({x}) % m + 1])"
+_FROM = "(a + greatest(160, 3200 - 640))"
+_CUT = f"""greatest(a + 160, least(a + 3200, 16 + list_reduce(list_transform(range({_FROM}, least(n, a + 3200) - 31, 16), lambda x: {{'x': x, 'e': {_UPTO.format(x="x + 32")} - {_UPTO.format(x="x")}}}), lambda p, q: case when q.e < p.e then q else p end).x))"""
+
+
 SQL = {
     "segments_deduped": _sql("select meeting_id, pos, ord, segment_id, speaker, text from deduped"),
     "segments_relative": _sql("select meeting_id, pos, start_s, end_s from relative"),
@@ -332,6 +353,23 @@ union all select 'orphans', -1, count(*) from endings join meetings using (meeti
         """select recording_id, cast(len(samples) as bigint) as n_samples, round(20 * log10(sqrt(list_sum(list_transform(samples, lambda x: x::double * x::double)) / len(samples))), 6) as rms_dbfs from signal_windows"""
     ),
 }
+# Each chunk from the one before, windows of 32 samples 16 apart in the last 2 of 10 seconds at 320 samples a second.
+SQL["quiet_chunks"] = f"""with recursive one as (select recording_id, len(s) * 200 as n, s, list_transform(range(len(s) + 1), lambda i: coalesce(list_sum(list_transform(s[1:i], lambda x: x * x)), 0)::bigint) as c
+  from (select recording_id, list_transform(samples, lambda x: round(x * 1000)::bigint) as s from ({text("signal_windows")}))),
+r as (select recording_id, n, len(s) as m, c, c[len(s) + 1] as whole from one),
+k as (select recording_id, 0 as chunk_no, 0::bigint as a, n, m, c, whole, case when n > 3200 then 3200 else n end as z0, n > 3200 as more from r),
+cut as (
+  select recording_id, chunk_no, a, case when more then {_CUT} else n end as z, n, m, c, whole, more from k
+  union all
+  select recording_id, chunk_no + 1, z, case when n - z > 3200 then {_CUT.replace("a + ", "z + ")} else n end, n, m, c, whole, n - z > 3200 from cut where more)
+select recording_id, cast(chunk_no as bigint) as chunk_no, a / 320.0::double as chunk_from, z / 320.0::double as chunk_to from cut"""
+# Clips of 40 samples a second whose lengths and sums a provider answers by.
+SQL["transcribe_turns"] = _sql(
+    f"""select l.meeting_id, why as outcome, l.turns, case when why in ('undecodable', 'silent_recording') then 0 else coalesce(b.eligible, 0) end as eligible, case when why in ('undecodable', 'silent_recording') then 0 else coalesce(b.failed, 0) end as failed,
+  case when why in ('undecodable', 'silent_recording') then 0 else coalesce(b.calls, 0) end as calls, case when why = 'ok' then coalesce(b.language, 'en') end as language,
+  case when why = 'ok' then greatest(coalesce(b.until, 0), {_r3("l.n / 40.0::double")}) end as duration_seconds, case when why = 'ok' then coalesce(b.n_segments, 0) else 0 end as n_segments, case when why = 'ok' then coalesce(b.text, '') end as text
+from (select *, case when meeting_id % 7 = 0 then 'undecodable' when n < 20 or meeting_id % 7 = 1 then 'silent_recording' else coalesce((select verdict from clip_sums s where s.meeting_id = v.meeting_id), 'no_turns') end as why from clip_lengths v) l left join clip_sums b using (meeting_id)"""
+)
 SQL["finalize_stream"] = SQL["finalize_tries"]
 SQL["snapshot_stream"] = _sql("select cast(split_part(meeting_id, '-', 1)::bigint * 100 + split_part(meeting_id, '-', 2)::bigint as varchar) as meeting_id, status, n_accepted from finals where n_accepted > 0").replace(
     _CTE["lifecycle_events"], f"select * replace (case target_status when 'completed' then 'processing' when 'cancelled' then 'joining' else target_status end as target_status) from ({_CTE['lifecycle_events']})"
