@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palaver.functions.lookups import error_type, http_status
 from palaver.functions.text import iso_ms
+from palaver.operators.ranking import numbered
 
 
 def transcript_status(status: Column, stored: Column) -> Column:
@@ -84,10 +85,8 @@ def error_body(code: Column) -> Column:
 
 def due_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs (job_id, run_at) that are due, first due first; position from 1. Immediate jobs have a null run_at."""
-    from pyspark.sql import Window as W
-
     due = jobs.filter(F.col("run_at").isNull() | (F.col("run_at") <= now))
-    return due.withColumn("position", F.row_number().over(W.partitionBy("queue").orderBy(F.col("run_at").asc_nulls_first(), "job_id")))
+    return numbered(due, "queue", [F.col("run_at").asc_nulls_first(), F.col("job_id").asc_nulls_first()])
 
 
 def queue_sizes(jobs: DataFrame) -> DataFrame:

@@ -235,16 +235,35 @@ def deliveries(attempts: DataFrame) -> DataFrame:
     return by.select("delivery_id", F.inline(F.transform(made, row)))
 
 
-def deliver(outbox: DataFrame, post: Callable[[str, str, dict], int | None], path: str, checkpoint: str):
-    """Write stream of outbox rows (delivery_id, endpoint, payload, signature, event_type): each batch is posted from
-    the executors and its response codes appended under `path`. At least once: a repeated batch posts again."""
+#: Deliveries of a task: so many may be posted again if it is lost before its codes are kept.
+SENT_AT_ONCE = 64
+_CODES = "delivery_id long, response_code int"
+
+
+def deliver(outbox: DataFrame, post: Callable[[str, str, dict], int | None], path: str, checkpoint: str, *, at_once: int = SENT_AT_ONCE):
+    """Write stream of outbox rows (delivery_id, endpoint, payload, signature, event_type): each batch is posted from the
+    executors, and its response codes are kept under `path`, a folder a batch (column batch when it is read).
+
+    The folder is the batch's ledger. Tasks of `at_once` deliveries each keep their codes as they end, whatever becomes of
+    the others, so a batch that is repeated posts only what its ledger lacks and appends no code twice. Once each, but for
+    the tasks that were under way when it failed.
+    """
+
+    def run(batch: DataFrame, n: int) -> None:
+        spark, ledger = batch.sparkSession, f"{path}/batch={n}"
 
-    def run(batch: DataFrame, _: int) -> None:
         def send(rows):
             for b in rows:
                 codes = [post(e, p, {"X-Webhook-Signature": s, "X-Webhook-Event": t, "X-Webhook-Delivery": str(i)}) for i, e, p, s, t in zip(b["delivery_id"], b["endpoint"], b["payload"], b["signature"], b["event_type"], strict=True)]
                 yield pd.DataFrame({"delivery_id": b["delivery_id"], "response_code": pd.array(codes, "Int32")})
 
-        batch.select("delivery_id", "endpoint", "payload", "signature", "event_type").mapInPandas(send, "delivery_id long, response_code int").write.mode("append").parquet(path)
+        # Files of tasks that ended stay though their job fails.
+        keep = lambda df: df.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(ledger)
+        keep(spark.createDataFrame([], _CODES))
+        left = batch.select("delivery_id", "endpoint", "payload", "signature", "event_type").join(spark.read.schema(_CODES).parquet(ledger), "delivery_id", "left_anti").persist()
+        try:
+            keep(left.repartition(-(-left.count() // at_once) or 1).mapInPandas(send, _CODES))
+        finally:
+            left.unpersist()
 
     return outbox.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True)

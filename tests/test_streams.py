@@ -7,7 +7,7 @@ import time
 
 import pytest
 from palaver.functions.lookups import MOST_ATTEMPTS
-from palaver.operators import lifecycle, providers
+from palaver.operators import lifecycle, providers, ranking
 from palaver.sources import capture
 from palaver.streaming import folds, queries
 from pyspark.sql import functions as F
@@ -73,3 +73,48 @@ def test_a_timer_asks_for_the_next_attempt(spark, tmp_path):
 def test_state_with_a_deadline_has_no_time_to_live(spark):
     with pytest.raises(ValueError, match="time to live"):
         folds.lifecycles(spark.range(1).select(F.lit("m").alias("meeting_id"), "id", F.current_timestamp().alias("ts")), deadline_s=1, ttl_s=1)
+
+
+def test_a_batch_that_fails_halfway_posts_the_rest_alone(spark, tmp_path):
+    """Some deliveries fail at first; when the batch is repeated, nothing that is in its ledger is posted or kept again."""
+    rows = [(i, f"https://e/{i}", "{}", "s", "t") for i in range(40)]
+    kind = "delivery_id long, endpoint string, payload string, signature string, event_type string"
+    spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / "in"))
+    posted, broken = tmp_path / "posted", tmp_path / "broken"
+    posted.mkdir()
+    broken.touch()
+    seen, flag = str(posted), str(broken)
+
+    def post(endpoint, payload, headers):
+        import os
+        import tempfile
+
+        i = int(headers["X-Webhook-Delivery"])
+        if i % 10 == 7 and os.path.exists(flag):
+            time.sleep(2)
+            raise RuntimeError("the network is gone")
+        tempfile.mkstemp(prefix=f"{i}-", dir=seen)
+        return 204
+
+    stream = lambda: folds.deliver(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), post, str(tmp_path / "out"), str(tmp_path / "ck"), at_once=2)
+    with pytest.raises(Exception, match="network|STREAM"):
+        stream().start().awaitTermination()
+    kept = {r["delivery_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert 0 < len(kept) < 40
+    broken.unlink()
+    stream().start().awaitTermination()
+    codes = sorted((r["delivery_id"], r["response_code"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert codes == [(i, 204) for i in range(40)]
+    times = [int(p.name.split("-")[0]) for p in posted.iterdir()]
+    assert all(times.count(i) == 1 for i in kept) and set(times) == set(range(40))
+
+
+def test_numbers_within_a_hot_group(spark):
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else f"q{i % 5}", i * 7919 % 500) for i in range(3000)]
+    df = spark.createDataFrame(rows, "queue string, at long").repartition(8)
+    got = {}
+    for r in ranking.numbered(df, "queue", [F.col("at").asc_nulls_first()]).collect():
+        got.setdefault(r["queue"], []).append((r["position"], r["at"]))
+    for q, seen in got.items():
+        assert sorted(seen) == [(k + 1, at) for k, at in enumerate(sorted(at for g, at in rows if g == q))]
+    assert ranking.numbered(df.limit(0), "queue", [F.col("at").asc()]).count() == 0
