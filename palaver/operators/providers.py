@@ -51,11 +51,16 @@ def turns_verdict(eligible: Column, failed: Column, unavailable: Column) -> Colu
     return F.when(eligible == 0, F.lit("no_turns")).when(unavailable == eligible, F.lit("provider_unavailable")).when(failed * 2 > eligible, F.lit("turns_failed")).otherwise(F.lit("ok"))
 
 
-def turn_stats(turns: DataFrame, eligible: DataFrame, results: DataFrame) -> DataFrame:
-    """Per meeting: turns, skipped_short (not eligible), transcribed, failed, and calls with all their attempts."""
-    asked = eligible.groupBy("meeting_id").agg(F.count("*").alias("_e"))
+def turn_stats(turns: DataFrame, eligible: DataFrame | None, results: DataFrame) -> DataFrame:
+    """Per meeting: turns, skipped_short (not eligible), transcribed, failed, and calls with all their attempts.
+
+    Without `eligible` the turns tell themselves which are (segments.clipped), and are derived once."""
     done = results.groupBy("meeting_id").agg(F.count_if(F.col("outcome") == "ok").alias("_ok"), F.count_if(F.col("outcome") != "ok").alias("_bad"), F.sum("attempts").alias("_calls"))
-    out = turns.groupBy("meeting_id").agg(F.count("*").alias("turns")).join(asked, "meeting_id", "left").join(done, "meeting_id", "left")
+    if eligible is None:
+        out = turns.groupBy("meeting_id").agg(F.count("*").alias("turns"), F.count_if("eligible").alias("_e"))
+    else:
+        out = turns.groupBy("meeting_id").agg(F.count("*").alias("turns")).join(eligible.groupBy("meeting_id").agg(F.count("*").alias("_e")), "meeting_id", "left")
+    out = out.join(done, "meeting_id", "left")
     zero = lambda c, name: F.coalesce(c, F.lit(0).cast("long")).alias(name)
     return out.select("meeting_id", "turns", (F.col("turns") - zero("_e", "_")).alias("skipped_short"), zero("_ok", "transcribed"), zero("_bad", "failed"), zero("_calls", "calls"))
 

@@ -75,10 +75,16 @@ def merge_turns(segments: DataFrame, gap: float = GAP_S) -> DataFrame:
     )
 
 
+def clipped(turns: DataFrame, seconds: Column, least: float = LEAST_TURN_S, pad: float = PAD_S) -> DataFrame:
+    """All turns with the padded stretch of the recording (clip_from, clip_to), and whether they are long enough to
+    transcribe (eligible)."""
+    clip = turns.withColumn("clip_from", F.greatest(F.lit(0.0), F.col("start") - pad)).withColumn("clip_to", F.least(seconds, F.col("end") + pad))
+    return clip.withColumn("eligible", (F.col("end") - F.col("start") >= least) & (F.col("clip_to") > F.col("clip_from")))
+
+
 def eligible_turns(turns: DataFrame, seconds: Column, least: float = LEAST_TURN_S, pad: float = PAD_S) -> DataFrame:
     """Turns long enough to transcribe, with the padded stretch of the recording (clip_from, clip_to)."""
-    clip = turns.withColumn("clip_from", F.greatest(F.lit(0.0), F.col("start") - pad)).withColumn("clip_to", F.least(seconds, F.col("end") + pad))
-    return clip.filter((F.col("end") - F.col("start") >= least) & (F.col("clip_to") > F.col("clip_from")))
+    return clipped(turns, seconds, least, pad).filter("eligible").drop("eligible")
 
 
 def attribute_speakers(spans: DataFrame, segments: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from palaver.functions import lookups
 from palaver.operators import audio, delivery, intake, lifecycle, providers, segments, serving, transcripts
@@ -80,9 +81,13 @@ def turns(spark, d):
     return _turns(spark, d).select("meeting_id", "turn_no", "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
 
 
+def _clipped(t):
+    """Turns over recordings that end a second before the last turn does; the end comes from a window, so turns are derived once."""
+    return segments.clipped(t.withColumn("seconds", F.max("end").over(W.partitionBy("meeting_id")) - 1.0), F.col("seconds"))
+
+
 def _eligible(t):
-    seconds = t.groupBy("meeting_id").agg((F.max("end") - 1.0).alias("seconds"))
-    return segments.eligible_turns(t.join(seconds, "meeting_id"), F.col("seconds"))
+    return _clipped(t).filter("eligible").drop("eligible")
 
 
 @_query
@@ -250,8 +255,7 @@ def result_merge(spark, d):
 
 @_query
 def turn_stats(spark, d):
-    t = _turns(spark, d)
-    return providers.turn_stats(t, _eligible(t), view(spark, d, "provider_results"))
+    return providers.turn_stats(_clipped(_turns(spark, d)), None, view(spark, d, "provider_results"))
 
 
 @_query

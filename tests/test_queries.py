@@ -49,3 +49,12 @@ def test_turns_need_one_exchange(spark):
     """The windows from deduplication to turns share one exchange by meeting, after that of the derived view."""
     plan = registry.queries()["turns"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(meeting_id") <= 2
+
+
+@pytest.mark.parametrize("name", ["turns_eligible", "turn_stats", "result_merge"])
+def test_turns_are_derived_once(spark, name):
+    """Their windows appear once in the plan, and the stored conversations are read once for them."""
+    whole = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    turns = registry.queries()["turns"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    windows = lambda plan: sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines())
+    assert windows(whole) <= windows(turns) + 2
