@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import math
+import struct
 import time
 import wave
 from collections.abc import Callable, Iterator
@@ -142,11 +143,90 @@ def to_wav(samples: np.ndarray, rate: int) -> bytes:
     return out.getvalue()
 
 
-def from_wav(data: bytes) -> tuple[np.ndarray, int]:
-    """Samples (int16, channels averaged) and rate of a 16-bit PCM WAV."""
-    with wave.open(io.BytesIO(data)) as w:
-        x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
-        return (x[:, 0] if x.shape[1] == 1 else x.mean(1).astype(np.int16)), w.getframerate()
+def _pcm(data: bytes, kind: int, bits: int) -> np.ndarray:
+    """Sample values of WAV data in 16-bit units, as float64: unsigned 8-bit, signed 16, 24 and 32-bit, 32 and 64-bit float."""
+    if kind == 3:
+        return np.frombuffer(data, {32: "<f4", 64: "<f8"}[bits]).astype(float) * FULL_SCALE
+    if bits == 8:
+        return (np.frombuffer(data, np.uint8).astype(float) - 128) * 256
+    if bits == 24:
+        x = np.frombuffer(data, np.uint8).reshape(-1, 3).astype(np.int32)
+        return ((x[:, 0] << 8 | x[:, 1] << 16 | x[:, 2] << 24) >> 8) / 256.0
+    return np.frombuffer(data, {16: "<i2", 32: "<i4"}[bits]).astype(float) / {16: 1, 32: 1 << 16}[bits]
+
+
+def _decoded(data: bytes) -> tuple[np.ndarray, int]:
+    """Samples in 16-bit units, channels averaged, and the rate of a WAV; ValueError if it isn't one that is known."""
+    if data[:4] != b"RIFF" or data[8:12] != b"WAVE":
+        raise ValueError("no WAV")
+    at, form, sound = 12, None, None
+    while at + 8 <= len(data):
+        name, size = data[at : at + 4], int.from_bytes(data[at + 4 : at + 8], "little")
+        body = data[at + 8 : at + 8 + size]
+        if name == b"fmt ":
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", body[:16])
+            form = (struct.unpack("<H", body[24:26])[0] if kind == 0xFFFE and len(body) >= 26 else kind, channels, rate, bits)
+        if name == b"data":
+            sound = body
+        at += 8 + size + size % 2
+    if form is None or sound is None or form[0] not in (1, 3) or not form[1] or not form[2] or form[3] not in ((8, 16, 24, 32) if form[0] == 1 else (32, 64)):
+        raise ValueError("unknown sound")
+    kind, channels, rate, bits = form
+    frame = channels * bits // 8
+    return _pcm(sound[: len(sound) // frame * frame], kind, bits).reshape(-1, channels).mean(1), rate
+
+
+def to_int16(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.trunc(x), -32768, 32767).astype(np.int16)
+
+
+class Resampler:
+    """Samples of one rate to another by a polyphase low-pass filter, a block at a time.
+
+    An output stands at input time k * down / up; its taps are one of `up` phases of a windowed sinc that is cut at the lower
+    of both rates. What the next block's outputs still need of the earlier samples is carried, so blocks of any size give
+    what the whole recording would.
+    """
+
+    #: Zero crossings of the sinc on either side, and the window's shape: above 80 dB of what would fold back is removed.
+    CROSSINGS, BETA = 24, 9.0
+
+    def __init__(self, rate: int, to: int):
+        both = math.gcd(rate, to)
+        self.up, self.down = to // both, rate // both
+        cut = min(1.0, to / rate) * 0.97
+        self.half = math.ceil(self.CROSSINGS / cut)
+        t = np.arange(1 - self.half, self.half + 1)[None, :] - np.arange(self.up)[:, None] / self.up
+        window = np.i0(self.BETA * np.sqrt(np.clip(1 - (t / self.half) ** 2, 0, None))) / np.i0(self.BETA)
+        self.taps = cut * np.sinc(cut * t) * window
+        self.taps /= self.taps.sum(1, keepdims=True)
+        self.held, self.first, self.given, self.read = np.zeros(self.half - 1), 1 - self.half, 0, 0
+
+    def block(self, x: np.ndarray, end: bool = False) -> np.ndarray:
+        """The outputs that these samples complete; at the end those that are left as well."""
+        self.read += len(x)
+        self.held = np.concatenate([self.held, x, np.zeros(self.half if end else 0)])
+        upto = -(-self.read * self.up // self.down) if end else max(self.given, ((self.first + len(self.held) - self.half) * self.up - 1) // self.down + 1)
+        k = np.arange(self.given, max(self.given, upto))
+        out = np.zeros(len(k))
+        for a in range(0, len(k), 1 << 14):
+            at = k[a : a + (1 << 14)] * self.down
+            rows = (at // self.up + 1 - self.half - self.first)[:, None] + np.arange(2 * self.half)
+            out[a : a + (1 << 14)] = np.einsum("ij,ij->i", self.held[rows], self.taps[at % self.up])
+        self.given += len(k)
+        drop = max(0, min(len(self.held), self.given * self.down // self.up + 1 - self.half - self.first))
+        self.held, self.first = self.held[drop:], self.first + drop
+        return out
+
+
+def resampled(x: np.ndarray, rate: int, to: int) -> np.ndarray:
+    return x if rate == to else Resampler(rate, to).block(x, end=True)
+
+
+def from_wav(data: bytes, to: int | None = None) -> tuple[np.ndarray, int]:
+    """Samples (int16, channels averaged) and rate of a WAV of 8 to 32-bit integers or of floats, at another rate if asked."""
+    x, rate = _decoded(data)
+    return to_int16(x if to is None else np.round(resampled(x, rate, to))), to or rate
 
 
 def clip(samples: np.ndarray, rate: int, start: float, end: float) -> np.ndarray:
@@ -154,20 +234,19 @@ def clip(samples: np.ndarray, rate: int, start: float, end: float) -> np.ndarray
     return samples[a : max(a, b)]
 
 
-def read_wavs(spark, path: str) -> DataFrame:
-    """WAV files -> path, rate, samples; a file that can't be decoded has null samples. Other codecs need a decoder."""
+def read_wavs(spark, path: str, to: int | None = None) -> DataFrame:
+    """WAV files -> path, rate, samples, at the rate `to` if it is given; a file that can't be decoded has null samples. Other
+    codecs need a decoder."""
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
     def run(batches):
         for b in batches:
-            rows = []
             for p, c in zip(b["path"], b["content"], strict=True):
                 try:
-                    s, r = from_wav(c)
-                    rows.append((p, r, s.tolist()))
-                except (wave.Error, EOFError, ValueError):
-                    rows.append((p, None, None))
-            yield pd.DataFrame({"path": [r[0] for r in rows], "rate": pd.array([r[1] for r in rows], "Int32"), "samples": [r[2] for r in rows]})
+                    s, r = from_wav(c, to)
+                except (ValueError, struct.error):
+                    s, r = None, None
+                yield pd.DataFrame({"path": [p], "rate": pd.array([r], "Int32"), "samples": [s]})
 
     return files.mapInPandas(run, "path string, rate int, samples array<smallint>")
 
