@@ -27,13 +27,18 @@ def live(c: Column) -> Column:
     return F.coalesce(c, F.lit(True))
 
 
-def dedupe(segments: DataFrame) -> DataFrame:
-    """The rows that stand: the last row of each id, in the place of its first; unnamed rows first; a draft only while
-    its turn has no confirmed row. Adds pos, the place in the meeting from 0."""
+def identified(segments: DataFrame) -> DataFrame:
+    """Segments that are complete with _id (null if unnamed), _turn (of an id that names one) and _draft."""
     named = non_empty(F.col("segment_id"))
     turn = F.when(named.rlike(TURN_ID), F.regexp_extract(named, TURN_ID, 1))
     draft = turn.isNotNull() & (F.regexp_extract(named, TURN_ID, 2) == "p")
-    rows = segments.filter(live(F.col("completed"))).repartition("meeting_id").withColumns({"_id": named, "_turn": turn, "_draft": draft})
+    return segments.filter(live(F.col("completed"))).withColumns({"_id": named, "_turn": turn, "_draft": draft})
+
+
+def dedupe(segments: DataFrame) -> DataFrame:
+    """The rows that stand: the last row of each id, in the place of its first; unnamed rows first; a draft only while
+    its turn has no confirmed row. Adds pos, the place in the meeting from 0."""
+    rows = identified(segments.repartition("meeting_id"))
     rows = rows.withColumn("_settled", F.max(F.col("_turn").isNotNull() & ~F.col("_draft")).over(_by("_turn")))
     rows = rows.withColumn("_last", F.max("ord").over(_by("_id"))).withColumn("_first", F.when(F.col("_id").isNull(), F.col("ord")).otherwise(F.min("ord").over(_by("_id"))))
     rows = rows.filter((F.col("_id").isNull() | (F.col("ord") == F.col("_last"))) & ~(F.coalesce("_draft", F.lit(False)) & F.col("_settled")))
@@ -44,10 +49,14 @@ def dedupe(segments: DataFrame) -> DataFrame:
 def rebase(segments: DataFrame) -> DataFrame:
     """Times relative to the meeting: its origin is start_time if that doesn't come after the first segment, else the
     first segment's start."""
-    first = F.min("start").over(_by())
+    return relative(segments.withColumn("_first_start", F.min("start").over(_by())))
+
+
+def relative(segments: DataFrame) -> DataFrame:
+    """rebase() of segments that hold their meeting's first start, _first_start."""
     origin = F.when(F.col("start_time") <= F.col("_first_start"), F.col("start_time")).otherwise(F.col("_first_start"))
     rel = lambda c: round3(F.greatest(F.lit(0.0), F.col(c) - F.col("_origin")))
-    rows = segments.withColumn("_first_start", first).withColumn("_origin", origin)
+    rows = segments.withColumn("_origin", origin)
     return rows.withColumns({"start": rel("start"), "end": rel("end")}).drop("_first_start", "_origin")
 
 
@@ -57,14 +66,24 @@ def merge_turns(segments: DataFrame, gap: float = GAP_S) -> DataFrame:
     meeting_id, turn_no (from 0), speaker (null if blank), start, end, text, language (the first that is not null).
     The distance is to the latest end so far; within a run of one speaker that is the run's running maximum.
     """
-    rows = segments.filter(live(F.col("completed")) & finite(F.col("start")) & finite(F.col("end")) & (F.col("end") >= F.col("start")))
-    rows = rows.withColumn("speaker", non_blank(F.col("speaker")))
+    rows = spoken(segments)
     order = _by().orderBy("start", "end", "pos")
     other = F.coalesce(~F.lag("speaker").over(order).eqNullSafe(F.col("speaker")) | (F.row_number().over(order) == 1), F.lit(True))
     rows = rows.withColumn("_run", F.sum(other.cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
     run = _by("_run").orderBy("start", "end", "pos").rowsBetween(W.unboundedPreceding, -1)
     new = F.coalesce(F.col("start") - F.max("end").over(run) > gap, F.lit(True))
     rows = rows.withColumn("_new", new).withColumn("turn_no", (F.sum(F.col("_new").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)) - 1).cast("long"))
+    return gathered(rows)
+
+
+def spoken(segments: DataFrame) -> DataFrame:
+    """Complete segments with times in order; a blank speaker is none."""
+    rows = segments.filter(live(F.col("completed")) & finite(F.col("start")) & finite(F.col("end")) & (F.col("end") >= F.col("start")))
+    return rows.withColumn("speaker", non_blank(F.col("speaker")))
+
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Segments with their turn_no as turns."""
     said = F.filter(F.array_sort(F.collect_list(F.struct("start", "end", "pos", non_blank(F.col("text")).alias("t")))), lambda x: x["t"].isNotNull())
     return rows.groupBy("meeting_id", "turn_no").agg(
         F.max("speaker").alias("speaker"),

@@ -374,6 +374,8 @@ SQL["finalize_stream"] = SQL["finalize_tries"]
 SQL["snapshot_stream"] = _sql("select cast(split_part(meeting_id, '-', 1)::bigint * 100 + split_part(meeting_id, '-', 2)::bigint as varchar) as meeting_id, status, n_accepted from finals where n_accepted > 0").replace(
     _CTE["lifecycle_events"], f"select * replace (case target_status when 'completed' then 'processing' when 'cancelled' then 'joining' else target_status end as target_status) from ({_CTE['lifecycle_events']})"
 )
+SQL["turns_by_ranges"] = SQL["turns"]
+SQL["segments_by_ranges"] = SQL["segments_normalized"]
 SQL["segments_stream"] = SQL["segments_deduped"]
 SQL["delivery_stream"] = SQL["webhook_schedule"]
 SQL["lifecycle_stream"] = _sql("select meeting_id, status, n_accepted from finals where n_accepted > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palaver.functions import lookups
-from palaver.operators import audio, delivery, intake, lifecycle, providers, segments, serving, transcripts
+from palaver.operators import audio, delivery, intake, lifecycle, providers, ranges, segments, serving, transcripts
 from palaver.plans import oracles
 from palaver.sources.views import view
 
@@ -81,6 +81,22 @@ def turns(spark, d):
     return _turns(spark, d).select("meeting_id", "turn_no", "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
 
 
+def _ranged(spark, d):
+    return ranges.rebase(ranges.dedupe(_raw(spark, d)))
+
+
+@_query
+def turns_by_ranges(spark, d):
+    """turns, with no meeting in one task."""
+    return ranges.merge_turns(_ranged(spark, d)).select("meeting_id", "turn_no", "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
+
+
+@_query
+def segments_by_ranges(spark, d):
+    """segments_normalized, with no meeting in one task."""
+    return ranges.normalize(_ranged(spark, d)).select("meeting_id", "n", "id", "speaker_id", "speaker_name", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
+
+
 def _clipped(t):
     """Turns over recordings that end a second before the last turn does; the end comes from a window, so turns are derived once."""
     return segments.clipped(t.withColumn("seconds", F.max("end").over(W.partitionBy("meeting_id")) - 1.0), F.col("seconds"))
