@@ -374,6 +374,9 @@ SQL["finalize_stream"] = SQL["finalize_tries"]
 SQL["snapshot_stream"] = _sql("select cast(split_part(meeting_id, '-', 1)::bigint * 100 + split_part(meeting_id, '-', 2)::bigint as varchar) as meeting_id, status, n_accepted from finals where n_accepted > 0").replace(
     _CTE["lifecycle_events"], f"select * replace (case target_status when 'completed' then 'processing' when 'cancelled' then 'joining' else target_status end as target_status) from ({_CTE['lifecycle_events']})"
 )
+SQL["poll_stream"] = """select event_id, event_type, http_status, case when http_status is null then case when event_id % 11 = 3 then 'provider_timeout' else 'provider_unavailable' end when http_status = 404 then 'meeting_not_found' when http_status > 299 then 'provider_unavailable' end as error_code,
+  http_status is null or http_status in (404, 503) as retryable, case when http_status = 200 and event_id % 5 > 0 then case event_id % 3 when 0 then 'active' when 1 then 'stopping' else 'completed' end end as status, case when http_status = 200 then event_id % 5 = 0 end as corrupt
+from (select event_id, event_type, case when event_id % 11 in (3, 7) then null when event_id % 11 = 5 then 503 when event_id % 13 = 4 then 404 when event_id % 17 = 2 then 401 when event_id % 19 = 1 then 204 else 200 end as http_status from events)"""
 SQL["turns_by_ranges"] = SQL["turns"]
 SQL["segments_by_ranges"] = SQL["segments_normalized"]
 SQL["segments_stream"] = SQL["segments_deduped"]

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from palaver.functions.lookups import STATUS_RANK
 from palaver.operators import segments
 from palaver.plans import oracles
-from palaver.sources import capture
+from palaver.sources import capture, polling
 from palaver.sources.shared import fresh_path
 from palaver.sources.views import TABLES, text, view
 from palaver.streaming import folds
@@ -91,6 +91,34 @@ def snapshot_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.groupBy("meeting_id").agg(F.max_by("to_status", rank).alias("status"), F.count("*").alias("n_accepted"))
 
 
+def _answer(ref: str) -> polling.Answer:
+    """A provider that answers by the number of a poll: outages, refusals, meetings that it doesn't know, snapshots."""
+    i = int(ref)
+    if i % 11 == 3:
+        raise TimeoutError
+    if i % 11 == 7:
+        raise ConnectionError
+    status = 503 if i % 11 == 5 else 404 if i % 13 == 4 else 401 if i % 17 == 2 else 204 if i % 19 == 1 else 200
+    return polling.Answer(status, f'{{"id": {i}, "status": "{("active", "stopping", "completed")[i % 3]}", "other": []}}' if i % 5 else "no json")
+
+
+def poll_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A poll for every event, some thousand a batch: what became of it, and of a snapshot its status."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    due = events.agg(F.coalesce(F.max("event_id"), F.lit(-1))).first()[0] + 1
+    state, path = fresh_path(spark, "polls-state"), fresh_path(spark, "polls")
+    polls = polling.poll_stream(spark, polling.Log(lambda: due, lambda a, z: list(map(str, range(a, z)))), _answer, state, a_task=1000)
+    q = polls.writeStream.option("checkpointLocation", state).format("parquet").start(path)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    polls = spark.read.schema(polls.schema).parquet(path)
+    seen = polling.snapshots(polls).select("position", "status", F.col("_corrupt").isNotNull().alias("corrupt"))
+    out = polls.join(seen, "position", "left").withColumnRenamed("position", "event_id").join(events, "event_id")
+    return out.select("event_id", "event_type", "http_status", "error_code", "retryable", "status", "corrupt")
+
+
 def finalize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """finalize_tries from a stream of results, four of a meeting."""
     _stream(spark, sf_dir, "events").createOrReplaceTempView("stream_events")
@@ -120,4 +148,4 @@ def delivery_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("delivery_id", F.col("attempt").cast("long"), "response_code", "status", F.col("next_attempt_at").cast("timestamp_ntz"))
 
 
-QUERIES = {f.__name__: f for f in (lifecycle_stream, snapshot_stream, finalize_stream, deadline_stream, segments_stream, delivery_stream)}
+QUERIES = {f.__name__: f for f in (lifecycle_stream, snapshot_stream, poll_stream, finalize_stream, deadline_stream, segments_stream, delivery_stream)}
