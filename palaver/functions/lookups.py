@@ -17,6 +17,15 @@ FAILURE_CODE = {
     "auth_session_missing": "meeting_join_failed", "validation_error": "meeting_join_failed", "evicted": "bot_removed", "left_alone": "meeting_ended",
     "startup_alone": "meeting_ended", "max_bot_time_exceeded": "meeting_ended", "stopped_with_no_audio": "capture_failed", "stopped_before_admission": "capture_failed",
 }
+#: What clients are told of a failure, by its reason; the provider's own words are not passed on.
+FAILURE_MESSAGE = {
+    "awaiting_admission_timeout": "The bot was not admitted to the meeting in time.", "awaiting_admission_rejected": "The bot could not join the meeting.", "join_failure": "The bot could not join the meeting.",
+    "auth_session_missing": "The bot could not join the meeting.", "validation_error": "The bot could not join the meeting.", "evicted": "The bot was removed from the meeting.",
+    "left_alone": "The meeting ended before a transcript could be captured.", "startup_alone": "The meeting ended before a transcript could be captured.", "max_bot_time_exceeded": "The meeting ended before a transcript could be captured.",
+    "stopped_with_no_audio": "No audio was captured for this meeting.", "stopped_before_admission": "No audio was captured for this meeting.",
+}
+CAPTURE_FAILED = "Meeting capture failed."
+INTERNAL = "An internal error occurred"
 ERROR_TYPE = {
     "invalid_meeting_url": "invalid_request_error", "unsupported_platform": "invalid_request_error", "invalid_request": "invalid_request_error",
     "idempotency_conflict": "invalid_request_error", "unauthorized": "authentication_error", "meeting_not_found": "not_found_error",
@@ -52,6 +61,10 @@ def failure_code(c: Column) -> Column:
     return lookup(FAILURE_CODE, c, "capture_failed")
 
 
+def failure_message(c: Column) -> Column:
+    return lookup(FAILURE_MESSAGE, c, CAPTURE_FAILED)
+
+
 def error_type(c: Column) -> Column:
     return lookup(ERROR_TYPE, c)
 

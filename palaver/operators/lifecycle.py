@@ -71,7 +71,7 @@ def replay(events: DataFrame) -> DataFrame:
 
 def final(events: DataFrame) -> DataFrame:
     """meeting_id, status after all events, n_events, n_accepted, created_at (the first event), started_at, ended_at,
-    completed_at (first entries)."""
+    completed_at (first entries) and ending, a struct of seq, ts and status of the event that ended the meeting, or null."""
     t = transitions(events)  # a reopening would keep ended_at, as the first entry counts
     when = lambda *s: F.min(F.when(F.col("accepted") & F.col("to_status").isin(*s), F.col("ts")))
     last = F.max(F.when(F.col("accepted"), F.struct("ts", "seq", "to_status")))["to_status"]
@@ -83,6 +83,7 @@ def final(events: DataFrame) -> DataFrame:
         when("in_progress").alias("started_at"),
         when("processing", *TERMINAL).alias("ended_at"),
         when("completed").alias("completed_at"),
+        F.min(F.when(F.col("accepted") & F.col("to_status").isin(*TERMINAL), F.struct("seq", "ts", F.col("to_status").alias("status")))).alias("ending"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palaver.functions.lookups import error_type, http_status
+from palaver.functions.lookups import INTERNAL, error_type, http_status
 from palaver.functions.text import iso_ms
 from palaver.operators.ranking import numbered
 
@@ -77,10 +77,19 @@ def health(probes: DataFrame) -> DataFrame:
     return probes.withColumn("status", status).withColumn("http_status", F.when(down, F.lit(503)).otherwise(F.lit(200)))
 
 
-def error_body(code: Column) -> Column:
-    """struct(type, code, http_status); codes that aren't known are internal errors."""
-    known = F.when(error_type(code).isNotNull(), code).otherwise(F.lit("internal_error"))
-    return F.struct(error_type(known).alias("type"), known.alias("code"), http_status(known).alias("http_status"))
+def error_body(code: Column, message: Column | None = None) -> Column:
+    """struct(type, code, message, http_status); a message that is not given is empty. Codes that aren't known are internal
+    errors, whose message tells nothing of their cause."""
+    known = error_type(code).isNotNull()
+    name = F.when(known, code).otherwise(F.lit("internal_error"))
+    said = F.when(known, F.coalesce(F.lit("") if message is None else message, F.lit(""))).otherwise(F.lit(INTERNAL))
+    return F.struct(error_type(name).alias("type"), name.alias("code"), said.alias("message"), http_status(name).alias("http_status"))
+
+
+def error_json(code: Column, message: Column | None = None) -> Column:
+    """The body of an answer that fails, as JSON."""
+    e = error_body(code, message)
+    return F.to_json(F.struct(F.struct(e["type"].alias("type"), e["code"].alias("code"), e["message"].alias("message")).alias("error")))
 
 
 def due_jobs(jobs: DataFrame, now: Column) -> DataFrame:

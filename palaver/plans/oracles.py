@@ -277,7 +277,10 @@ on f.project_id = r.project_id and f.idempotency_key = r.idempotency_key"""
   case when status = 'failed' and n_events % 2 = 0 then 'processing' else status end as recovered,
   case when status in ('completed', 'processing') or (status = 'failed' and n_events % 2 = 0) then null else 'invalid_request' end as recover_error from finals"""
     ),
-    "failure_codes": f"""select event_id, code as error_code, {_TYPES.format("code")} as error_type, 500 as http_status from (select event_id, {_FAIL.format("reason")} as code from ({REASONS.format(events="events")}))""",
+    "failure_codes": f"""select event_id, code as error_code, {_TYPES.format("code")} as error_type, 500 as http_status,
+  '{{"error":{{"type":"' || {_TYPES.format("code")} || '","code":"' || code || '","message":"' || case when code = 'waiting_room_timeout' then 'The bot was not admitted to the meeting in time.' when code = 'meeting_join_failed' then 'The bot could not join the meeting.'
+    when code = 'bot_removed' then 'The bot was removed from the meeting.' when code = 'meeting_ended' then 'The meeting ended before a transcript could be captured.' when reason in ('stopped_with_no_audio', 'stopped_before_admission') then 'No audio was captured for this meeting.' else 'Meeting capture failed.' end || '"}}}}' as body
+  from (select event_id, reason, {_FAIL.format("reason")} as code from ({REASONS.format(events="events")}))""",
     "status_map": f"""select event_id, case when capture_status in ('awaiting_admission', 'needs_help', 'needs_human_help') then 'waiting_for_admission' when capture_status = 'active' then 'in_progress'
   when capture_status in ('stopping', 'completed') then 'processing' when capture_status = 'failed' then 'failed' else 'joining' end as status,
   case platform when 'microsoft_teams' then 'teams' else platform end as capture_platform from ({CAPTURES.format(events="events")})""",

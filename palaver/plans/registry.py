@@ -11,9 +11,12 @@ from pyspark.sql import Window as W
 from palaver.functions import lookups
 from palaver.operators import audio, delivery, intake, lifecycle, providers, ranges, segments, serving, transcripts
 from palaver.plans import oracles
+from palaver.sources.config import Settings
+from palaver.sources.shared import written
 from palaver.sources.views import view
 
-ENABLED = ("jitsi", "google_meet")
+#: Settings of the queries; those of a deployment come from Settings.read().
+SETTINGS = Settings(enabled_platforms=("jitsi", "google_meet"))
 _ALL: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -73,7 +76,7 @@ def retry_delays(spark, d):
 
 
 def _turns(spark, d):
-    return segments.merge_turns(_relative(spark, d))
+    return segments.merge_turns(_relative(spark, d), SETTINGS.turn_gap_s)
 
 
 @_query
@@ -88,7 +91,7 @@ def _ranged(spark, d):
 @_query
 def turns_by_ranges(spark, d):
     """turns, with no meeting in one task."""
-    return ranges.merge_turns(_ranged(spark, d)).select("meeting_id", "turn_no", "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
+    return ranges.merge_turns(_ranged(spark, d), SETTINGS.turn_gap_s).select("meeting_id", "turn_no", "speaker", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "text", "language")
 
 
 @_query
@@ -99,7 +102,7 @@ def segments_by_ranges(spark, d):
 
 def _clipped(t):
     """Turns over recordings that end a second before the last turn does; the end comes from a window, so turns are derived once."""
-    return segments.clipped(t.withColumn("seconds", F.max("end").over(W.partitionBy("meeting_id")) - 1.0), F.col("seconds"))
+    return segments.clipped(t.withColumn("seconds", F.max("end").over(W.partitionBy("meeting_id")) - 1.0), F.col("seconds"), SETTINGS.least_turn_s, SETTINGS.pad_s)
 
 
 def _eligible(t):
@@ -139,7 +142,7 @@ def platforms(spark, d):
 
 @_query
 def platform_gate(spark, d):
-    return intake.gate(intake.classify(view(spark, d, "meeting_urls")), ENABLED).select("page_id", "platform", "accepted", "error_code")
+    return intake.gate(intake.classify(view(spark, d, "meeting_urls")), SETTINGS.enabled_platforms).select("page_id", "platform", "accepted", "error_code")
 
 
 @_query
@@ -197,7 +200,7 @@ def lifecycle_reopened(spark, d):
 
 @_query
 def join_deadlines(spark, d):
-    return lifecycle.join_deadlines(view(spark, d, "lifecycle_events")).select("meeting_id", "status", "error_code")
+    return lifecycle.join_deadlines(view(spark, d, "lifecycle_events"), SETTINGS.join_deadline_seconds).select("meeting_id", "status", "error_code")
 
 
 @_query
@@ -227,7 +230,8 @@ def start_retries(spark, d):
 def failure_codes(spark, d):
     e = spark.sql(oracles.REASONS.format(events=f"parquet.`{d}/events.parquet`"))
     code = lookups.failure_code(F.col("reason"))
-    return e.select("event_id", code.alias("error_code"), lookups.error_type(code).alias("error_type"), lookups.http_status(code).alias("http_status"))
+    body = serving.error_json(code, lookups.failure_message(F.col("reason")))
+    return e.select("event_id", code.alias("error_code"), lookups.error_type(code).alias("error_type"), lookups.http_status(code).alias("http_status"), body.alias("body"))
 
 
 @_query
@@ -305,19 +309,29 @@ def _meetings(spark, d):
     return f.select("*", (user % 5).alias("project_id"), F.when(F.col("status") == "failed", F.when(user % 3 > 0, F.lit("capture_failed"))).alias("error_code"))
 
 
-def _stored(spark, d):
-    """A transcript for each completed meeting and some others."""
+def _kept(spark, d):
+    """_meetings written once, for queries that read them more than once."""
+    return written(_meetings(spark, d), "meetings")
+
+
+def _transcript():
+    """Which meetings have a transcript, the completed ones and some others, and who made it."""
     user = F.split("meeting_id", "-")[0].cast("long")
-    m = _meetings(spark, d).filter((F.col("status") == "completed") | (user % 4 == 0))
     back = user % 3 == 0
-    return m.select("meeting_id", F.lit("en").alias("language"), (F.col("n_events") * 1.5).cast("double").alias("duration_seconds"), F.when(back, F.lit("native")).otherwise(F.lit("batch")).alias("provider"), F.when(back, F.lit("batch")).alias("fallback_from"), F.when(back, F.lit("no_turns")).alias("fallback_reason"))
+    made = {"provider": F.when(back, F.lit("native")).otherwise(F.lit("batch")), "fallback_from": F.when(back, F.lit("batch")), "fallback_reason": F.when(back, F.lit("no_turns"))}
+    return (F.col("status") == "completed") | (user % 4 == 0), made
+
+
+def _stored(meetings):
+    has, made = _transcript()
+    return meetings.filter(has).select("meeting_id", F.lit("en").alias("language"), (F.col("n_events") * 1.5).cast("double").alias("duration_seconds"), *[c.alias(k) for k, c in made.items()])
 
 
-def _endings(spark, d):
-    t = lifecycle.transitions(view(spark, d, "lifecycle_events")).filter(F.col("accepted") & F.col("to_status").isin("completed", "failed"))
-    m = _meetings(spark, d).select("meeting_id", "error_code")
-    s = _stored(spark, d).select("meeting_id", "provider", "fallback_from", "fallback_reason")
-    return t.select("meeting_id", "seq", "ts", F.col("to_status").alias("status")).join(m, "meeting_id").join(s, "meeting_id", "left").withColumns({"error_message": F.lit(None).cast("string"), "metadata": _metadata()})
+def _endings(meetings):
+    """How meetings ended, all from the meeting's own row."""
+    has, made = _transcript()
+    ended = meetings.filter(F.col("ending.status").isin("completed", "failed"))
+    return ended.select("meeting_id", "ending.seq", "ending.ts", "ending.status", "error_code", *[F.when(has, c).alias(k) for k, c in made.items()], F.lit(None).cast("string").alias("error_message"), _metadata().alias("metadata"))
 
 
 def _metadata():
@@ -327,20 +341,22 @@ def _metadata():
 
 @_query
 def webhook_events(spark, d):
-    return delivery.events(_endings(spark, d)).select("meeting_id", "event_type", "payload")
+    return delivery.events(_endings(_meetings(spark, d))).select("meeting_id", "event_type", "payload")
 
 
 @_query
 def webhook_outbox(spark, d):
     """Two meetings of three name an address."""
     user = F.split("meeting_id", "-")[0].cast("long")
-    to = _meetings(spark, d).withColumn("webhook_url", F.when(user % 3 == 1, F.concat(F.lit("https://hooks.example.org/"), "meeting_id")).when(user % 3 == 2, F.lit("")).otherwise(F.lit("https://hooks.example.org/all")))
-    return delivery.outbox(delivery.events(_endings(spark, d)), to).select("meeting_id", "event_type", "endpoint", "payload", "attempt", "status", "next_attempt_at")
+    m = _kept(spark, d)
+    to = m.withColumn("webhook_url", F.when(user % 3 == 1, F.concat(F.lit("https://hooks.example.org/"), "meeting_id")).when(user % 3 == 2, F.lit("")).otherwise(F.lit("https://hooks.example.org/all")))
+    return delivery.outbox(delivery.events(_endings(m)), to).select("meeting_id", "event_type", "endpoint", "payload", "attempt", "status", "next_attempt_at")
 
 
 def _with_secrets(spark, d):
     projects = spark.range(4).select(F.col("id").alias("project_id"), F.concat(F.lit("whsec_"), F.col("id").cast("string")).alias("secret"))
-    return delivery.with_secrets(delivery.events(_endings(spark, d)), _meetings(spark, d), projects)
+    m = _kept(spark, d)
+    return delivery.with_secrets(delivery.events(_endings(m)), m, projects)
 
 
 @_query
@@ -356,11 +372,12 @@ def webhook_signatures(spark, d):
 @_query
 def meeting_view(spark, d):
     user = F.split("meeting_id", "-")[0].cast("long")
-    m = _meetings(spark, d).withColumns({
+    kept = _kept(spark, d)
+    m = kept.withColumns({
         "platform": F.when(user % 2 == 0, F.lit("jitsi")).otherwise(F.lit("zoom")), "meeting_url": F.concat(F.lit("https://meet.example.org/"), "meeting_id"),
         "bot_name": F.when(user % 3 > 0, F.lit("Scribe")), "error_message": F.when(user % 4 == 0, F.lit("left the call")), "metadata": _metadata(),
     })
-    v = serving.meeting_view(m, _stored(spark, d))
+    v = serving.meeting_view(m, _stored(kept))
     flat = {"bot_name": "bot.name", "bot_joined_at": "bot.joined_at", "transcript_status": "transcript.status", "error_type": "error.type", "error_code": "error.code", "error_message": "error.message"}
     return v.select("*", *[F.col(b).alias(a) for a, b in flat.items()]).drop("bot", "transcript", "error")
 
@@ -370,8 +387,9 @@ def transcript_view(spark, d):
     """Stored transcripts with a speaker, a segment and a text each."""
     who = F.array(F.struct(F.lit("speaker_0").alias("id"), F.col("meeting_id").alias("name")))
     said = F.array(F.struct(F.lit("seg_001").alias("id"), F.lit("speaker_0").alias("speaker_id"), F.col("duration_seconds").alias("end")))
-    stored = _stored(spark, d).withColumns({"speakers": who, "segments": said, "text": F.concat("meeting_id", F.lit(": yes")), "created_at": F.lit("2024-02-01 10:00:00").cast("timestamp")})
-    v = serving.transcript_view(_meetings(spark, d), stored)
+    m = _kept(spark, d)
+    stored = _stored(m).withColumns({"speakers": who, "segments": said, "text": F.concat("meeting_id", F.lit(": yes")), "created_at": F.lit("2024-02-01 10:00:00").cast("timestamp")})
+    v = serving.transcript_view(m, stored)
     one = {"speaker": F.col("speakers")[0]["name"], "segment_id": F.col("segments")[0]["id"], "segment_end": F.col("segments")[0]["end"]}
     return v.withColumns(one).drop("speakers", "segments")
 
@@ -379,7 +397,7 @@ def transcript_view(spark, d):
 @_query
 def tenant_lookup(spark, d):
     """Every meeting asked for by the project of its user and by the next one."""
-    m = _meetings(spark, d)
+    m = _kept(spark, d)
     asked = m.select(F.explode(F.array("project_id", (F.col("project_id") + 1) % 5)).alias("project_id"), "meeting_id")
     return serving.tenant_lookup(m, asked).select("project_id", "meeting_id", "status", "error_code")
 
@@ -395,9 +413,9 @@ def transcript_upsert(spark, d):
 @_query
 def delete_cascade(spark, d):
     """Counts of what is left when every third user's meetings are deleted."""
-    m = _meetings(spark, d)
+    m = _kept(spark, d)
     gone = m.filter(F.split("meeting_id", "-")[0].cast("long") % 3 == 1)
-    left = serving.delete_meetings(m, _stored(spark, d), delivery.events(_endings(spark, d)), gone)
+    left = serving.delete_meetings(m, _stored(m), delivery.events(_endings(m)), gone)
     meetings = left[0].groupBy("project_id").agg(F.count("*").alias("n")).select(F.lit("meetings").alias("what"), "project_id", "n")
     kept = left[1].agg(F.count("*").alias("n")).select(F.lit("transcripts").alias("what"), F.lit(-1).cast("long").alias("project_id"), "n")
     orphans = left[2].filter("orphan").agg(F.count("*").alias("n")).select(F.lit("orphans").alias("what"), F.lit(-1).cast("long").alias("project_id"), "n")
@@ -458,7 +476,7 @@ def transcribe_turns(spark, d):
     n = F.greatest(F.lit(1), F.floor((F.col("last") - 1.0) * TURN_RATE)).cast("int")
     value = lambda i: F.when(F.col("meeting_id") % 7 == 1, 0).otherwise((i * 37 + F.col("meeting_id") * 11) % 2001 - 1000).cast("smallint")
     made = t.groupBy("meeting_id").agg(F.max("end").alias("last")).select("meeting_id", F.lit(TURN_RATE).alias("rate"), F.when(F.col("meeting_id") % 7 != 0, F.transform(F.sequence(F.lit(0), n - 1), value)).alias("samples"))
-    return audio.transcribe_turns(made, t, _provider, wait=lambda s: None)
+    return audio.transcribe_turns(made, t, _provider, at_once=SETTINGS.calls_at_once, wait=lambda s: None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -21,6 +21,18 @@ class Settings:
     calls_at_once: int = 3
     provider: str = "native"
 
+    @property
+    def turn_gap_s(self) -> float:
+        return self.turn_gap_ms / 1000
+
+    @property
+    def least_turn_s(self) -> float:
+        return self.least_turn_ms / 1000
+
+    @property
+    def pad_s(self) -> float:
+        return self.pad_ms / 1000
+
     @staticmethod
     def read(env: Mapping[str, str] | None = None, prefix: str = "PALAVER_") -> Settings:
         """Numbers must be whole and positive; lists are separated by commas."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from palaver.functions.lookups import STATUS_RANK
+from palaver.functions.lookups import JOIN_DEADLINE_S, STATUS_RANK
 from palaver.operators import segments
 from palaver.plans import oracles
 from palaver.sources import capture, polling
@@ -128,7 +128,7 @@ def finalize_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def deadline_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Meetings that a join deadline ended, with its error code."""
-    changes = finish(folds.lifecycles(_over(spark, sf_dir, "lifecycle_events", "events"), deadline_s=600), "deadlines")
+    changes = finish(folds.lifecycles(_over(spark, sf_dir, "lifecycle_events", "events"), deadline_s=JOIN_DEADLINE_S), "deadlines")
     return changes.filter("error_code is not null").select("meeting_id", "from_status", "error_code")
 
 

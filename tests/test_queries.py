@@ -58,3 +58,11 @@ def test_turns_are_derived_once(spark, name):
     turns = registry.queries()["turns"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     windows = lambda plan: sum(line.lstrip(" :+-").startswith("Window ") for line in plan.splitlines())
     assert windows(whole) <= windows(turns) + 2
+
+
+@pytest.mark.parametrize("name", ["webhook_events", "webhook_outbox", "webhook_signatures", "delivery_secret_join", "meeting_view", "transcript_view", "tenant_lookup", "delete_cascade"])
+def test_lifecycles_are_derived_once(spark, name):
+    """At most the windows of one derivation are in the plan; where meetings are read more than once they are written before."""
+    plan = lambda q: registry.queries()[q](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    windows = lambda p: sum(line.lstrip(" :+-").startswith("Window ") for line in p.splitlines())
+    assert windows(plan(name)) <= (windows(plan("lifecycle_final")) if name == "webhook_events" else 0)

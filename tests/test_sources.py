@@ -47,7 +47,7 @@ def test_snapshots_to_statuses_reasons_and_recordings(snapshots):
 
 def test_settings():
     s = Settings.read({"PALAVER_ENABLED_PLATFORMS": "jitsi, zoom", "PALAVER_POLL_SECONDS": "9"})
-    assert s.enabled_platforms == ("jitsi", "zoom") and s.poll_seconds == 9 and s.most_bots == 5
+    assert s.enabled_platforms == ("jitsi", "zoom") and s.poll_seconds == 9 and s.most_bots == 5 and (s.turn_gap_s, s.least_turn_s, s.pad_s) == (0.75, 0.4, 0.25)
     with pytest.raises(ValueError):
         Settings.read({"PALAVER_POLL_SECONDS": "0"})
 
