@@ -19,8 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from palaver.functions.lookups import MOST_ATTEMPTS
+from palaver.functions.text import non_empty
 from palaver.operators.providers import merge_results, reply_language, turn_outcomes
-from palaver.operators.segments import eligible_turns
+from palaver.operators.intervals import overlapping
+from palaver.operators.segments import chunk_speakers, eligible_turns
 from palaver.operators.transcripts import longest, normalize, transcripts
 from palaver.sources.shared import written
 
@@ -409,3 +411,85 @@ def transcribe_whole(audio: DataFrame, call: Call, longest: float = CHUNK_S, wai
                 yield pd.DataFrame(rows, columns=columns)
 
     return audio.select("meeting_id", "rate", "samples").mapInPandas(run, "meeting_id long, chunk_no long, chunk_from double, chunk_to double, outcome string, text string, attempts int")
+
+
+def chunk_sounds(blocks: DataFrame, cuts: DataFrame, rate: int, longest: float = CHUNK_S) -> DataFrame:
+    """blocks (recording_id, part, samples) and cuts (as chunks() gives them) -> the cuts with samples, those of the chunk alone.
+
+    Which blocks a chunk needs is told from their places; the samples meet no more than once, a chunk of them in a row."""
+    blocks = blocks.filter(F.size("samples") > 0)
+    places = placed_blocks(blocks).select("recording_id", "part", (F.col("offset") / rate).alias("start"), ((F.col("offset") + F.size("samples")) / rate).alias("end"), "offset")
+    needs = overlapping(places, cuts.withColumnsRenamed({"chunk_from": "start", "chunk_to": "end"}), "recording_id", longest)
+    at = lambda c: F.round(F.col(c) * rate).cast("long")
+    needs = needs.select("recording_id", "l.part", "l.offset", "r.chunk_no", at("r.start").alias("_a"), at("r.end").alias("_z"))
+    first = F.greatest(F.lit(0).cast("long"), F.col("_a") - F.col("offset"))
+    upto = F.least(F.size("samples").cast("long"), F.col("_z") - F.col("offset"))
+    rows = blocks.join(needs, ["recording_id", "part"]).filter(upto > first)
+    piece = F.struct("part", F.slice("samples", (first + 1).cast("int"), (upto - first).cast("int")).alias("x"))
+    gathered = rows.groupBy("recording_id", "chunk_no").agg(F.flatten(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["x"])).alias("samples"))
+    return cuts.join(gathered, ["recording_id", "chunk_no"])
+
+
+_ASKED = "meeting_id long, chunk_no long, chunk_from double, chunk_to double, outcome string, text string, language string, segments array<struct<start:double,end:double,text:string>>, duration double, billed_seconds double, attempts int"
+
+
+def ask_chunks(sounds: DataFrame, rate: int, call: Call, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """The provider's reply to each of sounds (meeting_id, chunk_no, chunk_from, chunk_to, samples); null fields where it failed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                # A row at a time, as a chunk is some 20 MB.
+                pcm = b.column("samples")[i].values.to_numpy(zero_copy_only=False).astype(np.int16)
+                outcome, r, attempts = asked_reply(call, to_wav(pcm, rate), wait)
+                row = {k: b.column(k)[i].as_py() for k in ("meeting_id", "chunk_no", "chunk_from", "chunk_to")} | {"outcome": outcome, "attempts": attempts}
+                if outcome == "ok":
+                    said = None if r.segments is None else [{"start": float(a), "end": float(z), "text": t} for a, z, t in r.segments]
+                    row |= {"text": r.text or "", "language": r.language, "segments": said, "duration": r.duration, "billed_seconds": r.billed_seconds}
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    part = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("text", pa.string())]))
+    schema = pa.schema([("meeting_id", pa.int64()), ("chunk_no", pa.int64()), ("chunk_from", pa.float64()), ("chunk_to", pa.float64()), ("outcome", pa.string()), ("text", pa.string()), ("language", pa.string()), ("segments", part), ("duration", pa.float64()), ("billed_seconds", pa.float64()), ("attempts", pa.int32())])
+    return sounds.select("meeting_id", "chunk_no", "chunk_from", "chunk_to", "samples").mapInArrow(run, _ASKED)
+
+
+def whole_transcripts(blocks: DataFrame, segments: DataFrame, rate: int, call: Call, *, hint: str | None = None, longest_s: float = CHUNK_S, at_once: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Transcripts of whole recordings from call to text: for each meeting of blocks (meeting_id, part, samples int16; a
+    recording is as many rows as it has parts) outcome, chunks, calls, language, duration_seconds, n_segments, text.
+
+    Recordings are cut at quiet places and asked about by chunk, in tasks of their own. The outcome is ok, or why there is no
+    transcript: undecodable (no part has samples), silent_recording, both without a call, else what became of the first chunk
+    that failed: transcription_failed, or provider_unavailable, to be tried again. The first `at_once` chunks are asked about
+    first, the others only if none of these failed. Speakers come from `segments` (meeting_id, pos, speaker, start, end), which
+    may lack a meeting. The language is the hint, else the first that a reply names. A transcript is as long as the recording
+    at least. Replies are written before they are used, so that each chunk is asked about once.
+    """
+    blocks = blocks.select(F.col("meeting_id").cast("long").alias("recording_id"), "part", "samples")
+    heard = blocks.filter("samples is not null")
+    loud = levels(heard.withColumn("samples", F.transform("samples", lambda x: x / FULL_SCALE)))
+    judged = blocks.groupBy("recording_id").agg(F.count("samples").alias("_blocks")).join(loud, "recording_id", "left")
+    seconds = F.coalesce("n_samples", F.lit(0)) / rate
+    why = F.when(F.col("_blocks") == 0, F.lit("undecodable")).when(too_quiet(seconds, F.col("rms_dbfs")), F.lit("silent_recording"))
+    judged = written(judged.select("recording_id", seconds.alias("_seconds"), why.alias("_why")), "judged")
+
+    heard = heard.join(judged.filter("_why is null").select("recording_id"), "recording_id", "left_semi")
+    cuts = written(chunks(heard, rate, longest_s), "cuts")
+    sounds = written(chunk_sounds(heard, cuts, rate, longest_s).withColumnRenamed("recording_id", "meeting_id"), "sounds")
+    early = written(ask_chunks(sounds.filter(F.col("chunk_no") < at_once), rate, call, wait), "replies")
+    lost = early.filter("outcome <> 'ok'").select("meeting_id").distinct()
+    later = sounds.filter(F.col("chunk_no") >= at_once).join(lost, "meeting_id", "left_anti")
+    replies = early.unionByName(written(ask_chunks(later, rate, call, wait), "replies"))
+
+    failed = F.min(F.when(F.col("outcome") != "ok", F.struct("chunk_no", "outcome")))["outcome"]
+    told = F.min(F.when(non_empty(F.col("language")).isNotNull(), F.struct("chunk_no", "language")))["language"]
+    by = replies.groupBy("meeting_id").agg(failed.alias("_failed"), F.sum("attempts").alias("calls"), told.alias("_heard"))
+    by = by.join(cuts.groupBy(F.col("recording_id").alias("meeting_id")).agg(F.count("*").alias("chunks")), "meeting_id")
+    became = F.when(F.col("_failed") == "unavailable", F.lit("provider_unavailable")).when(F.col("_failed").isNotNull(), F.lit("transcription_failed")).otherwise(F.lit("ok"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    ends = judged.withColumnRenamed("recording_id", "meeting_id").join(by, "meeting_id", "left")
+    ends = ends.select("meeting_id", "_seconds", "_heard", F.coalesce("_why", became).alias("outcome"), zero("chunks"), zero("calls"))
+    good = ends.filter("outcome = 'ok'").select("meeting_id", "_heard")
+    said = chunk_speakers(replies.join(good.select("meeting_id"), "meeting_id", "left_semi"), segments).withColumn("pos", F.struct("chunk_no", "pos"))
+    done = transcripts(good, normalize(said), F.coalesce(F.lit(hint), F.col("_heard")))
+    out = ends.join(done, "meeting_id", "left")
+    return out.select("meeting_id", "outcome", "chunks", "calls", "language", F.when(F.col("outcome") == "ok", longest(F.col("duration_seconds"), F.col("_seconds"))).alias("duration_seconds"), zero("n_segments"), "text")

@@ -155,6 +155,22 @@ select meeting_id, count(*) as eligible, count(*) filter (where len % 7 < 2) as
   arg_min(told, i) filter (where nullif(told, '') is not null and {_trim("words")} <> '') as language, max(end_s) filter (where {_trim("words")} <> '') as until, count(*) filter (where {_trim("words")} <> '') as n_segments,
   string_agg(coalesce(speaker, 'Unknown') || ': ' || {_trim("words")}, chr(10) order by i) filter (where {_trim("words")} <> '') as text
 from clip_told group by 1"""
+_CTE["whole_lengths"] = """
+select *, n - 722 * (k - 1) as last_n from (select *, 1 + greatest(0, cast(ceil((n - 800) / 722.0) as bigint)) as k from (
+  select meeting_id, 500 + meeting_id % 500 as v, cast(greatest(1, floor(max(end_s) * 40)) as bigint) as n from relative group by 1))"""
+_CTE["whole_chunks"] = """
+select meeting_id, n, v, i, i * 722 / 40.0::double as a, case when i = k - 1 then n / 40.0::double else (i + 1) * 722 / 40.0::double end as z, case when i = k - 1 then last_n else 722 end as size from (select *, unnest(range(k)) as i from whole_lengths)"""
+_CTE["whole_said"] = """
+select meeting_id, i, j, a + s as start_s, least(z, a + e) as end_s, a + e as until_s, words from (
+  select *, 0 as j, 0.0::double as s, 2.5::double as e, concat('first ', size) as words from whole_chunks where v % 3 = 0
+  union all select *, 1, 2.5, 60.0, concat('then ', v) from whole_chunks where v % 3 = 0
+  union all select *, 0, 0.0, case when v % 3 = 1 then 5.0 else 7.0 end, concat('heard ', size, ' ', v) from whole_chunks where v % 3 > 0)"""
+_CTE["whole_named"] = f"""
+select s.*, (select arg_max(r.speaker, (least(s.until_s, r.end_s) - greatest(s.start_s, r.start_s), -r.pos)) from relative r
+  where r.meeting_id = s.meeting_id and r.meeting_id % 2 = 0 and nullif(r.speaker, '') is not null and least(s.until_s, r.end_s) - greatest(s.start_s, r.start_s) > 0 and r.end_s > r.start_s) as who from whole_said s"""
+_CTE["whole_texts"] = f"""
+select meeting_id, count(*) as n_segments, {_r3("max(end_s)")} as until, string_agg(concat(coalesce(nullif({_trim("who")}, ''), 'Unknown'), ': ', words), chr(10) order by start_s, end_s, i, j) as said,
+  (select 'de' from whole_chunks c where c.meeting_id = t.meeting_id and size % 3 = 0 limit 1) as told from whole_named t group by 1"""
 _ORDER = list(_CTE)
 _NEEDS = {n: [m for m in _ORDER if m != n and re.search(rf"\b(from|join) {m}\b", q)] for n, q in _CTE.items()}
 
@@ -373,6 +389,15 @@ SQL["transcribe_turns"] = _sql(
   case when why = 'ok' then greatest(coalesce(b.until, 0), {_r3("l.n / 40.0::double")}) end as duration_seconds, case when why = 'ok' then coalesce(b.n_segments, 0) else 0 end as n_segments, case when why = 'ok' then coalesce(b.text, '') end as text
 from (select *, case when meeting_id % 7 = 0 then 'undecodable' when n < 20 or meeting_id % 7 = 1 then 'silent_recording' else coalesce((select verdict from clip_sums s where s.meeting_id = v.meeting_id), 'no_turns') end as why from clip_lengths v) l left join clip_sums b using (meeting_id)"""
 )
+# At even loudness the first of all windows is the quietest: chunks of 722 samples until 800 or fewer are left.
+SQL["transcribe_whole"] = _sql(
+    f"""select meeting_id, outcome, chunks, calls, case when outcome = 'ok' then coalesce(told, 'en') end as language, case when outcome = 'ok' then greatest(until, {_r3("n / 40.0::double")}) end as duration_seconds,
+  case when outcome = 'ok' then n_segments else 0 end as n_segments, case when outcome = 'ok' then said end as text
+from (
+  select meeting_id, n, case when meeting_id % 7 = 0 then 'undecodable' when meeting_id % 7 = 1 or n < 20 then 'silent_recording' when v % 11 = 3 then 'provider_unavailable' when v % 11 = 5 or (v % 11 = 7 and last_n < 722) then 'transcription_failed' else 'ok' end as outcome,
+    case when meeting_id % 7 < 2 or n < 20 then 0 else k end as chunks, case when meeting_id % 7 < 2 or n < 20 then 0 when v % 11 = 3 then 3 * least(k, 3) when v % 11 = 5 then least(k, 3) else k end as calls
+  from whole_lengths) join whole_texts using (meeting_id)"""
+)
 SQL["finalize_stream"] = SQL["finalize_tries"]
 SQL["snapshot_stream"] = _sql("select cast(split_part(meeting_id, '-', 1)::bigint * 100 + split_part(meeting_id, '-', 2)::bigint as varchar) as meeting_id, status, n_accepted from finals where n_accepted > 0").replace(
     _CTE["lifecycle_events"], f"select * replace (case target_status when 'completed' then 'processing' when 'cancelled' then 'joining' else target_status end as target_status) from ({_CTE['lifecycle_events']})"

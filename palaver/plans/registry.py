@@ -479,6 +479,34 @@ def transcribe_turns(spark, d):
     return audio.transcribe_turns(made, t, _provider, at_once=SETTINGS.calls_at_once, wait=lambda s: None)
 
 
+def _whole_provider(wav: bytes):
+    """A provider that answers by the length and loudness of a chunk: outages, refusals, segments, seconds heard or billed."""
+    x = audio.from_wav(wav)[0]
+    n, v = len(x), abs(int(x[0]))
+    if v % 11 == 3:
+        return audio.Reply(status=503)
+    if v % 11 == 5 or (v % 11 == 7 and n < 722):
+        return audio.Reply(status=422)
+    spoken = "de" if n % 3 == 0 else None
+    if v % 3 == 0:
+        return audio.Reply(text="unused", language=spoken, segments=[(0.0, 2.5, f"first {n}"), (2.5, 60.0, f"then {v}"), (3.0, 4.0, " ")])
+    return audio.Reply(text=f"heard {n} {v}", language=spoken, duration=5.0 if v % 3 == 1 else None, billed_seconds=7.0)
+
+
+@_query
+def transcribe_whole(spark, d):
+    """Recordings of even loudness, 400 samples a row, cut at 20 seconds; of seven one is null and one silent. Odd meetings have no segments."""
+    rel = _relative(spark, d)
+    n = F.greatest(F.lit(1), F.floor(F.col("last") * TURN_RATE)).cast("int")
+    made = rel.groupBy("meeting_id").agg(F.max("end").alias("last")).select("meeting_id", n.alias("n"))
+    made = made.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 400).cast("int"))).alias("part"))
+    loud = F.when(F.col("meeting_id") % 7 == 1, 0).otherwise(F.col("meeting_id") % 500 + 500)
+    value = lambda i: F.when(i % 2 == 0, loud).otherwise(-loud).cast("smallint")
+    upto = F.least(F.col("n"), (F.col("part") + 1) * 400)
+    blocks = made.select("meeting_id", "part", F.when(F.col("meeting_id") % 7 != 0, F.transform(F.sequence(F.col("part") * 400, upto - 1), value)).alias("samples"))
+    return audio.whole_transcripts(blocks, rel.filter("meeting_id % 2 = 0"), TURN_RATE, _whole_provider, longest_s=20.0, at_once=SETTINGS.calls_at_once, wait=lambda s: None)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from palaver.streaming import queries as streams
 
