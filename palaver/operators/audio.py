@@ -430,11 +430,14 @@ def chunk_sounds(blocks: DataFrame, cuts: DataFrame, rate: int, longest: float =
     return cuts.join(gathered, ["recording_id", "chunk_no"])
 
 
+#: Chunks that a task asks about, one after the other.
+CHUNKS_A_TASK = 32
 _ASKED = "meeting_id long, chunk_no long, chunk_from double, chunk_to double, outcome string, text string, language string, segments array<struct<start:double,end:double,text:string>>, duration double, billed_seconds double, attempts int"
 
 
 def ask_chunks(sounds: DataFrame, rate: int, call: Call, wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """The provider's reply to each of sounds (meeting_id, chunk_no, chunk_from, chunk_to, samples); null fields where it failed."""
+    """The provider's reply to each of sounds (meeting_id, chunk_no, chunk_from, chunk_to, samples), a stored table; null fields
+    where it failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -450,7 +453,9 @@ def ask_chunks(sounds: DataFrame, rate: int, call: Call, wait: Callable[[float],
 
     part = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("text", pa.string())]))
     schema = pa.schema([("meeting_id", pa.int64()), ("chunk_no", pa.int64()), ("chunk_from", pa.float64()), ("chunk_to", pa.float64()), ("outcome", pa.string()), ("text", pa.string()), ("language", pa.string()), ("segments", part), ("duration", pa.float64()), ("billed_seconds", pa.float64()), ("attempts", pa.int32())])
-    return sounds.select("meeting_id", "chunk_no", "chunk_from", "chunk_to", "samples").mapInArrow(run, _ASKED)
+    # Calls take seconds and rows are few, so tasks go by their number and not by their size.
+    spread = sounds.select("meeting_id", "chunk_no", "chunk_from", "chunk_to", "samples").repartition(-(-sounds.count() // CHUNKS_A_TASK) or 1, "meeting_id", "chunk_no")
+    return spread.mapInArrow(run, _ASKED)
 
 
 def whole_transcripts(blocks: DataFrame, segments: DataFrame, rate: int, call: Call, *, hint: str | None = None, longest_s: float = CHUNK_S, at_once: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:

@@ -496,7 +496,7 @@ def _whole_provider(wav: bytes):
 @_query
 def transcribe_whole(spark, d):
     """Recordings of even loudness, 400 samples a row, cut at 20 seconds; of seven one is null and one silent. Odd meetings have no segments."""
-    rel = _relative(spark, d)
+    rel = written(_relative(spark, d).select("meeting_id", "pos", "speaker", "start", "end"), "segments")
     n = F.greatest(F.lit(1), F.floor(F.col("last") * TURN_RATE)).cast("int")
     made = rel.groupBy("meeting_id").agg(F.max("end").alias("last")).select("meeting_id", n.alias("n"))
     made = made.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 400).cast("int"))).alias("part"))
@@ -504,7 +504,7 @@ def transcribe_whole(spark, d):
     value = lambda i: F.when(i % 2 == 0, loud).otherwise(-loud).cast("smallint")
     upto = F.least(F.col("n"), (F.col("part") + 1) * 400)
     blocks = made.select("meeting_id", "part", F.when(F.col("meeting_id") % 7 != 0, F.transform(F.sequence(F.col("part") * 400, upto - 1), value)).alias("samples"))
-    return audio.whole_transcripts(blocks, rel.filter("meeting_id % 2 = 0"), TURN_RATE, _whole_provider, longest_s=20.0, at_once=SETTINGS.calls_at_once, wait=lambda s: None)
+    return audio.whole_transcripts(written(blocks, "blocks"), rel.filter("meeting_id % 2 = 0"), TURN_RATE, _whole_provider, longest_s=20.0, at_once=SETTINGS.calls_at_once, wait=lambda s: None)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
