@@ -2,14 +2,16 @@
 
 A window of K bytes is a closed syncmer if the smallest of its inner S-byte substrings (by hash) is its first or its
 last. That depends on the window alone, so two texts pick the same anchors wherever they agree. A fingerprint is all of
-a text's anchors in the order in which they stand there. The likeness of two fingerprints is the number of anchors that
-both have in one order over the number that either has. The column holds a short form: the SHORT smallest anchors in
-text order, behind a digest of all.
+a text's anchors in the order in which they stand there, as often as they stand there; the column holds it whole, four
+bytes an anchor in base 64, so that read() and likeness() give from two columns what compare() gives from two texts.
+The likeness of two fingerprints is the number of anchors that both have in one order over the number that either has;
+the second occurrence of an anchor is matched with the second, the third with the third, and so on.
 """
 
 from __future__ import annotations
 
 import hashlib
+from base64 import b64decode, b64encode
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK, U64, blocks, buffers, mix, powers, small_batches, table
 
-K, S, SHORT = 15, 4, 48
+K, S = 15, 4
 #: Bytes of text in one stretch of the order by id, and the most stretches.
 STRETCH_BYTES, MOST_STRETCHES = 12 << 20, 1 << 16
 
@@ -53,7 +55,7 @@ def _syncmers(data: np.ndarray, at: np.ndarray, k: int, s: int) -> tuple[np.ndar
 
 
 def anchors(data: np.ndarray, at: np.ndarray, k: int = K, s: int = S) -> list[np.ndarray]:
-    """The fingerprint of each of n texts that lie end to end: anchor hashes (uint32) in text order, each where it comes first.
+    """The fingerprint of each of n texts that lie end to end: anchor hashes (uint32) in text order, repeats included.
 
     A text without anchors, such as one of fewer than k bytes, has the hash of the whole text as its only one; an
     empty text has none. A long text that stands alone is read BLOCK bytes at a time.
@@ -63,14 +65,9 @@ def anchors(data: np.ndarray, at: np.ndarray, k: int = K, s: int = S) -> list[np
     if n == 1 and size > 2 * BLOCK:
         pieces = [data[i : i + BLOCK + k - 1] for i in range(0, size - k + 1, BLOCK)]
         h = np.concatenate([_syncmers(p, np.array([0, len(p)]), k, s)[0] for p in pieces])
-        _, first = np.unique(h, return_index=True)
-        return [h[np.sort(first)] if len(h) else _short(data)]
+        return [h if len(h) else _short(data)]
     h, of = _syncmers(data, at, k, s)
-    order = np.lexsort((h, of))  # stable: equal anchors of a text stay in order
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (of[order[1:]] != of[order[:-1]])
-    first = np.sort(order[new])
-    h, cut = h[first], np.searchsorted(of[first], np.arange(n + 1))
+    cut = np.searchsorted(of, np.arange(n + 1))
     out = [h[cut[i] : cut[i + 1]] for i in range(n)]
     for i in np.flatnonzero((np.diff(cut) == 0) & (np.diff(at) > 0)):
         out[i] = _short(data[at[i] : at[i + 1]])
@@ -81,16 +78,33 @@ def _short(data: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(data.tobytes(), digest_size=4).digest(), np.uint32)
 
 
-def written(fingerprint: np.ndarray, short: int = SHORT) -> str:
-    """The short form in hexadecimal digits; nothing for an empty text."""
-    if not len(fingerprint):
-        return ""
-    kept = fingerprint if len(fingerprint) <= short else fingerprint[np.sort(np.argpartition(fingerprint, short - 1)[:short])]
-    return hashlib.blake2b(fingerprint.astype("<u4").tobytes(), digest_size=8).hexdigest() + kept.astype(">u4").tobytes().hex()
+def written(fingerprint: np.ndarray) -> str:
+    """The column's form: big-endian anchors in base 64; nothing for an empty text."""
+    return b64encode(fingerprint.astype(">u4").tobytes()).decode()
+
+
+def read(column: str) -> np.ndarray:
+    """The fingerprint that written() wrote."""
+    return np.frombuffer(b64decode(column), ">u4").astype(np.uint32)
+
+
+def _numbered(fingerprint: np.ndarray) -> np.ndarray:
+    """Every anchor with the number of equal ones before it, as one number; all of them differ."""
+    order, n = np.argsort(fingerprint, kind="stable"), np.arange(len(fingerprint))
+    h = fingerprint[order]
+    first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]][: len(h)], n, 0))
+    out = np.empty(len(h), U64)
+    out[order] = h.astype(U64) | (n - first).astype(U64) << U64(32)
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """0 to 1. Shared anchors count only as far as both have them in one order; two empty fingerprints are alike."""
+    return _alike(_numbered(a), _numbered(b))
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> float:
+    """likeness() of numbered anchors."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     order = np.argsort(b)
@@ -169,10 +183,11 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         texts = [r[3] for r in rows]
         own = _fingerprints(texts)
+        each = [_numbered(f) for f in own]
         new = [edited(texts[i], texts[i + 1]) for i in pairs]
         cols: list[list] = [[] for _ in _OUT]
         for i, e, f in zip(pairs, new, _fingerprints(new), strict=True):
-            for c, v in zip(cols, (rows[i][2], len(texts[i]), hashlib.sha256(e.encode()).hexdigest(), written(own[i]), written(f), likeness(own[i], f), likeness(own[i], own[i + 1])), strict=True):
+            for c, v in zip(cols, (rows[i][2], len(texts[i]), hashlib.sha256(e.encode()).hexdigest(), written(own[i]), written(f), _alike(each[i], _numbered(f)), _alike(each[i], each[i + 1])), strict=True):
                 c.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import time
@@ -239,7 +240,7 @@ def test_one_row_follows_itself_and_none_gives_none(spark, empty):
 
 
 def plain_anchors(text: str, k: int = fingerprints.K, s: int = fingerprints.S) -> list[bytes]:
-    """The closed syncmers of a text, window by window, each where it comes first."""
+    """The closed syncmers of a text, window by window."""
 
     def inner(x: bytes) -> int:
         h = 0
@@ -248,17 +249,26 @@ def plain_anchors(text: str, k: int = fingerprints.K, s: int = fingerprints.S) -
         h = (h ^ (h >> 15)) * 0x85EBCA6B % (1 << 32)
         return h ^ (h >> 13)
 
-    data, out = text.encode(), {}
+    data, out = text.encode(), []
     for i in range(len(data) - k + 1):
         window = data[i : i + k]
         order = [inner(window[j : j + s]) for j in range(k - s + 1)]
         if min(order) in (order[0], order[-1]):
-            out.setdefault(window)
-    return list(out)
+            out.append(window)
+    return out
+
+
+def plain_hash(window: bytes) -> int:
+    """A window's anchor: a polynomial of its bytes, its bits spread, the upper half."""
+    h = sum((c + 1) * pow(0x9E3779B97F4A7C15, j, 1 << 64) for j, c in enumerate(window)) % (1 << 64)
+    h = (h ^ h >> 33) * 0xFF51AFD7ED558CCD % (1 << 64)
+    h = (h ^ h >> 29) * 0xC4CEB9FE1A85EC53 % (1 << 64)
+    return (h ^ h >> 32) >> 32
 
 
 def plain_likeness(a: list, b: list) -> float:
-    """Longest common subsequence over union, by the usual table."""
+    """Longest common subsequence over union, by the usual table; equal anchors are told apart by their number."""
+    a, b = ([(x, c[:i].count(x)) for i, x in enumerate(c)] for c in (a, b))
     if not a and not b:
         return 1.0
     row = [0] * (len(b) + 1)
@@ -273,16 +283,31 @@ def test_query_against_windows_and_common_subsequences(spark):
     """fingerprint, edited_fingerprint, near_edited and near_next of op3 from a loop over all windows."""
     rng = random.Random(2)
     texts = [prose(rng, n) for n in (40, 2, 300, 41, 5, 120)] + ["", "tiny", "äöü " * 30]
-    texts.append(texts[2] + " and " + texts[0])
+    texts += [texts[2] + " and " + texts[0], "\n".join([texts[0]] * 5), texts[0]]
     got = {r["doc_id"]: r for r in fingerprints.compare(spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], KIND)).collect()}
+
+    def digits(t: str) -> str:
+        """The column, from windows alone."""
+        own = [plain_hash(w).to_bytes(4) for w in plain_anchors(t)]
+        if not own and t:
+            own = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "little").to_bytes(4)]
+        return base64.b64encode(b"".join(own)).decode()
+
     anchor = lambda t: plain_anchors(t) or ([t] if t else [])
     for i, t in enumerate(texts):
         new = fingerprints.edited(t, texts[i - 1])
-        own = fingerprints._fingerprints([t, new])
-        assert [len(x) for x in own] == [len(anchor(t)), len(anchor(new))]
-        assert [got[i]["fingerprint"], got[i]["edited_fingerprint"]] == [fingerprints.written(x) for x in own]
+        assert [got[i]["fingerprint"], got[i]["edited_fingerprint"]] == [digits(t), digits(new)]
         assert got[i]["near_edited"] == pytest.approx(plain_likeness(anchor(t), anchor(new)))
         assert got[i]["near_next"] == pytest.approx(plain_likeness(anchor(t), anchor(texts[i - 1])))
+        own, changed, follower = (fingerprints.read(x) for x in (got[i]["fingerprint"], got[i]["edited_fingerprint"], got[(i or len(texts)) - 1]["fingerprint"]))
+        assert (got[i]["near_edited"], got[i]["near_next"]) == (fingerprints.likeness(own, changed), fingerprints.likeness(own, follower))
+
+
+def test_repeats_count():
+    """A passage is little like ten of it, and ten are just like ten."""
+    one = prose(random.Random(5), 50)
+    a, b, c = fingerprints._fingerprints([one, "\n".join([one] * 10), "\n".join([one] * 11)])
+    assert fingerprints.likeness(a, b) < 0.11 and fingerprints.likeness(b, b) == 1 and 0.9 < fingerprints.likeness(b, c) < 0.92
 
 
 def test_anchors_do_not_depend_on_neighbours():
