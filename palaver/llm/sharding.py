@@ -4,7 +4,7 @@ Rows fall into parts by a keyed hash. A matrix says how many rows of each part g
 from the shards' free places it is multivariate hypergeometric, as in a uniform shuffle of all rows. Parts form areas:
 the driver draws the lines of at most AREAS areas, and each area's line is drawn on for its own parts in a task, which
 is the same law. Each part deals a random permutation of its rows out by its line of the matrix, rows are exchanged,
-and each shard is permuted again.
+and each shard is permuted again. Many rows with the same keys are numbered, and go to parts by key and number.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from math import sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from palaver.operators.ranking import numbered
+
 from .common import stash, table
 
 SHARDS = 24
 #: Rows that a part holds on average, and parts of an area. The driver holds one line of the matrix for each of AREAS areas.
 PART_ROWS = 4096
 AREAS = 1024
+#: A part of more than so many times PART_ROWS holds many rows with the same keys, as a keyed hash deals others evenly.
+CROWDED = 4
 SEED = 4_021
 #: numpy draws from populations below this.
 LARGE = 10**9
@@ -87,35 +91,56 @@ def _lines(matrix: dict[int, list[int]], seed: int):
     return run
 
 
+def _apart(placed: DataFrame, crowded: DataFrame, keys: list[str], same: Column) -> DataFrame:
+    """placed with _s_number: of rows in crowded parts the number among those with the same keys, from 0; else 0.
+
+    Only the rows of crowded parts are sorted and written, by ranges, so that no task holds a group.
+    """
+    inside = placed.join(crowded, "_s_part", "left_semi").select(F.struct("*").alias("row"), same.alias("same"))
+    inside = numbered(inside, "same", [F.col("row")[k] for k in keys], "number").select("row.*", (F.col("number") - 1).alias("_s_number"))
+    return placed.join(crowded, "_s_part", "left_anti").withColumn("_s_number", F.lit(0).cast("long")).unionByName(inside)
+
+
 def shard_rows(df: DataFrame, keys: list[str], *, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """df with shard (0 to shards - 1; counts at most one apart) and slot (its place there, gapless from 0).
 
     The order of rows comes from a hash of `keys` alone, so reruns agree; rows that agree in all keys get neighbouring
-    places in any order. Nulls in keys count as a value. Empty input gives no rows. Columns of df named shard or slot
-    are replaced; those beginning with _s_ are refused, as that is where it keeps its own.
+    places in any order, and of more than PART_ROWS of them the others get places anywhere. Nulls in keys count as a
+    value. Empty input gives no rows. Columns of df named shard or slot are replaced; those beginning with _s_ are
+    refused, as that is where it keeps its own.
     """
     if taken := [c for c in df.columns if c.startswith("_s_")]:
         raise ValueError(f"columns that begin with _s_ are reserved: {taken}")
     df = df.drop("shard", "slot")
-    hashed = lambda what: F.xxhash64(F.lit(seed), F.lit(what), *keys)
+    hashed = lambda what, *more: F.xxhash64(F.lit(seed), F.lit(what), *keys, *more)
+    late = F.col("_s_number") >= PART_ROWS
+    spread = lambda what: F.when(late, hashed(what, "_s_number")).otherwise(hashed(what))
     n = df.count()
     parts = max(1, -(-n // PART_ROWS))
     area = F.pmod("_s_part", F.lit(AREAS)).cast("int").alias("area")
+    counted = lambda rows: stash(rows.groupBy("_s_part").agg(F.count("*").alias("n")).select("_s_part", "n", area), "shard-parts")
     placed = df.withColumn("_s_part", F.pmod(hashed("part"), F.lit(parts)))
-    counts = stash(placed.groupBy("_s_part").agg(F.count("*").alias("n")).select("_s_part", "n", area), "shard-parts")
+    counts = counted(placed)
+    crowded = counts.filter(F.col("n") > CROWDED * PART_ROWS).select("_s_part")
+    if crowded.isEmpty():
+        placed = placed.withColumn("_s_number", F.lit(0).cast("long"))
+    else:
+        placed, stretch = _apart(placed, crowded, keys, hashed("same")), F.floor(F.col("_s_number") / PART_ROWS)
+        placed = placed.withColumn("_s_part", F.when(late, F.pmod(hashed("part", stretch), F.lit(parts))).otherwise(F.col("_s_part")))
+        counts = counted(placed)
     areas = {r[0]: r[1] for r in counts.groupBy("area").agg(F.sum("n")).collect()}  # AREAS rows at most
     lines = counts.groupBy("area").applyInArrow(_lines(communication_matrix(areas, shards, seed), seed), _LINE)
-    first = W.partitionBy("_s_part").orderBy(hashed("first"), *keys)
+    first = W.partitionBy("_s_part").orderBy(spread("first"), *keys, "_s_number")
     dealt = placed.withColumn("_s_place", F.row_number().over(first)).join(lines, "_s_part")
     dealt = dealt.withColumn("shard", F.size(F.filter("_s_upto", lambda x: x < F.col("_s_place"))).cast("int"))
     # The second permutation: a shard's rows by hash range, then by hash; ranges give every row its place without a
     # task that holds a whole shard.
     ranges = max(1, parts // shards)
-    dealt = dealt.withColumn("_s_range", F.pmod(hashed("range"), F.lit(ranges)).cast("int"))
+    dealt = dealt.withColumn("_s_range", F.pmod(spread("range"), F.lit(ranges)).cast("int"))
     sizes = dealt.groupBy("shard", "_s_range").agg(F.count("*").alias("_s_n"))
     before = F.coalesce(F.sum("_s_n").over(W.partitionBy("shard").orderBy("_s_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("shard", "_s_range", before.alias("_s_before"))
-    second = W.partitionBy("shard", "_s_range").orderBy(hashed("second"), *keys)
+    second = W.partitionBy("shard", "_s_range").orderBy(spread("second"), *keys, "_s_number")
     out = dealt.withColumn("_s_row", F.row_number().over(second)).join(starts, ["shard", "_s_range"])
     return out.withColumn("slot", F.col("_s_before") + F.col("_s_row") - 1).select(*[F.col(f"`{c}`") for c in df.columns], "shard", "slot")
 

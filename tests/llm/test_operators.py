@@ -195,6 +195,26 @@ def test_shards_against_a_plain_deal(spark, monkeypatch):
     assert {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.shard_rows(df, ["doc_id"], shards=6).collect()} == want
 
 
+def test_rows_with_the_same_keys_spread_over_parts(spark, monkeypatch):
+    """A third of all rows agree in the keys: no part holds them all, places are whole, and reruns agree."""
+    monkeypatch.setattr(sharding, "PART_ROWS", 20)
+    seen, stash = [], sharding.stash
+    monkeypatch.setattr(sharding, "stash", lambda df, name: seen.append(stash(df, name)) or seen[-1])
+    same = F.col("id") < 600
+    df = spark.range(1800).select(F.when(~same, F.col("id")).alias("doc_id"), F.when(same, 7).alias("size"), F.lit("x").alias("_part"))
+    runs = [sharding.shard_rows(d, ["doc_id", "size"], shards=6).collect() for d in (df, df.repartition(5))]
+    first, again = (Counter((r["doc_id"], r["shard"], r["slot"]) for r in x) for x in runs)
+    assert first == again and sum(first.values()) == 1800
+    held = defaultdict(list)
+    for i, shard, slot in first:
+        held[shard].append((slot, i is None))
+    assert all(sorted(s for s, _ in v) == list(range(300)) for v in held.values())
+    copies = [sum(c for _, c in v) for v in held.values()]
+    assert sum(copies) == 600 and max(copies) < 150 and all(sum(c for s, c in v if s < 150) > 25 for v in held.values())
+    before, after = (d.agg(F.max("n")).first()[0] for d in seen[:2])
+    assert before >= 600 and after < 120
+
+
 def test_reserved_names_are_refused(spark):
     with pytest.raises(ValueError, match="_s_part"):
         sharding.shard_rows(spark.range(3).withColumn("_s_part", F.lit(1)), ["id"])
