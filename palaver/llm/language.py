@@ -166,7 +166,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from the rows of docs with a language and a letter that are not held out, about `sample` for each language."""
+    """Learn from the rows of docs with a language and a letter that are not held out, about `sample` for each language.
+
+    Repeated rows and keys count as often as they come; a null key is not learnt from.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(key).isNotNull() & ~held_out(key))

@@ -127,7 +127,10 @@ def _rows_of(b: pa.RecordBatch, k: int) -> np.ndarray:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learn from labelled rows that are not held out, about `sample` of them. A label other than 0 or 1 is none."""
+    """Learn from labelled rows that are not held out, about `sample` of them. A label other than 0 or 1 is none.
+
+    Of a repeated key every document counts with every label, in one sample and one fold; a null key has no label.
+    """
     small_batches(docs.sparkSession)
     marked = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key)).select(key, F.col(label).cast("double").alias("label"))
     n = marked.count()
