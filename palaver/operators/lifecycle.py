@@ -42,16 +42,22 @@ def _may(rank: Column, to: Column) -> Column:
     )
 
 
+def moved(status: Column, target: Column) -> tuple[Column, Column, Column]:
+    """Whether an event is accepted, whether it reopens the meeting, and the status after it; `reopen` and `stop` included."""
+    ended = status.isin(*TERMINAL)
+    reopens = (target == "reopen") & (status == "failed")
+    stops = (target == "stop") & ~ended & (status != "processing")
+    ok = reopens | stops | (~ended & ~target.isin("reopen", "stop") & _may(_rank(status), target))
+    to = F.when(reopens, F.lit("processing")).when(stops, stopped(status)).when(ok, target).otherwise(status)
+    return ok, reopens, to
+
+
 def folded(gathered: str, events: DataFrame) -> Column:
     """The rows of replay(), each with the status after it, from a column of a meeting's events (ts, seq, target_status) in
     order; `events` tells their types."""
-    ended = lambda s: s["status"].isin(*TERMINAL)
 
     def step(s: Column, e: Column) -> Column:
-        reopens = (e["target_status"] == "reopen") & (s["status"] == "failed")
-        stops = (e["target_status"] == "stop") & ~ended(s) & (s["status"] != "processing")
-        ok = reopens | stops | (~ended(s) & ~e["target_status"].isin("reopen", "stop") & _may(_rank(s["status"]), e["target_status"]))
-        to = F.when(reopens, F.lit("processing")).when(stops, stopped(s["status"])).when(ok, e["target_status"]).otherwise(s["status"])
+        ok, reopens, to = moved(s["status"], e["target_status"])
         row = F.struct(e["seq"].alias("seq"), e["ts"].alias("ts"), s["status"].alias("from_status"), e["target_status"].alias("to_status"), ok.alias("accepted"), reopens.alias("error_cleared"), to.alias("status"))
         return F.struct(to.alias("status"), F.concat(s["rows"], F.array(row)).alias("rows"))
 
@@ -64,7 +70,8 @@ def replay(events: DataFrame) -> DataFrame:
     """transitions() for events with `reopen`, which takes a failed meeting back to processing, and `stop`, which takes a
     meeting in progress to processing, cancels one before and is nothing to others. Reopening breaks the rise of ranks,
     so a meeting's events are gathered and folded in order, still by built-in functions. error_cleared tells the events
-    that drop a meeting's error and its attempts so far."""
+    that drop a meeting's error and its attempts so far. For meetings with more events than a row can hold see
+    ranges.replay()."""
     gathered = events.groupBy("meeting_id").agg(F.sort_array(F.collect_list(F.struct("ts", "seq", "target_status"))).alias("e"))
     return gathered.select("meeting_id", F.inline(folded("e", events))).drop("status")
 

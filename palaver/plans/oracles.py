@@ -429,6 +429,7 @@ w as (select meeting_id, i, seq, 'queued' as s, t, {_STEP.format("'queued'", "t"
   union all select e.meeting_id, e.i, e.seq, n.s, e.t, {_STEP.format("n.s", "e.t")} from e join (
     select meeting_id, i, case when not ok then s when t = 'reopen' then 'processing' when t = 'stop' then case s when 'in_progress' then 'processing' else 'cancelled' end else t end as s from w) n on e.meeting_id = n.meeting_id and e.i = n.i + 1)
 select meeting_id, seq, s as from_status, t as to_status, ok as accepted, ok and t = 'reopen' as error_cleared from w"""
+SQL["lifecycle_by_ranges"] = SQL["lifecycle_reopened"]
 # HMAC by its definition: the key, padded to 64 bytes with zeros, xor 0x36 (54) before the body and xor 0x5c (92) before that hash.
 _PAD = "(list_aggregate(list_transform(string_split(secret, ''), lambda c: chr(xor(ascii(c), {0}))), 'string_agg', '') || repeat(chr({0}), 64 - length(secret)))"
 SQL["webhook_signatures"] = _sql(

@@ -193,9 +193,18 @@ def lifecycle_timestamps(spark, d):
 @_query
 def lifecycle_reopened(spark, d):
     """Lifecycles in which of every nine events one asks to reopen and one to stop the meeting."""
+    return lifecycle.replay(_reopening(spark, d)).select("meeting_id", "seq", "from_status", "to_status", "accepted", "error_cleared")
+
+
+@_query
+def lifecycle_by_ranges(spark, d):
+    """The same, with a meeting's events spread over tasks."""
+    return ranges.replay(_reopening(spark, d)).select("meeting_id", "seq", "from_status", "to_status", "accepted", "error_cleared")
+
+
+def _reopening(spark, d):
     kind = F.when(F.col("seq") % 9 == 0, F.lit("reopen")).when(F.col("seq") % 9 == 4, F.lit("stop")).otherwise(F.col("target_status"))
-    e = view(spark, d, "lifecycle_events").withColumn("target_status", kind)
-    return lifecycle.replay(e).select("meeting_id", "seq", "from_status", "to_status", "accepted", "error_cleared")
+    return view(spark, d, "lifecycle_events").withColumn("target_status", kind)
 
 
 @_query

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
-from palaver.operators import ranges, segments, transcripts
+from palaver.functions.lookups import STATUS_RANK
+from palaver.operators import lifecycle, ranges, segments, transcripts
 from pyspark.sql import functions as F
 
 COLUMNS = "meeting_id long, ord long, speaker string, text string, language string, completed boolean, segment_id string, start double, end double, start_time double"
@@ -67,3 +69,48 @@ def test_empty_tables(split):
     none = split.createDataFrame([], COLUMNS)
     d = ranges.rebase(ranges.dedupe(none))
     assert ranges.merge_turns(d).count() == 0 and ranges.normalize(d).count() == 0
+
+
+EVENTS = "meeting_id long, seq long, ts long, target_status string"
+
+
+def events(seed: int, n: int) -> list[tuple]:
+    """Events of one large meeting, small ones and one without an id: ties, repeats, unknown statuses, nulls in every column."""
+    r = random.Random(seed)
+    kinds = [*STATUS_RANK, "reopen", "reopen", "stop", "failed", "paused", None]
+    out = [(r.choice([5] * 9 + [1, 6, None]), r.choice([k, 3, None]), r.choice([k // 3, None]), r.choice(kinds)) for k in range(n)]
+    return out + out[-2:]
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 400), (2, 400), (3, 60), (4, 5)])
+def test_lifecycles_over_ranges_are_those_of_a_fold(split, seed, n):
+    e = split.createDataFrame(events(seed, n), EVENTS).cache()
+    want = plain(lifecycle.replay(e))
+    assert len(want) == n + 2 and plain(ranges.replay(e)) == want
+    wide = e.withColumns({c: F.lit("x") for c in ("_part", "_at", "_code", "status", "from_status")})
+    assert plain(ranges.replay(wide)) == want
+
+
+def test_a_status_carries_over_ranges_that_change_nothing(split):
+    """In progress from the first event on, nothing for hundreds, then stopped; a second meeting begins anew in the last range."""
+    e = [(1, 0, 0, "in_progress"), *[(1, k, k, "joining") for k in range(1, 500)], (1, 500, 500, "stop"), (1, 501, 501, "completed"), (2, 0, 0, "stop")]
+    got = {(r["meeting_id"], r["seq"]): r for r in ranges.replay(split.createDataFrame(e, EVENTS)).collect()}
+    assert len(got) == 503 and not any(got[1, k]["accepted"] for k in range(1, 500))
+    assert [(got[k]["from_status"], got[k]["accepted"]) for k in ((1, 500), (1, 501), (2, 0))] == [("in_progress", True), ("processing", True), ("queued", True)]
+
+
+def test_composition_against_a_loop():
+    r = np.random.default_rng(1)
+    moves, codes, opens = r.integers(0, 5, (4, 5)), r.integers(0, 4, 999), r.random(999) < 0.01
+    before, after = ranges._before(moves, codes, opens, np.arange(5))
+    for s in range(5):
+        now = s
+        for i in range(999):
+            now = 0 if opens[i] else now
+            assert before[i, s] == now
+            now = moves[codes[i], now]
+        assert after[s] == now
+
+
+def test_no_events(split):
+    assert ranges.replay(split.createDataFrame([], EVENTS)).count() == 0
