@@ -94,13 +94,18 @@ def final(events: DataFrame) -> DataFrame:
     )
 
 
+def deadline_error(status: Column) -> Column:
+    """The error of a meeting that its join deadline finds in this status, or null."""
+    return F.when(status == "joining", F.lit("meeting_join_failed")).when(status == "waiting_for_admission", F.lit("waiting_room_timeout"))
+
+
 def join_deadlines(events: DataFrame, seconds: int = JOIN_DEADLINE_S) -> DataFrame:
     """What the deadline after the first event finds: meeting_id, deadline, status then, error_code (null: nothing to do)."""
     first = F.min("ts").over(W.partitionBy("meeting_id"))
     rows = transitions(events).withColumn("deadline", first + F.expr(f"interval {seconds} seconds"))
     upto = F.max(F.when(F.col("accepted") & (F.col("ts") <= F.col("deadline")), F.struct("ts", "seq", "to_status")))["to_status"]
     out = rows.groupBy("meeting_id", "deadline").agg(F.coalesce(upto, F.lit("queued")).alias("status"))
-    return out.withColumn("error_code", F.when(F.col("status") == "joining", F.lit("meeting_join_failed")).when(F.col("status") == "waiting_for_admission", F.lit("waiting_room_timeout")))
+    return out.withColumn("error_code", deadline_error(F.col("status")))
 
 
 def starts(tries: DataFrame) -> DataFrame:
