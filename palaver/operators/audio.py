@@ -326,6 +326,8 @@ def gate(samples, rate: int) -> str | None:
     return "silent_recording" if len(x) / rate < LEAST_S or dbfs < SILENCE_DBFS else None
 
 
+#: Recordings that a task of transcribe_clips holds and asks about.
+RECORDINGS_A_TASK = 64
 _CLIP = {"meeting_id": "long", "turn_idx": "long", "outcome": "string", "result_text": "string", "language": "string", "attempts": "int"}
 
 
@@ -352,7 +354,11 @@ def transcribe_clips(audio: DataFrame, turns: DataFrame, call: Call, at_once: in
                         rows = [(m, k + 1, o, (x.text or "") if o == "ok" else None, x.language if o == "ok" else None, n) for k, (o, x, n) in enumerate(said)]
                     yield pd.DataFrame(rows, columns=list(_CLIP))
 
-    return audio.join(clips, "meeting_id").select("meeting_id", "rate", "samples", "clips").mapInPandas(run, ", ".join(f"{k} {v}" for k, v in _CLIP.items()))
+    # Calls take seconds and samples compress well, so tasks go by their number and not by their size. Sizes that Spark guesses
+    # leave the samples out, by which a side of recordings would be broadcast: it is a merge whatever they say.
+    n = -(-audio.select("meeting_id").count() // RECORDINGS_A_TASK) or 1
+    met = audio.select("meeting_id", "rate", "samples").repartition(n, "meeting_id").hint("merge").join(clips, "meeting_id")
+    return met.select("meeting_id", "rate", "samples", "clips").mapInPandas(run, ", ".join(f"{k} {v}" for k, v in _CLIP.items()))
 
 
 def transcribe_turns(audio: DataFrame, turns: DataFrame, call: Call, *, hint: Column | None = None, at_once: int = 3, wait: Callable[[float], None] = time.sleep) -> DataFrame:

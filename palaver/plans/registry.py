@@ -481,11 +481,11 @@ def _provider(wav: bytes):
 @_query
 def transcribe_turns(spark, d):
     """Turns of every meeting and recordings that end a second before them; of seven one is null and one silent."""
-    t = _turns(spark, d)
+    t = written(_turns(spark, d), "turns")
     n = F.greatest(F.lit(1), F.floor((F.col("last") - 1.0) * TURN_RATE)).cast("int")
     value = lambda i: F.when(F.col("meeting_id") % 7 == 1, 0).otherwise((i * 37 + F.col("meeting_id") * 11) % 2001 - 1000).cast("smallint")
     made = t.groupBy("meeting_id").agg(F.max("end").alias("last")).select("meeting_id", F.lit(TURN_RATE).alias("rate"), F.when(F.col("meeting_id") % 7 != 0, F.transform(F.sequence(F.lit(0), n - 1), value)).alias("samples"))
-    return audio.transcribe_turns(made, t, _provider, at_once=SETTINGS.calls_at_once, wait=lambda s: None)
+    return audio.transcribe_turns(written(made, "recordings"), t, _provider, at_once=SETTINGS.calls_at_once, wait=lambda s: None)
 
 
 def _whole_provider(wav: bytes):
