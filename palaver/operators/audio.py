@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -90,49 +90,79 @@ def quiet_cuts(samples: np.ndarray, rate: int, longest: float) -> list[tuple[flo
     return [(a / rate, b / rate) for a, b in c.fold(c.energies(samples)[1], len(samples))]
 
 
-def placed_blocks(blocks: DataFrame) -> DataFrame:
+#: Samples of the blocks in a task: this many at most, and where that leaves cores idle, FEW_SAMPLES at least.
+FEW_SAMPLES, MANY_SAMPLES = 1 << 18, 1 << 24
+
+
+def tasks_for(spark: SparkSession, n: int, few: int, many: int) -> int:
+    """Tasks for n things, which are counted and not weighed, as sound compresses well: `many` in each at most; less where
+    there are so few that cores would be idle, but `few` at least."""
+    return max(1, -(-n // many), min(-(-n // few), 2 * spark.sparkContext.defaultParallelism))
+
+
+def block_sizes(blocks: DataFrame) -> DataFrame:
+    """recording_id, part and n, the samples of each block; null if they are."""
+    return blocks.select("recording_id", "part", F.when(F.col("samples").isNotNull(), F.size("samples")).cast("long").alias("n"))
+
+
+def placed_blocks(blocks: DataFrame, sizes: DataFrame) -> DataFrame:
     """Blocks of recordings (recording_id, part, samples) with offset, the samples before each. Only sizes meet in a window;
     samples stay where they are until a join by recording and part."""
-    sizes = blocks.select("recording_id", "part", F.greatest(F.size("samples"), F.lit(0)).cast("long").alias("n"))
     before = F.sum("n").over(W.partitionBy("recording_id").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
     return blocks.join(sizes.select("recording_id", "part", F.coalesce(before, F.lit(0)).alias("offset")), ["recording_id", "part"])
 
 
-def chunks(recordings: DataFrame, rate: int, longest: float = CHUNK_S) -> DataFrame:
-    """recordings (recording_id, samples array<int or smallint>, and part if a recording is many rows) -> recording_id,
-    chunk_no, chunk_from, chunk_to in seconds.
-
-    Samples are reduced to energies by cell where they lie, a block at a time; cells that two blocks share are added up.
-    Each cut depends on the one before it, so a recording's cells meet in one row: at 16 kHz an hour is 72,000 numbers.
-    A null among a recording's blocks counts as no samples; a recording of nulls alone has no chunks."""
+def cell_energies(placed: DataFrame, rate: int, longest: float = CHUNK_S) -> DataFrame:
+    """Blocks without their samples: recording_id, part, offset, n, square (the sum of squares) and energies, those of the
+    cells that the block reaches, from offset // cell on, as int64."""
     cuts = Cuts(rate, longest)
-    blocks = recordings if "part" in recordings.columns else recordings.withColumn("part", F.lit(0))
-    blocks = placed_blocks(blocks.filter("samples is not null").select(F.col("recording_id").cast("long").alias("recording_id"), "part", "samples"))
 
-    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(k, *cuts.energies(np.asarray(x.values.to_numpy(zero_copy_only=False)), at), len(x.values)) for k, (x, at) in enumerate(zip(b.column(2), b.column(1).to_pylist(), strict=True))]
-            rows = np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)
-            first = np.concatenate([[True], rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, bool)
-            n = np.where(first, np.repeat([f[3] for f in found], [len(f[1]) for f in found]), 0).astype(np.int64)
-            whole = lambda i: pa.array(np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]))  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), whole(1), whole(2), pa.array(n)], ["recording_id", "cell", "energy", "n"])
-
-    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, at = b.column(3), b.column(2).to_pylist()
+            ends, values = held.offsets.to_numpy(), held.values.to_numpy(zero_copy_only=False)
+            found = [cuts.energies(values[i:j], o)[1] for i, j, o in zip(ends[:-1], ends[1:], at, strict=True)]
+            added = [pa.array(np.diff(ends).astype(np.int64)), pa.array([int(e.sum()) for e in found], pa.int64()), pa.array([e.tobytes() for e in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *added], ["recording_id", "part", "offset", "n", "square", "energies"])
+
+    part = placed.schema["part"].dataType.simpleString()
+    return placed.select("recording_id", "part", "offset", "samples").mapInArrow(run, f"recording_id long, part {part}, offset long, n long, square long, energies binary")
+
+
+def folded_cuts(energies: DataFrame, rate: int, longest: float = CHUNK_S) -> DataFrame:
+    """The cuts of recordings from cell_energies(): recording_id, chunk_no, chunk_from, chunk_to in seconds.
+
+    Each cut depends on the one before it, so a recording's cells meet in one row: at 16 kHz an hour is 72,000 numbers. What
+    is exchanged is a row a block; cells that two blocks share are added up here."""
+    cuts = Cuts(rate, longest)
+    schema = pa.schema([("recording_id", pa.int64()), ("chunk_no", pa.int64()), ("chunk_from", pa.float64()), ("chunk_to", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for i, n, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                cell, square = (c.to_numpy() for c in cells.values.flatten())
+            for i, held in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                offset, size, found = held.values.flatten()
+                n = int(size.to_numpy().sum())
                 energy = np.zeros(-(-n // cuts.cell), np.int64)
-                energy[cell] = square
+                for o, e in zip(offset.to_pylist(), found.to_pylist(), strict=True):
+                    energy[o // cuts.cell : o // cuts.cell + len(e) // 8] += np.frombuffer(e, np.int64)
                 rows += [(i, k, a / rate, z / rate) for k, (a, z) in enumerate(cuts.fold(energy, n))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], ["recording_id", "chunk_no", "chunk_from", "chunk_to"])
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    whole = energies.groupBy("recording_id").agg(F.collect_list(F.struct("offset", "n", "energies")).alias("blocks"))
+    return whole.mapInArrow(run, "recording_id long, chunk_no long, chunk_from double, chunk_to double")
+
 
-    table = blocks.filter(F.size("samples") > 0).select("recording_id", "offset", "samples").mapInArrow(squares, "recording_id long, cell long, energy long, n long")
-    empty = blocks.groupBy("recording_id").agg(F.max(F.size("samples")).alias("m")).filter("m = 0").select("recording_id", F.lit(0).cast("long").alias("chunk_no"), F.lit(0.0).alias("chunk_from"), F.lit(0.0).alias("chunk_to"))
-    table = table.groupBy("recording_id", "cell").agg(F.sum("energy").alias("energy"), F.sum("n").alias("n"))
-    whole = table.groupBy("recording_id").agg(F.sum("n").alias("n"), F.collect_list(F.struct("cell", "energy")).alias("cells"))
-    return whole.mapInArrow(folded, "recording_id long, chunk_no long, chunk_from double, chunk_to double").unionByName(empty)
+def chunks(recordings: DataFrame, rate: int, longest: float = CHUNK_S) -> DataFrame:
+    """recordings (recording_id, samples array<int or smallint>, and part if a recording is many rows) -> recording_id,
+    chunk_no, chunk_from, chunk_to in seconds.
+
+    Samples are reduced to energies by cell where they lie, a block at a time.
+    A null among a recording's blocks counts as no samples; a recording of nulls alone has no chunks."""
+    blocks = recordings if "part" in recordings.columns else recordings.withColumn("part", F.lit(0))
+    blocks = blocks.filter("samples is not null").select(F.col("recording_id").cast("long").alias("recording_id"), "part", "samples")
+    return folded_cuts(cell_energies(placed_blocks(blocks, block_sizes(blocks)), rate, longest), rate, longest)
 
 
 def to_wav(samples: np.ndarray, rate: int) -> bytes:
@@ -419,25 +449,24 @@ def transcribe_whole(audio: DataFrame, call: Call, longest: float = CHUNK_S, wai
     return audio.select("meeting_id", "rate", "samples").mapInPandas(run, "meeting_id long, chunk_no long, chunk_from double, chunk_to double, outcome string, text string, attempts int")
 
 
-def chunk_sounds(blocks: DataFrame, cuts: DataFrame, rate: int, longest: float = CHUNK_S) -> DataFrame:
-    """blocks (recording_id, part, samples) and cuts (as chunks() gives them) -> the cuts with samples, those of the chunk alone.
+def chunk_sounds(placed: DataFrame, places: DataFrame, cuts: DataFrame, rate: int, longest: float = CHUNK_S, tasks: int = 1) -> DataFrame:
+    """placed (recording_id, part, samples), places (recording_id, part, offset, n) and cuts (as chunks() gives them) -> the
+    cuts with samples, those of the chunk alone.
 
     Which blocks a chunk needs is told from their places; the samples meet no more than once, a chunk of them in a row."""
-    blocks = blocks.filter(F.size("samples") > 0)
-    places = placed_blocks(blocks).select("recording_id", "part", (F.col("offset") / rate).alias("start"), ((F.col("offset") + F.size("samples")) / rate).alias("end"), "offset")
-    needs = overlapping(places, cuts.withColumnsRenamed({"chunk_from": "start", "chunk_to": "end"}), "recording_id", longest)
+    spans = places.filter("n > 0").select("recording_id", "part", (F.col("offset") / rate).alias("start"), ((F.col("offset") + F.col("n")) / rate).alias("end"), "offset", "n")
+    needs = overlapping(spans, cuts.withColumnsRenamed({"chunk_from": "start", "chunk_to": "end"}), "recording_id", longest)
     at = lambda c: F.round(F.col(c) * rate).cast("long")
-    needs = needs.select("recording_id", "l.part", "l.offset", "r.chunk_no", at("r.start").alias("_a"), at("r.end").alias("_z"))
-    first = F.greatest(F.lit(0).cast("long"), F.col("_a") - F.col("offset"))
-    upto = F.least(F.size("samples").cast("long"), F.col("_z") - F.col("offset"))
-    rows = blocks.join(needs, ["recording_id", "part"]).filter(upto > first)
-    piece = F.struct("part", F.slice("samples", (first + 1).cast("int"), (upto - first).cast("int")).alias("x"))
-    gathered = rows.groupBy("recording_id", "chunk_no").agg(F.flatten(F.transform(F.sort_array(F.collect_list(piece)), lambda p: p["x"])).alias("samples"))
-    return cuts.join(gathered, ["recording_id", "chunk_no"])
+    needs = needs.select("recording_id", "l.part", "r.chunk_no", F.col("r.start").alias("chunk_from"), F.col("r.end").alias("chunk_to"), F.greatest(F.lit(0), at("r.start") - F.col("l.offset")).alias("_first"), F.least("l.n", at("r.end") - F.col("l.offset")).alias("_upto"))
+    # By number and not by size, and a merge whatever the sizes say, see transcribe_clips().
+    rows = placed.select("recording_id", "part", "samples").repartition(tasks, "recording_id", "part").hint("merge").join(needs.filter("_upto > _first"), ["recording_id", "part"])
+    piece = F.slice("samples", (F.col("_first") + 1).cast("int"), (F.col("_upto") - F.col("_first")).cast("int"))
+    rows = rows.select("recording_id", "chunk_no", "chunk_from", "chunk_to", F.struct("part", piece.alias("x")).alias("piece")).repartition(tasks, "recording_id", "chunk_no")
+    return rows.groupBy("recording_id", "chunk_no", "chunk_from", "chunk_to").agg(F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["x"])).alias("samples"))
 
 
-#: Chunks that a task asks about, one after the other.
-CHUNKS_A_TASK = 32
+#: Chunks that a task asks about, one after the other: this many at most, and where that leaves cores idle, FEW_CHUNKS at least.
+FEW_CHUNKS, MANY_CHUNKS = 32, 1024
 _ASKED = "meeting_id long, chunk_no long, chunk_from double, chunk_to double, outcome string, text string, language string, segments array<struct<start:double,end:double,text:string>>, duration double, billed_seconds double, attempts int"
 
 
@@ -447,6 +476,7 @@ def ask_chunks(sounds: DataFrame, rate: int, call: Call, wait: Callable[[float],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            rows = []
             for i in range(b.num_rows):
                 # A row at a time, as a chunk is some 20 MB.
                 pcm = b.column("samples")[i].values.to_numpy(zero_copy_only=False).astype(np.int16)
@@ -455,12 +485,13 @@ def ask_chunks(sounds: DataFrame, rate: int, call: Call, wait: Callable[[float],
                 if outcome == "ok":
                     said = None if r.segments is None else [{"start": float(a), "end": float(z), "text": t} for a, z, t in r.segments]
                     row |= {"text": r.text or "", "language": r.language, "segments": said, "duration": r.duration, "billed_seconds": r.billed_seconds}
-                yield pa.RecordBatch.from_pylist([row], schema)
+                rows.append(row)
+            yield pa.RecordBatch.from_pylist(rows, schema)
 
     part = pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("text", pa.string())]))
     schema = pa.schema([("meeting_id", pa.int64()), ("chunk_no", pa.int64()), ("chunk_from", pa.float64()), ("chunk_to", pa.float64()), ("outcome", pa.string()), ("text", pa.string()), ("language", pa.string()), ("segments", part), ("duration", pa.float64()), ("billed_seconds", pa.float64()), ("attempts", pa.int32())])
     # Calls take seconds and rows are few, so tasks go by their number and not by their size.
-    spread = sounds.select("meeting_id", "chunk_no", "chunk_from", "chunk_to", "samples").repartition(-(-sounds.count() // CHUNKS_A_TASK) or 1, "meeting_id", "chunk_no")
+    spread = sounds.select("meeting_id", "chunk_no", "chunk_from", "chunk_to", "samples").repartition(tasks_for(sounds.sparkSession, sounds.count(), FEW_CHUNKS, MANY_CHUNKS), "meeting_id", "chunk_no")
     return spread.mapInArrow(run, _ASKED)
 
 
@@ -476,16 +507,22 @@ def whole_transcripts(blocks: DataFrame, segments: DataFrame, rate: int, call: C
     at least. Replies are written before they are used, so that each chunk is asked about once.
     """
     blocks = blocks.select(F.col("meeting_id").cast("long").alias("recording_id"), "part", "samples")
-    heard = blocks.filter("samples is not null")
-    loud = levels(heard.withColumn("samples", F.transform("samples", lambda x: x / FULL_SCALE)))
-    judged = blocks.groupBy("recording_id").agg(F.count("samples").alias("_blocks")).join(loud, "recording_id", "left")
+    # Samples compress well, so what holds them goes by their number: by size, hours of them would be one task's.
+    sizes = written(block_sizes(blocks), "sizes")
+    tasks = tasks_for(blocks.sparkSession, sizes.agg(F.sum("n")).first()[0] or 0, FEW_SAMPLES, MANY_SAMPLES)
+    heard = blocks.filter("samples is not null").repartition(tasks, "recording_id", "part").hint("merge")
+    placed = written(placed_blocks(heard, sizes.filter("n is not null")), "placed")
+    energies = written(cell_energies(placed, rate, longest_s), "energies")
+    loud = energies.groupBy("recording_id").agg(F.sum("n").alias("n_samples"), F.sum(F.col("square").cast("double")).alias("_s"))
+    loud = loud.withColumn("rms_dbfs", rms_dbfs(F.try_divide("_s", "n_samples") / FULL_SCALE**2))
+    judged = sizes.groupBy("recording_id").agg(F.count("n").alias("_blocks")).join(loud, "recording_id", "left")
     seconds = F.coalesce("n_samples", F.lit(0)) / rate
     why = F.when(F.col("_blocks") == 0, F.lit("undecodable")).when(too_quiet(seconds, F.col("rms_dbfs")), F.lit("silent_recording"))
     judged = written(judged.select("recording_id", seconds.alias("_seconds"), why.alias("_why")), "judged")
 
-    heard = heard.join(judged.filter("_why is null").select("recording_id"), "recording_id", "left_semi")
-    cuts = written(chunks(heard, rate, longest_s), "cuts")
-    sounds = written(chunk_sounds(heard, cuts, rate, longest_s).withColumnRenamed("recording_id", "meeting_id"), "sounds")
+    fit = energies.join(judged.filter("_why is null").select("recording_id"), "recording_id", "left_semi")
+    cuts = written(folded_cuts(fit.repartition(tasks, "recording_id"), rate, longest_s), "cuts")
+    sounds = written(chunk_sounds(placed, energies, cuts, rate, longest_s, tasks).withColumnRenamed("recording_id", "meeting_id"), "sounds")
     early = written(ask_chunks(sounds.filter(F.col("chunk_no") < at_once), rate, call, wait), "replies")
     lost = early.filter("outcome <> 'ok'").select("meeting_id").distinct()
     later = sounds.filter(F.col("chunk_no") >= at_once).join(lost, "meeting_id", "left_anti")

@@ -508,11 +508,11 @@ def transcribe_whole(spark, d):
     rel = written(_relative(spark, d).select("meeting_id", "pos", "speaker", "start", "end"), "segments")
     n = F.greatest(F.lit(1), F.floor(F.col("last") * TURN_RATE)).cast("int")
     made = rel.groupBy("meeting_id").agg(F.max("end").alias("last")).select("meeting_id", n.alias("n"))
-    made = made.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 400).cast("int"))).alias("part"))
+    tasks = audio.tasks_for(spark, made.agg(F.sum("n")).first()[0] or 0, audio.FEW_SAMPLES, audio.MANY_SAMPLES)
+    made = made.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 400).cast("int"))).alias("part")).repartition(tasks, "meeting_id", "part")
     loud = F.when(F.col("meeting_id") % 7 == 1, 0).otherwise(F.col("meeting_id") % 500 + 500)
-    value = lambda i: F.when(i % 2 == 0, loud).otherwise(-loud).cast("smallint")
-    upto = F.least(F.col("n"), (F.col("part") + 1) * 400)
-    blocks = made.select("meeting_id", "part", F.when(F.col("meeting_id") % 7 != 0, F.transform(F.sequence(F.col("part") * 400, upto - 1), value)).alias("samples"))
+    swing = F.flatten(F.array_repeat(F.array(loud.cast("smallint"), (-loud).cast("smallint")), 200))
+    blocks = made.select("meeting_id", "part", F.when(F.col("meeting_id") % 7 != 0, F.slice(swing, 1, F.least(F.lit(400), F.col("n") - F.col("part") * 400))).alias("samples"))
     return audio.whole_transcripts(written(blocks, "blocks"), rel.filter("meeting_id % 2 = 0"), TURN_RATE, _whole_provider, longest_s=20.0, at_once=SETTINGS.calls_at_once, wait=lambda s: None)
 
 

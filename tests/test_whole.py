@@ -38,3 +38,26 @@ def test_blocks_of_any_size_give_the_same(spark):
 def test_no_recordings(spark):
     none = spark.createDataFrame([], "meeting_id long, part int, samples array<smallint>")
     assert audio.whole_transcripts(none, spark.createDataFrame([], SEGMENTS), RATE, answer).count() == 0
+
+
+def test_sound_that_compresses_well_spreads_over_tasks(spark, monkeypatch):
+    """Hours of even sound take a few kB, by which one task would hold them all; tasks go by samples and by chunks instead."""
+    monkeypatch.setattr(audio, "FEW_SAMPLES", 1000, raising=False)
+    kept, written = {}, audio.written
+    monkeypatch.setattr(audio, "written", lambda df, name: kept.setdefault(name, written(df, name)))
+    got = run(spark, {m: np.resize([900, -900], 4000) for m in range(40)}, 400)
+    assert len(got) == 40 and {r["outcome"] for r in got.values()} == {"ok"}
+    assert len(kept["sounds"].inputFiles()) >= 4
+
+
+def test_energies_are_a_row_a_block(spark):
+    blocks = spark.createDataFrame([(m, k, [m + 1] * 400) for m in range(3) for k in range(5)], "recording_id long, part int, samples array<smallint>")
+    rows = audio.cell_energies(audio.placed_blocks(blocks, audio.block_sizes(blocks)), RATE, 20.0).collect()
+    assert len(rows) == 15 and {(r["recording_id"], r["offset"], r["n"], r["square"]) for r in rows} == {(m, k * 400, 400, 400 * (m + 1) ** 2) for m in range(3) for k in range(5)}
+
+
+def test_many_chunks_are_asked_about_in_few_tasks(spark):
+    sounds = spark.range(3000).selectExpr("id as meeting_id", "0L as chunk_no", "0d as chunk_from", "1d as chunk_to", "array(1S, 2S) as samples")
+    asked = audio.ask_chunks(sounds, RATE, lambda wav: str(len(wav)), wait=lambda s: None)
+    tasks = asked.rdd.getNumPartitions()
+    assert 3 <= tasks <= 2 * spark.sparkContext.defaultParallelism and asked.filter("text = '48'").count() == 3000
