@@ -554,6 +554,24 @@ def test_fast_ids_are_the_tokenizers_ids():
         assert got.tolist() == [*whole.encode(t, add_special_tokens=False).ids, 1]
 
 
+def test_the_fast_form_searches_for_a_token():
+    """Without a special token its search matches nothing at every byte, which takes as long as all else."""
+    assert packing._load(packing.tokenizer_path())[1].special_tokens_set == {"<|endoftext|>"}
+
+
+def test_runs_and_long_words_are_found_as_by_plain_searches():
+    import random
+    import re
+
+    r = random.Random(5)
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    texts = ["", " ", "a", *(a + b for a in spaces for b in spaces)] + ["".join(r.choices("ab\u00e9\u4e2d" + "".join(spaces), [9, 9, 9, 9, *[0.4] * len(spaces)], k=r.randrange(40))) for _ in range(3000)]
+    assert [packing._runs(t) for t in texts] == [bool(re.search(r"\s\s", t)) for t in texts]
+    n = packing.LONG_WORD
+    words = ["x" * n, "x" * (n + 1), " " + "x" * n + " ", "ab " * 5000 + "x" * (n + 1), "ab " * 5000 + "x" * (n + 1) + " ab" * 9000, "ab " * 5001 + "x" * n + "\n" + "y" * (n // 2)]
+    assert [packing._long_word(t) for t in words] == [max(map(len, t.split())) > n for t in words] == [False, True, False, True, True, False]
+
+
 def test_windows_fill_in_the_order_of_bm25():
     """Each window takes the unused documents by their score for all terms of its seed, from the formula term by term."""
     from math import log1p
